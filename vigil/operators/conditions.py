@@ -8,7 +8,7 @@ false, except for the two null tests.
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from datetime import datetime
 from functools import reduce
 from typing import Any
@@ -37,7 +37,7 @@ class Condition:
     operator: str | None = None
     value: Any = None
     logical: str | None = None
-    children: tuple["Condition", ...] = field(default=())
+    children: tuple["Condition", ...] = ()
 
     def __post_init__(self) -> None:
         if self.operator is not None and self.operator not in OPERATORS:
