@@ -1,3 +1,3 @@
 """Importing this module registers all queries."""
 
-from vigil.catalog import rule_queries  # noqa: F401
+from vigil.catalog import absence_queries, peer_queries, rule_queries  # noqa: F401
