@@ -272,11 +272,12 @@ def r4(value: str) -> str:
     return f"CAST(format('{{:.4f}}', {value}) AS DOUBLE)"
 
 
-COHORTS = f"""sized AS (SELECT *, count(*) OVER (PARTITION BY lower(sector), lower(size_tier)) AS n_exact,
+def cohorts_sql(k: int) -> str:
+    return f"""sized AS (SELECT *, count(*) OVER (PARTITION BY lower(sector), lower(size_tier)) AS n_exact,
     count(*) OVER (PARTITION BY lower(sector)) AS n_sector, count(*) OVER () AS n_all FROM metrics),
-chosen AS (SELECT *, CASE WHEN n_exact >= 2 THEN 'EXACT_COHORT' WHEN n_sector >= 2 THEN 'SECTOR_FALLBACK' WHEN n_all >= 2 THEN 'GLOBAL_FALLBACK' ELSE 'BASELINE_FALLBACK' END AS fallback_applied,
-    CASE WHEN n_exact >= 2 THEN n_exact WHEN n_sector >= 2 THEN n_sector ELSE n_all END AS peer_group_size,
-    n_exact < 2 AS is_low_confidence, CASE WHEN n_exact >= 2 THEN 1.0 ELSE 0.5 END AS dampening FROM sized),
+chosen AS (SELECT *, CASE WHEN n_exact >= {k} THEN 'EXACT_COHORT' WHEN n_sector >= {k} THEN 'SECTOR_FALLBACK' WHEN n_all >= {k} THEN 'GLOBAL_FALLBACK' ELSE 'BASELINE_FALLBACK' END AS fallback_applied,
+    CASE WHEN n_exact >= {k} THEN n_exact WHEN n_sector >= {k} THEN n_sector ELSE n_all END AS peer_group_size,
+    n_exact < {k} AS is_low_confidence, CASE WHEN n_exact >= {k} THEN 1.0 ELSE 0.5 END AS dampening FROM sized),
 longm AS (UNPIVOT metrics ON mtti_minutes, escalation_rate, stale_case_ratio, coverage_gap_ratio, execution_gap_rate INTO NAME metric_name VALUE value),
 peer AS (SELECT c.entity_id, c.sector, c.size_tier, c.fallback_applied, c.peer_group_size, c.is_low_confidence, c.dampening, t.metric_name, t.value, p.value AS v
   FROM chosen c JOIN longm t ON t.entity_id = c.entity_id JOIN longm p ON p.metric_name = t.metric_name
@@ -296,7 +297,7 @@ evaluated AS (SELECT entity_id, any_value(fallback_applied) AS fallback_applied,
 
 @query(
     "b6_cohort_fallback",
-    with_sql(*PEER_FAMILIES, extra=METRICS + ",\n" + COHORTS, body="SELECT entity_id, fallback_applied, peer_group_size, is_low_confidence, CAST(dampening AS DOUBLE) AS dampening_factor FROM chosen"),
+    with_sql(*PEER_FAMILIES, extra=METRICS + ",\n" + cohorts_sql(2), body="SELECT entity_id, fallback_applied, peer_group_size, is_low_confidence, CAST(dampening AS DOUBLE) AS dampening_factor FROM chosen"),
 )
 def cohort_choice(spark, sf):
     m = metrics(spark, sf)
@@ -307,11 +308,11 @@ def cohort_choice(spark, sf):
 
 @query(
     "b7_peer_benchmarks",
-    with_sql(*PEER_FAMILIES, extra=METRICS + ",\n" + COHORTS, body="""SELECT entity_id, metric_name, value, fallback_applied, peer_group_size,
+    with_sql(*PEER_FAMILIES, extra=METRICS + ",\n" + cohorts_sql(3), body="""SELECT entity_id, metric_name, value, fallback_applied, peer_group_size,
   mean_val, std_dev, p25, p50, p75, p90, z_score, percentile FROM zed"""),
 )
 def benchmarks(spark, sf):
-    return pr.benchmark_entities(metrics(spark, sf), min_peers=2).select(
+    return pr.benchmark_entities(metrics(spark, sf)).select(
         "entity_id", "metric_name", "value", "fallback_applied", "peer_group_size", "mean_val", "std_dev",
         "p25", "p50", "p75", "p90", "z_score", "percentile",
     )
@@ -319,20 +320,20 @@ def benchmarks(spark, sf):
 
 @query(
     "b8_peer_deviation",
-    with_sql(*PEER_FAMILIES, extra=METRICS + ",\n" + COHORTS, body="SELECT * FROM evaluated"),
+    with_sql(*PEER_FAMILIES, extra=METRICS + ",\n" + cohorts_sql(3), body="SELECT * FROM evaluated"),
 )
 def deviation(spark, sf):
-    return pr.peer_evaluations(pr.benchmark_entities(metrics(spark, sf), min_peers=2)).select(
+    return pr.peer_evaluations(pr.benchmark_entities(metrics(spark, sf))).select(
         "entity_id", "fallback_applied", "peer_group_size", "mean_risk_z_score", "peer_deviation_score"
     )
 
 
 @query(
     "b9_percentile_map",
-    with_sql(*PEER_FAMILIES, extra=METRICS + ",\n" + COHORTS, body="""SELECT entity_id, string_agg(metric_name || '=' || format('{:.2f}', percentile), ',' ORDER BY metric_name) AS percentiles FROM zed GROUP BY 1"""),
+    with_sql(*PEER_FAMILIES, extra=METRICS + ",\n" + cohorts_sql(3), body="""SELECT entity_id, string_agg(metric_name || '=' || format('{:.2f}', percentile), ',' ORDER BY metric_name) AS percentiles FROM zed GROUP BY 1"""),
 )
 def percentile_map(spark, sf):
-    e = pr.peer_evaluations(pr.benchmark_entities(metrics(spark, sf), min_peers=2))
+    e = pr.peer_evaluations(pr.benchmark_entities(metrics(spark, sf)))
     items = F.transform(
         F.array_sort(F.map_entries("metric_percentiles")),
         lambda x: F.concat(x["key"], F.lit("="), F.format_string("%.2f", x["value"])),

@@ -17,6 +17,7 @@ from vigil.functions.stats import z_score
 from vigil.operators.absence import entity_counters, jewel_assets, unmatched_assets
 from vigil.operators.temporal import key_array
 from vigil.schema import of_type
+from vigil.session import cut_lineage
 
 METRICS = (
     "mtti_minutes",
@@ -248,7 +249,12 @@ def percentile_ranks(values: DataFrame, keys: list[str], value: str = "value") -
 def benchmark_entities(
     metrics: DataFrame, min_peers: int = 3, dampening: float = 0.5
 ) -> DataFrame:
-    """Per entity and metric: the cohort's distribution, z-score and percentile rank."""
+    """Per entity and metric: the cohort's distribution, z-score and percentile rank.
+
+    The snapshot rows are read several times from here on and stand for a pass over all events, so
+    they are stored first.
+    """
+    metrics = cut_lineage(metrics)
     members = cohort_members(metrics)
     stats = cohort_distribution(members, ["cohort", "metric_name"], "value").drop("n")
     ranks = percentile_ranks(members, ["cohort", "metric_name"])

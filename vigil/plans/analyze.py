@@ -16,6 +16,7 @@ from vigil.operators.peers import benchmark_entities, cohort_benchmarks, entity_
 from vigil.operators.risk import risk_scores
 from vigil.operators.rules import Registry
 from vigil.schema import of_type
+from vigil.session import cut_lineage
 from vigil.sources.sinks import append_scores, replace_by_entity
 
 
@@ -45,7 +46,8 @@ def analyze(
     parity: bool = False,
     burst: dict | None = None,
 ) -> Run:
-    """Nothing is computed here except the sizing of burst chains; each output table is one action.
+    """Findings, metric snapshots and burst candidates are stored on the way, because several outputs
+    read them; everything else stays lazy and runs when its table is written.
 
     `period_only` restricts the events to the period; `parity` counts every open case as stale.
     """
@@ -53,8 +55,8 @@ def analyze(
     if period_only:
         start, end = period.columns()
         events = events.where(F.col("event_timestamp").between(start, end))
-    gaps = evaluate_rules(events, period, rules)
-    absences = evaluate_checks(events, period, checks)
+    gaps = cut_lineage(evaluate_rules(events, period, rules))
+    absences = cut_lineage(evaluate_checks(events, period, checks))
     edges, clusters, members = correlate(events, **(burst or {}))
     metrics = entity_metrics(entities, events, gaps, as_of, parity)
     benchmarks = benchmark_entities(metrics)
