@@ -20,7 +20,7 @@ def _quote(text: Column) -> Column:
 
 
 def json_text(value: Column | str) -> Column:
-    return F.coalesce(_quote(c(value)), F.lit("null"))
+    return F.when(c(value).isNull(), F.lit("null")).otherwise(_quote(c(value)))
 
 
 def json_number(value: Column | str) -> Column:

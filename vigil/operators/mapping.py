@@ -173,14 +173,14 @@ def standard_event_type(dataset: Column) -> Column:
     return F.coalesce(table[dataset], F.lit("ALERT"))
 
 
-def _promoted(name: str, dtype: str) -> Column:
-    payload, lookup = F.col("payload"), F.col("payload_lookup")
-    value = F.coalesce(payload[name], lookup[clean_name(name)])
+def _promoted_raw(name: str) -> Column:
+    return F.coalesce(F.col("payload")[name], F.col("payload_lookup")[clean_name(name)])
+
+
+def _typed(value: Column, dtype: str) -> Column:
     if dtype == "timestamp":
         return parse_iso(value)
-    if dtype == "double":
-        return to_float(value)
-    return value
+    return to_float(value) if dtype == "double" else value
 
 
 def _list_text(value: Column) -> Column:
@@ -213,32 +213,34 @@ def normalize(
     severity_default = F.coalesce(
         F.when(F.upper("severity_default").isin(*SEVERITIES), F.upper("severity_default")), F.lit("MEDIUM")
     )
-    event_type = standard_event_type(F.col("dataset_type"))
-    status = extract_field("status")
     payload = F.map_concat(
         F.col("full"), F.col("mapped"),
         F.create_map(
             F.lit("_row_index"), F.col("row_index").cast("string"),
-            F.lit("_standard_event_type"), F.col("standard_event_type"),
+            F.lit("_standard_event_type"), standard_event_type(F.col("dataset_type")),
         ),
     )
-    df = df.withColumn("standard_event_type", event_type).withColumn("payload", payload)
-    df = df.withColumn("payload_lookup", cleaned_lookup(F.col("payload")))
+    # each field is looked up once, in a projection of its own, and then interpreted
+    df = df.select(
+        "*", *[extract_field(n).alias(f"raw_{n}" if n != "raw_ref_id" else n) for n in ALIASES], payload.alias("payload")
+    ).withColumn("payload_lookup", cleaned_lookup(F.col("payload")))
+    df = df.select("*", *[_promoted_raw(n).alias(f"p_{n}") for n in PROMOTED])
     ingested = F.lit(ingested_at).cast("timestamp")
     return df.select(
         stable_id(F.lit("event"), "submission_id", "row_index").alias("event_id"),
-        "submission_id", "entity_id", "dataset_type", "standard_event_type",
-        F.coalesce(parse_timestamp(extract_field("event_timestamp"), layouts), ingested).alias("event_timestamp"),
-        _list_text(extract_field("asset_id")).alias("asset_id"),
-        extract_field("user_id").alias("user_id"),
-        extract_field("action").alias("action"),
-        F.when(status.isNotNull(), normalize_status(status)).alias("status"),
-        normalize_severity(extract_field("severity"), F.col("severity_map"), severity_default).alias("severity"),
-        extract_field("source_ip").alias("source_ip"),
-        extract_field("destination_ip").alias("destination_ip"),
+        "submission_id", "entity_id", "dataset_type",
+        standard_event_type(F.col("dataset_type")).alias("standard_event_type"),
+        F.coalesce(parse_timestamp("raw_event_timestamp", layouts), ingested).alias("event_timestamp"),
+        _list_text(F.col("raw_asset_id")).alias("asset_id"),
+        F.col("raw_user_id").alias("user_id"),
+        F.col("raw_action").alias("action"),
+        F.when(F.col("raw_status").isNotNull(), normalize_status("raw_status")).alias("status"),
+        normalize_severity("raw_severity", F.col("severity_map"), severity_default).alias("severity"),
+        F.col("raw_source_ip").alias("source_ip"),
+        F.col("raw_destination_ip").alias("destination_ip"),
         F.col("row_index").cast("bigint").alias("raw_row_index"),
-        extract_field("raw_ref_id").alias("raw_ref_id"),
-        *[_promoted(n, t).alias(n) for n, t in PROMOTED.items()],
+        "raw_ref_id",
+        *[_typed(F.col(f"p_{n}"), t).alias(n) for n, t in PROMOTED.items()],
         F.col("payload").alias("normalized_payload"),
         ingested.alias("created_at"),
     )

@@ -121,9 +121,26 @@ def primary_key(data: Column, dataset: Column) -> Column:
     return F.coalesce(own, *[data[n] for n in GENERIC_KEYS])
 
 
-def row_error(mapping: Column | None = None) -> Column:
-    """First failing row check, or NULL. Duplicates are judged afterwards, among clean rows."""
-    data, dataset = F.col(DATA), F.col("dataset_type")
+def with_row_error(rows: DataFrame, mapping: str | None = None) -> DataFrame:
+    """Add `error`, the first failing row check, or NULL. Duplicates are judged afterwards, among
+    clean rows.
+
+    Names, time and first bad number become columns of their own first: every later use would
+    otherwise evaluate the lookups in the row's map again.
+    """
+    data = F.col(DATA)
+    time_name, time_value = _first_named(data, TIME_FIELDS, lambda v: v.isNotNull())
+    bad_numbers = F.filter(
+        F.map_entries(data),
+        lambda e: e["key"].isin(*NUMERIC_FIELDS) & e["value"].isNotNull() & ~is_float_text(e["value"]),
+    )
+    staged = rows.select(
+        "*",
+        present_names(data, F.col(mapping) if mapping else None).alias("_names"),
+        time_name.alias("_time_name"),
+        time_value.alias("_time_value"),
+        F.get(bad_numbers, F.lit(0)).alias("_bad"),
+    ).withColumn("_time", parse_timestamp("_time_value"))
     raw = F.array(F.lit("__raw__"))
     corrupted = F.when(
         F.col("is_corrupted"),
@@ -133,21 +150,16 @@ def row_error(mapping: Column | None = None) -> Column:
         data.isNull() | (F.size(data) == 0),
         _error("CORRUPTED_ROW", "Row data is empty or not a valid dictionary", raw),
     )
-    missing = _missing_group(present_names(data, mapping), dataset)
-    time_name, time_value = _first_named(data, TIME_FIELDS, lambda v: v.isNotNull())
+    missing = _missing_group(F.col("_names"), F.col("dataset_type"))
     bad_time = F.when(
-        time_value.isNotNull() & parse_timestamp(time_value).isNull(),
+        F.col("_time_value").isNotNull() & F.col("_time").isNull(),
         _error(
             "DATETIME_PARSE_ERROR",
-            F.concat(F.lit("Unable to parse timestamp '"), time_value, F.lit("' in field '"), time_name, F.lit("'")),
-            F.array(time_name),
+            F.concat(F.lit("Unable to parse timestamp '"), "_time_value", F.lit("' in field '"), "_time_name", F.lit("'")),
+            F.array("_time_name"),
         ),
     )
-    bad_numbers = F.filter(
-        F.map_entries(data),
-        lambda e: e["key"].isin(*NUMERIC_FIELDS) & e["value"].isNotNull() & ~is_float_text(e["value"]),
-    )
-    bad = F.get(bad_numbers, F.lit(0))
+    bad = F.col("_bad")
     mismatch = F.when(
         bad.isNotNull(),
         _error(
@@ -156,7 +168,9 @@ def row_error(mapping: Column | None = None) -> Column:
             F.array(bad["key"]),
         ),
     )
-    return F.coalesce(corrupted, empty, missing, bad_time, mismatch)
+    return staged.withColumn("error", F.coalesce(corrupted, empty, missing, bad_time, mismatch)).drop(
+        "_names", "_time_name", "_time_value", "_time", "_bad"
+    )
 
 
 def validate(rows: DataFrame, mapping: str | None = None) -> DataFrame:
@@ -166,7 +180,7 @@ def validate(rows: DataFrame, mapping: str | None = None) -> DataFrame:
     Of valid rows sharing a primary key in a submission, the one with the lowest row index stays.
     Only keys that repeat take part in the join, so it stays small unless the data is mostly copies.
     """
-    checked = rows.withColumn("error", row_error(F.col(mapping) if mapping else None)).withColumn(
+    checked = with_row_error(rows, mapping).withColumn(
         "pk", F.when(F.col("error").isNull(), primary_key(F.col(DATA), F.col("dataset_type")))
     )
     repeated = (

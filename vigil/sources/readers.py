@@ -333,7 +333,7 @@ def read_ground_truth(spark: SparkSession, path: str) -> DataFrame:
     rows = read_submissions(spark, path)
     evidence = F.col("data")["evidence_ids"]
     as_list = F.from_json(evidence, "array<string>")
-    parts = F.filter(F.transform(F.split(evidence, ";"), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(evidence, ";"), lambda x: F.trim(x)), lambda x: x != "")
     code = F.coalesce(F.col("data")["check_id"], F.col("data")["rule_code"])
     return rows.select(
         F.concat_ws("#", "file", "row_index").alias("truth_id"),

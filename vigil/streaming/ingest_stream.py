@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigil.operators.mapping import normalize
-from vigil.operators.validation import primary_key, row_error
+from vigil.operators.validation import primary_key, with_row_error
 from vigil.sources.readers import object_map
 
 ROW_SCHEMA = "submission_id string, entity_id string, dataset_type string, row_index bigint, line string"
@@ -25,13 +25,13 @@ def read_row_stream(spark: SparkSession, path: str) -> DataFrame:
 
 def checked_stream(rows: DataFrame) -> DataFrame:
     data = object_map(F.col("line"))
-    return (
+    parsed = (
         rows.withColumn("data", data)
         .withColumn("is_corrupted", F.col("data").isNull())
         .withColumn("corruption_reason", F.when(F.col("data").isNull(), "Invalid JSON line syntax"))
         .withColumn("raw_text", F.col("line"))
-        .withColumn("error", row_error())
     )
+    return with_row_error(parsed)
 
 
 def stream_events(rows: DataFrame, ingested_at: datetime, delay: str = "1 hour") -> DataFrame:
