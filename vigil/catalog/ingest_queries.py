@@ -385,8 +385,8 @@ def detection(spark, sf):
     head = F.when(lang == "en", F.lit("Alert ID,Rule-Name,source_ip,Severity,timestamp\n1,2,3,4,5")).when(
         lang == "de", F.lit('[{"Case_ID": 1, "priority": "P1"}, {"x": 2}]')
     ).when(lang == "fr", F.lit("id|hostname|owner")).otherwise(F.lit('{"log_id": 7'))
-    found = classify_dataset(name, header_tokens(head))
-    return table(spark, sf, "documents").select("doc_id", found.alias("d")).select(
+    files = table(spark, sf, "documents").select("doc_id", name.alias("file"), header_tokens(head).alias("tokens"))
+    return files.select("doc_id", classify_dataset("file", "tokens").alias("d")).select(
         "doc_id", "d.dataset_type", F.col("d.score").cast("int").alias("score"), F.col("d.confidence").cast("int").alias("confidence")
     )
 

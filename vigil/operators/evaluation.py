@@ -156,7 +156,7 @@ def scored_bands(scores: DataFrame, bands: DataFrame) -> DataFrame:
 
 def confusion_matrix(scored: DataFrame) -> DataFrame:
     """3x3 counts: one row per true tier."""
-    return scored.groupBy("true_tier").pivot("predicted_tier", list(TIERS)).agg(F.count("*")).na.fill(0, list(TIERS))
+    return scored.groupBy("true_tier").pivot("predicted_tier", list(TIERS)).agg(F.count(F.lit(1))).na.fill(0, list(TIERS))
 
 
 def score_errors(scored: DataFrame) -> DataFrame:

@@ -168,7 +168,10 @@ def with_row_error(rows: DataFrame, mapping: str | None = None) -> DataFrame:
             F.array(bad["key"]),
         ),
     )
-    return staged.withColumn("error", F.coalesce(corrupted, empty, missing, bad_time, mismatch)).drop(
+    first_error = F.coalesce(corrupted, empty, missing, bad_time, mismatch)
+    # reading the partition id keeps later predicates on `error` from being pushed below this
+    # projection, which would evaluate all checks again inside every such predicate
+    return staged.withColumn("error", F.when(F.spark_partition_id() >= 0, first_error)).drop(
         "_names", "_time_name", "_time_value", "_time", "_bad"
     )
 

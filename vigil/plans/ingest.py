@@ -45,8 +45,10 @@ def ingest_rows(
 
 def register_files(spark: SparkSession, path: str, uploaded_at: datetime) -> DataFrame:
     """Submission rows of the files under `path`, with the detected dataset type of each."""
-    heads = file_heads(read_lines(spark, path)).select(
-        "file", classify_dataset("file", header_tokens(F.array_join("head", "\n"))).alias("d")
+    heads = (
+        file_heads(read_lines(spark, path))
+        .withColumn("tokens", header_tokens(F.array_join("head", "\n")))
+        .select("file", classify_dataset("file", "tokens").alias("d"))
     )
     return file_digests(spark, path).join(heads, "file", "left").select(
         stable_id(F.lit("submission"), "file", "sha256_hash").alias("submission_id"),

@@ -108,7 +108,10 @@ def header_tokens(snippet: Column | str) -> Column:
 
 
 def classify_dataset(file_name: Column | str, tokens: Column | str) -> Column:
-    """struct(dataset_type, score, confidence, matched_headers): best of eight scored signatures."""
+    """struct(dataset_type, score, confidence, matched_headers): best of eight scored signatures.
+
+    `tokens` is read by every signature and should be a column, not an expression.
+    """
     name = F.lower(c(file_name))
     headers = c(tokens)
     scored = []
@@ -134,12 +137,16 @@ def classify_dataset(file_name: Column | str, tokens: Column | str) -> Column:
                 F.array_distinct(F.concat(F.array_compact(F.array(hit)), found, shared)).alias("matched"),
             )
         )
-    best = F.array_max(F.array(*scored))
-    score = best["score"]
-    confidence = (
-        F.when(score >= 70, 100).when(score >= 45, 90).when(score >= 25, 75).when(score > 0, 60).otherwise(50)
-    )
-    return F.struct(
-        best["dataset_type"].alias("dataset_type"), score.alias("score"),
-        confidence.cast("bigint").alias("confidence"), best["matched"].alias("matched_headers"),
-    )
+
+    def result(best: Column) -> Column:
+        score = best["score"]
+        confidence = (
+            F.when(score >= 70, 100).when(score >= 45, 90).when(score >= 25, 75).when(score > 0, 60).otherwise(50)
+        )
+        return F.struct(
+            best["dataset_type"].alias("dataset_type"), score.alias("score"),
+            confidence.cast("bigint").alias("confidence"), best["matched"].alias("matched_headers"),
+        )
+
+    # the lambda binds the winner once for all its fields
+    return F.transform(F.array(F.array_max(F.array(*scored))), result)[0]
