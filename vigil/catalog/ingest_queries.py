@@ -27,7 +27,7 @@ from vigil.operators.validation import (
     validate,
 )
 from vigil.plans.ingest import ingest_rows
-from vigil.session import ensure_checkpoint_dir
+from vigil.session import ensure_checkpoint_dir, spread
 from vigil.sources.formats import classify_dataset, detect_delimiter, header_tokens
 from vigil.sources.readers import clean_value, file_digests, match_entities, read_ground_truth, read_submissions
 
@@ -64,8 +64,9 @@ def raw_rows(spark, sf) -> DataFrame:
         F.lit("State"), F.concat(F.lit(" "), F.lower("event_type")),
         F.lit("k"), F.get_json_object("props", "$.k"),
     )
+    rows = spread(table(spark, sf, "events").select("event_id", "ts", "user_id", "event_type", "value", "props"))
     return (
-        table(spark, sf, "events").withColumn("k", key).withColumn("stamp", stamp).select(
+        rows.withColumn("k", key).withColumn("stamp", stamp).select(
             F.concat(F.lit("S"), _entity()).alias("submission_id"),
             _entity().alias("entity_id"),
             F.lit("alert_metadata").alias("dataset_type"),

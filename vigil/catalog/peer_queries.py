@@ -31,6 +31,7 @@ from vigil.operators.correlation import correlate
 from vigil.operators.risk import absence_subscores, gap_subscores, risk_scores
 from vigil.operators.rules import check_registry, rule_registry
 from vigil.schema import of_type
+from vigil.session import cut_lineage
 
 # --- bursts ---------------------------------------------------------------------------------------
 
@@ -160,7 +161,7 @@ def weights(spark, sf):
 FROM similar_pairs s JOIN grouped a ON a.entity_id = s.entity_id AND a.bag = s.bag_a JOIN grouped b ON b.entity_id = s.entity_id AND b.bag = s.bag_b"""),
 )
 def similar_notes(spark, sf):
-    return nt.similar_group_edges(nt.note_corpus(notes(spark, sf))).select(
+    return nt.similar_group_edges(cut_lineage(nt.note_corpus(notes(spark, sf)))).select(
         "entity_id", F.col("rep_a.event_id").alias("note_a"), F.col("rep_b.event_id").alias("note_b"),
         F.round("cosine", 4).alias("cosine"), F.round("jaccard", 4).alias("jaccard"),
         F.array_join("shared_tokens", " ").alias("shared_tokens"), "pair_count",

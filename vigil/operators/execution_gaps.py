@@ -296,28 +296,15 @@ def _case_investigations(events: DataFrame) -> DataFrame:
 def closed_without_notes(events: DataFrame, rule: Rule, period: Period, min_length: int = 20) -> DataFrame:
     """EG-04: closed cases whose joined notes are missing, shorter than 20 characters or generic."""
     investigations = _case_investigations(events)
-    # only the first 20 notes can belong to a text shorter than 20 characters, so no case's notes
-    # are ever collected whole; the rank limit also applies before the shuffle
-    by_case = W.partitionBy("entity_id", "case_key").orderBy("o")
-    noted = investigations.where(F.col("note").isNotNull())
-    leading = (
-        noted.withColumn("rank", F.row_number().over(by_case))
-        .where(F.col("rank") <= min_length)
-        .groupBy("entity_id", "case_key")
-        .agg(F.array_sort(F.collect_list(F.struct("rank", F.substring("note", 1, 60).alias("note")))).alias("notes"))
-    )
-    totals = investigations.groupBy("entity_id", "case_key").agg(
+    keys = ["entity_id", "case_key"]
+    totals = investigations.groupBy(*keys).agg(
         F.count("note").alias("n_notes"),
         F.bool_or(F.length(F.trim("note")) >= min_length).alias("has_long_note"),
         F.count("*").alias("n_investigations"),
     )
-    leading_ids = (
-        investigations.withColumn("rank", F.row_number().over(by_case))
-        .where(F.col("rank") < INLINE_EVIDENCE)
-        .groupBy("entity_id", "case_key")
-        .agg(F.array_sort(F.collect_list(F.struct("rank", "event_id"))).alias("inv_ids"))
-    )
-    closed = (
+    n_parts = F.coalesce("n_notes", F.lit(0)) + F.when(F.col("own_note").isNotNull(), 1).otherwise(0)
+    # one note of 20 characters, or more than 20 notes, always makes the text long enough
+    candidates = (
         of_type(events, "case_management")
         .where(F.upper("status").isin(*CLOSED_STATUSES))
         .withColumn("case_key", first_of("raw_ref_id", "case_id"))
@@ -325,27 +312,35 @@ def closed_without_notes(events: DataFrame, rule: Rule, period: Period, min_leng
             "entity_id", "event_id", "case_key", "raw_row_index",
             first_of("notes", "resolution_notes").alias("own_note"),
         )
-    )
-    n_parts = F.coalesce("n_notes", F.lit(0)) + F.when(F.col("own_note").isNotNull(), 1).otherwise(0)
-    # one note of 20 characters, or more than 20 notes, always makes the text long enough
-    joined = (
-        closed.join(totals, ["entity_id", "case_key"], "left")
+        .join(totals, keys, "left")
         .withColumn("n_parts", n_parts)
         .where(~F.coalesce("has_long_note", F.lit(False)) & (F.col("n_parts") <= min_length))
-        .join(leading, ["entity_id", "case_key"], "left")
+    )
+    # a candidate has at most 20 notes, so its list is bounded
+    short_notes = (
+        investigations.where(F.col("note").isNotNull())
+        .join(candidates.where(F.col("n_notes") > 0).select(*keys), keys, "left_semi")
+        .groupBy(*keys)
+        .agg(F.array_sort(F.collect_list(F.struct("o", F.substring("note", 1, 60).alias("note")))).alias("notes"))
     )
     parts = F.concat(
         F.coalesce(F.transform("notes", lambda n: n["note"]), F.array().cast("array<string>")),
         F.array_compact(F.array(F.substring("own_note", 1, 60))),
     )
-    text = F.trim(F.array_join(parts, " "))
-    poor = joined.withColumn("text", text).withColumn(
-        "sample", F.when(F.col("n_parts") == 0, F.lit(NO_NOTES)).otherwise(F.col("text"))
-    ).where(
-        (F.col("n_parts") == 0)
-        | (F.length("text") < min_length)
-        | F.lower("text").isin(*GENERIC_NOTES)
-    ).join(leading_ids, ["entity_id", "case_key"], "left")
+    poor = (
+        candidates.join(short_notes, keys, "left")
+        .withColumn("text", F.trim(F.array_join(parts, " ")))
+        .withColumn("sample", F.when(F.col("n_parts") == 0, F.lit(NO_NOTES)).otherwise(F.col("text")))
+        .where((F.col("n_parts") == 0) | (F.length("text") < min_length) | F.lower("text").isin(*GENERIC_NOTES))
+    )
+    # a case may have any number of investigations without notes: ranks are cut before the shuffle
+    leading_ids = (
+        investigations.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy("o")))
+        .where(F.col("rank") < INLINE_EVIDENCE)
+        .groupBy(*keys)
+        .agg(F.array_sort(F.collect_list(F.struct("rank", "event_id"))).alias("inv_ids"))
+    )
+    poor = poor.join(leading_ids, keys, "left")
     return finding(
         poor, rule, period,
         subject=_event_ref(F.col("case_key")),

@@ -17,20 +17,29 @@ from pyspark.sql import functions as F
 from vigil.functions.scalars import first_of, stable_id, text_of
 from vigil.functions.text import tokens
 from vigil.schema import of_type
+from vigil.session import cut_lineage, spread
 
 CANDIDATE_FACTOR = 0.7  # pairs below 0.7 of the cosine threshold are never reported
 
 
 def note_corpus(events: DataFrame, min_tokens: int = 10) -> DataFrame:
     """Notes long enough to compare, with their bag-of-words signature."""
-    return (
-        of_type(events, "investigation_records")
-        .select(
+    rows = spread(
+        of_type(events, "investigation_records").select(
             "entity_id", "event_id",
             first_of("case_id", "raw_ref_id", F.lit("Case")).alias("case_key"),
             text_of(first_of("analyst_id", "user_id"), "Unknown").alias("analyst"),
             F.coalesce("asset_id", F.lit("")).alias("asset"),
-            tokens(first_of("investigation_notes", "conclusion", "action_taken")).alias("tokens"),
+            first_of("investigation_notes", "conclusion", "action_taken").alias("text"),
+        ).where(F.col("text").isNotNull())
+    )
+    words = tokens("text")
+    return (
+        rows.select(
+            "entity_id", "event_id", "case_key", "analyst", "asset",
+            # reading the partition id keeps the length test from being pushed below this
+            # projection, where it would split every text a second time
+            F.when(F.spark_partition_id() >= 0, words).alias("tokens"),
         )
         .where(F.size("tokens") >= min_tokens)
         .withColumn("bag", F.sha2(F.array_join(F.array_sort("tokens"), " "), 256))
@@ -91,7 +100,7 @@ def similar_groups(
     groups: DataFrame, cosine: float = 0.85, jaccard: float = 0.80
 ) -> DataFrame:
     """Pairs of different bags with cosine >= 0.85 or Jaccard >= 0.80 (and cosine above the floor)."""
-    weights = term_weights(groups)
+    weights = cut_lineage(term_weights(groups))  # read by both sides of the join and by both vectors
     prefix = prefix_postings(weights, cosine, jaccard)
     a = prefix.select("entity_id", "term", F.col("bag").alias("bag_a"))
     b = prefix.select("entity_id", "term", F.col("bag").alias("bag_b"))
@@ -148,7 +157,10 @@ def clone_groups(corpus: DataFrame) -> DataFrame:
 
 
 def similar_group_edges(corpus: DataFrame, cosine: float = 0.85, jaccard: float = 0.80) -> DataFrame:
-    """One row per pair of similar groups: scores, representatives, pairs of notes it stands for."""
+    """One row per pair of similar groups: scores, representatives, pairs of notes it stands for.
+
+    `corpus` is read several times and should be stored.
+    """
     groups = note_groups(corpus)
     pairs = similar_groups(groups, cosine, jaccard)
     info = groups.select("entity_id", "bag", "size", "rep")
@@ -208,7 +220,7 @@ def _edge(df: DataFrame, a: str, b: str, cosine, jaccard, shared, pairs) -> Data
 
 def note_edges(events: DataFrame, cosine: float = 0.85, jaccard: float = 0.80, min_tokens: int = 10) -> DataFrame:
     """Correlation edges: representative to each copy of a different case, and group to group."""
-    corpus = note_corpus(events, min_tokens)
+    corpus = cut_lineage(note_corpus(events, min_tokens))  # splitting the texts is the costly part
     groups = note_groups(corpus)
     member = F.struct("event_id", "case_key", "analyst", "asset").alias("copy")
     copies = (

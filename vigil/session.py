@@ -15,6 +15,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # reruns replace only the partitions they produce
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # recording a call site per column expression dominates the building of long expressions
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
@@ -55,3 +57,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives executor loss and keeps iterative plans short."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give heavy per-row work a task per core where the scan has fewer: few or unsplittable files.
+
+    A large input has more splits than cores and is returned as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
