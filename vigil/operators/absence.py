@@ -154,12 +154,12 @@ def inter_arrival(rows: DataFrame, slice_seconds: int = 3600) -> DataFrame:
                 + F.coalesce(F.sum(F.col("gap") * F.col("gap")), F.lit(0).cast(big))
             ).cast(big).alias("squares"),
         )
-        .withColumn("m", (F.col("samples") - 1).cast(big))
+        .withColumn("m", F.when(F.col("samples") > 1, (F.col("samples") - 1).cast(big)))
     )
     # sum of squared deviations without cancellation: span = q*m + r, so
     # squares - span^2/m = (squares - m*q^2 - 2*q*r) - r^2/m, whose first part is an exact integer
     stats = (
-        totals.withColumn("q", F.when(F.col("m") > 0, F.expr("span div m").cast(big)))
+        totals.withColumn("q", F.expr("span div m").cast(big))
         .withColumn("r", F.col("span") - F.col("q") * F.col("m"))
         .withColumn(
             "deviations",

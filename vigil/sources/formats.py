@@ -61,9 +61,13 @@ def detect_delimiter(head_lines: Column) -> Column:
     """Delimiter of an array of head lines: the most frequent one with the same non-zero count outside
     quotes on every line, else the first one present in the first line, else a comma."""
     bare = F.transform(head_lines, lambda line: F.regexp_replace(line, r'"[^"]*"', ""))
+
+    def counts_of(d: str) -> Column:
+        return F.transform(bare, lambda line: F.length(line) - F.length(F.replace(line, F.lit(d), F.lit(""))))
+
     options = []
     for rank, d in enumerate(DELIMITERS):
-        counts = F.transform(bare, lambda line, d=d: F.length(line) - F.length(F.replace(line, F.lit(d), F.lit(""))))
+        counts = counts_of(d)
         steady = (F.array_min(counts) == F.array_max(counts)) & (F.array_min(counts) > 0)
         options.append(
             F.when(steady, F.struct(F.array_min(counts).alias("n"), F.lit(-rank).alias("r"), F.lit(d).alias("d")))
