@@ -161,8 +161,9 @@ def detected(spark, sf) -> DataFrame:
 MATCHED = """found AS (SELECT CASE WHEN n_chars >= 400 THEN 'Q1' ELSE 'Q0' END AS code, doc_id FROM documents),
 planted AS (SELECT 'Q' || quality AS code, doc_id FROM labels),
 hit AS (SELECT code, doc_id FROM found JOIN planted USING (code, doc_id)),
-counts AS (SELECT c.code, (SELECT count(*) FROM found f WHERE f.code = c.code) AS nf, (SELECT count(*) FROM planted p WHERE p.code = c.code) AS np,
-  (SELECT count(*) FROM hit h WHERE h.code = c.code) AS tp FROM (VALUES ('Q0'), ('Q1'), ('Q2')) c(code)),
+sized AS (SELECT c.code, (SELECT count(*) FROM found f WHERE f.code = c.code) AS nf, (SELECT count(*) FROM planted p WHERE p.code = c.code) AS np,
+  (SELECT count(*) FROM hit h WHERE h.code = c.code) AS nh FROM (VALUES ('Q0'), ('Q1'), ('Q2')) c(code)),
+counts AS (SELECT code, nf, np, CASE WHEN np = 0 THEN nf WHEN nh = 0 THEN least(np, nf) ELSE nh END AS tp FROM sized),
 rated AS (SELECT *, CASE WHEN nf > 0 THEN tp / nf * 100.0 ELSE 100.0 END AS p, CASE WHEN np > 0 THEN tp / np * 100.0 ELSE 100.0 END AS r FROM counts),
 scored_rules AS (SELECT *, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 100.0 END AS f1 FROM rated)"""
 

@@ -107,9 +107,30 @@ def risk_scores(
     )
 
 
+def sliced_lag(df: DataFrame, keys: list[str], slice_by: Column, order: list[str], value: str, out: str) -> DataFrame:
+    """Previous value in `order` per key, without bringing a key's rows into one task.
+
+    Rows are compared inside slices of the order; the first row of a slice takes the last value of the
+    slice before it from a table with one row per slice.
+    """
+    sliced = df.withColumn("_slice", slice_by)
+    part = [*keys, "_slice"]
+    inside = W.partitionBy(*part).orderBy(*order)
+    ends = sliced.groupBy(*part).agg(F.max_by(value, F.struct(*order)).alias("_last"))
+    before = ends.withColumn("_before", F.lag("_last").over(W.partitionBy(*keys).orderBy("_slice"))).drop("_last")
+    return (
+        sliced.withColumn(out, F.lag(value).over(inside))
+        .withColumn("_is_first", F.row_number().over(inside) == 1)
+        .join(before, part)
+        .withColumn(out, F.when(F.col("_is_first"), F.col("_before")).otherwise(F.col(out)))
+        .drop("_slice", "_before", "_is_first")
+    )
+
+
 def score_trends(scores: DataFrame) -> DataFrame:
     """Trend of every score against the entity's previous one; a run appends one row per entity."""
-    order = W.partitionBy("entity_id").orderBy("calculated_at", "score_id")
-    return scores.withColumn(
-        "trend_direction", trend(F.col("composite_risk_score"), F.lag("composite_risk_score").over(order))
+    month = F.date_trunc("month", F.col("calculated_at"))
+    lagged = sliced_lag(
+        scores, ["entity_id"], month, ["calculated_at", "score_id"], "composite_risk_score", "_previous"
     )
+    return lagged.withColumn("trend_direction", trend("composite_risk_score", "_previous")).drop("_previous")
