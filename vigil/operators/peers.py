@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from vigil.functions.scalars import clamp, first_of, hours_between, seconds_between
 from vigil.functions.stats import z_score
 from vigil.operators.absence import entity_counters, jewel_assets, unmatched_assets
+from vigil.operators.ranking import exact_percentiles, value_ranks
 from vigil.operators.temporal import key_array
 from vigil.schema import of_type
 from vigil.session import cut_lineage
@@ -150,17 +151,23 @@ def entity_metrics(
     )
 
 
-def cohort_distribution(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Sample mean, standard deviation (floor 1e-4) and linear percentiles per group."""
-    p = F.percentile(value, F.array(*[F.lit(x) for x in (0.25, 0.5, 0.75, 0.9)]))
+PERCENTILES = {"p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9}
+
+
+def cohort_distribution(df: DataFrame, keys: list[str], value: str, ranks: DataFrame | None = None) -> DataFrame:
+    """Sample mean, standard deviation (floor 1e-4) and linear percentiles per group.
+
+    `ranks` are the group's value ranks, where the caller has them already.
+    """
     stats = df.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), p.alias("p")
+        F.count("*").alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd")
     )
-    return stats.select(
+    points = exact_percentiles(value_ranks(df, keys, value) if ranks is None else ranks, keys, PERCENTILES)
+    return stats.join(points, keys).select(
         *keys, "n",
         F.round("mean", 4).alias("mean_val"),
         F.round(F.greatest(F.coalesce("sd", F.lit(0.0)), F.lit(1e-4)), 4).alias("std_dev"),
-        *[F.round(F.col("p")[i], 4).alias(name) for i, name in enumerate(("p25", "p50", "p75", "p90"))],
+        *[F.round(name, 4).alias(name) for name in PERCENTILES],
     )
 
 
@@ -207,23 +214,19 @@ def cohort_members(metrics: DataFrame) -> DataFrame:
     return long_metrics(metrics.withColumn("cohort", F.explode(cohorts)), ["entity_id", "cohort"])
 
 
-def percentile_ranks(values: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
+def percentile_ranks(
+    values: DataFrame, keys: list[str], value: str = "value", ranks: DataFrame | None = None
+) -> DataFrame:
     """Mid-rank percentile of each distinct value per group: (below + close / 2) / n * 100.
 
     Two values are close within 1e-5 relative or absolute.  Close values are found by an equi join on
     neighbouring buckets of a scale on which closeness has constant width, so the work is linear.
     """
     tolerance = 1e-5
-    counts = values.groupBy(*keys, F.col(value).alias("v")).agg(F.count("*").alias("c"))
-    ordered = W.partitionBy(*keys).orderBy("v")
-    everything = W.partitionBy(*keys)
     size = F.abs("v")
     scale = F.signum("v") * F.when(size <= 1.0, size).otherwise(1.0 + F.ln(size))
-    ranked = counts.select(
-        *keys, "v", "c",
-        F.coalesce(F.sum("c").over(ordered.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("below"),
-        F.sum("c").over(everything).alias("n"),
-        F.floor(scale / (2 * tolerance)).cast("bigint").alias("bucket"),
+    ranked = (value_ranks(values, keys, value) if ranks is None else ranks).withColumn(
+        "bucket", F.floor(scale / (2 * tolerance)).cast("bigint")
     )
     near = ranked.select(
         *keys, F.col("v").alias("x"), F.col("c").alias("xc"),
@@ -256,8 +259,10 @@ def benchmark_entities(
     """
     metrics = cut_lineage(metrics)
     members = cohort_members(metrics)
-    stats = cohort_distribution(members, ["cohort", "metric_name"], "value").drop("n")
-    ranks = percentile_ranks(members, ["cohort", "metric_name"])
+    keys = ["cohort", "metric_name"]
+    positions = value_ranks(members, keys, "value")
+    stats = cohort_distribution(members, keys, "value", positions).drop("n")
+    ranks = percentile_ranks(members, keys, ranks=positions)
     chosen = choose_cohorts(metrics, min_peers, dampening)
     rows = long_metrics(
         chosen,
