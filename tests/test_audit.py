@@ -71,3 +71,17 @@ def test_manifest_detects_every_change(spark, make_events):
     assert verify(events.where("raw_ref_id != 'C2'"))["B"].status == "VERIFIED"
     later = stored.withColumn("generated_at", F.expr("generated_at + INTERVAL 1 HOUR"))
     assert latest_manifests(stored.unionByName(later)).first().generated_at > NOW
+
+
+@pytest.mark.parametrize("tail", [8192, 4])
+def test_sorted_once_variant(spark, tail):
+    trees = {f"t{n}": digests(n, f"y{n}") for n in (1, 2, 3, 6, 9, 31)}
+    want = {}
+    for k, leaves in trees.items():
+        level = [bytes.fromhex(x) for x in sorted(leaves)]
+        while len(level) > 1:
+            level = [hashlib.sha256(level[i] + level[min(i + 1, len(level) - 1)]).digest() for i in range(0, len(level), 2)]
+        want[k] = level[0].hex()
+    rows = [(k, d) for k, v in trees.items() for d in v]
+    got = merkle_roots(spark.createDataFrame(rows, "k string, digest string"), ["k"], tail=tail, mode="sorted_once").collect()
+    assert {r.k: r.root for r in got} == want

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vigil.catalog.families import EVENTS_PERIOD, alerts, cases, entities, table, tag, with_sql
@@ -16,6 +17,7 @@ from vigil.operators.merkle import composite_root, merkle_roots
 from vigil.operators.views import page
 from vigil.operators.validation import quarantine_summary, quarantined_rows, validate
 from vigil.plans.analyze import analyze, persist_run, run_counts
+from vigil.sources.readers import read_events
 from vigil.sources.sinks import append_events, append_quarantine, dump_quarantine, replace_by_entity, write_manifests
 
 # recursion over lists: each step sorts the digests and hashes neighbours
@@ -49,6 +51,19 @@ def document_roots_distributed(spark, sf):
     return merkle_roots(leaves, ["lang"], tail=64)
 
 
+@query(
+    "m7_merkle_sorted_once",
+    """WITH RECURSIVE leaf AS (SELECT source AS k, sha256(text) AS h FROM documents),
+tree AS (SELECT k, list_sort(list(h)) AS l FROM leaf GROUP BY k
+  UNION ALL SELECT k, list_transform(range(0, CAST(ceil(len(l) / 2.0) AS BIGINT)),
+    lambda i: sha256(unhex(l[2 * i + 1]) || unhex(coalesce(l[2 * i + 2], l[2 * i + 1])))) FROM tree WHERE len(l) > 1)
+SELECT k AS source, l[1] AS root FROM tree WHERE len(l) = 1""",
+)
+def document_roots_once(spark, sf):
+    leaves = table(spark, sf, "documents").select("source", F.sha2("text", 256).alias("digest"))
+    return merkle_roots(leaves, ["source"], tail=16, mode="sorted_once").select("source", "root")
+
+
 @query(
     "m3_composite_root",
     "SELECT page_id, sha256(array_to_string(list_sort([sha256(url), sha256(html), sha256(CAST(page_id AS VARCHAR)), sha256('')]), '')) AS root FROM pages",
@@ -270,6 +285,25 @@ def stored(spark, sf):
     return back.groupBy("entity_id", "dataset_type").agg(F.count("*").alias("rows"), F.count_distinct("event_id").alias("events"))
 
 
+@query(
+    "s14_entity_events",
+    with_sql("alerts", body="SELECT event_id, row_number() OVER (ORDER BY ts, n, event_id) AS position FROM alerts WHERE entity_id = '7'"),
+)
+def entity_scan(spark, sf):
+    """Stored events of one entity in time order."""
+    path = staging(spark, "scan")
+    append_events(alerts(spark, sf), path)
+    scan = read_events(spark, path, "7", ("alert_metadata",), ordered=True)
+    order = W.partitionBy(F.to_date("event_timestamp")).orderBy("event_timestamp", "raw_row_index", "event_id")
+    days = scan.groupBy(F.to_date("event_timestamp").alias("day")).agg(F.count("*").alias("n"))
+    before = days.withColumn(
+        "before", F.coalesce(F.sum("n").over(W.orderBy("day").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    )  # one row per day
+    return scan.select("event_id", F.to_date("event_timestamp").alias("day"), F.row_number().over(order).alias("r")).join(
+        before, "day"
+    ).select("event_id", (F.col("before") + F.col("r")).alias("position"))
+
+
 @query(
     "s18_replaced_findings",
     with_sql("cases", body="""SELECT entity_id, count(*) FILTER (WHERE status = 'CLOSED') AS closed_findings, count(*) FILTER (WHERE status <> 'CLOSED') AS other_findings

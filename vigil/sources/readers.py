@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vigil.functions.scalars import c
+from vigil.schema import EVENT_COLUMNS, of_type
 from vigil.sources.formats import DELIMITERS, detect_delimiter, detect_format
 
 PARSED_COLUMNS = ("file", "row_index", "data", "is_corrupted", "corruption_reason", "raw_text")
@@ -268,6 +269,20 @@ def read_submissions(
     return out.select(*PARSED_COLUMNS)
 
 
+def read_events(
+    spark: SparkSession, path: str, entity_id: str | None = None, dataset_types: tuple[str, ...] = (), ordered: bool = False
+) -> DataFrame:
+    """Stored canonical events; entity and dataset types prune partitions. Ordering by time is optional,
+    because no operator needs it."""
+    schema = ", ".join(f"{n} {t}" for n, t in {**EVENT_COLUMNS, "created_at": "timestamp"}.items())
+    events = spark.read.schema(schema).parquet(path)
+    if entity_id is not None:
+        events = events.where(F.col("entity_id") == entity_id)
+    if dataset_types:
+        events = of_type(events, *dataset_types)
+    return events.orderBy("event_timestamp", "raw_row_index", "event_id") if ordered else events
+
+
 def file_digests(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """sha256 and size of each file's bytes."""
     return spark.read.format("binaryFile").load(path).select(
