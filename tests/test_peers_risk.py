@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from vigil.functions.scalars import risk_tier, trend
 from vigil.operators import peers as pr
-from vigil.operators.risk import composite, risk_scores
+from vigil.operators.risk import composite
 from vigil.plans.analyze import analyze, persist_run
 
 SNAPSHOT = "entity_id string, sector string, size_tier string, mtti_minutes double, escalation_rate double, stale_case_ratio double, coverage_gap_ratio double, execution_gap_rate double"

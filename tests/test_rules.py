@@ -1,7 +1,6 @@
 from datetime import datetime, timedelta
 
-from conftest import NOW, PERIOD, at
-from pyspark.sql import functions as F
+from conftest import PERIOD, at
 
 from vigil.operators import execution_gaps as eg
 from vigil.operators.conditions import where
