@@ -6,6 +6,7 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+# every key here can be set on a running session
 RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
     # payload merges follow "the later source wins"
@@ -15,8 +16,13 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # reruns replace only the partitions they produce
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
-    # recording a call site per column expression dominates the building of long expressions
+}
+
+BUILD_CONF = {
+    # static: recording a call site per column expression dominates the building of long expressions
     "spark.python.sql.dataFrameDebugging.enabled": "false",
+    # checkpoint files go when the frames they belong to are gone
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -33,7 +39,7 @@ def get_spark(app_name: str = "vigil", master: str | None = None, **conf: str) -
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    for key, value in {**RUNTIME_CONF, **conf}.items():
+    for key, value in {**BUILD_CONF, **RUNTIME_CONF, **conf}.items():
         builder = builder.config(key, value)
     return configure(builder.getOrCreate())
 
