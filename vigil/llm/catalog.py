@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigil.llm import sql
+from vigil.llm.line_dedup import drop_shared_lines
 from vigil.llm.quality_rules import QualityRules, judged
 from vigil.llm.shared import ship_package, table
 
@@ -20,6 +21,11 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = drop_shared_lines(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return rows.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     """The query, with this package's source at hand on every worker."""
 
@@ -33,9 +39,11 @@ def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkS
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     q.__name__: shipped(q) for q in (
         op1_quality_rules,
+        op9_line_dedup,
     )
 }
 
 ORACLES: dict[str, str] = {
     "op1_quality_rules": sql.op1(QualityRules()),
+    "op9_line_dedup": sql.OP9,
 }
