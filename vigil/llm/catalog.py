@@ -8,10 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigil.llm import sql
+from vigil.llm.bpe import encode, frequent_words, ship_lexicon, token_digests
+from vigil.llm.language_id import fit, fold, identify
 from vigil.llm.line_dedup import drop_shared_lines
+from vigil.llm.packing import pack
 from vigil.llm.quality_rules import QualityRules, judged
 from vigil.llm.shared import ship_package, table
 
+LEXICON_WORDS = 32_768
 DOCUMENT = ("doc_id", "text", "lang", "source")
 
 
@@ -21,6 +25,31 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    rows = identify(docs.select("doc_id", "text"), fit(docs))
+    return rows.select("doc_id", F.coalesce(fold() == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "accepted")
+
+
+def tokenizer_path() -> str:
+    """The vocabulary file, which every machine of the cluster has at the same place."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    path = tokenizer_path()
+    lexicon = ship_lexicon(spark, frequent_words(docs, path, LEXICON_WORDS), path)
+    return token_digests(encode(docs, path, lexicon).select("doc_id", "ids"), path)
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = pack(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path())
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = drop_shared_lines(table(spark, sf_dir, "documents", "doc_id", "text"))
     return rows.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
@@ -39,6 +68,9 @@ def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkS
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     q.__name__: shipped(q) for q in (
         op1_quality_rules,
+        op3_language_id,
+        op5_bpe,
+        op7_packing,
         op9_line_dedup,
     )
 }

@@ -46,12 +46,12 @@ class Training:
     size: int = 16
     shortest: int = 1
     longest: int = 4
-    epochs: int = 12
+    epochs: int = 10
     batch: int = 16
-    rate: float = 1.0
-    embedding_rate: float = 30.0
+    rate: float = 2.0
+    embedding_rate: float = 60.0
     seed: int = 3
-    target_error: float = 0.01
+    target_error: float = 0.02
 
 
 @dataclass

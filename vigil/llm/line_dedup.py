@@ -24,7 +24,7 @@ from vigil.llm.shared import checked_broadcast, stored, text_slices
 ADDED = ("n_lines", "n_dropped")
 SEED = 9
 #: (document, key) pairs up to which the drops are broadcast instead of shuffling the texts.
-BROADCAST_PAIRS = 300_000
+BROADCAST_PAIRS = 200_000
 
 
 def keys_of(text: str) -> list[bytes]:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from vigil.session import ensure_checkpoint_dir
 
 #: Rows up to which a side of a join may be broadcast after it has been counted.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 200_000
 
 
 _SHIPPED: set[str] = set()
