@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from vigil.llm import sql
 from vigil.llm.bpe import encode, frequent_words, ship_lexicon, token_digests
+from vigil.llm.jaccard_join import near_groups
 from vigil.llm.language_id import fit, fold, identify
 from vigil.llm.line_dedup import drop_shared_lines
 from vigil.llm.packing import pack
@@ -50,6 +51,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(table(spark, sf_dir, "documents", "doc_id", "text")).drop("digest")
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = drop_shared_lines(table(spark, sf_dir, "documents", "doc_id", "text"))
     return rows.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
@@ -71,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_language_id,
         op5_bpe,
         op7_packing,
+        op8_jaccard_join,
         op9_line_dedup,
     )
 }
