@@ -4,18 +4,31 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigil.llm import sql
 from vigil.llm.bpe import encode, frequent_words, ship_lexicon, token_digests
+from vigil.llm.chat_format import preferences
 from vigil.llm.jaccard_join import near_groups
 from vigil.llm.language_id import fit, fold, identify
 from vigil.llm.line_dedup import drop_shared_lines
+from vigil.llm.neighbours import nearest
 from vigil.llm.packing import pack
 from vigil.llm.quality_rules import QualityRules, judged
+from vigil.llm.sharding import shards, text_size
 from vigil.llm.shared import ship_package, table
-
+from vigil.llm.url_filters import judged as judged_urls
+from vigil.llm.url_filters import page_links
+
+SHARDS = 40
+URL_RULES = [
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+]
 LEXICON_WORDS = 32_768
 DOCUMENT = ("doc_id", "text", "lang", "source")
 
@@ -26,12 +39,28 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = shards(table(spark, sf_dir, "documents"), SHARDS)
+    return rows.select(
+        "doc_id", text_size().alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
+        F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
     rows = identify(docs.select("doc_id", "text"), fit(docs))
     return rows.select("doc_id", F.coalesce(fold() == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "accepted")
 
 
+def url_rules(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(URL_RULES, "rule_host string, rule_path string, decision string")
+
+
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages", "page_id", "url", "html")
+    return judged_urls(pages.select("page_id", "url"), url_rules(spark), page_links(pages)).drop("url")
+
+
 def tokenizer_path() -> str:
     """The vocabulary file, which every machine of the cluster has at the same place."""
     import public_tokenizers
@@ -46,6 +75,23 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(encode(docs, path, lexicon).select("doc_id", "ids"), path)
 
 
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations 2k (chosen) and 2k + 1 (rejected) are a pair."""
+    turns = table(spark, sf_dir, "conversations")
+    ids = turns.where("conv_id is not null").select(F.floor(F.col("conv_id") / 2).alias("pair_id")).distinct()
+    pairs = ids.select("pair_id", (2 * F.col("pair_id")).alias("chosen_id"), (2 * F.col("pair_id") + 1).alias("rejected_id"))
+    rows = preferences(turns, pairs)
+
+    def ranges(column: str) -> Column:
+        return F.array_join(F.transform(column, lambda s: F.concat_ws("-", s["start"], s["end"])), " ")
+
+    return rows.select(
+        "pair_id", "chosen_id", "rejected_id", F.col("n_common").cast("long").alias("n_common"),
+        F.sha2("prompt", 256).alias("prompt_sha256"), F.sha2("chosen_text", 256).alias("chosen_sha256"),
+        F.sha2("rejected_text", 256).alias("rejected_sha256"), ranges("chosen_mask").alias("chosen_mask"),
+        ranges("rejected_mask").alias("rejected_mask"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path())
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -60,6 +106,10 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), F.col("vec_id") % 50 == 0, 5)
+
+
 def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     """The query, with this package's source at hand on every worker."""
 
@@ -73,15 +123,21 @@ def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkS
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     q.__name__: shipped(q) for q in (
         op1_quality_rules,
+        op2_sharding,
         op3_language_id,
+        op4_url_filters,
         op5_bpe,
+        op6_chat_format,
         op7_packing,
         op8_jaccard_join,
         op9_line_dedup,
+        op10_neighbours,
     )
 }
 
 ORACLES: dict[str, str] = {
     "op1_quality_rules": sql.op1(QualityRules()),
+    "op4_url_filters": sql.op4(URL_RULES),
+    "op6_chat_format": sql.OP6,
     "op9_line_dedup": sql.OP9,
 }

@@ -68,3 +68,63 @@ SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (droppe
   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT dropped), '')) AS kept_sha256
 FROM m GROUP BY rid
 """
+
+
+def op4(rules: list[tuple[str, str, str]]) -> str:
+    from vigil.llm.url_filters import CANONICAL_HREF, CANONICAL_TAG, REFRESH_TAG, REFRESH_URL
+
+    listed = ", ".join(f"('{h}', '{p}', '{d}')" for h, p, d in rules)
+    lower = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    url = r"'^(?s)(.*?)://([^/?#]*)([^?#]*)(\?[^#]*)?'"
+
+    def node(column: str) -> str:
+        part = lambda g: f"coalesce(regexp_extract({column}, {url}, {g}), '')"
+        return f"nullif({lower.format(part(2))} || {part(3)} || {part(4)}, '')"
+
+    q = lambda pattern: "'" + pattern.replace(r"\"", '"').replace("'", "''") + "'"
+    target = lambda tag, inner: f"regexp_extract(regexp_extract(html, {q(tag)}, 0), {q(inner)}, 1)"
+    return rf"""
+WITH RECURSIVE rules(h, p, d) AS (VALUES {listed}),
+raw AS (SELECT url, unnest([{target(CANONICAL_TAG, CANONICAL_HREF)}, {target(REFRESH_TAG, REFRESH_URL)}]) AS t FROM pages),
+full_links AS (SELECT url, CASE WHEN t LIKE '//%' THEN regexp_extract(url, {url}, 1) || ':' || t
+    WHEN t LIKE '/%' THEN regexp_extract(url, {url}, 1) || '://' || {lower.format(f"regexp_extract(url, {url}, 2)")} || t
+    ELSE t END AS t FROM raw WHERE t <> ''),
+links AS (SELECT DISTINCT a, b FROM (SELECT {node("url")} AS a, {node("t")} AS b FROM full_links) WHERE a <> b),
+sym AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach(a, b) AS (SELECT a, b FROM sym UNION SELECT reach.a, sym.b FROM reach JOIN sym ON reach.b = sym.a),
+placed AS (SELECT page_id, {lower.format(f"coalesce(regexp_extract(url, {url}, 2), '')")} AS host,
+    coalesce(regexp_extract(url, {url}, 3), '') AS path, {node("url")} AS node FROM pages),
+places AS (SELECT host, path FROM placed UNION
+    SELECT regexp_extract(a, '^[^/?]*', 0), regexp_extract(a, '^[^/?]*([^?]*)', 1) FROM sym),
+best AS (SELECT host, path, max_by(h || p, length(h || p)) AS rule, max_by(d, length(h || p)) AS d
+  FROM places JOIN rules ON (host = h OR host LIKE '%.' || h) AND starts_with(path, p) GROUP BY host, path),
+bad AS (SELECT DISTINCT reach.a AS node FROM reach JOIN best ON best.host = regexp_extract(reach.b, '^[^/?]*', 0)
+    AND best.path = regexp_extract(reach.b, '^[^/?]*([^?]*)', 1) WHERE best.d = 'block')
+SELECT page_id, placed.host, placed.path, best.rule,
+  coalesce(best.d, CASE WHEN bad.node IS NOT NULL THEN 'block' END, 'allow') AS verdict
+FROM placed LEFT JOIN best USING (host, path) LEFT JOIN bad USING (node)
+"""
+
+
+OP6 = r"""
+WITH t AS (SELECT conv_id // 2 AS pair_id, conv_id % 2 = 0 AS chosen, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    '<|' || coalesce(role, '') || '|>' || chr(10) AS head, coalesce(text, '') || '<|end|>' || chr(10) AS body,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS i
+  FROM conversations WHERE conv_id IS NOT NULL),
+same AS (SELECT a.pair_id, a.i, a.role = b.role AND a.text = b.text AS eq
+  FROM (SELECT * FROM t WHERE chosen) a JOIN (SELECT * FROM t WHERE NOT chosen) b ON a.pair_id = b.pair_id AND a.i = b.i),
+runs AS (SELECT pair_id, i, min(eq::int) OVER (PARTITION BY pair_id ORDER BY i) AS eq FROM same),
+common AS (SELECT pair_id, sum(eq) AS k FROM runs GROUP BY pair_id),
+rest AS (SELECT t.*, coalesce(k, 0) AS k, sum(CASE WHEN i > coalesce(k, 0) THEN length(head) + length(body) ELSE 0 END)
+    OVER (PARTITION BY t.pair_id, chosen ORDER BY i) AS stop
+  FROM t LEFT JOIN common ON t.pair_id = common.pair_id),
+marked AS (SELECT *, CASE WHEN i > k AND role = 'assistant'
+    THEN (stop - length(body))::bigint::varchar || '-' || stop::bigint::varchar END AS span FROM rest)
+SELECT pair_id, 2 * pair_id AS chosen_id, 2 * pair_id + 1 AS rejected_id, max(k)::bigint AS n_common,
+  sha256(coalesce(string_agg(head || body, '' ORDER BY i) FILTER (chosen AND i <= k), '')) AS prompt_sha256,
+  sha256(coalesce(string_agg(head || body, '' ORDER BY i) FILTER (chosen AND i > k), '')) AS chosen_sha256,
+  sha256(coalesce(string_agg(head || body, '' ORDER BY i) FILTER (NOT chosen AND i > k), '')) AS rejected_sha256,
+  coalesce(string_agg(span, ' ' ORDER BY i) FILTER (chosen), '') AS chosen_mask,
+  coalesce(string_agg(span, ' ' ORDER BY i) FILTER (NOT chosen), '') AS rejected_mask
+FROM marked GROUP BY pair_id
+"""
