@@ -5,7 +5,7 @@ buckets); one linear layer and a softmax give the languages.  Training takes a b
 the driver (`docs_per_language`, texts of at most `max_chars`); a part of the sample is held back to calibrate
 the softmax temperature and the score below which a prediction is rejected.  Since everything before the softmax
 is linear, the trained layers fold into one table of language scores a bucket, which goes to the workers (its
-size is buckets x languages).  Whole texts are scored, and each distinct word of a worker is hashed only once.
+size is buckets x languages).  Whole texts are scored, and a worker hashes each distinct run of letters once.
 
 Edge cases: a text that is null or has no letter gets language `und`, score 0 and is rejected; without any labelled
 row the model knows no language and answers `und` for all; rows with a null language are never learned from;
@@ -16,7 +16,6 @@ added here must not exist before (ValueError).
 from __future__ import annotations
 
 import re
-import zlib
 from dataclasses import dataclass, field
 from itertools import chain
 
@@ -27,12 +26,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vigil.llm.shared import text_slices
+from vigil.llm.words import PLACE, mix
 
 UNKNOWN = "und"
 ADDED = ("lang_pred", "score", "accepted")
 LETTERS = re.compile(r"[^\W\d_]+")
-#: Words that a worker remembers before it forgets all of them.
-REMEMBERED = 400_000
+#: Runs of letters that a worker remembers before it forgets all of them.
+REMEMBERED = 500_000
 
 
 @dataclass(frozen=True)
@@ -69,18 +69,13 @@ class LanguageModel:
     def __getstate__(self):
         return {**self.__dict__, "known": {}, "vectors": None}
 
-    def remember(self, words: set[str]) -> None:
-        """Sum the language scores of the subwords of new words; the last column is the number of subwords."""
-        new = list(words - self.known.keys())
+    def remember(self, runs: set[str]) -> None:
+        """Sum the language scores of the subwords of new runs of letters; the last column is the number of subwords."""
+        new = list(runs - self.known.keys())
         if len(self.known) + len(new) > REMEMBERED:
-            self.known, self.vectors, new = {}, None, list(words)
-        ids: list[int] = []
-        ends = []
-        for word in new:
-            for run in LETTERS.findall(word.lower()):
-                ids += subwords(run, self.options)
-            ends.append(len(ids))
-        ends = np.array([0, *ends])
+            self.known, self.vectors, new = {}, None, list(runs)
+        ids, row = subwords(new, self.options)
+        ends = np.searchsorted(row, np.arange(len(new) + 1))
         sums = np.concatenate((np.zeros((1, len(self.languages))), np.cumsum(self.scores[ids], 0, dtype=float)))
         rows = np.column_stack((sums[ends[1:]] - sums[ends[:-1]], np.diff(ends)))
         self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
@@ -90,19 +85,16 @@ class LanguageModel:
         """Calibrated probabilities of the languages; a row of zeros if a text has no letter."""
         width = len(self.languages)
         out = np.zeros((len(texts), width))
-        words = [(text or "").split() for text in texts]
-        flat = list(chain.from_iterable(words))
+        runs = [LETTERS.findall((text or "").lower()) for text in texts]
+        flat = list(chain.from_iterable(runs))
         if not flat or not width:
             return out
         self.remember(set(flat))
         at = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
-        full = np.array([len(w) for w in words])
+        full = np.array([len(w) for w in runs])
         some = np.flatnonzero(full)
-        starts = (np.cumsum(full) - full)[some]
-        total = np.add.reduceat(self.vectors[at], starts)
-        lettered = total[:, -1] > 0
-        total = total[lettered]
-        out[some[lettered]] = softmax((total[:, :-1] / total[:, -1:] + self.bias) / self.temperature)
+        total = np.add.reduceat(self.vectors[at], (np.cumsum(full) - full)[some])
+        out[some] = softmax((total[:, :-1] / total[:, -1:] + self.bias) / self.temperature)
         return out
 
 
@@ -111,12 +103,23 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def subwords(run: str, options: Training) -> list[int]:
-    """Buckets of the letter n-grams of one run of letters with its borders."""
-    marked = f"<{run}>"
-    return [
-        zlib.crc32(marked[i : i + n].encode()) % options.buckets
-        for n in range(options.shortest, options.longest + 1) for i in range(len(marked) - n + 1)]
+def subwords(runs: list[str], options: Training) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the letter n-grams of runs of letters with their borders, and the run of each, in order."""
+    codes = np.frombuffer("".join([f"<{run}>" for run in runs]).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    length = np.array([len(run) + 2 for run in runs], np.int64)
+    row = np.repeat(np.arange(len(runs)), length)
+    left = np.repeat(np.cumsum(length), length) - np.arange(len(codes))  # characters up to the end of the run
+    found, rows = [], []
+    total = np.zeros(len(codes), np.uint64)
+    for n in range(1, options.longest + 1):
+        total[: len(codes) - n + 1] += codes[n - 1 :] * PLACE[n]
+        if n >= options.shortest:
+            inside = left >= n
+            found.append((mix(total[inside] + np.uint64(n)) % np.uint64(options.buckets)).astype(np.int64))
+            rows.append(row[inside])
+    ids, rows = np.concatenate(found), np.concatenate(rows)
+    order = np.argsort(rows, kind="stable")
+    return ids[order], rows[order]
 
 
 def fold(doc_id: str = "doc_id") -> Column:
@@ -145,15 +148,10 @@ def training_rows(docs: DataFrame, allowed: Column, options: Training) -> list[t
 
 def bags(texts: list[str], options: Training) -> list[tuple[np.ndarray, np.ndarray]]:
     """Distinct buckets of each text with their shares."""
-    memory: dict[str, list[int]] = {}
     out = []
     for text in texts:
-        ids: list[int] = []
-        for run in LETTERS.findall(text.lower()):
-            if run not in memory:
-                memory[run] = subwords(run, options)
-            ids += memory[run]
-        at, n = np.unique(np.array(ids, np.int64), return_counts=True)
+        ids, _ = subwords(LETTERS.findall(text.lower()), options)
+        at, n = np.unique(ids, return_counts=True)
         out.append((at, n / max(1, n.sum())))
     return out
 
