@@ -103,7 +103,7 @@ def by_cell(numbers: np.ndarray) -> Iterator[tuple[int, slice]]:
 
 def frequent_shingles(docs: DataFrame, cells: Cells, options: Join) -> DataFrame:
     """(number, n) of counted shingles in more than `often` documents; stored."""
-    limit = np.uint64(int(options.counted * 2**64))
+    limit = np.uint64(min(int(options.counted * 2**64), 2**64 - 1))
 
     def emit(held: list[np.ndarray]) -> pa.RecordBatch:
         numbers, n = np.unique(np.concatenate(held), return_counts=True)

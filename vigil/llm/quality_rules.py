@@ -41,10 +41,10 @@ class Measure:
 
 
 MEASURES = (
-    Measure("word_length", "100 * word_chars div n_words", 150, low=True),
-    Measure("symbol_share", "10000 * n_symbols div word_chars", 500),
-    Measure("dup_line_share", "10000 * n_dup_lines div n_lines", 6000),
-    Measure("repeat_share", "10000 * n_repeat_words div n_words", 5000),
+    Measure("word_length", "100 * word_chars div nullif(n_words, 0)", 150, low=True),
+    Measure("symbol_share", "10000 * n_symbols div nullif(word_chars, 0)", 500),
+    Measure("dup_line_share", "10000 * n_dup_lines div nullif(n_lines, 0)", 6000),
+    Measure("repeat_share", "10000 * n_repeat_words div nullif(n_words, 0)", 5000),
 )
 
 
