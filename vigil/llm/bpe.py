@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from vigil.llm.shared import stored, text_slices
+from vigil.llm.shared import most_frequent, stored, text_slices
 
 #: Chunks whose ids a worker remembers before it forgets all of them.
 REMEMBERED = 300_000
@@ -352,7 +352,7 @@ class Encoder:
 
 
 def frequent_words(docs: DataFrame, path: str, size: int) -> list[bytes]:
-    """The pieces of all texts that occur at least n times, for the least n that leaves at most `size` of them."""
+    """The most frequent pieces of all texts, at most `size`, in byte order."""
 
     def count(batches):
         words = vocabulary(path)
@@ -373,17 +373,7 @@ def frequent_words(docs: DataFrame, path: str, size: int) -> list[bytes]:
 
     totals = stored(
         docs.select("text").mapInArrow(count, "piece binary, n long").groupBy("piece").agg(F.sum("n").alias("n")), "pieces")
-    # how many pieces there are of each count; counts from `size` on are few enough to need no distinction
-    steps = totals.groupBy(F.least("n", F.lit(size)).alias("n")).count().orderBy(F.desc("n"))
-    least, total = None, 0
-    for step in steps.toLocalIterator():
-        total += step["count"]
-        if total > size:
-            break
-        least = step["n"]
-    if least is None:
-        return []
-    return sorted(bytes(r.piece) for r in totals.where(F.col("n") >= least).select("piece").collect() if r.piece)
+    return sorted(bytes(r.piece) for r in most_frequent(totals, size).select("piece").collect() if r.piece)
 
 
 def ship_lexicon(spark: SparkSession, words: list[bytes], path: str) -> str:

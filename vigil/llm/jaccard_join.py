@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vigil.llm.components import components
-from vigil.llm.shared import checked_broadcast, stored, text_slices
+from vigil.llm.shared import checked_broadcast, most_frequent, stored, text_slices
 from vigil.llm.words import shingle_sets
 
 
@@ -143,15 +143,8 @@ def frequent_shingles(docs: DataFrame, cells: Cells, options: Join) -> DataFrame
 
 
 def bounded_frequent(frequent: DataFrame, options: Join) -> tuple[np.ndarray, np.ndarray]:
-    """The numbers and counts of the most frequent shingles, as many whole counts as fit the bound."""
-    steps = frequent.groupBy(F.least("n", F.lit(1000)).alias("n")).count().orderBy(F.desc("n")).collect()
-    total, least = 0, 1 << 62
-    for step in steps:
-        total += step["count"]
-        if total > options.frequent:
-            break
-        least = step["n"]
-    rows = frequent.where(F.col("n") >= least).toPandas() if steps else pd.DataFrame({"number": [], "n": []})
+    """Numbers and counts of the most frequent shingles, within the bound."""
+    rows = most_frequent(frequent, options.frequent).toPandas()
     rows = rows.sort_values("number")
     return rows["number"].to_numpy(np.uint64), rows["n"].to_numpy(np.int64)
 

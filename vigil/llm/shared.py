@@ -71,3 +71,16 @@ def text_slices(batch: pa.RecordBatch, column: str, size: int = 2 << 20) -> Iter
         total += n
     if start < len(lengths):
         yield batch.slice(start)
+
+
+def most_frequent(counts: DataFrame, size: int) -> DataFrame:
+    """The rows of largest count `n` (at least 1): all from the least of 32 steps an octave that leaves at most `size`."""
+    step = F.floor(F.log2("n") * 32)
+    steps = counts.groupBy(step.alias("step")).agg(F.count("*").alias("rows")).orderBy(F.desc("step")).collect()
+    least, total = None, 0
+    for row in steps:
+        total += row["rows"]
+        if total > size:
+            break
+        least = row["step"]
+    return counts.where(step >= least) if least is not None else counts.limit(0)
