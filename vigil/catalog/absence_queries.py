@@ -180,7 +180,7 @@ seen AS (SELECT DISTINCT entity_id, asset_id AS k FROM coverage),
 silent AS (SELECT * FROM jewels j WHERE NOT EXISTS (SELECT 1 FROM seen s WHERE s.entity_id = j.entity_id AND s.k IN (j.asset_id, j.hostname))),
 counts AS (SELECT entity_id, count(*) AS total, (SELECT count(*) FROM silent s WHERE s.entity_id = j.entity_id) AS silent FROM jewels j GROUP BY 1),
 refs AS (SELECT entity_id, string_agg(event_id, ',' ORDER BY r) AS evidence, string_agg(asset_id, ', ' ORDER BY r) FILTER (WHERE r <= 5) AS top5
-  FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY n) AS r FROM silent) WHERE r <= 20 GROUP BY 1)"""
+  FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY n) AS r FROM silent) GROUP BY 1)"""
 
 
 @query(

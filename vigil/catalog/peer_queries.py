@@ -132,13 +132,13 @@ def corpus(spark, sf):
 
 @query(
     "x10_tokens",
-    with_sql("notes", extra=NOTE_TOKENS, body="SELECT event_id, array_to_string(list_slice(tokens, -40, -1), ' ') AS last_tokens, CAST(len(tokens) AS BIGINT) AS n FROM tokened"),
+    with_sql("notes", extra=NOTE_TOKENS, body="SELECT event_id, sha256(array_to_string(tokens, ' ')) AS tokens_sha256, CAST(len(tokens) AS BIGINT) AS n FROM tokened"),
 )
 def note_tokens(spark, sf):
     t = notes(spark, sf).select("event_id", tokens("investigation_notes").alias("t"))
-    size = F.size("t")
-    tail = F.slice("t", F.greatest(size - 39, F.lit(1)), F.lit(40))
-    return t.select("event_id", F.array_join(tail, " ").alias("last_tokens"), size.cast("bigint").alias("n"))
+    return t.select(
+        "event_id", F.sha2(F.array_join("t", " "), 256).alias("tokens_sha256"), F.size("t").cast("bigint").alias("n")
+    )
 
 
 @query(

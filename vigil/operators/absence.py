@@ -350,11 +350,10 @@ def uncovered_jewels(events: DataFrame, check: Check, period: Period) -> DataFra
     totals = jewel_assets(events).groupBy("entity_id").agg(F.count("*").alias("total"))
     silent = silent_jewels(events)
     counts = silent.groupBy("entity_id").agg(F.count("*").alias("silent"))
+    # an entity's inventory of critical assets bounds its list
     first = (
-        silent.withColumn("rank", F.row_number().over(W.partitionBy("entity_id").orderBy(event_order())))
-        .where(F.col("rank") <= EVIDENCE_LIMIT)
-        .groupBy("entity_id")
-        .agg(F.array_sort(F.collect_list(F.struct("rank", "event_id", "asset_ref"))).alias("f"))
+        silent.groupBy("entity_id")
+        .agg(F.array_sort(F.collect_list(F.struct(event_order().alias("o"), "event_id", "asset_ref"))).alias("f"))
         .select(
             "entity_id",
             F.array_compact(F.transform("f", lambda x: x["event_id"])).alias("evidence"),

@@ -73,10 +73,10 @@ def with_lineage(cards: DataFrame, events: DataFrame) -> DataFrame:
     """Fill missing raw row indices of gap cards from their inline evidence events."""
     missing = cards.where((F.col("engine_name") == "EXECUTION_GAP") & (F.size("raw_row_indices") == 0))
     traced = (
-        missing.select("card_id", F.explode("evidence_record_ids").alias("event_id"))
-        .join(events.select("event_id", "raw_row_index"), "event_id")
+        missing.select("card_id", "entity_id", F.explode("evidence_record_ids").alias("event_id"))
+        .join(events.select("entity_id", "event_id", "raw_row_index"), ["entity_id", "event_id"])
         .where(F.col("raw_row_index").isNotNull())
-        .groupBy("card_id")  # evidence inlined on a card is bounded
+        .groupBy("card_id")
         .agg(F.array_sort(F.collect_set("raw_row_index")).alias("traced"))
     )
     return cards.join(traced, "card_id", "left").withColumn(

@@ -37,8 +37,6 @@ SENIOR_TARGETS = ("TIER_3", "TIER-3", "MANAGEMENT", "MANAGER", "CISO", "CERT", "
 GENERIC_NOTES = ("closed", "done", "fp", "resolved", "n/a", "na", "false positive", "ok", "fine", "none")
 NO_NOTES = "[NO NOTES RECORDED]"
 
-INLINE_EVIDENCE = 20  # evidence ids shown on a finding; complete evidence is the long-form table
-
 
 @dataclass(frozen=True)
 class Period:
@@ -120,25 +118,26 @@ def uninvestigated_alerts(events: DataFrame, rule: Rule, period: Period, sla_sec
     _, end = period.columns()
     open_alerts = without_match(alerts, ids).select(
         "*",
-        F.coalesce(F.greatest(F.lit(2.0), hours_between(end, "event_timestamp")), F.lit(2.0)).alias("delay"),
+        F.greatest(F.lit(sla_seconds / 3600), hours_between(end, "event_timestamp")).alias("delay"),
         first_of("alert_name", "action", F.lit("Security Alert")).alias("label"),
     )
     # least() before the cast: a decades-long delay must not overflow
-    score = F.least(F.lit(100.0), 70 + 5 * F.floor("delay").cast("double")).cast("int")
+    score = F.least(F.lit(100.0), rule.severity_base + 5 * F.floor("delay").cast("double")).cast("int")
+    sla = f"{sla_seconds / 3600:g}"
     return finding(
         open_alerts, rule, period,
         subject=_event_ref(F.col("ref")),
         score=score,
         description=F.format_string(
-            "Critical or High severity alert %s (%s) uninvestigated after 2-hour SLA.", "ref", "label"
+            f"Critical or High severity alert %s (%s) uninvestigated after {sla}-hour SLA.", "ref", "label"
         ),
         rationale=F.format_string(
-            "Alert %s (%s) on asset %s with severity %s received no investigation within the 2-hour SLA window.",
+            f"Alert %s (%s) on asset %s with severity %s received no investigation within the {sla}-hour SLA window.",
             F.col("ref"), F.col("label"), text_of("asset_id", "Unknown Asset"), F.upper("severity"),
         ),
         evidence=F.array(_event_ref(F.col("ref"))),
         refs=F.array("ref"),
-        metrics={"delay_hours": F.round("delay", 1), "sla_threshold_hours": F.lit(2)},
+        metrics={"delay_hours": F.round("delay", 1), "sla_threshold_hours": F.lit(sla)},
     )
 
 
@@ -214,12 +213,12 @@ def escalation_breaches(events: DataFrame, rule: Rule, period: Period, sla_hours
         severity="CRITICAL",
         description=F.when(
             F.col("is_late"),
-            F.format_string("P1 Critical Case %s escalation was delayed (%sh) beyond 4-hour SLA.", F.col("case_key"), hours),
-        ).otherwise(F.format_string("P1 Critical Case %s remained unescalated beyond 4-hour SLA.", "case_key")),
+            F.format_string(f"P1 Critical Case %s escalation was delayed (%sh) beyond {sla_hours:g}-hour SLA.", F.col("case_key"), hours),
+        ).otherwise(F.format_string(f"P1 Critical Case %s remained unescalated beyond {sla_hours:g}-hour SLA.", "case_key")),
         rationale=F.when(
             F.col("is_late"),
             F.format_string(
-                "P1 Critical Case %s had a delayed escalation exceeding the 4-hour SLA "
+                f"P1 Critical Case %s had a delayed escalation exceeding the {sla_hours:g}-hour SLA "
                 "(escalation delay: %s hours, status: %s).",
                 F.col("case_key"), hours, F.col("esc_state"),
             ),
@@ -232,7 +231,7 @@ def escalation_breaches(events: DataFrame, rule: Rule, period: Period, sla_hours
         refs=F.array("case_key"),
         metrics={
             "duration_open_hours": F.round("hours", 1),
-            "sla_threshold_hours": F.lit(4),
+            "sla_threshold_hours": F.lit(f"{sla_hours:g}"),
             "escalation_status": F.when(F.col("is_late"), F.col("esc_state")),
         },
     )
@@ -261,14 +260,16 @@ def stale_cases(events: DataFrame, rule: Rule, period: Period, idle_limit_hours:
             F.col("resolution_time_hours"),
         ),
     ).where(F.col("idle") > idle_limit_hours)
-    score = F.least(F.lit(100.0), 50 + 5 * F.floor((F.col("idle") - 72) / 24).cast("double")).cast("int")
+    score = F.least(
+        F.lit(100.0), rule.severity_base + 5 * F.floor((F.col("idle") - idle_limit_hours) / 24).cast("double")
+    ).cast("int")
     days = F.round(F.col("idle") / 24.0, 1)
     return finding(
         idle, rule, period,
         subject=_event_ref(F.col("case_key")),
         score=score,
         description=F.format_string(
-            "Case %s has been dormant/unassigned for over 72 hours without analyst activity.", "case_key"
+            f"Case %s has been dormant/unassigned for over {idle_limit_hours:g} hours without analyst activity.", "case_key"
         ),
         rationale=F.format_string(
             "Case %s has been dormant/unassigned for %s days without any analyst audit trail or notes.",
@@ -276,7 +277,7 @@ def stale_cases(events: DataFrame, rule: Rule, period: Period, idle_limit_hours:
         ),
         evidence=F.array(_event_ref(F.col("case_key"))),
         refs=F.array("case_key"),
-        metrics={"idle_hours": F.round("idle", 1), "idle_days": days, "threshold_hours": F.lit(72)},
+        metrics={"idle_hours": F.round("idle", 1), "idle_days": days, "threshold_hours": F.lit(f"{idle_limit_hours:g}")},
     )
 
 
@@ -316,16 +317,16 @@ def closed_without_notes(events: DataFrame, rule: Rule, period: Period, min_leng
         .withColumn("n_parts", n_parts)
         .where(~F.coalesce("has_long_note", F.lit(False)) & (F.col("n_parts") <= min_length))
     )
-    # a candidate has at most 20 notes, so its list is bounded
+    # a candidate has at most 20 notes, none of which has 20 characters besides blanks
     short_notes = (
         investigations.where(F.col("note").isNotNull())
         .join(candidates.where(F.col("n_notes") > 0).select(*keys), keys, "left_semi")
         .groupBy(*keys)
-        .agg(F.array_sort(F.collect_list(F.struct("o", F.substring("note", 1, 60).alias("note")))).alias("notes"))
+        .agg(F.array_sort(F.collect_list(F.struct("o", "note"))).alias("notes"))
     )
     parts = F.concat(
         F.coalesce(F.transform("notes", lambda n: n["note"]), F.array().cast("array<string>")),
-        F.array_compact(F.array(F.substring("own_note", 1, 60))),
+        F.array_compact(F.array("own_note")),
     )
     poor = (
         candidates.join(short_notes, keys, "left")
@@ -333,14 +334,13 @@ def closed_without_notes(events: DataFrame, rule: Rule, period: Period, min_leng
         .withColumn("sample", F.when(F.col("n_parts") == 0, F.lit(NO_NOTES)).otherwise(F.col("text")))
         .where((F.col("n_parts") == 0) | (F.length("text") < min_length) | F.lower("text").isin(*GENERIC_NOTES))
     )
-    # a case may have any number of investigations without notes: ranks are cut before the shuffle
-    leading_ids = (
-        investigations.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy("o")))
-        .where(F.col("rank") < INLINE_EVIDENCE)
+    # the finding names every investigation of its case, as its sealed leaf does
+    inv_ids = (
+        investigations.join(poor.select(*keys), keys, "left_semi")
         .groupBy(*keys)
-        .agg(F.array_sort(F.collect_list(F.struct("rank", "event_id"))).alias("inv_ids"))
+        .agg(F.array_sort(F.collect_list(F.struct("o", "event_id"))).alias("inv_ids"))
     )
-    poor = poor.join(leading_ids, keys, "left")
+    poor = poor.join(inv_ids, keys, "left")
     return finding(
         poor, rule, period,
         subject=_event_ref(F.col("case_key")),
@@ -357,7 +357,7 @@ def closed_without_notes(events: DataFrame, rule: Rule, period: Period, min_leng
         ),
         evidence_count=1 + F.coalesce("n_investigations", F.lit(0)),
         refs=F.array("case_key"),
-        metrics={"notes_length": F.length("sample"), "min_required_length": F.lit(20)},
+        metrics={"notes_length": F.length("sample"), "min_required_length": F.lit(min_length)},
     )
 
 

@@ -224,9 +224,9 @@ def search_findings(unified: DataFrame, needle: str) -> DataFrame:
 
 
 def evidence_events(findings: DataFrame, events: DataFrame) -> DataFrame:
-    """Events attached to findings: explode the ids, equi join."""
-    ids = findings.select("finding_id", F.explode("evidence_record_ids").alias("event_id")).distinct()
-    return ids.join(events, "event_id")
+    """Events attached to findings: explode the ids, equi join within the entity."""
+    ids = findings.select("finding_id", "entity_id", F.explode("evidence_record_ids").alias("event_id")).distinct()
+    return ids.join(events, ["entity_id", "event_id"])
 
 
 def raw_diff(findings: DataFrame, quarantined: DataFrame, newest: int = 10) -> DataFrame:

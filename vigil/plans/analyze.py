@@ -32,6 +32,7 @@ class Run:
     peers: DataFrame
     scores: DataFrame
     cards: DataFrame
+    entities: DataFrame
 
 
 def analyze(
@@ -66,6 +67,7 @@ def analyze(
     return Run(
         gaps, absences, edges, clusters, members, metrics,
         cohort_benchmarks(benchmarks, *period.columns()), peers, scores, rationale_cards(gaps, absences),
+        entities.select("entity_id"),
     )
 
 
@@ -83,11 +85,11 @@ def run_counts(run: Run) -> DataFrame:
 
 
 def persist_run(run: Run, path: str) -> None:
-    """Replace findings and correlations of the entities in the run; append scores."""
-    replace_by_entity(run.gaps, f"{path}/execution_gaps")
-    replace_by_entity(run.absences, f"{path}/absences")
-    replace_by_entity(run.edges, f"{path}/correlations")
-    replace_by_entity(run.cards, f"{path}/cards")
+    """Replace findings, correlations and cards of all entities of the run, also of those without any; append scores."""
+    replace_by_entity(run.gaps, f"{path}/execution_gaps", run.entities)
+    replace_by_entity(run.absences, f"{path}/absences", run.entities)
+    replace_by_entity(run.edges, f"{path}/correlations", run.entities)
+    replace_by_entity(run.cards, f"{path}/cards", run.entities)
     run.benchmarks.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
         "sector", "size_tier"
     ).parquet(f"{path}/benchmarks")

@@ -1,7 +1,13 @@
-"""Writers of the stored tables. Reruns with the same inputs replace the same partitions."""
+"""Writers of the stored tables.
+
+`replace_by_entity`, `dump_quarantine` and `write_manifests` replace the partitions of a rerun; the `append_` writers
+add rows each time they are called, so a rerun has to write to a new place or drop the former rows first.
+"""
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,8 +26,14 @@ def append_quarantine(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").partitionBy("entity_id").parquet(path)
 
 
-def replace_by_entity(df: DataFrame, path: str) -> None:
-    """Replace the stored rows of the entities in `df` and no others."""
+def replace_by_entity(df: DataFrame, path: str, entities: DataFrame | None = None) -> None:
+    """Replace the stored rows of the entities of the run, and of no others.
+
+    `entities` (entity_id) are those that the run has looked at: the stored rows of an entity without any row in
+    `df` go as well.  Without it, only the entities in `df` are replaced.
+    """
+    if entities is not None:
+        _drop_partitions(df, path, entities)
     (
         _balanced(df, "entity_id")
         .write.mode("overwrite")
@@ -31,6 +43,28 @@ def replace_by_entity(df: DataFrame, path: str) -> None:
     )
 
 
+def _drop_partitions(df: DataFrame, path: str, entities: DataFrame) -> None:
+    """Remove the stored partitions of entities of the run that have no rows in `df`."""
+    spark = df.sparkSession
+    files = spark._jvm.org.apache.hadoop.fs
+    root = files.Path(path)
+    system = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(root):
+        return
+    stored = {
+        unquote(status.getPath().getName().split("=", 1)[1]): status.getPath()
+        for status in system.listStatus(root) if status.getPath().getName().startswith("entity_id=")
+    }
+    if not stored:
+        return
+    # the partitions of a table are listed by its writer in any case: one short row for each
+    names = spark.createDataFrame([(name,) for name in stored], "entity_id string")
+    looked_at = entities.select(F.col("entity_id").cast("string").alias("entity_id"))
+    written = df.select(F.col("entity_id").cast("string").alias("entity_id"))
+    for row in names.join(looked_at, "entity_id", "left_semi").join(written, "entity_id", "left_anti").collect():
+        system.delete(stored[row.entity_id], True)
+
+
 def append_scores(scores: DataFrame, path: str) -> None:
     scores.write.mode("append").parquet(path)
 
