@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from vigil.llm.bpe import encoder, vocabulary
-from vigil.llm.shared import checked_broadcast, stored, text_slices
+from vigil.llm.shared import stored, text_slices
 
 
 @dataclass(frozen=True)
@@ -163,6 +163,7 @@ def pack(docs: DataFrame, path: str, options: Packing = Packing(), lexicon: str
     schema = T.StructType([docs.schema["doc_id"], *T._parse_datatype_string(PIECE).fields])
     arrow = list(to_arrow_schema(schema))
     places = stored(stream_places(rows, options), "places")
-    joined = rows.select("doc_id", "ids", "place").join(
-        checked_broadcast(places), F.col("place") == F.col("at_place")).select("doc_id", "ids", "at")
+    # both sides grow with the corpus: a shuffle join at any size
+    joined = rows.select("doc_id", "ids", "place").hint("merge").join(
+        places, F.col("place") == F.col("at_place")).select("doc_id", "ids", "at")
     return joined.mapInArrow(cut, schema)
