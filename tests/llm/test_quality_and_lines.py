@@ -83,11 +83,3 @@ def test_lines_equal_brute_force(edge_docs, no_docs):
     assert any(n for _, _, n, _ in got)
     assert {r.doc_id for r in done.where("text is null").collect()} == {None, 1}
     assert drop_shared_lines(no_docs).count() == 0
-
-
-def test_lines_by_shuffle_join(edge_docs, monkeypatch):
-    monkeypatch.setattr("vigil.llm.line_dedup.BROADCAST_PAIRS", 0)
-    monkeypatch.setattr("vigil.llm.shared.BROADCAST_ROWS", 0)
-    rows = [(r.doc_id, r.text) for r in edge_docs.collect()]
-    got = [(r.doc_id, r.n_lines, r.n_dropped, hashlib.sha256((r.text or "").encode()).hexdigest()) for r in drop_shared_lines(edge_docs).collect()]
-    assert sorted(got, key=repr) == cleaned(rows)

@@ -19,12 +19,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vigil.llm.shared import checked_broadcast, stored, text_slices
+from vigil.llm.shared import stored, text_slices
 
 ADDED = ("n_lines", "n_dropped")
 SEED = 9
-#: (document, key) pairs up to which the drops are broadcast instead of shuffling the texts.
-BROADCAST_PAIRS = 200_000
 
 
 def keys_of(text: str) -> list[bytes]:
@@ -65,7 +63,7 @@ def shared_lines(docs: DataFrame, min_docs: int = 5, min_chars: int = 40) -> Dat
     common = stored(
         pairs.groupBy("key").agg(F.count_distinct("doc_id").alias("n"), F.max("doc_id").alias("last"))
         .where(F.col("n") >= min_docs).select("key", "last"), "common-lines")
-    lost = pairs.join(checked_broadcast(common), "key").where(F.col("doc_id") != F.col("last"))
+    lost = pairs.join(common, "key").where(F.col("doc_id") != F.col("last"))
     return stored(
         lost.groupBy(F.col("doc_id").alias("drop_doc")).agg(F.collect_set("key").alias("drop_keys")), "dropped-lines")
 
@@ -75,7 +73,6 @@ def drop_shared_lines(docs: DataFrame, min_docs: int = 5, min_chars: int = 40) -
     if clash := {c.lower() for c in docs.columns} & {*ADDED, "drop_doc", "drop_keys"}:
         raise ValueError(f"the input has columns of these names already: {sorted(clash)}")
     drops = shared_lines(docs, min_docs, min_chars)
-    pairs = drops.agg(F.sum(F.size("drop_keys")).alias("n")).first().n or 0
     names = docs.columns
     schema = T.StructType([*docs.schema.fields, *(T.StructField(c, T.LongType()) for c in ADDED)])
 
@@ -104,7 +101,6 @@ def drop_shared_lines(docs: DataFrame, min_docs: int = 5, min_chars: int = 40) -
                     [*(new.get(c, part.column(c)) for c in names), pa.array(counts, pa.int64()), pa.array(dropped, pa.int64())],
                     [*names, *ADDED])
 
-    joined = docs.join(
-        checked_broadcast(drops, rows=pairs, bound=BROADCAST_PAIRS), F.col("doc_id").cast("long") == F.col("drop_doc"), "left",
-    ).drop("drop_doc")
+    # both sides grow with the corpus: a shuffle join at any size, whose hot ids adaptive execution splits
+    joined = docs.hint("merge").join(drops, F.col("doc_id").cast("long") == F.col("drop_doc"), "left").drop("drop_doc")
     return joined.mapInArrow(assemble, schema)
