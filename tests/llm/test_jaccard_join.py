@@ -63,9 +63,9 @@ def test_large_regions_in_chunks(spark):
         doc += 1
     rng.shuffle(rows)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).cache()
-    check(docs, Join(leaf=16, often=3, pivots=3))
-    check(docs, Join(leaf=64, often=1000, counted=1.0))
-    check(docs, Join(often=1, frequent=50, flush=500))
+    check(docs, Join(leaf=16, crowd=3, pivots=3))
+    check(docs, Join(leaf=64, small=10, part=0.3))
+    check(docs, Join(small=30, flush=500, crowd=2))
 
 
 @pytest.mark.parametrize("seed", range(4))

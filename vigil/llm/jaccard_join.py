@@ -4,10 +4,10 @@ Jaccard distance is a metric, so that pivots and the triangle inequality can div
 nearly every other document, a document would lie on the border of all regions of a plain Voronoi diagram; therefore
 the top regions take what is known of distances without computing them:
 
-1. Documents with equal shingle sets are one class.  Shingles are counted over the corpus; the frequent ones come
-   last in the common order of shingles.  Two linked sets share a shingle of their first quarters in that order, so
-   that documents without a common one are known to be far from each other.
-2. Among the documents of each such shingle (and of sizes that can link), the least digest is the pivot.  A region is
+1. Documents with equal shingle sets are one class.  Every class counts which of its shingles other classes have; one
+   that has too few of them can't be linked.  Of the others, two linked sets share a shingle of their first quarters,
+   in an order of shingles from the rarest on, so that documents without a common one are known to be far apart.
+2. Among the documents of each such shingle, the least digest is the pivot.  A region is
    a pivot with all documents near it in this sense; documents near several pivots are replicated to each, and
    every link lies within a region.
 3. Regions are joined exactly: pivots within the region make Voronoi cells, a cell gets the documents within its
@@ -16,7 +16,10 @@ the top regions take what is known of distances without computing them:
 4. A region that is too large for a task is dealt in chunks, each with all pivots of the region.  What these do not
    connect to the region's largest component is joined with all other chunks, block by block.
 
-Nothing is capped: counts only order the shingles, and only the order of work depends on sizes.
+Shingles are looked at in tiers, to move fewer of them.  The wide tier has all sets of more than `small` shingles, and of
+their shingles those of hash below `part` of the range: if a set of n shingles has u of them there, all but n - 75 % of n
+of the u must be in a linked set.  The small tier has whole sets of up to 4/3 of `small`; the odd tier has the whole sets
+of those few large ones whose u is too small to tell.  Two linked sets meet in one of the tiers.  Nothing is capped.
 
 Edge cases: null or empty texts have no shingles, n_shingles 0, and are alone; with 1 to k - 1 words, the whole
 sequence is one shingle; a row without a doc_id has component null and links nothing; rows that repeat a doc_id with
@@ -25,40 +28,47 @@ another text are other documents; an empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vigil.llm.components import components
-from vigil.llm.shared import checked_broadcast, most_frequent, stored, text_slices
+from vigil.llm.shared import BROADCAST_IDS, checked_broadcast, stored, text_slices
 from vigil.llm.words import shingle_sets
 
 
 @dataclass(frozen=True)
 class Join:
-    """Shingle length and similarity in percent; then sizes of work.
+    """Shingle length and similarity in percent; tiers; then sizes of work.
 
-    Shingles of hash below `counted` of the range are counted, and up to `frequent` of those in more than `often`
-    documents are put last.  A task joins about `leaf` documents or `leaf_shingles` shingles.
+    A shingle in more than `crowd` sets of one flush of `flush` shingles is dealt out by documents, not by shingles.
+    A task joins about `leaf` documents or `leaf_shingles` shingles.
     """
 
     k: int = 5
     percent: int = 75
-    counted: float = 0.45
-    often: int = 10
-    frequent: int = 1 << 20
+    part: float = 0.45
+    small: int = 64
+    crowd: int = 64
     flush: int = 2_000_000
     leaf: int = 256
     leaf_shingles: int = 1_500_000
     pivots: int = 6
 
+    @property
+    def limit(self) -> np.uint64:
+        return np.uint64(min(int(self.part * 2**64), 2**64 - 1))
+
+
+WIDE, SMALL, ODD = 0, 1, 2
+CROWDED = 1 << 30
+
 
 def least_overlap(n: np.ndarray | int, percent: int):
     return (percent * n + 99) // 100
@@ -68,8 +78,13 @@ def digest(shingles: np.ndarray) -> str:
     return xxhash.xxh3_128_hexdigest(shingles.tobytes()) if len(shingles) else ""
 
 
+def short_name(whole: str) -> int:
+    """The first 64 bits of a digest, signed."""
+    return int.from_bytes(bytes.fromhex(whole[:16]), "big", signed=True)
+
+
 def shingled(docs: DataFrame, options: Join) -> DataFrame:
-    """(doc_id, n, digest) of every row; the digest of an empty set is null."""
+    """(doc_id, n, wide, digest) of every row: shingles, those of the wide tier; the digest of an empty set is null."""
 
     def run(batches):
         for batch in batches:
@@ -77,180 +92,148 @@ def shingled(docs: DataFrame, options: Join) -> DataFrame:
                 own = list(shingle_sets(part.column("text"), options.k))
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array([len(x) for x in own], pa.int64()),
-                     pa.array([digest(x) or None for x in own], pa.string())], ["doc_id", "n", "digest"])
+                     pa.array([int(np.searchsorted(x, options.limit)) for x in own], pa.int64()),
+                     pa.array([digest(x) or None for x in own], pa.string())], ["doc_id", "n", "wide", "digest"])
 
-    schema = T.StructType([docs.schema["doc_id"]]).add("n", "long").add("digest", "string")
+    schema = T.StructType([docs.schema["doc_id"]]).add("n", "long").add("wide", "long").add("digest", "string")
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-class Cells:
-    """Shingles as numbers of `bits` + 32 bits: a cell of the hash range and a place in it."""
+def tiers(n: int, wide: int, options: Join) -> list[int]:
+    """The tiers of a set: any two sets that can link have one in common in which they must meet."""
+    found = []
+    if n > options.small:
+        found.append(WIDE)
+        if wide <= n - least_overlap(n, options.percent):
+            found.append(ODD)
+    if n * options.percent <= options.small * 100:
+        found.append(SMALL)
+    return found
 
-    def __init__(self, total: int):
-        self.bits = max(4, int(total // 2_000_000).bit_length())
 
-    def number(self, hashes: np.ndarray) -> np.ndarray:
-        return hashes >> np.uint64(32 - self.bits)
+def by_cell(cells: np.ndarray):
+    """The values of sorted cells, with their ranges."""
+    starts = np.flatnonzero(np.concatenate(([True], cells[1:] != cells[:-1]))) if len(cells) else np.zeros(0, int)
+    for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(cells)]):
+        yield int(cells[a]), slice(a, b)
 
 
-def by_cell(numbers: np.ndarray) -> Iterator[tuple[int, slice]]:
-    """The cells of sorted numbers, with their ranges."""
-    cell = (numbers >> np.uint64(32)).astype(np.int64)
-    starts = np.flatnonzero(np.concatenate(([True], np.diff(cell) > 0))) if len(cell) else np.zeros(0, int)
-    for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(cell)]):
-        yield int(cell[a]), slice(a, b)
+ENTRY = np.dtype([("number", "<u8"), ("name", "<i8")])
+PACKED = np.dtype([("low", "<u4"), ("name", "<i8")])
 
 
-def frequent_shingles(docs: DataFrame, cells: Cells, options: Join) -> DataFrame:
-    """(number, n) of counted shingles in more than `often` documents; stored."""
-    limit = np.uint64(min(int(options.counted * 2**64), 2**64 - 1))
+def shared_shingles(docs: DataFrame, total: int, options: Join) -> DataFrame:
+    """(name, tier, number, sets): every shingle of a tier that at least two sets of it have; stored.
 
-    def emit(held: list[np.ndarray]) -> pa.RecordBatch:
-        numbers, n = np.unique(np.concatenate(held), return_counts=True)
-        rows = []
-        for cell, part in by_cell(numbers):
-            low, times = numbers[part].astype(np.uint32), n[part]
-            once = times == 1
-            rows.append((cell, low[once].tobytes(), low[~once].tobytes(), times[~once].astype(np.uint32).tobytes()))
-        columns = list(zip(*rows))
+    A shingle's number is its hash shortened to a cell of the hash range and 32 bits, and the tier; two shingles of
+    one number count as one, which can only bring more documents together.  Cells grow in number with the corpus.
+    """
+    bits = max(4, int(total // 1_000_000).bit_length())
+
+    def emit(held: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
+        size = [len(x) for _, _, x in held]
+        hashes = np.concatenate([x for _, _, x in held])
+        rows = np.zeros(len(hashes), ENTRY)
+        tier = np.repeat(np.array([t for _, t, _ in held], np.uint64), size)
+        rows["number"] = (hashes >> np.uint64(32 - bits)) | (tier << np.uint64(62))
+        rows["name"] = np.repeat(np.array([n for n, _, _ in held], np.int64), size)
+        rows = rows[np.argsort(rows["number"], kind="stable")]
+        number = rows["number"]
+        starts = np.flatnonzero(np.concatenate(([True], number[1:] != number[:-1])))
+        times = np.diff(np.append(starts, len(rows)))
+        crowded = np.repeat(times > options.crowd, times)
+        out = []
+        if crowded.any():  # out of the cells, by document; a mark in the cell tells the others
+            loose = rows[crowded]
+            loose = loose[np.argsort(loose["name"], kind="stable")]
+            for cell, part in by_cell(-1 - (loose["name"] & ((1 << bits) - 1)).astype(np.int64)):
+                out.append((cell, loose[part].tobytes()))
+            marks = rows[starts[times > options.crowd]].copy()
+            rows = np.concatenate((rows[~crowded], marks))
+            mark = np.concatenate((np.zeros((~crowded).sum(), bool), np.ones(len(marks), bool)))
+        else:
+            mark = np.zeros(len(rows), bool)
+        cells = (rows["number"] >> np.uint64(32)).astype(np.int64)
+        cells = (cells & ((1 << 30) - 1)) << 3 | (cells >> 30) << 1 | mark
+        order = np.argsort(cells, kind="stable")
+        packed = np.zeros(len(rows), PACKED)
+        packed["low"], packed["name"] = rows["number"].astype(np.uint32), rows["name"]
+        packed = packed[order]
+        out += [(cell, packed[part].tobytes()) for cell, part in by_cell(cells[order])]
         return pa.RecordBatch.from_arrays(
-            [pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], ["cell", "once", "more", "times"])
+            [pa.array([c >> 1 if c >= 0 else c for c, _ in out], pa.int64()), pa.array([c >= 0 and bool(c & 1) for c, _ in out], pa.bool_()),
+             pa.array([r for _, r in out], pa.binary())], ["cell", "mark", "rows"])
 
-    def count(batches):
-        held, size = [], 0
+    def scatter(batches):
+        held, size, seen = [], 0, set()
         for batch in batches:
             for part in text_slices(batch, "text"):
                 for own in shingle_sets(part.column("text"), options.k):
-                    held.append(cells.number(own[: np.searchsorted(own, limit)]))
-                    size += len(held[-1])
+                    if not len(own) or (whole := digest(own)) in seen:
+                        continue
+                    seen.add(whole)
+                    wide = int(np.searchsorted(own, options.limit))
+                    for tier in tiers(len(own), wide, options):
+                        held.append((short_name(whole), tier, own[:wide] if tier == WIDE else own))
+                        size += len(held[-1][2])
                 if size > options.flush:
                     yield emit(held)
-                    held, size = [], 0
+                    held, size, seen = [], 0, set()
         if size:
             yield emit(held)
 
-    def add(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        once = np.frombuffer(b"".join(frame["once"]), np.uint32)
-        more = np.frombuffer(b"".join(frame["more"]), np.uint32)
-        times = np.frombuffer(b"".join(frame["times"]), np.uint32)
-        low, at = np.unique(np.concatenate((once, more)), return_inverse=True)
-        n = np.bincount(at, np.concatenate((np.ones(len(once)), times)), len(low)).astype(np.int64)
-        often = n > options.often
-        return pd.DataFrame({"number": (np.int64(key[0]) << 32) + low[often].astype(np.int64), "n": n[often]})
-
-    counted = docs.select("text").mapInArrow(count, "cell int, once binary, more binary, times binary")
-    return stored(counted.groupBy("cell").applyInPandas(add, "number long, n long"), "frequent")
-
-
-def bounded_frequent(frequent: DataFrame, options: Join) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers and counts of the most frequent shingles, within the bound."""
-    rows = most_frequent(frequent, options.frequent).toPandas()
-    rows = rows.sort_values("number")
-    return rows["number"].to_numpy(np.uint64), rows["n"].to_numpy(np.int64)
-
-
-def prefix(own: np.ndarray, cells: Cells, numbers: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first shingles of a set in the common order, enough to meet any linked set; and whether each is frequent."""
-    size = len(own) - least_overlap(len(own), percent) + 1
-    if not len(numbers):
-        return own[:size], np.zeros(size, bool)
-    number = cells.number(own)
-    at = np.minimum(np.searchsorted(numbers, number), len(numbers) - 1)
-    n = np.where(numbers[at] == number, counts[at], 0)
-    rare = own[n == 0][:size]
-    if len(rare) == size:
-        return rare, np.zeros(size, bool)
-    order = np.lexsort((own, n))[:size]
-    return own[order], n[order] > 0
-
-
-def regions(docs: DataFrame, cells: Cells, frequent: tuple[np.ndarray, np.ndarray], options: Join) -> DataFrame:
-    """(pivot, member) by the first 64 bits of digests: distinct, without a pivot's own row; stored."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
-    low_kind = np.dtype([("low", "<u4"), ("digest", "<u8"), ("n", "<u4")])
-
-    def sets(batches):
-        for batch in batches:
-            for part in text_slices(batch, "text"):
-                for own in shingle_sets(part.column("text"), options.k):
-                    if len(own):
-                        yield own
-
-    def emit(held: list) -> pa.RecordBatch:
-        numbers = np.concatenate([x[0] for x in held])
-        order = np.argsort(numbers, kind="stable")
-        rows = np.zeros(len(numbers), low_kind)
-        rows["low"] = numbers.astype(np.uint32)
-        rows["digest"] = np.repeat(np.array([x[1] for x in held], np.uint64), [len(x[0]) for x in held])
-        rows["n"] = np.repeat(np.array([x[2] for x in held], np.uint32), [len(x[0]) for x in held])
-        rows, numbers = rows[order], numbers[order]
-        found = [(cell, rows[part].tobytes()) for cell, part in by_cell(numbers)]
-        return pa.RecordBatch.from_arrays(
-            [pa.array([c for c, _ in found], pa.int32()), pa.array([r for _, r in found], pa.binary())], ["cell", "rows"])
-
-    def rare(batches):
-        numbers, counts = shared.value
-        held, size, seen = [], 0, set()
-        for own in sets(batches):
-            name = int(digest(own)[:16], 16)
-            if name in seen:  # a copy
-                continue
-            seen.add(name)
-            first, often = prefix(own, cells, numbers, counts, options.percent)
-            if not often.all():
-                held.append((cells.number(first[~often]), name, len(own)))
-                size += len(held[-1][0])
-            if size > options.flush:
-                yield emit(held)
-                held, size, seen = [], 0, set()
-        if held:
-            yield emit(held)
-
     def meet(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        rows = np.frombuffer(b"".join(frame["rows"]), low_kind)
-        low, count = np.unique(rows["low"], return_counts=True)
-        rows = rows[count[np.searchsorted(low, rows["low"])] > 1]
-        rows = rows[np.lexsort((rows["n"], rows["low"]))]
-        if not len(rows):
-            return pd.DataFrame({"pivot": [], "member": []}, dtype="int64")
-        # documents of one shingle part where the next larger set is too large for any before
-        new = np.concatenate(([True], (rows["low"][1:] != rows["low"][:-1]) | (
-            100 * rows["n"][:-1].astype(np.int64) < options.percent * rows["n"][1:].astype(np.int64))))
-        starts = np.flatnonzero(new)
-        least = np.minimum.reduceat(rows["digest"], starts)
-        pivot = np.repeat(least, np.diff(np.append(starts, len(rows))))
-        pairs = np.unique(np.column_stack((pivot, rows["digest"])), axis=0)
-        pairs = pairs[pairs[:, 0] != pairs[:, 1]]
-        return pd.DataFrame(pairs.view(np.int64), columns=["pivot", "member"])
-
-    def common(batches):
-        numbers, counts = shared.value
-        for batch in batches:
-            out: list[tuple[int, int, int]] = []
-            for own in sets([batch]):
-                first, often = prefix(own, cells, numbers, counts, options.percent)
-                if often.any():
-                    name = np.array([int(digest(own)[:16], 16)], np.uint64).view(np.int64)[0]
-                    # sets that can link are in the same band of sizes or in adjacent ones
-                    band = int(np.log(len(own)) / np.log(100.5 / options.percent))
-                    out += [(int(x), band + up, int(name)) for x in cells.number(first[often]).tolist() for up in (0, 1)]
-            columns = list(zip(*out)) or [[], [], []]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int64())],
-                ["number", "band", "member"])
-
-    texts = docs.select("text")
-    met = texts.mapInArrow(rare, "cell int, rows binary").groupBy("cell").applyInPandas(meet, "pivot long, member long")
-    hot = stored(texts.mapInArrow(common, "number long, band int, member long").distinct(), "common-shingles")
-    least = stored(hot.groupBy("number", "band").agg(F.min("member").alias("pivot")), "common-pivots")
-    hot = hot.join(checked_broadcast(least), ["number", "band"]).where("pivot != member").select("pivot", "member")
-    return stored(met.union(hot).distinct(), "regions")
+        cell = int(key[0])
+        if cell < 0:
+            rows = np.unique(np.frombuffer(b"".join(frame["rows"]), ENTRY))
+            number, name = rows["number"], rows["name"]
+            times = np.full(len(rows), CROWDED)
+        else:
+            rows = np.unique(np.frombuffer(b"".join(frame["rows"][~frame["mark"]]), PACKED))
+            marked = np.unique(np.frombuffer(b"".join(frame["rows"][frame["mark"]]), PACKED)["low"])
+            low, at, times = np.unique(rows["low"], return_inverse=True, return_counts=True)
+            times = np.where(np.isin(low, marked), CROWDED, times)[at]
+            rows, times = rows[times > 1], times[times > 1]
+            number = (np.uint64(cell >> 2) << np.uint64(32)) | (np.uint64(cell & 3) << np.uint64(62)) | rows["low"].astype(np.uint64)
+            name = rows["name"]
+        return pd.DataFrame({
+            "name": name, "tier": (number >> np.uint64(62)).astype(np.int32), "number": number.view(np.int64),
+            "sets": times.astype(np.int32)})
+
+    rows = docs.select("text").mapInArrow(scatter, "cell long, mark boolean, rows binary")
+    return stored(rows.groupBy("cell").applyInPandas(meet, "name long, tier int, number long, sets int"), "shared")
+
+
+def regions(shared: DataFrame, classes: DataFrame, options: Join) -> DataFrame:
+    """(pivot, member) by short names of digests: distinct, without a pivot's own row; stored."""
+    sized = classes.select(name_of("digest").alias("name"), "n", "wide")
+    # all but so many of a set's shingles are in a linked set, and so are all but so many of a tier's
+    spare = F.col("n") - F.floor((options.percent * F.col("n") + 99) / 100)
+    whole = F.when(F.col("tier") == WIDE, F.col("wide")).otherwise(F.col("n"))
+    counts = shared.groupBy("name", "tier").agg(F.count("*").alias("common")).join(sized, "name")
+    able = stored(
+        counts.where(F.col("common") >= F.greatest(F.lit(1), whole - spare))
+        .select("name", "tier", (spare + 1 - (whole - F.col("common"))).alias("left")).where("left > 0"), "able")
+    # a set's own shingles come first in the order; `left` of its common ones are still in its first quarter
+    rarest = Window.partitionBy("name", "tier").orderBy("sets", "number")
+    first = (
+        shared.join(able, ["name", "tier"]).withColumn("rank", F.row_number().over(rarest))
+        .where(F.col("rank") <= F.col("left")).select("name", "number"))
+    first = stored(first, "first-shingles")
+    pivots = first.groupBy("number").agg(F.min("name").alias("pivot"), F.count("*").alias("sets")).where("sets > 1").select("number", "pivot")
+    met = first.join(pivots, "number").where("pivot != name")
+    return stored(met.select("pivot", F.col("name").alias("member")).distinct(), "regions")
+
+
+def name_of(column: str):
+    return F.conv(F.substring(column, 1, 16), 16, -10).cast("long")
 
 
 def candidate_sets(docs: DataFrame, classes: DataFrame, members: DataFrame, options: Join) -> DataFrame:
     """(name, digest, n, shingles) of the classes of all members; stored."""
-    wanted = classes.withColumn("name", F.conv(F.substring("digest", 1, 16), 16, -10).cast("long")).join(members, "name", "left_semi")
+    wanted = classes.withColumn("name", name_of("digest")).join(members, "name", "left_semi")
     wanted = stored(wanted.select("name", "digest", "n", "least"), "candidates")
+    ids = stored(wanted.select(F.col("least").alias("doc_id")).distinct(), "candidate-ids")
 
     def run(batches):
         for batch in batches:
@@ -260,9 +243,9 @@ def candidate_sets(docs: DataFrame, classes: DataFrame, members: DataFrame, opti
                     [pa.array([digest(x) or None for x in own], pa.string()), pa.array([x.tobytes() for x in own], pa.binary())],
                     ["found", "shingles"])
 
-    rows = docs.select("doc_id", "text").join(checked_broadcast(wanted.select(F.col("least").alias("doc_id")).distinct()), "doc_id", "left_semi")
+    rows = docs.select("doc_id", "text").join(checked_broadcast(ids, bound=BROADCAST_IDS), "doc_id", "left_semi")
     found = rows.select("text").mapInArrow(run, "found string, shingles binary")
-    own = found.join(checked_broadcast(wanted), F.col("found") == F.col("digest"))
+    own = found.hint("merge").join(wanted, F.col("found") == F.col("digest"))
     return stored(own.select("name", "digest", "n", "shingles").dropDuplicates(["digest"]), "sets")
 
 
@@ -372,9 +355,7 @@ def joined(tasks: DataFrame, sets: DataFrame, options: Join) -> DataFrame:
 
 def links(docs: DataFrame, classes: DataFrame, total: int, options: Join) -> DataFrame:
     """(a, b): links between digests that connect what is connected; stored."""
-    cells = Cells(total)
-    frequent = bounded_frequent(frequent_shingles(docs, cells, options), options)
-    near = regions(docs, cells, frequent, options)
+    near = regions(shared_shingles(docs, total, options), classes, options)
     near = near.union(near.select("pivot", F.col("pivot").alias("member")).distinct())
     sets = candidate_sets(docs, classes, near.select(F.col("member").alias("name")).distinct(), options)
     sized = near.join(sets.select(F.col("name").alias("member"), "n"), "member")
@@ -423,7 +404,7 @@ def near_groups(docs: DataFrame, options: Join = Join()) -> DataFrame:
     rows = stored(shingled(docs, options), "shingled")
     classes = stored(
         rows.where("digest is not null and doc_id is not null").groupBy("digest")
-        .agg(F.min("doc_id").alias("least"), F.max("n").alias("n")), "classes")
+        .agg(F.min("doc_id").alias("least"), F.max("n").alias("n"), F.max("wide").alias("wide")), "classes")
     total = classes.agg(F.sum("n")).first()[0]
     if not total:
         return rows.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "digest")
@@ -435,7 +416,7 @@ def near_groups(docs: DataFrame, options: Join = Join()) -> DataFrame:
         classes.join(moved, F.col("digest") == F.col("moved"), "left")
         .select(F.col("digest").alias("class"), F.coalesce("component_id", "least").alias("component_id")), "class-components")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return rows.join(checked_broadcast(named), F.col("digest") == F.col("class"), "left").select(
+    return rows.hint("merge").join(named, F.col("digest") == F.col("class"), "left").select(
         "doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), "digest")
 
 
@@ -448,12 +429,12 @@ def keep_one(docs: DataFrame, options: Join = Join()) -> DataFrame:
     names = docs.columns
     groups = stored(near_groups(docs, options), "near-groups")
     gone = stored(groups.where("component_id != doc_id").select(F.col("doc_id").alias("other_id")).distinct(), "gone")
-    kept = docs.join(checked_broadcast(gone), F.col("doc_id") == F.col("other_id"), "left_anti")
+    kept = docs.join(checked_broadcast(gone, bound=BROADCAST_IDS), F.col("doc_id") == F.col("other_id"), "left_anti")
     twice = stored(
         groups.where("component_id = doc_id").groupBy(F.col("doc_id").alias("other_id")).count().where("count > 1")
         .select("other_id"), "repeated")
     if not twice.isEmpty():
-        twice = checked_broadcast(twice)
+        twice = checked_broadcast(twice, bound=BROADCAST_IDS)
         same = F.col("doc_id") == F.col("other_id")
         kept = kept.join(twice, same, "left_anti").union(
             kept.join(twice, same, "left_semi").dropDuplicates(["doc_id", "text"]))

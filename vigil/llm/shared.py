@@ -17,6 +17,8 @@ from vigil.session import ensure_checkpoint_dir
 
 #: Rows up to which a side of a join may be broadcast after it has been counted.
 BROADCAST_ROWS = 200_000
+#: The same for rows of one whole-number id, of which 4 million are 32 MB.
+BROADCAST_IDS = 4_000_000
 
 
 _SHIPPED: set[str] = set()
