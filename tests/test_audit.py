@@ -25,7 +25,7 @@ def digests(n, salt=""):
     return [hashlib.sha256(f"{salt}{i}".encode()).hexdigest() for i in range(n)]
 
 
-@pytest.mark.parametrize("tail", [8192, 4])
+@pytest.mark.parametrize("tail", [8192, 257, 256, 4])
 def test_roots_match_a_plain_tree(spark, tail):
     sizes = [1, 2, 3, 5, 7, 8, 16, 33, 100, 257]
     trees = {f"t{n}": digests(n, f"x{n}") for n in sizes}

@@ -25,7 +25,7 @@ def greedy(rows, width, n_min, h_min):
     return out
 
 
-@pytest.mark.parametrize("fold_limit", [20_000, 3])
+@pytest.mark.parametrize("fold_limit", [20_000, 10, 3, 0])
 def test_bursts_match_a_plain_loop(make_events, fold_limit):
     rng = random.Random(11)
     start, rows, want = datetime(2026, 1, 1, 7), [], {}

@@ -204,7 +204,7 @@ def silent_jewels(spark, sf):
 @query(
     "u4_telemetry_assets",
     with_sql("coverage", "asset_alerts", body="""SELECT DISTINCT entity_id, asset_id AS asset FROM (
-  SELECT entity_id, asset_id FROM coverage UNION ALL SELECT entity_id, asset_id FROM asset_alerts)"""),
+  SELECT entity_id, asset_id FROM coverage WHERE asset_id IS NOT NULL UNION ALL SELECT entity_id, asset_id FROM asset_alerts)"""),
 )
 def telemetry_assets(spark, sf):
     return ns.telemetry_assets(coverage(spark, sf).unionByName(asset_alerts(spark, sf)))

@@ -245,8 +245,9 @@ def asset_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Coverage reports: lines with the highest discount and tax, a sparse set over the parts."""
-    df = _asset_lines(spark, sf_dir).where((F.col("l_discount") >= 0.095) & (F.col("l_tax") >= 0.075))
+    """Coverage reports: every line, of which those with the highest discount and tax name their asset."""
+    named = (F.col("l_discount") >= 0.095) & (F.col("l_tax") >= 0.075)
+    df = _asset_lines(spark, sf_dir).withColumn("asset_id", F.when(named, F.col("asset_id")))
     return event_family(df.withColumn("uptime_pct", F.col("l_quantity") * 2.0), "coverage_reports")
 
 
@@ -308,7 +309,8 @@ SQL = {
   l_returnflag, l_quantity, l_discount, l_tax FROM lineitem)""",
     "asset_alerts": """asset_alerts AS (SELECT *, CASE WHEN l_quantity >= 40 THEN 'CRITICAL' WHEN l_quantity >= 25 THEN 'HIGH'
   WHEN l_quantity >= 10 THEN 'MEDIUM' ELSE 'LOW' END AS severity FROM asset_lines WHERE l_returnflag = 'R')""",
-    "coverage": """coverage AS (SELECT *, l_quantity * 2.0 AS uptime FROM asset_lines WHERE l_discount >= 0.095 AND l_tax >= 0.075)""",
+    "coverage": """coverage AS (SELECT * REPLACE (CASE WHEN l_discount >= 0.095 AND l_tax >= 0.075 THEN asset_id END AS asset_id),
+  l_quantity * 2.0 AS uptime FROM asset_lines)""",
     "notes": """notes AS (SELECT 'D' || doc_id AS event_id, source AS entity_id, 'D' || doc_id AS case_id, text FROM documents)""",
 }
 NEEDS = {

@@ -238,6 +238,15 @@ def _text_columns(spark, sf) -> DataFrame:
     )
 
 
+def write_lines(lines: DataFrame, first: str, path: str) -> None:
+    """Text files of lines (column value), a file for each task, each with the same first line."""
+    spark = lines.sparkSession
+    files = spark.sparkContext.defaultParallelism
+    dealt = lines.select("value", F.lit(1).alias("order"), (F.rand(1) * files).cast("int").alias("part"))
+    heads = spark.range(files).select(F.lit(first).alias("value"), F.lit(0).alias("order"), F.col("id").cast("int").alias("part"))
+    heads.union(dealt).repartitionById(files, "part").sortWithinPartitions("order").select("value").write.text(path)
+
+
 FILE_ROWS = """rows_ AS (SELECT 'A' || event_id AS alert_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS "timestamp",
   CASE WHEN value >= 15 THEN CAST(value AS VARCHAR) END AS severity, 'say "' || event_type || '", twice' AS note, 'H' || user_id AS asset_id, event_type FROM events)"""
 FILE_COLUMNS = ("alert_id", "timestamp", "severity", "note", "asset_id")
@@ -287,9 +296,7 @@ def mismatch(spark, sf):
     cells = F.when(F.col("event_type") == "view", F.concat_ws(",", "alert_id", "timestamp", "asset_id", F.lit("x"), F.lit("y"))).when(
         F.col("event_type") == "click", F.concat_ws(",", "alert_id", "timestamp")
     ).otherwise(F.concat_ws(",", "alert_id", "timestamp", "asset_id"))
-    rows = _text_columns(spark, sf)
-    header = spark.range(1).select(F.lit("alert_id,timestamp,asset_id").alias("value"))
-    header.unionByName(rows.select(cells.alias("value"))).coalesce(1).write.text(path)
+    write_lines(_text_columns(spark, sf).select(cells.alias("value")), "alert_id,timestamp,asset_id", path)
     df = read_submissions(spark, path, "csv")
     return df.select(
         F.col("data")["alert_id"].alias("alert_id"), "corruption_reason",
@@ -297,6 +304,31 @@ def mismatch(spark, sf):
     )
 
 
+@query(
+    "s1_cells_over_lines",
+    """SELECT 'D' || doc_id AS id, CASE WHEN lower(trim(text)) NOT IN ('', 'null', 'none', 'n/a', '\\n') THEN sha256(trim(text)) END AS text_sha256,
+  FALSE AS is_corrupted FROM documents""",
+)
+def multiline(spark, sf):
+    """Whole texts as quoted cells, with their line breaks."""
+    path = staging(spark, "multiline")
+    table(spark, sf, "documents").select(tag("D", "doc_id").alias("id"), "text").repartition(8).write.csv(
+        path, header=True, quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return read_submissions(spark, path, "csv").select(
+        F.col("data")["id"].alias("id"), F.sha2(F.col("data")["text"], 256).alias("text_sha256"), "is_corrupted")
+
+
+@query("s8_encodings", "SELECT 'C' || c_custkey AS id, 'é ' || c_name AS name, FALSE AS is_corrupted FROM customer")
+def encodings(spark, sf):
+    """Files in ISO-8859-1."""
+    path = staging(spark, "latin")
+    table(spark, sf, "customer").select(
+        tag("C", "c_custkey").alias("id"), F.concat(F.lit("é "), "c_name").alias("name")
+    ).write.csv(path, header=True, encoding="ISO-8859-1")
+    return read_submissions(spark, path, "csv").select(
+        F.col("data")["id"].alias("id"), F.col("data")["name"].alias("name"), "is_corrupted")
+
+
 @query("s7_json_lines", f"""WITH {FILE_ROWS} SELECT alert_id, "timestamp", severity, note, asset_id, FALSE AS is_corrupted, CAST(NULL AS VARCHAR) AS corruption_reason FROM rows_ WHERE event_type NOT IN ('view', 'click')
 UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, TRUE, 'NDJSON row is not a JSON object' FROM rows_ WHERE event_type = 'view'
 UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, TRUE, 'Invalid JSON line syntax' FROM rows_ WHERE event_type = 'click'""")
@@ -308,8 +340,7 @@ def json_lines(spark, sf):
         F.col("event_type") == "click", F.concat(good, F.lit(" trailing"))
     ).otherwise(good)
     # a first line that is an object, as in any file of records
-    first = spark.range(1).select(F.lit('{"alert_id":"first"}').alias("value"))
-    first.unionByName(rows.select(line.alias("value"))).coalesce(1).write.text(path)
+    write_lines(rows.select(line.alias("value")), '{"alert_id":"first"}', path)
     df = read_submissions(spark, path, "json").where(~F.coalesce(F.col("data")["alert_id"] == "first", F.lit(False)))
     return unpacked(df, "corruption_reason")
 

@@ -168,6 +168,11 @@ def similar_notes(spark, sf):
     )
 
 
+@query("c6_note_members", with_sql("notes", extra=NOTE_GROUPS, body="SELECT entity_id, bag, event_id, case_id AS case_key FROM corpus"))
+def note_members(spark, sf):
+    return nt.note_members(nt.note_corpus(notes(spark, sf))).select("entity_id", "bag", "event_id", "case_key")
+
+
 @query(
     "u5_note_clone_groups",
     with_sql("notes", extra=NOTE_GROUPS, body="SELECT entity_id, bag, size, size AS cases, size * (size - 1) // 2 AS pair_count FROM grouped WHERE size > 1"),

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from vigil.session import cut_lineage
 
 
+MATCH_ROUNDS = 8  # rounds of mutual first choices before the fold
+
+
 def _candidates(detections: DataFrame, truth: DataFrame) -> DataFrame:
     """(code, det, det_order, gt, preference): a shared evidence id, else an id named in the text."""
     refs = truth.select(
@@ -37,11 +40,14 @@ def match_findings(detections: DataFrame, truth: DataFrame) -> DataFrame:
     detections: code, finding_id, refs, text.  truth: code, truth_id, truth_order, evidence_ids.
     In every round a pair is settled when the anomaly is the finding's first remaining choice and the
     finding is the first remaining one for the anomaly; the settled rows leave.  Pairs exist only where
-    ids agree, so rounds shrink a relation the size of the planted truth.
+    ids agree, so rounds shrink a relation the size of the planted truth.  What MATCH_ROUNDS leave, chains of
+    findings that wait for each other, is settled by one ordered fold a rule code.
     """
     pairs = cut_lineage(_candidates(detections, truth))
     settled = []
-    while not pairs.isEmpty():
+    for _ in range(MATCH_ROUNDS):
+        if pairs.isEmpty():
+            break
         best = pairs.groupBy("code", "det").agg(F.min("preference").alias("preference"))
         first = pairs.groupBy("code", "gt").agg(F.min("det").alias("det"))
         done = cut_lineage(
@@ -53,14 +59,29 @@ def match_findings(detections: DataFrame, truth: DataFrame) -> DataFrame:
                 done.select("code", "gt"), ["code", "gt"], "left_anti"
             )
         )
-    if not settled:
-        return pairs.select("code", "det", "gt")
-    out = settled[0]
-    for part in settled[1:]:
+    out = _folded_matches(pairs)
+    for part in settled:
         out = out.unionByName(part)
     return out
 
 
+def _folded_matches(pairs: DataFrame) -> DataFrame:
+    """The same choice, finding by finding, over one array of the remaining pairs of each code."""
+    ordered = F.array_sort(F.collect_list(F.struct("det", "preference"))).alias("pairs")
+    empty = F.array().cast("array<struct<det:string,gt:string>>")
+
+    def step(taken, pair):
+        free = ~F.exists(taken, lambda t: (t["det"] == pair["det"]) | (t["gt"] == pair["preference"]["gt"]))
+        new = F.struct(pair["det"].cast("string").alias("det"), pair["preference"]["gt"].cast("string").alias("gt"))
+        return F.when(free, F.array_append(taken, new)).otherwise(taken)
+
+    return (
+        pairs.groupBy("code").agg(ordered)
+        .select("code", F.explode(F.aggregate("pairs", empty, step)).alias("m"))
+        .select("code", "m.det", "m.gt")
+    )
+
+
 def _share(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part / whole * 100.0).otherwise(F.lit(100.0))
 

@@ -140,6 +140,15 @@ def similar_groups(
     )
 
 
+def note_members(corpus: DataFrame) -> DataFrame:
+    """Long form of the groups: every note with its bag.
+
+    With the pairs of `similar_groups`, and each bag with itself, it gives all pairs of similar notes: those of
+    different cases, and those without a case.
+    """
+    return corpus.select("entity_id", "bag", "event_id", "case_key", "analyst", "asset")
+
+
 def _pairs(n: Column) -> Column:
     return n * (n - 1) / 2
 
@@ -219,7 +228,11 @@ def _edge(df: DataFrame, a: str, b: str, cosine, jaccard, shared, pairs) -> Data
 
 
 def note_edges(events: DataFrame, cosine: float = 0.85, jaccard: float = 0.80, min_tokens: int = 10) -> DataFrame:
-    """Correlation edges: representative to each copy of a different case, and group to group."""
+    """Correlation edges: representative to each copy of a different case, and group to group.
+
+    Copies of the representative's own case are no pair with it, but are with copies of other cases: `note_members`
+    holds them all.
+    """
     corpus = cut_lineage(note_corpus(events, min_tokens))  # splitting the texts is the costly part
     groups = note_groups(corpus)
     member = F.struct("event_id", "case_key", "analyst", "asset").alias("copy")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from vigil.functions.scalars import clean_key, clean_name, is_float_text, stable_id
 from vigil.functions.timestamps import parse_timestamp
+from vigil.session import cut_lineage
 
 # Per dataset type, groups of names of which one must hold a value; the first group is
 # the primary key.
@@ -181,13 +182,15 @@ def validate(rows: DataFrame, mapping: str | None = None) -> DataFrame:
     dataset_type; `mapping` names an optional map<string,string> column of a mapping profile.
 
     Of valid rows sharing a primary key in a submission, the one with the lowest row index stays.
-    Only keys that repeat take part in the join, so it stays small unless the data is mostly copies.
+    The checked rows are stored, so that each text is parsed once.  Only sound rows with a key are joined,
+    with the keys that repeat; all others go past the join.
     """
-    checked = with_row_error(rows, mapping).withColumn(
+    checked = cut_lineage(with_row_error(rows, mapping).withColumn(
         "pk", F.when(F.col("error").isNull(), primary_key(F.col(DATA), F.col("dataset_type")))
-    )
+    ))
+    keyed = F.coalesce(F.col("pk") != "", F.lit(False))
     repeated = (
-        checked.where(F.col("pk").isNotNull() & (F.col("pk") != ""))
+        checked.where(keyed)
         .groupBy("submission_id", "pk")
         .agg(F.min("row_index").alias("first_row"), F.count("*").alias("copies"))
         .where(F.col("copies") > 1)
@@ -201,12 +204,9 @@ def validate(rows: DataFrame, mapping: str | None = None) -> DataFrame:
             F.array(F.lit("primary_key")),
         ),
     )
-    return (
-        checked.join(repeated, ["submission_id", "pk"], "left")
-        .withColumn("error", F.coalesce("error", duplicate))
-        .drop("pk", "first_row")
-        .select(*rows.columns, "error")
-    )
+    joined = checked.where(keyed).join(repeated, ["submission_id", "pk"], "left").withColumn(
+        "error", F.coalesce("error", duplicate))
+    return joined.select(*rows.columns, "error").unionByName(checked.where(~keyed).select(*rows.columns, "error"))
 
 
 def valid_rows(validated: DataFrame) -> DataFrame:
