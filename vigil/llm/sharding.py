@@ -36,7 +36,7 @@ def shuffled(docs: DataFrame, seed: int = 17, bucket_bytes: int = 8 << 20) -> Da
     scattered = (
         docs.select(place.alias("place"), F.struct(*docs.columns).alias("record"))
         .withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), "place"), F.lit(buckets)))
-        .repartition(buckets, "bucket")
+        .repartitionById(buckets, F.col("bucket").cast("int"))  # a task for each bucket
     )
     # records arrive in any order, and are put in that of their places, so that the seed decides
     in_order = F.array_sort(
