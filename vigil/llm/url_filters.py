@@ -83,7 +83,8 @@ def judged(pages: DataFrame, rules: DataFrame, links: DataFrame) -> DataFrame:
     choices = stored(decided(placed.select("host", "path").union(ends.select("host", "path")), rules), "choices")
     named = choices.select(F.col("host").alias("of_host"), F.col("path").alias("of_path"), "rule", "decision")
     here = (F.col("host") == F.col("of_host")) & (F.col("path") == F.col("of_path"))
-    rows = placed.join(named, here, "left").drop("of_host", "of_path")
+    # both sides grow with the pages: a shuffle join at any size
+    rows = placed.hint("merge").join(named, here, "left").drop("of_host", "of_path")
     if not links.isEmpty():
         groups = stored(components(links), "aliases")
         blocked = ends.join(named.where("decision = 'block'"), here).select("node").join(groups, "node")
