@@ -19,8 +19,18 @@ def _quote(text: Column) -> Column:
     return F.regexp_extract(F.to_json(F.struct(text.alias("v"))), r"(?s)^\{\"v\":(.*)\}$", 1)
 
 
-def json_text(value: Column | str) -> Column:
-    return F.when(c(value).isNull(), F.lit("null")).otherwise(_quote(c(value)))
+def ascii_escaped(text: Column) -> Column:
+    """Characters beyond ASCII as JSON escapes of their UTF-16 units."""
+    units = F.regexp_extract_all(F.hex(F.encode(text, "UTF-16BE")), F.lit("(....)"), 1)
+    shown = F.transform(units, lambda u: F.when(
+        u < "0080", F.char(F.conv(u, 16, 10).cast("int"))).otherwise(F.concat(F.lit("\\u"), F.lower(u))))
+    return F.when(F.rlike(text, F.lit(r"[^\x00-\x7F]")), F.array_join(shown, "")).otherwise(text)
+
+
+def json_text(value: Column | str, ascii: bool = True) -> Column:
+    """JSON literal of a text; with `ascii`, which sealed digests use, only ASCII characters are written."""
+    quoted = _quote(c(value))
+    return F.when(c(value).isNull(), F.lit("null")).otherwise(ascii_escaped(quoted) if ascii else quoted)
 
 
 def json_number(value: Column | str) -> Column:
