@@ -128,6 +128,9 @@ def test_jewels_and_incidents(make_events):
     (row,) = ns.uncovered_jewels(make_events(*rows), C.get("NS-03"), PERIOD).collect()
     assert (row.expected_volume, row.observed_volume, row.drop_percentage) == (3.0, 2.0, 33.3)
     assert row.raw_evidence_refs == ["J2"] and "1 out of 3" in row.rationale
+    many = [dict(kind="ASSET", asset_id=f"M{i}", criticality_tier="CRITICAL") for i in range(25)]
+    (row,) = ns.uncovered_jewels(make_events(*many), C.get("NS-03"), PERIOD).collect()
+    assert len(row.evidence_record_ids) == len(row.raw_evidence_refs) == row.evidence_count == 25
     incident = dict(kind="INCIDENT", raw_ref_id="X", resolved_at=NOW - timedelta(days=15), event_timestamp=NOW - timedelta(days=20))
     check = C.get("NS-08")
     assert ns.untraced_incidents(make_events(incident), check, PERIOD).first().severity == "MEDIUM"

@@ -85,3 +85,15 @@ def test_sorted_once_variant(spark, tail):
     rows = [(k, d) for k, v in trees.items() for d in v]
     got = merkle_roots(spark.createDataFrame(rows, "k string, digest string"), ["k"], tail=tail, mode="sorted_once").collect()
     assert {r.k: r.root for r in got} == want
+
+
+def test_rerun_drops_entities_without_rows(spark, tmp_path):
+    from vigil.sources.sinks import replace_by_entity
+
+    path = str(tmp_path / "findings")
+    rows = spark.createDataFrame([("a/b", 1), ("c", 2), ("d", 3)], "entity_id string, n long")
+    seen = rows.select("entity_id")
+    replace_by_entity(rows, path, seen)
+    replace_by_entity(rows.where("entity_id = 'd'").withColumn("n", F.lit(9).cast("long")), path, seen.where("entity_id != 'c'"))
+    back = spark.read.schema(rows.schema).parquet(path)
+    assert {(r.entity_id, r.n) for r in back.collect()} == {("c", 2), ("d", 9)}

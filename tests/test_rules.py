@@ -81,7 +81,10 @@ def test_closed_without_notes(make_events):
     assert run(dict(note, investigation_notes="ten chars."), dict(note, investigation_notes="ten chars.")) == []
     many = [dict(note) for _ in range(30)]
     (row,) = run(*many)
-    assert row.evidence_count == 31 and len(row.evidence_record_ids) == 20
+    assert row.evidence_count == 31 and len(set(row.evidence_record_ids)) == 31
+    # blanks count within the joined text, however long they are
+    assert run(dict(note, investigation_notes="x"), dict(note, investigation_notes=" " * 60 + "y")) == []
+    assert len(run(dict(note, investigation_notes="x"), dict(note, investigation_notes="y" + " " * 60))) == 1
     events = make_events(case, *many)
     assert eg.closure_evidence(events, eg.closed_without_notes(events, rule, PERIOD)).count() == 31
 
@@ -176,6 +179,18 @@ def test_joins_stay_equi_joins(make_events):
         assert "NestedLoop" not in text and "Cartesian" not in text
 
 
+def test_minimum_time_distance(make_events):
+    case = dict(kind="CASE", raw_ref_id="C1", event_timestamp=at(10))
+
+    def matches(hours):
+        events = make_events(case, dict(kind="ACTIVITY", raw_ref_id="C1", event_timestamp=at(hours)))
+        cases = events.where("dataset_type = 'case_management'")
+        join = TemporalJoin("analyst_activity", relation="EXISTS", max_seconds=4 * 3600, min_seconds=2 * 3600)
+        return temporal_join(cases, join, events).count()
+
+    assert [matches(h) for h in (5.9, 6, 7, 8, 8.1, 10, 11.9, 12, 13, 14, 14.1)] == [0, 1, 1, 1, 0, 0, 0, 1, 1, 1, 0]
+
+
 def test_reruns_give_the_same_ids(make_events):
     events = make_events(dict(kind="ALERT", raw_ref_id="A1", severity="HIGH", event_timestamp=at(5)))
     a, b = (eg.uninvestigated_alerts(events, R.get("EG-01"), PERIOD).first().finding_id for _ in range(2))

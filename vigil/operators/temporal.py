@@ -35,11 +35,14 @@ class TemporalJoin:
     fallback_key: str | None = None
     relation: str = "NOT_EXISTS"
     max_seconds: int | None = None
+    min_seconds: int | None = None  # targets nearer in time than this don't count
     target_condition: Condition | None = None
 
     def __post_init__(self) -> None:
         if self.relation not in ("EXISTS", "NOT_EXISTS"):
             raise ValueError(f"unknown relation {self.relation!r}")
+        if self.min_seconds and (self.max_seconds is None or self.max_seconds < self.min_seconds):
+            raise ValueError("a minimum time distance needs a maximum that is not less")
 
 
 def key_array(*keys: Column | str) -> Column:
@@ -163,14 +166,26 @@ def temporal_join(primary: DataFrame, join: TemporalJoin | None, events: DataFra
     def keys(df: DataFrame, *names: str | None) -> Column:
         return key_array(*[field_column(df, n)[0].cast("string") for n in names if n])
 
-    bounds = {}
-    if join.max_seconds is not None:
-        bounds = {"before_seconds": join.max_seconds, "after_seconds": join.max_seconds}
-    ids = matched_ids(
-        primary,
-        targets,
-        primary_keys=keys(primary, join.join_key, join.fallback_key),
-        target_keys=keys(targets, "raw_ref_id", join.join_key, join.fallback_key),
-        **bounds,
-    )
+    def ids_of(**bounds) -> DataFrame:
+        return matched_ids(
+            primary,
+            targets,
+            primary_keys=keys(primary, join.join_key, join.fallback_key),
+            target_keys=keys(targets, "raw_ref_id", join.join_key, join.fallback_key),
+            **bounds,
+        )
+
+    if join.min_seconds:
+        # after, from the minimum to the maximum distance; and before, the same interval mirrored
+        width = join.max_seconds - join.min_seconds
+        after, before = (
+            ids_of(
+                primary_time=F.timestamp_micros(F.unix_micros("event_timestamp") + F.lit(shift * 1_000_000)),
+                before_seconds=0, after_seconds=width)
+            for shift in (join.min_seconds, -join.max_seconds))
+        ids = after.unionByName(before).distinct()
+    elif join.max_seconds is not None:
+        ids = ids_of(before_seconds=join.max_seconds, after_seconds=join.max_seconds)
+    else:
+        ids = ids_of()
     return with_match(primary, ids) if join.relation == "EXISTS" else without_match(primary, ids)
