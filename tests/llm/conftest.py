@@ -35,7 +35,8 @@ def edge_docs(spark):
     rows += [(20 + i, text, "en", "s0", 0) for i, text in enumerate(near)]
     rows += [(40 + i, f"  {line.upper() if i % 2 else line}\t\n{prose(80)}\n{line}", "en", f"s{i % 3}", 0) for i in range(9)]
     rows += [(60, base, "en", "s0", 0), (60, base, "en", "s0", 0), (61, "#%& " * 90, "en", "s0", 0)]
-    rows += [(100 + i, prose(70 + i), "en" if i % 2 else "de", f"s{i % 3}", 0) for i in range(60)]
+    rows += [(100 + i, prose(70 + i), "en", f"s{i % 3}", 0) for i in range(0, 60, 2)]
+    rows += [(100 + i, prose(70 + i).replace("w", "über"), "de", f"s{i % 3}", 0) for i in range(1, 60, 2)]
     return spark.createDataFrame(rows, DOCS).repartition(5).cache()
 
 
