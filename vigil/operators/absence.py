@@ -14,6 +14,7 @@ from vigil.functions.timestamps import is_weekend
 from vigil.operators.execution_gaps import Period
 from vigil.operators.rules import Check, Registry, check_registry
 from vigil.schema import CLOSED_STATUSES, event_order, is_high, of_type
+from vigil.session import cut_lineage
 
 JEWEL_TIERS = ("CROWN_JEWEL", "CRITICAL", "TIER_1", "TIER-1")  # fixed values
 EVIDENCE_LIMIT = 20
@@ -185,6 +186,11 @@ def inter_arrival(rows: DataFrame, slice_seconds: int = 3600) -> DataFrame:
     )
 
 
+def _counters(counters: DataFrame | None, events: DataFrame, *types: str) -> DataFrame:
+    """Counters handed over by the caller, else those of the dataset types that are asked for."""
+    return entity_counters(of_type(events, *types)) if counters is None else counters
+
+
 # --- findings -------------------------------------------------------------------------------------
 
 
@@ -288,9 +294,11 @@ def volume_cliff_findings(events: DataFrame, check: Check, period: Period, **par
     )
 
 
-def weekend_silence(events: DataFrame, check: Check, period: Period, min_alerts: int = 20) -> DataFrame:
+def weekend_silence(
+    events: DataFrame, check: Check, period: Period, min_alerts: int = 20, counters: DataFrame | None = None
+) -> DataFrame:
     """NS-02: weekend alerts without any weekend analyst activity."""
-    hits = entity_counters(of_type(events, "alert_metadata", "analyst_activity")).where(
+    hits = _counters(counters, events, "alert_metadata", "analyst_activity").where(
         (F.col("weekend_alerts") >= min_alerts) & (F.col("weekend_activities") == 0)
     )
     rows = of_type(events, "alert_metadata").where(is_weekend("event_timestamp"))
@@ -378,11 +386,16 @@ def uncovered_jewels(events: DataFrame, check: Check, period: Period) -> DataFra
     )
 
 
-def closure_deficit(events: DataFrame, check: Check, period: Period, min_cases: int = 30, limit: float = 10.0) -> DataFrame:
+def closure_deficit(
+    events: DataFrame, check: Check, period: Period, min_cases: int = 30, limit: float = 10.0,
+    counters: DataFrame | None = None,
+) -> DataFrame:
     """NS-04: fewer than 10% of at least 30 cases closed."""
     rows = of_type(events, "case_management")
     rate = F.round(F.col("closed_cases") / F.col("cases") * 100.0, 1)
-    hits = entity_counters(rows).where(F.col("cases") >= min_cases).withColumn("rate", rate).where(F.col("rate") < limit)
+    hits = _counters(counters, events, "case_management").where(F.col("cases") >= min_cases).withColumn(
+        "rate", rate
+    ).where(F.col("rate") < limit)
     df = _with_evidence(hits, rows)
     n = F.col("cases")
     weight, score = _weighted(check, n)
@@ -399,9 +412,11 @@ def closure_deficit(events: DataFrame, check: Check, period: Period, min_cases:
     )
 
 
-def surge_without_escalation(events: DataFrame, check: Check, period: Period, min_alerts: int = 20) -> DataFrame:
+def surge_without_escalation(
+    events: DataFrame, check: Check, period: Period, min_alerts: int = 20, counters: DataFrame | None = None
+) -> DataFrame:
     """NS-05: at least 20 critical or high alerts and not one escalation."""
-    hits = entity_counters(of_type(events, "alert_metadata", "escalation_records")).where(
+    hits = _counters(counters, events, "alert_metadata", "escalation_records").where(
         (F.col("high_alerts") >= min_alerts) & (F.col("escalations") == 0)
     )
     df = _with_evidence(hits, of_type(events, "alert_metadata").where(is_high()))
@@ -511,4 +526,6 @@ def evaluate_checks(events: DataFrame, period: Period, registry: Registry | None
     checks = (registry or check_registry()).list()
     if not checks:
         raise ValueError("no active checks")
-    return reduce(DataFrame.unionByName, [BUILTIN[c.code](events, c, period) for c in checks])
+    counters = cut_lineage(entity_counters(events))  # one row an entity, read by several checks
+    shared = {code: {"counters": counters} for code in ("NS-02", "NS-04", "NS-05")}
+    return reduce(DataFrame.unionByName, [BUILTIN[c.code](events, c, period, **shared.get(c.code, {})) for c in checks])
