@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vigil.llm.components import components
-from vigil.llm.shared import BROADCAST_IDS, checked_broadcast, stored, text_slices
+from vigil.llm.shared import BROADCAST_IDS, checked_broadcast, scratch, stored, text_slices
 from vigil.llm.words import shingle_sets
 
 
@@ -396,25 +396,33 @@ def links(docs: DataFrame, classes: DataFrame, total: int, options: Join) -> Dat
     return found.union(stored(joined(again, sets, options), "links"))
 
 
-def near_groups(docs: DataFrame, options: Join = Join()) -> DataFrame:
-    """(doc_id, n_shingles, component_id, digest) for each row of docs (columns doc_id, text).
-
-    component_id is the smallest doc_id that links lead to, its own included.
-    """
-    rows = stored(shingled(docs, options), "shingled")
+def class_components(docs: DataFrame, rows: DataFrame, options: Join) -> DataFrame:
+    """(class, component_id) for each digest of rows (as of `shingled`); stored."""
     classes = stored(
         rows.where("digest is not null and doc_id is not null").groupBy("digest")
         .agg(F.min("doc_id").alias("least"), F.max("n").alias("n"), F.max("wide").alias("wide")), "classes")
     total = classes.agg(F.sum("n")).first()[0]
     if not total:
-        return rows.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "digest")
+        return docs.sparkSession.createDataFrame(
+            [], T.StructType([T.StructField("class", T.StringType()), T.StructField("component_id", classes.schema["least"].dataType)]))
     groups = stored(components(links(docs, classes, total, options)), "groups")
     grouped = classes.join(groups, F.col("digest") == F.col("node"))
     lowest = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
     moved = grouped.select(F.col("digest").alias("moved"), "component").join(lowest, "component")
-    named = stored(
+    return stored(
         classes.join(moved, F.col("digest") == F.col("moved"), "left")
-        .select(F.col("digest").alias("class"), F.coalesce("component_id", "least").alias("component_id")), "class-components")
+        .select(F.col("digest").alias("class"), F.coalesce("component_id", "least").alias("component_id")),
+        "class-components", keep=True)
+
+
+def near_groups(docs: DataFrame, options: Join = Join()) -> DataFrame:
+    """(doc_id, n_shingles, component_id, digest) for each row of docs (columns doc_id, text).
+
+    component_id is the smallest doc_id that links lead to, its own included.
+    """
+    rows = stored(shingled(docs, options), "shingled")
+    with scratch(docs.sparkSession):
+        named = class_components(docs, rows, options)
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return rows.hint("merge").join(named, F.col("digest") == F.col("class"), "left").select(
         "doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), "digest")

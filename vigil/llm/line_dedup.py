@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vigil.llm.shared import stored, text_slices
+from vigil.llm.shared import scratch, stored, text_slices
 
 ADDED = ("n_lines", "n_dropped")
 SEED = 9
@@ -65,14 +65,15 @@ def shared_lines(docs: DataFrame, min_docs: int = 5, min_chars: int = 40) -> Dat
         .where(F.col("n") >= min_docs).select("key", "last"), "common-lines")
     lost = pairs.join(common, "key").where(F.col("doc_id") != F.col("last"))
     return stored(
-        lost.groupBy(F.col("doc_id").alias("drop_doc")).agg(F.collect_set("key").alias("drop_keys")), "dropped-lines")
+        lost.groupBy(F.col("doc_id").alias("drop_doc")).agg(F.collect_set("key").alias("drop_keys")), "dropped-lines", keep=True)
 
 
 def drop_shared_lines(docs: DataFrame, min_docs: int = 5, min_chars: int = 40) -> DataFrame:
     """docs with shared lines gone from `text`, and `n_lines` (before) and `n_dropped`."""
     if clash := {c.lower() for c in docs.columns} & {*ADDED, "drop_doc", "drop_keys"}:
         raise ValueError(f"the input has columns of these names already: {sorted(clash)}")
-    drops = shared_lines(docs, min_docs, min_chars)
+    with scratch(docs.sparkSession):
+        drops = shared_lines(docs, min_docs, min_chars)
     names = docs.columns
     schema = T.StructType([*docs.schema.fields, *(T.StructField(c, T.LongType()) for c in ADDED)])
 
