@@ -78,7 +78,7 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations 2k (chosen) and 2k + 1 (rejected) are a pair."""
     turns = table(spark, sf_dir, "conversations")
-    ids = turns.where("conv_id is not null").select(F.floor(F.col("conv_id") / 2).alias("pair_id")).distinct()
+    ids = turns.where("conv_id is not null").select(F.shiftright("conv_id", 1).alias("pair_id")).distinct()
     pairs = ids.select("pair_id", (2 * F.col("pair_id")).alias("chosen_id"), (2 * F.col("pair_id") + 1).alias("rejected_id"))
     rows = preferences(turns, pairs)
 

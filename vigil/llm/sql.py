@@ -107,7 +107,7 @@ FROM placed LEFT JOIN best USING (host, path) LEFT JOIN bad USING (node)
 
 
 OP6 = r"""
-WITH t AS (SELECT conv_id // 2 AS pair_id, conv_id % 2 = 0 AS chosen, coalesce(role, '') AS role, coalesce(text, '') AS text,
+WITH t AS (SELECT conv_id >> 1 AS pair_id, conv_id & 1 = 0 AS chosen, coalesce(role, '') AS role, coalesce(text, '') AS text,
     '<|' || coalesce(role, '') || '|>' || chr(10) AS head, coalesce(text, '') || '<|end|>' || chr(10) AS body,
     row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS i
   FROM conversations WHERE conv_id IS NOT NULL),
