@@ -19,9 +19,7 @@ from __future__ import annotations
 import json
 import os
 import re
-import tempfile
 import unicodedata
-import uuid
 from collections import Counter
 from functools import lru_cache
 from hashlib import sha256
@@ -36,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from vigil.llm.shared import most_frequent, stored, text_slices
+from vigil.llm.shared import most_frequent, shared_file, stored, text_slices
 
 #: Chunks whose ids a worker remembers before it forgets all of them.
 REMEMBERED = 300_000
@@ -379,12 +377,9 @@ def frequent_words(docs: DataFrame, path: str, size: int) -> list[bytes]:
 def ship_lexicon(spark: SparkSession, words: list[bytes], path: str) -> str:
     """Compile the words and send the file to all executors; gives the name under which it is found there."""
     data = compile_lexicon(words, vocabulary(path).merge(words))
-    name = f"lexicon-{uuid.uuid4().hex}.bin"
-    made = f"{tempfile.mkdtemp(prefix='lexicon-')}/{name}"
-    with open(made, "wb") as file:
-        file.write(data)
-    spark.sparkContext.addFile(made)
-    return name
+    path = shared_file(spark, "lexicon", ".bin", data)
+    spark.sparkContext.addFile(path)
+    return os.path.basename(path)
 
 
 def encoder(path: str, lexicon: str | None) -> Encoder:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import shutil
-import tempfile
+import io
 import uuid
+import zipfile
 from collections.abc import Iterator
 from contextlib import contextmanager
 from pathlib import Path
@@ -30,11 +30,26 @@ def ship_package(spark: SparkSession) -> None:
     context = spark.sparkContext
     if context.applicationId not in _SHIPPED:
         package = Path(__file__).resolve().parents[1]
-        made = shutil.make_archive(f"{tempfile.mkdtemp(prefix='package-')}/{package.name}", "zip", package.parent, package.name)
-        context.addPyFile(made)
+        made = io.BytesIO()
+        with zipfile.ZipFile(made, "w", zipfile.ZIP_DEFLATED) as archive:
+            for file in sorted(package.rglob("*.py")):
+                archive.write(file, file.relative_to(package.parent))
+        context.addPyFile(shared_file(spark, "package", ".zip", made.getvalue()))
         _SHIPPED.add(context.applicationId)
 
 
+def shared_file(spark: SparkSession, label: str, ending: str, data: bytes) -> str:
+    """Write a small file into the shared folder; gives its path."""
+    path = shared_path(spark, label) + ending
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target)
+    try:
+        stream.write(data)
+    finally:
+        stream.close()
+    return path
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     frame = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return frame.select(*columns) if columns else frame
