@@ -93,6 +93,8 @@ class Vocabulary:
 
     def pieces(self, text: str) -> list[str]:
         """The normalised pieces of a text without special tokens."""
+        if text.isascii() and not SLOW.search(text):
+            return self.fast.findall(text.lower())
         if OLD.search(text):
             return list(chain.from_iterable(map(self._odd_pieces, ODD_BLANK.split(text))))
         if not text.isascii():
@@ -382,7 +384,12 @@ def ship_lexicon(spark: SparkSession, words: list[bytes], path: str) -> str:
     return os.path.basename(path)
 
 
+@lru_cache(2)
 def encoder(path: str, lexicon: str | None) -> Encoder:
+    """One for each worker, which keeps what it remembers from task to task.
+
+    What it remembers is a function of the piece alone, and so is the same in all tasks.
+    """
     return Encoder(vocabulary(path), Lexicon(SparkFiles.get(lexicon)) if lexicon else None)
 
 
