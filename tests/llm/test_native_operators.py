@@ -76,6 +76,42 @@ def test_urls_and_aliases(spark):
     assert judged(pages.limit(0), rules, page_links(pages.limit(0))).count() == 0
 
 
+def test_all_valid_links_are_edges(spark):
+    link = '<link rel="canonical" href="{}">'.format
+    rows = [  # url, html, the nodes that it leads to
+        ("http://x.org/p?page=1", link("?page=2&amp;ref=x"), ["x.org/p?page=2&ref=x"]),
+        ("http://x.org/p", link("/q?a=1&#38;b=2&#x26;c=3&#X00026;d"), ["x.org/q?a=1&b=2&c=3&d"]),
+        ("http://x.org/p", link("/q?a=1&amp;amp;b&copy=2&lang=3&ampx&eacute;&#233;&#128512;&#55296;&#99999999999;&amp"),
+         ["x.org/q?a=1&amp;b&copy=2&lang=3&ampx\u00e9\u00e9\U0001f600\ufffd\ufffd&"]),
+        ("http://x.org/a/b.html?q", link("page2.html"), ["x.org/a/page2.html"]),
+        ("http://x.org/a/b/c", link("../d/./e?x=../y"), ["x.org/a/d/e?x=../y"]),
+        ("http://x.org/a/b/c", link("../../../.."), ["x.org/"]), ("http://x.org/a/b/c", link("."), ["x.org/a/b/"]),
+        ("http://x.org", link("p?u=http://y.org/1"), ["x.org/p?u=http://y.org/1"]),
+        ("http://x.org/p?q=1", link("#part"), []), ("http://x.org/p", link("mailto:a@y.org"), []), ("http://x.org/p", link(""), []),
+        ("http://x.org/1", '<link rel="nofollow canonical" href="/2">', ["x.org/2"]),
+        ("http://x.org/1", "<link\nhref=/2/ rel=CANONICAL><link rel='canonical' href=' /3 '>", ["x.org/2/", "x.org/3"]),
+        ("http://x.org/1", '<link rel="alternate" href="/fr"><link title="a > b href=/4" rel=canonical href="/2">', ["x.org/2"]),
+        ("http://x.org/1", '<link data-rel="canonical" rel="next" href="/2">canonical', []),
+        ("http://x.org/1", '<base href="/d/"><link rel="canonical" href="2">', ["x.org/d/2"]),
+        ("http://x.org/a/1", '<meta http-equiv="Refresh" content="0; url=&quot;2?a&amp;b&quot;">', ["x.org/a/2?a&b"]),
+        ("http://x.org/a/1", '<meta content="5;//y.org/1" http-equiv=refresh><meta http-equiv=refresh content=0;URL=?p=1>', ["y.org/1", "x.org/a/1?p=1"]),
+        ("http://x.org/1", '<meta http-equiv="refresh" content="30">', []), (None, link("/2"), []), ("http://x.org/1", None, [])]
+    own = lambda text, i: text and text.replace("x.org", f"x{i}.org")
+    frame = spark.createDataFrame([(own(url, i), own(html, i)) for i, (url, html, _) in enumerate(rows)], "url string, html string")
+    got = defaultdict(set)
+    for r in page_links(frame.coalesce(1)).collect():
+        got[r.a.split("/")[0]].add(r.b)
+    for i, (_, html, nodes) in enumerate(rows):
+        assert got[f"x{i}.org"] == {own(b, i) for b in nodes}, html
+    assert set(got) <= {f"x{i}.org" for i in range(len(rows))}
+    table = [(1, "http://x.org/p?page=1", link("?page=2&amp;ref=x")), (2, "http://x.org/p?page=2&ref=x", link("../../fin.html")),
+             (3, "http://x.org/fin.html", '<link rel="nofollow canonical" href="http://example.com/en/1">')]
+    pages = spark.createDataFrame(table, "page_id long, url string, html string")
+    rules = spark.createDataFrame(RULES, "rule_host string, rule_path string, decision string")
+    out = judged(pages, rules, page_links(pages))
+    assert python_free(out) and [r.verdict for r in out.collect()] == ["block"] * 3
+
+
 def test_preferences(spark):
     a, u, s = "assistant", "user", "system"
     turns = [
