@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vigil.llm.language_id import Training, fit, identify, keep_identified, train
+from vigil.llm.language_id import LanguageModel, Training, calibrate, fit, identify, keep_identified, softmax, train, training_rows
 from vigil.llm.neighbours import Graph, nearest
 
 SF = "/root/testdata/sf0.01"
@@ -53,6 +53,38 @@ def test_training_is_repeatable():
     assert a.languages[p[0].argmax()] == "en" and a.languages[p[1].argmax()] == "de" and not p[2:].any()
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are not present")
+def test_a_language_that_was_not_learned_is_rejected(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("lang is not null and text is not null")
+    model = fit(docs.where("lang != 'es'"))
+    accepted = {r.lang: r.share for r in identify(docs, model).groupBy("lang").agg(F.avg(F.col("accepted").cast("int")).alias("share")).collect()}
+    assert "es" not in model.languages and accepted["es"] < 0.5
+    assert all(share >= 0.95 for lang, share in accepted.items() if lang != "es")
+    junk = [" ".join("".join(random.Random(f"{i} {k}").choices("qxzjkwvy", k=7)) for k in range(60)) for i in range(50)]
+    assert (model.probabilities(junk).max(1) < model.least_score).all()
+
+
+def test_the_least_score_rejects_few_right_rows_but_unsure_ones():
+    rng = np.random.default_rng(4)
+    labels = np.arange(400) % 4
+    shares = 0.25 * rng.uniform(0, 0.6, 400)[:, None] * np.ones(4)
+    shares[np.arange(400), labels] += 1 - shares.sum(1)
+    model = LanguageModel(list("abcd"), np.eye(4, dtype=np.float32), np.zeros(4), Training())
+    calibrate(model, [(np.arange(4), share) for share in shares], labels)
+    score = softmax(shares / model.temperature)
+    assert 0 < (score.max(1) < model.least_score).sum() <= 4 or model.least_score == score.max(1).min()
+    assert softmax(np.array([[0.27, 0.25, 0.24, 0.24]]) / model.temperature).max() < model.least_score
+
+
+def test_a_language_of_long_texts_only_is_learned(spark):
+    rows = [(i, "der und von ding " * (3 if i % 2 else 4), "de") for i in range(80)]
+    rows += [(100 + i, "the and of thing " * 40, "en") for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    options = Training(docs_per_language=60, epochs=3, max_chars=100)
+    assert fit(docs, options).languages == ["de", "en"]
+    assert max(len(text) for text, _, _ in training_rows(docs, F.lit(True), options)) == 100
+
+
 def exact(rows, k, wanted):
     own = [(i, np.asarray(v, float)) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)]
     own = list({(i, v.tobytes()): (i, v) for i, v in own}.values())

@@ -52,6 +52,7 @@ class Training:
     embedding_rate: float = 60.0
     seed: int = 3
     target_error: float = 0.02
+    lost: float = 0.01
 
 
 @dataclass
@@ -129,19 +130,23 @@ def fold(doc_id: str = "doc_id") -> Column:
 
 def training_rows(docs: DataFrame, allowed: Column, options: Training) -> list[tuple[str, str, bool]]:
     """(text, lang, held back for calibration) of a bounded sample of the allowed rows, the same in every run."""
-    rows = docs.where(allowed & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= options.max_chars))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(options.max_languages).collect()
+    rows = docs.where(allowed & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    short = F.length("text") <= options.max_chars
+    counts = (
+        rows.groupBy("lang").agg(F.count("*").alias("count"), F.count_if(short).alias("short"))
+        .orderBy(F.desc("count"), "lang").limit(options.max_languages).collect())
     if not counts:
         return []
     order = F.xxhash64(F.lit(options.seed), F.col("doc_id"))
     share = F.pmod(order, F.lit(1_000_000)) / 1_000_000
-    wanted = [(r["lang"], min(1.0, 1.3 * options.docs_per_language / r["count"])) for r in counts]
+    # a language of long texts only is learned from their beginnings
+    wanted = [(r["lang"], r["short"] > 0, min(1.0, 1.3 * options.docs_per_language / (r["short"] or r["count"]))) for r in counts]
     chosen = F.lit(False)
-    for lang, part in wanted:
-        chosen = chosen | ((F.col("lang") == lang) & (share < part))
+    for lang, has_short, part in wanted:
+        chosen = chosen | ((F.col("lang") == lang) & (share < part) & (short if has_short else F.lit(True)))
     bound = 2 * options.docs_per_language * len(wanted)
     picked = (
-        rows.where(chosen).select("text", "lang", (fold() == 0).alias("back"), order.alias("at"))
+        rows.where(chosen).select(F.substring("text", 1, options.max_chars).alias("text"), "lang", (fold() == 0).alias("back"), order.alias("at"))
         .orderBy("at", "text").limit(bound).collect())
     return [(r["text"], r["lang"], bool(r["back"])) for r in picked]
 
@@ -210,8 +215,9 @@ def calibrate(model: LanguageModel, data: list[tuple[np.ndarray, np.ndarray]], l
     errors = np.cumsum(~right[order]) / np.arange(1, len(order) + 1)
     fine = np.flatnonzero(errors <= model.options.target_error)
     lowest = score[order][fine[-1]] if len(fine) else 1.0
-    # if even all rows err seldom enough, only the floor holds
-    model.least_score = float(min(floor, lowest) if len(fine) and fine[-1] == len(order) - 1 else max(floor, lowest))
+    # even if all rows err seldom enough, a text must score as the least sure of the right rows do
+    sure = np.quantile(score[right], model.options.lost, method="lower") if right.any() else 1.0
+    model.least_score = float(max(floor, lowest, sure))
 
 
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
