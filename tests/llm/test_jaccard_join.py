@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from vigil.llm.components import components
 from vigil.llm.jaccard_join import Block, Join, keep_one, near_groups
@@ -103,6 +104,24 @@ def test_one_document_of_each_group_stays(edge_docs):
     assert ids.count(14) == 1 or len({t for d, t in rows if d == 14}) == 2
 
 
+def test_rows_of_one_id_are_judged_by_their_own_texts(spark):
+    text = lambda name, n=60: " ".join(f"{name}{i}" for i in range(n))
+    rows = [
+        (1, text("a")), (2, text("a") + " end"), (2, text("b")),  # 2 loses its copy of 1 only
+        (3, text("c")), (3, text("c") + " end"), (3, text("d")), (3, text("d")),  # two near texts of one id are one
+        (4, text("c")), (5, text("e")), (5, text("e").upper()), (5, None), (5, ""), (None, text("a")), (None, text("a"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("digest_of", F.lit("x"))
+    kept = keep_one(docs)
+    assert kept.columns == docs.columns
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr)
+    near = [x for x in got if x[0] == 3 and x[1].startswith("c")]
+    assert len(near) == 1 and near[0] in rows
+    same = [x for x in got if x[0] == 5 and x[1]]
+    assert same == [(5, text("e").upper())]
+    want = [(1, text("a")), (2, text("b")), *near, (3, text("d")), *same, (5, None), (5, ""), (None, text("a")), (None, text("a"))]
+    assert got == sorted(want, key=repr)
+
+
 def test_components_of_chains_stars_and_loops(spark):
     edges = [(i, i + 1) for i in range(0, 200)] + [(500, i) for i in range(501, 700)] + [(900, 900), (None, 3), (901, 902), (902, 901)]
     rows = components(spark.createDataFrame(edges, "a long, b long")).collect()

@@ -83,6 +83,18 @@ def short_name(whole: str) -> int:
     return int.from_bytes(bytes.fromhex(whole[:16]), "big", signed=True)
 
 
+def digested(docs: DataFrame, options: Join) -> DataFrame:
+    """docs with the `digest` of their texts."""
+
+    def run(batches):
+        for batch in batches:
+            for part in text_slices(batch, "text"):
+                own = [digest(x) or None for x in shingle_sets(part.column("text"), options.k)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(own, pa.string())], [*part.schema.names, "digest"])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("digest", T.StringType())]))
+
+
 def shingled(docs: DataFrame, options: Join) -> DataFrame:
     """(doc_id, n, wide, digest) of every row: shingles, those of the wide tier; the digest of an empty set is null."""
 
@@ -397,21 +409,23 @@ def links(docs: DataFrame, classes: DataFrame, total: int, options: Join) -> Dat
 
 
 def class_components(docs: DataFrame, rows: DataFrame, options: Join) -> DataFrame:
-    """(class, component_id) for each digest of rows (as of `shingled`); stored."""
+    """(class, component_id, root) for each digest of rows (as of `shingled`), root being one digest a component; stored."""
     classes = stored(
         rows.where("digest is not null and doc_id is not null").groupBy("digest")
         .agg(F.min("doc_id").alias("least"), F.max("n").alias("n"), F.max("wide").alias("wide")), "classes")
     total = classes.agg(F.sum("n")).first()[0]
     if not total:
         return docs.sparkSession.createDataFrame(
-            [], T.StructType([T.StructField("class", T.StringType()), T.StructField("component_id", classes.schema["least"].dataType)]))
+            [], T.StructType([T.StructField("class", T.StringType()), T.StructField("component_id", classes.schema["least"].dataType),
+                              T.StructField("root", T.StringType())]))
     groups = stored(components(links(docs, classes, total, options)), "groups")
     grouped = classes.join(groups, F.col("digest") == F.col("node"))
     lowest = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
     moved = grouped.select(F.col("digest").alias("moved"), "component").join(lowest, "component")
     return stored(
         classes.join(moved, F.col("digest") == F.col("moved"), "left")
-        .select(F.col("digest").alias("class"), F.coalesce("component_id", "least").alias("component_id")),
+        .select(F.col("digest").alias("class"), F.coalesce("component_id", "least").alias("component_id"),
+                F.coalesce("component", "digest").alias("root")),
         "class-components", keep=True)
 
 
@@ -420,30 +434,43 @@ def near_groups(docs: DataFrame, options: Join = Join()) -> DataFrame:
 
     component_id is the smallest doc_id that links lead to, its own included.
     """
+    return rooted_groups(docs, options).drop("root")
+
+
+def rooted_groups(docs: DataFrame, options: Join) -> DataFrame:
+    """The columns of `near_groups`, and `root`: one digest of each component."""
     rows = stored(shingled(docs, options), "shingled")
     with scratch(docs.sparkSession):
         named = class_components(docs, rows, options)
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return rows.hint("merge").join(named, F.col("digest") == F.col("class"), "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), "digest")
+        "doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), "digest", "root")
 
 
 def keep_one(docs: DataFrame, options: Join = Join()) -> DataFrame:
-    """docs with one document of each group: that of the smallest doc_id.
+    """docs with one document of each group: that of the smallest doc_id, and of the least digest among its texts.
 
-    Rows that repeat a doc_id and its text are one document; other rows of one doc_id go if any of them goes, and
-    rows without a doc_id stay.
+    Rows that repeat a doc_id and a text, or one with the same shingles, are one document; rows of one doc_id with other
+    texts are judged each by its own text.  Texts without a shingle and rows without a doc_id stay.
     """
     names = docs.columns
-    groups = stored(near_groups(docs, options), "near-groups")
+    groups = stored(rooted_groups(docs, options), "near-groups")
     gone = stored(groups.where("component_id != doc_id").select(F.col("doc_id").alias("other_id")).distinct(), "gone")
-    kept = docs.join(checked_broadcast(gone, bound=BROADCAST_IDS), F.col("doc_id") == F.col("other_id"), "left_anti")
+    same = F.col("doc_id") == F.col("other_id")
     twice = stored(
-        groups.where("component_id = doc_id").groupBy(F.col("doc_id").alias("other_id")).count().where("count > 1")
+        groups.where("doc_id is not null").groupBy(F.col("doc_id").alias("other_id")).count().where("count > 1")
         .select("other_id"), "repeated")
-    if not twice.isEmpty():
-        twice = checked_broadcast(twice, bound=BROADCAST_IDS)
-        same = F.col("doc_id") == F.col("other_id")
-        kept = kept.join(twice, same, "left_anti").union(
-            kept.join(twice, same, "left_semi").dropDuplicates(["doc_id", "text"]))
-    return kept.select(names)
+    if twice.isEmpty():
+        return docs.join(checked_broadcast(gone, bound=BROADCAST_IDS), same, "left_anti").select(names)
+    twice = checked_broadcast(twice, bound=BROADCAST_IDS)
+    once = docs.join(twice, same, "left_anti").join(checked_broadcast(gone, bound=BROADCAST_IDS), same, "left_anti")
+    first = stored(
+        groups.join(twice, same, "left_semi").where("component_id = doc_id and digest is not null")
+        .groupBy("root", F.col("doc_id").alias("other_id")).agg(F.min("digest").alias("first")).select("other_id", "first"), "first")
+    repeated = docs.join(twice, same, "left_semi").select(F.col("doc_id"), "text", F.struct(*names).alias("row"))
+    repeated = digested(repeated, options)
+    chosen = repeated.join(checked_broadcast(first), same & (F.col("digest") == F.col("first")), "left_semi")
+    # one row of each text, whichever it is; of texts with the same shingles the least
+    chosen = chosen.groupBy("doc_id", "digest").agg(F.min_by("row", "text").alias("row"))
+    empty = repeated.where("digest is null").dropDuplicates(["doc_id", "text"])
+    return once.select(names).union(chosen.select("row.*")).union(empty.select("row.*")).select(names)
