@@ -1,7 +1,6 @@
 from __future__ import annotations
 
 import sys
-from datetime import datetime, timedelta
 from pathlib import Path
 
 import pytest
@@ -9,12 +8,9 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 sys.path.insert(0, str(Path(__file__).resolve().parents[1] / "tools"))
 
-from vigil.operators.execution_gaps import Period  # noqa: E402
 from vigil.schema import DATASET_EVENT_TYPE, EVENT_COLUMNS  # noqa: E402
 from vigil.session import get_spark  # noqa: E402
 
-NOW = datetime(2026, 8, 25, 12, 0)
-PERIOD = Period(datetime(2026, 8, 1), NOW)
 KIND = {v: k for k, v in DATASET_EVENT_TYPE.items()}
 
 
@@ -47,8 +43,3 @@ def make_events(spark):
         return spark.createDataFrame(filled, schema)
 
     return build
-
-
-def at(hours: float) -> datetime:
-    """A time `hours` before the end of the test period."""
-    return NOW - timedelta(hours=hours)

@@ -2,7 +2,7 @@ import math
 import random
 from datetime import datetime, timedelta
 
-from conftest import NOW, PERIOD, at
+from helpers import NOW, PERIOD, at
 from pyspark.sql import functions as F
 
 from vigil.functions.stats import ewma, sample_weight

@@ -2,7 +2,7 @@ import hashlib
 import random
 
 import pytest
-from conftest import NOW, PERIOD, at
+from helpers import NOW, PERIOD, at
 from pyspark.sql import functions as F
 
 from vigil.functions.canonical import EMPTY_DIGEST

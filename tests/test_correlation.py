@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 from datetime import datetime, timedelta
 
 import pytest
-from conftest import at
+from helpers import at
 
 from vigil.operators import notes as nt
 from vigil.operators.bursts import burst_edges, find_bursts

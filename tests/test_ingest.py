@@ -1,7 +1,7 @@
 from datetime import datetime
 
 import pytest
-from conftest import NOW
+from helpers import NOW
 from pyspark.sql import functions as F
 
 from vigil.functions.scalars import cast_boolean, normalize_severity, normalize_status

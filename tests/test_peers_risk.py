@@ -1,6 +1,6 @@
 from datetime import datetime
 
-from conftest import NOW, PERIOD, at
+from helpers import NOW, PERIOD, at
 from pyspark.sql import functions as F
 
 from vigil.functions.scalars import risk_tier, trend

@@ -1,6 +1,6 @@
 from datetime import datetime, timedelta
 
-from conftest import PERIOD, at
+from helpers import PERIOD, at
 
 from vigil.operators import execution_gaps as eg
 from vigil.operators.conditions import where
