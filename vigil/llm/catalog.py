@@ -18,8 +18,10 @@ from vigil.llm.packing import pack
 from vigil.llm.quality_rules import QualityRules, judged
 from vigil.llm.sharding import shards, text_size
 from vigil.llm.shared import ship_package, table
+from vigil.llm.spelling import variants
 from vigil.llm.url_filters import judged as judged_urls
 from vigil.llm.url_filters import page_links
+from vigil.llm.whitening import whitened
 
 SHARDS = 40
 URL_RULES = [
@@ -110,6 +112,14 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), F.col("vec_id") % 50 == 0, 5)
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitened(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), 16)
+
+
 def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     """The query, with this package's source at hand on every worker."""
 
@@ -132,6 +142,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_jaccard_join,
         op9_line_dedup,
         op10_neighbours,
+        op12_spelling_variants,
+        op13_embedding_whitening,
     )
 }
 
@@ -140,4 +152,5 @@ ORACLES: dict[str, str] = {
     "op4_url_filters": sql.op4(URL_RULES),
     "op6_chat_format": sql.OP6,
     "op9_line_dedup": sql.OP9,
+    "op12_spelling_variants": sql.OP12,
 }

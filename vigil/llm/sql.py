@@ -128,3 +128,33 @@ SELECT pair_id, 2 * pair_id AS chosen_id, 2 * pair_id + 1 AS rejected_id, max(k)
   coalesce(string_agg(span, ' ' ORDER BY i) FILTER (NOT chosen), '') AS rejected_mask
 FROM marked GROUP BY pair_id
 """
+
+
+#: Letters cut by checksum; words one edit apart are equal, or one is the other, after one letter is taken out.
+OP12 = r"""
+WITH RECURSIVE d AS (SELECT coalesce(doc_id::varchar, '') AS id, coalesce(text, '') AS t FROM documents),
+runs AS (SELECT id, w, count(*) AS n FROM (SELECT id, unnest(regexp_extract_all(translate(t,
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) AS w FROM d)
+  WHERE length(w) >= 6 GROUP BY id, w),
+crc AS MATERIALIZED (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(range(0, 9), lambda c, k: CASE WHEN k = 0 THEN c
+    WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, i) AS c FROM range(0, 256) r(i))),
+summed AS (SELECT w, n, xor(4294967295, list_reduce(list_transform(range(1, 2 * strlen(id || ':' || w), 2),
+    lambda i: ('0x' || substr(hex(id || ':' || w), i, 2))::bigint), lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1]), 4294967295)) AS h
+  FROM runs, crc),
+cut AS (SELECT CASE WHEN h % 199 = 0 THEN left(w, (h % length(w))::int) || substr(w, (h % length(w))::int + 2) ELSE w END AS word, n
+  FROM summed),
+words AS MATERIALIZED (SELECT word, sum(n)::bigint AS n FROM cut WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+less AS MATERIALIZED (SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS rest
+  FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+pairs AS (
+  SELECT a.word, b.word AS near, b.n AS near_n FROM less a JOIN less b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM less a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM less a JOIN words b ON a.rest = b.word),
+best AS (SELECT word, count(*) AS n_near, min({'less': -near_n, 'near': near}) AS best FROM pairs GROUP BY word),
+formed AS MATERIALIZED (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN -best.less >= 5 * n THEN best.near END AS form,
+    CASE WHEN -best.less >= 5 * n THEN -best.less END AS form_n FROM words LEFT JOIN best USING (word)),
+steps(word, stop, k) AS (SELECT word, word, 0 FROM formed
+  UNION ALL SELECT steps.word, formed.form, k + 1 FROM steps JOIN formed ON steps.stop = formed.word WHERE formed.form IS NOT NULL)
+SELECT word, form, max_by(stop, k) AS root, any_value(n) AS n, any_value(n_near) AS n_near, any_value(form_n) AS form_n
+FROM formed JOIN steps USING (word) GROUP BY word, form
+"""
