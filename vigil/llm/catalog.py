@@ -15,6 +15,7 @@ from vigil.llm.language_id import fit, fold, identify
 from vigil.llm.line_dedup import drop_shared_lines
 from vigil.llm.neighbours import nearest
 from vigil.llm.packing import pack
+from vigil.llm.private_data import Disclosure, listed, sanitised
 from vigil.llm.quality_rules import QualityRules, judged
 from vigil.llm.sharding import shards, text_size
 from vigil.llm.shared import ship_package, table
@@ -112,6 +113,13 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), F.col("vec_id") % 50 == 0, 5)
 
 
+def op11_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sanitised(table(spark, sf_dir, "documents", "doc_id", "text"), Disclosure())
+    return rows.select(
+        "doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"),
+        F.sha2("clean_text", 256).alias("clean_sha256"))
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -142,6 +150,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_jaccard_join,
         op9_line_dedup,
         op10_neighbours,
+        op11_private_data,
         op12_spelling_variants,
         op13_embedding_whitening,
     )
@@ -152,5 +161,6 @@ ORACLES: dict[str, str] = {
     "op4_url_filters": sql.op4(URL_RULES),
     "op6_chat_format": sql.OP6,
     "op9_line_dedup": sql.OP9,
+    "op11_private_data": sql.op11(Disclosure()),
     "op12_spelling_variants": sql.OP12,
 }

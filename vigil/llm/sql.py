@@ -158,3 +158,72 @@ steps(word, stop, k) AS (SELECT word, word, 0 FROM formed
 SELECT word, form, max_by(stop, k) AS root, any_value(n) AS n, any_value(n_near) AS n_near, any_value(form_n) AS form_n
 FROM formed JOIN steps USING (word) GROUP BY word, form
 """
+
+
+def op11(options) -> str:
+    """The patterns as the contract gives them; spans and neighbourhoods by plain joins over whole texts."""
+    found = {
+        "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)",
+        "card": r"[0-9](?:[\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+    word = r"[\p{L}\p{N}]+"
+    matched = " UNION ALL ".join(
+        f"SELECT t, {i} AS rank, '{k}' AS kind, regexp_extract_all(t, '{p}') AS vs, string_split_regex(t, '{p}') AS gs FROM texts"
+        for i, (k, p) in enumerate(found.items()))
+
+    def words(text: str) -> str:
+        return f"regexp_extract_all({text}, '{word}') AS ws, string_split_regex({text}, '{word}') AS gs"
+
+    return rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+texts AS MATERIALIZED (SELECT t, count(*) AS copies FROM d GROUP BY t),
+matched AS ({matched}),
+each_one AS (SELECT t, rank, kind, i, vs[i] AS v, gs[i] AS g FROM (SELECT *, unnest(range(1, len(vs) + 1)) AS i FROM matched)),
+placed AS (SELECT *, s + length(v) AS e, regexp_replace(v, '[^0-9]', '', 'g') AS digits FROM (
+  SELECT *, sum(length(g) + length(v)) OVER (PARTITION BY t, rank ORDER BY i) - length(v) AS s FROM each_one)),
+chains AS (SELECT *, coalesce(lag(e) OVER w, 0) AS prior, coalesce(lead(s) OVER w, length(t)) AS next
+  FROM placed WHERE kind <> 'card' OR length(digits) BETWEEN 12 AND 19 WINDOW w AS (PARTITION BY t, rank ORDER BY s)),
+base AS MATERIALIZED (SELECT *, CASE kind WHEN 'email' THEN ['email ' || lower(v), 'email group ' || lower(split_part(v, '@', 2))]
+    WHEN 'ip' THEN ['ip ' || v, 'ip group ' || split_part(v, '.', 1) || '.' || split_part(v, '.', 2)]
+    WHEN 'card' THEN ['card ' || digits, 'card group ' || left(digits, 6)]
+    ELSE ['phone ' || digits, 'phone group ' || left(digits, length(digits) - 7)] END AS entities
+  FROM chains WHERE CASE kind WHEN 'email' THEN true
+    WHEN 'ip' THEN list_bool_and(list_transform(string_split(v, '.'), lambda x: length(ltrim(x, '0')) <= 3
+      AND coalesce(try_cast(ltrim(x, '0') AS int), 0) <= 255))
+    WHEN 'card' THEN list_sum(list_transform(range(1, length(digits) + 1), lambda i: CASE WHEN i % 2 = 1 THEN digits[-i]::int
+      WHEN digits[-i]::int > 4 THEN 2 * digits[-i]::int - 9 ELSE 2 * digits[-i]::int END)) % 10 = 0
+    ELSE length(digits) BETWEEN 9 AND 15 END),
+sides AS (SELECT t, entities, greatest(prior, s - {options.reach}) AS a, s AS z, s - prior > {options.reach} AS cut_a, false AS cut_z FROM base
+  UNION ALL SELECT t, entities, e, least(next, e + {options.reach}), false, next - e > {options.reach} FROM base),
+side_words AS (SELECT *, {words("substr(t, a::int + 1, (z - a)::int)")} FROM sides),
+side_each AS (SELECT t, entities, a, z, cut_a, cut_z, ws[i] AS w,
+    a + sum(length(gs[i]) + length(ws[i])) OVER (PARTITION BY t, entities, a, z, cut_a, cut_z ORDER BY i) AS e
+  FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS i FROM (SELECT DISTINCT * FROM side_words))),
+near_all AS (SELECT DISTINCT t, unnest(entities) AS entity, lower(w) AS term, e - length(w) AS s, e FROM side_each
+  WHERE NOT (cut_a AND e - length(w) = a) AND NOT (cut_z AND e = z)),
+near AS MATERIALIZED (SELECT n.*, copies FROM near_all n JOIN texts USING (t)
+  WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.t = n.t AND b.s < n.e AND b.e > n.s)),
+counts AS MATERIALIZED (SELECT lower(w) AS term, sum(copies) AS n FROM (SELECT copies, unnest(regexp_extract_all(t, '{word}')) AS w FROM texts) GROUP BY 1),
+around AS (SELECT entity, -ln(sum(copies) / (SELECT sum(n) FROM counts)) AS information FROM near GROUP BY entity),
+pairs AS (SELECT entity, term, sum(copies) AS together FROM near GROUP BY entity, term HAVING count(DISTINCT t) >= {options.texts}),
+revealed AS (SELECT entity, term, 1 + ln(least(1.0, together / n)) / information AS share FROM pairs JOIN around USING (entity) JOIN counts USING (term)
+  WHERE information > 0 AND 1 + ln(least(1.0, together / n)) / information >= {options.generalise}),
+told AS MATERIALIZED (SELECT t, term, max(share) AS share FROM near JOIN revealed USING (entity, term) GROUP BY t, term),
+all_words AS (SELECT t, {words("t")} FROM (SELECT DISTINCT t FROM told)),
+word_places AS (SELECT t, w, lower(w) AS term, e - length(w) AS s, e FROM (SELECT t, ws[i] AS w,
+    sum(length(gs[i]) + length(ws[i])) OVER (PARTITION BY t ORDER BY i) AS e FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS i FROM all_words))),
+added AS (SELECT p.t, s, e, CASE WHEN share >= {options.remove} THEN 5 ELSE 4 END AS rank,
+    CASE WHEN share >= {options.remove} THEN 'removed' ELSE 'generalised' END AS kind,
+    CASE WHEN share >= {options.remove} THEN '' WHEN regexp_matches(w, '^\p{{N}}+$') THEN '[number]' WHEN regexp_matches(w, '^\p{{Lu}}') THEN '[name]'
+      ELSE '[word]' END AS put
+  FROM word_places p JOIN told USING (t, term) WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.t = p.t AND b.s < p.e AND b.e > p.s)),
+spans AS MATERIALIZED (SELECT t, s, e, rank, kind, '[' || kind || ']' AS put FROM base UNION ALL SELECT t, s, e, rank, kind, put FROM added),
+lists AS (SELECT t, {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in found)},
+    coalesce(string_agg(kind || ':' || s::bigint || ':' || e::bigint, ',' ORDER BY s, rank) FILTER (rank < 4), '') AS base,
+    string_agg(kind || ':' || s::bigint || ':' || e::bigint, ',' ORDER BY s, rank) AS spans FROM spans GROUP BY t),
+cuts AS (SELECT *, coalesce(max(e) OVER (PARTITION BY t ORDER BY s, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS past FROM spans),
+clean AS (SELECT t, string_agg(substr(t, past::int + 1, greatest(s - past, 0)::int) || CASE WHEN past > s THEN '' ELSE put END, '' ORDER BY s, rank)
+    || substr(t, max(e)::int + 1) AS clean FROM cuts GROUP BY t)
+SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, sha256(coalesce(clean, t)) AS clean_sha256
+FROM d LEFT JOIN lists USING (t) LEFT JOIN clean USING (t)
+"""
