@@ -5,14 +5,18 @@ Every reader returns parsed rows: file, row_index (1-based data row in the file)
 
 A first pass finds the format of each file; then every file is opened once more, by the reader of its format.
 Row numbers need no sort and no shuffle of the text: within a file split, lines keep their order, so
-a row's number is its position in the split plus the rows of the earlier splits of that file.  Only JSON
-documents, and delimited files with quoted cells over several lines, are read whole, one file a row.
+a row's number is its position in the split plus the rows of the earlier splits of that file.  Quoted cells over
+several lines are followed in every split from both states it may begin in; one row a split then decides.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from urllib.parse import unquote
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -69,8 +73,8 @@ def file_heads(lines: DataFrame, head: int = 5) -> DataFrame:
     # expressed over all lines: one invalid line makes the file ISO-8859-1
     valid = lines.groupBy("file").agg(
         F.bool_and(F.is_valid_utf8("line")).alias("is_utf8"), F.count("*").alias("n_lines"),
-        # a quoted cell goes on in the next line only where a line has an odd number of quotes
-        F.bool_or((F.length("line") - F.length(F.replace("line", F.lit('"')))) % 2 == 1).alias("odd_quotes"),
+        # whether a quoted cell goes on in the next line, for each delimiter that the file may have
+        F.array(*[F.bool_or(opens_cell(F.col("line"), d)) for d in DELIMITERS]).alias("opens"),
     )
     return top.join(valid, "file").withColumn("first_line", F.col("head")[0])
 
@@ -80,26 +84,59 @@ def decoded(line: Column | str, is_utf8: Column | str) -> Column:
     return F.regexp_replace(text, "^﻿", "")
 
 
+def _quoted(delimiter: str) -> str:
+    return "\\" + delimiter if delimiter == "|" else delimiter
+
+
+def _by_delimiter(delimiter: Column, of: Callable[[str], Column]) -> Column:
+    """`of` for the delimiter of the row; patterns have to be constants."""
+    out = F.when(delimiter == DELIMITERS[0], of(DELIMITERS[0]))
+    for d in DELIMITERS[1:]:
+        out = out.when(delimiter == d, of(d))
+    return out
+
+
 def split_cells(line: Column, delimiter: Column) -> Column:
-    """Cells of a delimited line; quoted cells may hold the delimiter and doubled quotes."""
+    """Cells of a delimited record; quoted cells may hold the delimiter, doubled quotes and line breaks.
+
+    A quote opens a cell only as its first character; text after the closing quote belongs to the cell as it is.
+    """
+
+    def value(x: Column) -> Column:
+        inner = F.substring(x, F.lit(2), F.length(x) - 2)
+        plain = F.endswith(x, F.lit('"')) & (F.length(x) > 1) & ~F.contains(F.replace(inner, F.lit('""')), F.lit('"'))
+        part = lambda i: F.regexp_extract(x, r'(?s)^"([^"]*+(?:""[^"]*+)*+)"?(.*)$', i)
+        odd = F.concat(F.replace(part(1), F.lit('""'), F.lit('"')), part(2))
+        return F.when(F.startswith(x, F.lit('"')), F.when(plain, F.replace(inner, F.lit('""'), F.lit('"'))).otherwise(odd)).otherwise(x)
 
     def cells(d: str) -> Column:
-        q = "\\" + d if d == "|" else d
+        q = _quoted(d)
         # each match starts at a delimiter, so none is empty; no group repeats per character
-        pattern = rf'{q}(\s*"[^"]*+(?:""[^"]*+)*+"|[^{q}]*+)'
-        raw = F.regexp_extract_all(F.concat(F.lit(d), line), F.lit(pattern), 1)
-        return F.transform(
-            raw,
-            lambda x: F.when(
-                F.startswith(x, F.lit('"')) & F.endswith(x, F.lit('"')) & (F.length(x) > 1),
-                F.replace(F.substring(x, F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"')),
-            ).otherwise(x),
-        )
+        pattern = rf'{q}("[^"]*+(?:""[^"]*+)*+(?:"[^{q}]*+)?|[^{q}]*+)'
+        return F.transform(F.regexp_extract_all(F.concat(F.lit(d), line), F.lit(pattern), 1), value)
 
-    out = F.when(delimiter == DELIMITERS[0], cells(DELIMITERS[0]))
-    for d in DELIMITERS[1:]:
-        out = out.when(delimiter == d, cells(d))
-    return out
+    return _by_delimiter(delimiter, cells)
+
+
+OPEN = r'"[^"]*+(?:""[^"]*+)*+$'
+
+
+def _cells_before(d: str) -> str:
+    """Whole cells, each with the delimiter behind it."""
+    q = _quoted(d)
+    return rf'(?:(?:"[^"]*+(?:""[^"]*+)*+"[^{q}]*+|[^"{q}][^{q}]*+|){q})*+'
+
+
+def opens_cell(line: Column, d: str) -> Column:
+    """A line that begins outside of quotes ends within a quoted cell."""
+    return F.contains(line, F.lit('"')) & line.rlike(rf"^{_cells_before(d)}{OPEN}")
+
+
+def stays_open(line: Column, d: str) -> Column:
+    """A line that begins within a quoted cell ends within one: the same or a later one."""
+    q = _quoted(d)
+    closed = rf'^[^"]*+(?:""[^"]*+)*+"[^{q}]*+{q}{_cells_before(d)}{OPEN}'
+    return ~F.contains(line, F.lit('"')) | line.rlike(r'^[^"]*+(?:""[^"]*+)*+$') | line.rlike(closed)
 
 
 def _numbered(kept: DataFrame) -> DataFrame:
@@ -134,11 +171,22 @@ def _unioned(spark: SparkSession, parts: list[DataFrame]) -> DataFrame:
 
 
 def with_headers(heads: DataFrame, delimiter: str | None = None) -> DataFrame:
-    """Delimiter and header cells of delimited files."""
+    """Delimiter and header cells of delimited files, and whether their cells run over lines."""
     found = F.lit(delimiter) if delimiter else detect_delimiter(F.col("head"))
-    return heads.withColumn("delimiter", found).select(
+    described = heads.withColumn("delimiter", found)
+
+    def first_record(d: str) -> Column:
+        """The first of the head lines, and those after it as long as a cell is open."""
+        grown = F.aggregate(
+            "head", F.lit(None).cast("string"),
+            lambda text, line: F.when(text.isNull(), line).when(opens_cell(text, d), F.concat(text, F.lit("\n"), line)).otherwise(text))
+        return F.when(F.col("opens")[DELIMITERS.index(d)], grown).otherwise(F.col("first_line"))
+
+    described = described.withColumn("first", _by_delimiter(F.col("delimiter"), first_record))
+    return described.select(
         "file", "is_utf8", "delimiter",
-        F.transform(split_cells(F.col("first_line"), F.col("delimiter")), lambda h: F.trim(h)).alias("header"),
+        F.transform(split_cells(F.col("first"), F.col("delimiter")), lambda h: F.trim(h)).alias("header"),
+        _by_delimiter(F.col("delimiter"), lambda d: F.col("opens")[DELIMITERS.index(d)]).alias("over_lines"),
     )
 
 
@@ -184,32 +232,114 @@ def parse_delimited(spark: SparkSession, files: DataFrame) -> DataFrame:
     return _unioned(spark, parts)
 
 
-def split_records(text: Column, delimiter: Column) -> Column:
-    """Records of a whole delimited text; a quoted cell may run over several lines."""
+def _line_states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Add to the lines of each split what holds before them if the split begins outside or within a quoted cell.
 
-    def records(d: str) -> Column:
-        q = "\\" + d if d == "|" else d
-        cell = rf'(?:[^\S\n]*+"[^"]*+(?:""[^"]*+)*+"[^{q}\n]*+|[^{q}\n]*+)'
-        return F.regexp_extract_all(text, F.lit(rf"(?m)^({cell}(?:{q}{cell})*+)"), 1)
-
-    out = F.when(delimiter == DELIMITERS[0], records(DELIMITERS[0]))
-    for d in DELIMITERS[1:]:
-        out = out.when(delimiter == d, records(d))
-    return out
+    A line maps the state before it (0 outside, 1 within) to the one after it: `opens` gives it for 0, `stays` for 1.
+    Lines for which both agree fix the state, lines that keep or swap it are counted from there on.
+    """
+    place, state, count = None, [0, 1], [0, 0]
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        file, block = batch.column("file"), batch.column("block")
+        new = np.ones(n, bool)
+        new[1:] = pc.or_(
+            pc.not_equal(file.slice(1), file.slice(0, n - 1)), pc.not_equal(block.slice(1), block.slice(0, n - 1))
+        ).to_numpy(zero_copy_only=False)
+        opens = batch.column("opens").to_numpy(zero_copy_only=False).astype(np.int8)
+        stays = batch.column("stays").to_numpy(zero_copy_only=False).astype(np.int8)
+        blank = batch.column("blank").to_numpy(zero_copy_only=False)
+        within = np.zeros((2, n), np.int8)
+        record = np.zeros((2, n), np.int64)
+        starts = np.flatnonzero(new).tolist()
+        for a, b in zip(starts, [*starts[1:], n]):
+            here = (file[a].as_py(), block[a].as_py())
+            if here != place:
+                place, state, count = here, [0, 1], [0, 0]
+            o, s = opens[a:b], stays[a:b]
+            swaps = np.cumsum((o == 1) & (s == 0))
+            fixed = np.maximum.accumulate(np.where(o == s, np.arange(b - a), -1))
+            for k in (0, 1):
+                after = np.where(fixed >= 0, o[fixed] ^ ((swaps - swaps[fixed]) & 1), state[k] ^ (swaps & 1))
+                before = np.concatenate(([state[k]], after[:-1]))
+                begun = count[k] + np.cumsum((before == 0) & ~(blank[a:b] & (after == 0)))
+                within[k, a:b], record[k, a:b] = before, begun
+                state[k], count[k] = int(after[-1]), int(begun[-1])
+        yield pa.RecordBatch.from_arrays(
+            [file, block, batch.column("text"), batch.column("seq"), batch.column("opens"), batch.column("stays"), batch.column("blank"),
+             pa.array(within[0] == 1), pa.array(within[1] == 1), pa.array(record[0]), pa.array(record[1])],
+            ["file", "block", "text", "seq", "opens", "stays", "blank", "within0", "within1", "record0", "record1"])
+
+
+LINE_STATES = (
+    "file string, block long, text string, seq long, opens boolean, stays boolean, blank boolean, "
+    "within0 boolean, within1 boolean, record0 long, record1 long")
+
+
+def _placed_lines(lines: DataFrame) -> DataFrame:
+    """(file, seq, text, record, within, ends_within, blank) of lines (file, block, text, delimiter) in their order in splits.
+
+    Every split is read on its own for both states it may begin in.  One row for each split then tells, from the first
+    split of a file to the last, which of them holds and how many records lie before.
+    """
+    d = F.col("delimiter")
+    text = F.col("text")
+    bare = _by_delimiter(d, lambda x: text.rlike(rf'^[\s"{_quoted(x)}]*+$'))
+    marked = lines.select(
+        "file", "block", "text", F.monotonically_increasing_id().alias("seq"), _by_delimiter(d, lambda x: opens_cell(text, x)).alias("opens"),
+        _by_delimiter(d, lambda x: stays_open(text, x)).alias("stays"), (bare & ~has_content(split_cells(text, d))).alias("blank"))
+    states = marked.mapInArrow(_line_states, LINE_STATES)
+
+    def ends(k: int) -> Column:
+        return F.when(F.col(f"within{k}"), F.col("stays")).otherwise(F.col("opens"))
+
+    last = F.max_by(F.struct(
+        ends(0).cast("int").alias("out0"), ends(1).cast("int").alias("out1"), F.col("record0"), F.col("record1")), "seq")
+    splits = states.groupBy("file", "block").agg(last.alias("s")).select("file", "block", "s.*")
+    order = W.partitionBy("file").orderBy("block")
+    earlier = order.rowsBetween(W.unboundedPreceding, -1)
+    # out0 = out1 fixes the state behind a split; out0 > out1 swaps it
+    swaps = F.sum(F.when(F.col("out0") > F.col("out1"), 1).otherwise(0)).over(order)
+    splits = splits.withColumn("swaps", swaps).withColumn(
+        "fix", F.when(F.col("out0") == F.col("out1"), F.struct("block", "out0", "swaps")))
+    past = splits.withColumn("fixed", F.max("fix").over(earlier)).withColumn("swapped", F.coalesce(F.lag("swaps").over(order), F.lit(0)))
+    begin = F.coalesce(F.col("fixed.out0"), F.lit(0)).bitwiseXOR(
+        ((F.col("swapped") - F.coalesce(F.col("fixed.swaps"), F.lit(0))) % 2).cast("int"))
+    known = past.withColumn("begin", begin).withColumn(
+        "own", F.when(F.col("begin") == 1, F.col("record1")).otherwise(F.col("record0")))
+    offsets = cut_lineage(known.select("file", "block", "begin", F.coalesce(F.sum("own").over(earlier), F.lit(0)).alias("offset")))
+    if offsets.count() <= BROADCAST_SPLITS:  # a row for each split
+        offsets = F.broadcast(offsets)
+    at1 = F.col("begin") == 1
+    within = F.when(at1, F.col("within1")).otherwise(F.col("within0"))
+    return states.join(offsets, ["file", "block"]).select(
+        "file", "block", "seq", "text", within.alias("within"),
+        F.when(within, F.col("stays")).otherwise(F.col("opens")).alias("ends_within"), "blank",
+        (F.col("offset") + F.when(at1, F.col("record1")).otherwise(F.col("record0"))).alias("record"))
 
 
 def parse_multiline(spark: SparkSession, files: DataFrame) -> DataFrame:
-    """Rows of delimited files that may have quoted cells over several lines: each file is read whole."""
+    """Rows of delimited files whose quoted cells run over lines, each split read by a task of its own.
+
+    Only the lines of records that have several are brought together, also those of a record that lies in two splits.
+    A cell that is never closed runs to the end of its file.  A record of several lines with nothing but white space is
+    left off, but counts in the row numbers.
+    """
     parts = []
     for paths, known in _file_groups(files):
-        text = F.regexp_replace("text", "\r\n?", "\n")
-        rows = read_documents(spark, paths).join(F.broadcast(known), "file").withColumn(
-            "records", F.filter(
-                split_records(text, F.col("delimiter")), lambda r: has_content(split_cells(r, F.col("delimiter"))))
-        ).select("file", "header", "delimiter", F.posexplode("records").alias("before", "record"))
-        parts.append(delimited_rows(
-            rows.withColumn("cells", split_cells(F.col("record"), F.col("delimiter"))).withColumn("position", F.col("before") + 1)
-        ))
+        known = F.broadcast(known)
+        lines = spark.read.text(paths).select(
+            F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("line"))
+        lines = lines.join(known, "file").select("file", "block", "delimiter", decoded("line", "is_utf8").alias("text"))
+        placed = _placed_lines(lines)
+        single = placed.where("not within and not ends_within and not blank").select("file", "record", "text")
+        several = placed.where("within or ends_within").groupBy("file", "record").agg(
+            F.array_sort(F.collect_list(F.struct("block", "seq", "text"))).alias("lines")
+        ).select("file", "record", F.array_join(F.col("lines.text"), "\n").alias("text"))
+        rows = single.unionByName(several).join(known, "file").withColumn("cells", split_cells(F.col("text"), F.col("delimiter")))
+        parts.append(delimited_rows(rows.where(has_content("cells")).withColumnRenamed("record", "position")))
     return _unioned(spark, parts)
 
 
@@ -320,8 +450,9 @@ def read_submissions(
     parts = []
     if format in ("auto", "csv"):
         files = heads.where(F.col("format") == "csv")
-        for odd, parse in ((False, parse_delimited), (True, parse_multiline)):
-            parts.append(parse(spark, with_headers(files.where(F.col("odd_quotes") == odd), delimiter)))
+        described = cut_lineage(with_headers(files, delimiter))
+        for over_lines, parse in ((False, parse_delimited), (True, parse_multiline)):
+            parts.append(parse(spark, described.where(F.col("over_lines") == over_lines).drop("over_lines")))
     if format in ("auto", "json"):
         files = heads.where(F.col("format") == "json")
         by_line = files.where(F.col("layout") == "lines").select("file", "is_utf8")
