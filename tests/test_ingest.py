@@ -1,5 +1,6 @@
 import csv
 import io
+import json
 import random
 from datetime import datetime
 
@@ -147,6 +148,76 @@ def test_json_layouts(spark, tmp_path):
     assert len(broken) == 2 and broken[1].data["id"] == "2"
 
 
+def small_splits(spark, size):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+
+
+def plain_splits(spark):
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+WRAPPERS = ["records", "data", "events", "items", "alerts"]
+
+
+def made_value(rng, depth=0):
+    kind = rng.randrange(7 if depth < 3 else 4)
+    if kind == 0:
+        return rng.choice([None, True, 5, -2.5])
+    if kind < 4:
+        return "".join(rng.choice(['a', '"', "\\", "}", "{", "[", "]", ",", "é", "\n", '\\"', " "]) for _ in range(rng.randint(0, 8)))
+    if kind == 4:
+        return [made_value(rng, depth + 1) for _ in range(rng.randint(0, 3))]
+    return {rng.choice(["id", "x}y", "alerts", "k" * 9]) + str(i): made_value(rng, depth + 1) for i in range(rng.randint(0, 4))}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_split_json_documents(spark, tmp_path, seed):
+    """Documents cut into many splits, within strings, nested values and between arrays, against the json module."""
+    rng = random.Random(seed)
+    folder = tmp_path / "in"
+    documents = {}
+    for i in range(8):
+        items = [made_value(rng, 1) if rng.random() < 0.2 else {"id": str(n), "v": made_value(rng)} for n in range(rng.choice([0, 1, 40]))]
+        other = {"meta": made_value(rng), "nested": {"alerts": [1, 2]}, "list": [made_value(rng) for _ in range(9)]}
+        more = [made_value(rng) for _ in range(6)]
+        documents[f"{i}.json"] = [
+            items, {**other, "alerts": items}, {"events": more, **other, "data": items, "alerts": more}, {"alerts": "none", **other}][i % 4]
+    for name, document in documents.items():
+        text = json.dumps(document, ensure_ascii=rng.random() < 0.5, indent=rng.choice([None, 1]))
+        write(folder / name, text + rng.choice(["", "\n", " \n"]))
+    broken = {"b0.json": '[{"id": "1"},\n{"id": "2"}', "b1.json": '[\n{"id": "1"},,{"id": "2"}]', "b2.json": '{"alerts": [{"id": "1"}]} x',
+              "b3.json": '[{"id": "1"},]', "b4.json": '{"alerts": [{"id": 01}]}', "b5.json": '[{"id": "1"]}'}
+    for name, text in broken.items():
+        write(folder / name, text)
+    small_splits(spark, 64)
+    try:
+        got = read_submissions(spark, str(folder), "json").collect()
+    finally:
+        plain_splits(spark)
+    for name, document in documents.items():
+        rows = sorted((r for r in got if r.file.endswith("/" + name)), key=lambda r: r.row_index)
+        wrapped = next((document[k] for k in WRAPPERS if isinstance(document.get(k), list)), None) if isinstance(document, dict) else document
+        want = [document] if wrapped is None else wrapped
+        assert [r.row_index for r in rows] == list(range(1, len(want) + 1)), name
+        assert [json.loads(r.raw_text) for r in rows] == want, name
+        assert [r.is_corrupted for r in rows] == [not isinstance(w, dict) for w in want]
+    for name in broken:
+        assert any(r.is_corrupted for r in got if r.file.endswith("/" + name)), name
+
+
+def test_no_document_is_read_whole(spark, tmp_path):
+    path = write(tmp_path / "big.json", "[" + ",\n".join(f'{{"id": "{i}", "t": "a}}b"}}' for i in range(5000)) + "]")
+    small_splits(spark, 8192)
+    try:
+        df = read_submissions(spark, path)
+        assert df.count() == 5000 and "wholetext" not in df._jdf.queryExecution().toString().lower()
+        assert df.where((F.col("data")["id"].cast("long") + 1 == F.col("row_index")) & (F.col("data")["t"] == "a}b")).count() == 5000
+    finally:
+        plain_splits(spark)
+
+
 def test_mixed_folder(spark, tmp_path):
     write(tmp_path / "in" / "a.csv", "id,x\n1,2\n")
     write(tmp_path / "in" / "b.json", '[{"id": "j"}]')

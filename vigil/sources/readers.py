@@ -25,6 +25,7 @@ from vigil.functions.scalars import c
 from vigil.schema import EVENT_COLUMNS, of_type
 from vigil.session import cut_lineage
 from vigil.sources.formats import DELIMITERS, detect_delimiter, detect_format
+from vigil.sources.json_items import NO_ITEMS, REST, ROOT, cut_items
 
 PARSED_COLUMNS = ("file", "row_index", "data", "is_corrupted", "corruption_reason", "raw_text")
 # Fixed values.
@@ -385,47 +386,43 @@ def json_rows(numbered: DataFrame) -> DataFrame:
     )
 
 
-def read_documents(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Whole JSON documents, one row per file (a single document cannot be split)."""
-    return spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_path").alias("file"),
-        F.trim(F.regexp_replace(
-            F.when(F.is_valid_utf8("value"), F.col("value")).otherwise(F.decode(F.col("value").cast("binary"), "ISO-8859-1")),
-            "^﻿", "",
-        )).alias("text"),
-    )
-
-
-def parse_json_documents(documents: DataFrame) -> DataFrame:
-    """Rows of JSON arrays, wrapper objects and single objects."""
-    v = F.try_parse_json("text")
-    parsed = documents.withColumn("v", v).where(F.col("v").isNotNull())
-    is_array = F.startswith(F.schema_of_variant("v"), F.lit("ARRAY"))
+def parse_json_documents(spark: SparkSession, files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of JSON arrays, wrapper objects and single objects (files: file, is_utf8, first_line; stored), and the files
+    that are no well-formed documents, which have no rows here.
 
-    def wrapped(key: str) -> Column:
-        inner = F.try_variant_get("v", f"$.{key}", "variant")
-        return F.when(F.startswith(F.schema_of_variant(inner), F.lit("ARRAY")), inner)
-
-    inner = F.coalesce(*[wrapped(k) for k in WRAPPER_KEYS])
-    items = F.try_variant_get(
-        F.when(is_array, F.col("v")).when(inner.isNotNull(), inner), "$", "array<variant>"
-    )
-    single = F.array(F.col("v"))
-    exploded = parsed.select(
-        "file",
-        F.when(is_array, "Array item is not a JSON object").otherwise("Wrapped item is not a JSON object").alias("reason"),
-        F.posexplode(F.coalesce(items, single)).alias("pos", "item"),
-    )
-    text = F.to_json("item")
-    is_object = F.startswith(F.schema_of_variant("item"), F.lit("OBJECT"))
-    return exploded.select(
-        "file",
-        (F.col("pos") + 1).cast("bigint").alias("row_index"),
-        F.when(is_object, object_map(text)).otherwise(F.create_map(F.lit("raw_value"), text)).alias("data"),
-        (~F.coalesce(is_object, F.lit(False))).alias("is_corrupted"),
-        F.when(~F.coalesce(is_object, F.lit(False)), F.col("reason")).alias("corruption_reason"),
-        text.alias("raw_text"),
-    )
+    A document is well formed if all its items are, and what is left of it without them.
+    """
+    first = F.substring(F.trim("first_line"), 1, 1)
+    level = F.when(first == "[", 1).when(first == "{", 2).otherwise(NO_ITEMS).alias("level")
+    parts, broken = [], files.select("file", "is_utf8").limit(0)
+    for paths, known in _file_groups(files):
+        cut = cut_items(spark, paths, known.select("file", "is_utf8", level), WRAPPER_KEYS)
+        # white space that isn't JSON's makes an item unsound, as it does a document
+        text = F.regexp_replace(F.when(F.col("key") == REST, F.regexp_replace("text", "^﻿", "")).otherwise(F.col("text")), r"^[ \t\r\n]+|[ \t\r\n]+$", "")
+        cut = cut.withColumn("text", text)
+        item = (F.col("key") != REST)
+        empty = item & (F.col("text") == "")
+        unsound = ~empty & ~_is_value(F.col("text"))
+        arrays = cut.groupBy("file", "is_utf8", "key").agg(
+            F.count("*").alias("n"), F.count_if(empty).alias("empty"), F.bool_or(unsound).alias("unsound"))
+        per_file = cut_lineage(arrays.groupBy("file", "is_utf8").agg(
+            F.min(F.when(F.col("key") != REST, F.col("key"))).alias("chosen"),
+            F.bool_or(F.col("unsound") | ((F.col("empty") > 0) & (F.col("n") > 1))).alias("broken")))
+        broken = broken.unionByName(per_file.where("broken").select("file", "is_utf8"))
+        sound = F.broadcast(per_file.where("not broken").select("file", F.coalesce("chosen", F.lit(REST)).alias("key")))
+        rows = cut.join(sound, ["file", "key"]).where("text != ''").withColumn("v", F.try_parse_json("text"))
+        written = F.to_json("v")
+        is_object = F.coalesce(F.startswith(F.schema_of_variant("v"), F.lit("OBJECT")), F.lit(False))
+        reason = F.when(F.col("key") == ROOT, "Array item is not a JSON object").otherwise("Wrapped item is not a JSON object")
+        parts.append(rows.select(
+            "file",
+            F.when(F.col("key") == REST, 1).otherwise(F.col("item") + 1).cast("bigint").alias("row_index"),
+            F.when(is_object, object_map(written)).otherwise(F.create_map(F.lit("raw_value"), written)).alias("data"),
+            (~is_object).alias("is_corrupted"),
+            F.when(~is_object, reason).alias("corruption_reason"),
+            written.alias("raw_text"),
+        ))
+    return _unioned(spark, parts), broken
 
 
 def json_layout(heads: DataFrame) -> DataFrame:
@@ -456,14 +453,9 @@ def read_submissions(
     if format in ("auto", "json"):
         files = heads.where(F.col("format") == "json")
         by_line = files.where(F.col("layout") == "lines").select("file", "is_utf8")
-        whole = [read_documents(spark, paths) for paths, _ in _file_groups(files.where(F.col("layout") == "document"))]
-        if whole:
-            documents = whole[0]
-            for more in whole[1:]:
-                documents = documents.unionByName(more)
-            broken = documents.where(F.try_parse_json("text").isNull()).select("file")
-            by_line = cut_lineage(by_line.unionByName(files.join(broken, "file", "left_semi").select("file", "is_utf8")))
-            parts.append(parse_json_documents(documents))
+        documents, broken = parse_json_documents(spark, files.where(F.col("layout") == "document").select("file", "is_utf8", "first_line"))
+        parts.append(documents)
+        by_line = cut_lineage(by_line.unionByName(broken))
         parts.append(parse_json_lines(spark, by_line))
     out = _unioned(spark, parts)
     return out.select(*PARSED_COLUMNS)
