@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vigil.operators.graph import connected
 from vigil.session import cut_lineage
 
 
-MATCH_ROUNDS = 8  # rounds of mutual first choices before the fold
-
-
 def _candidates(detections: DataFrame, truth: DataFrame) -> DataFrame:
     """(code, det, det_order, gt, preference): a shared evidence id, else an id named in the text."""
     refs = truth.select(
@@ -38,48 +39,31 @@ def match_findings(detections: DataFrame, truth: DataFrame) -> DataFrame:
     """One-to-one matches (code, det, gt): findings in id order each take their preferred free anomaly.
 
     detections: code, finding_id, refs, text.  truth: code, truth_id, truth_order, evidence_ids.
-    In every round a pair is settled when the anomaly is the finding's first remaining choice and the
-    finding is the first remaining one for the anomaly; the settled rows leave.  Pairs exist only where
-    ids agree, so rounds shrink a relation the size of the planted truth.  What MATCH_ROUNDS leave, chains of
-    findings that wait for each other, is settled by one ordered fold a rule code.
+    A choice only depends on findings that can take the same anomalies, directly or through others: the pairs of
+    each connected component of the graph of findings and anomalies are read in order by one task, which holds the
+    anomalies that are taken, and no more.
     """
     pairs = cut_lineage(_candidates(detections, truth))
-    settled = []
-    for _ in range(MATCH_ROUNDS):
-        if pairs.isEmpty():
-            break
-        best = pairs.groupBy("code", "det").agg(F.min("preference").alias("preference"))
-        first = pairs.groupBy("code", "gt").agg(F.min("det").alias("det"))
-        done = cut_lineage(
-            best.select("code", "det", F.col("preference.gt").alias("gt")).join(first, ["code", "gt", "det"])
-        )
-        settled.append(done.select("code", "det", "gt"))
-        pairs = cut_lineage(
-            pairs.join(done.select("code", "det"), ["code", "det"], "left_anti").join(
-                done.select("code", "gt"), ["code", "gt"], "left_anti"
-            )
-        )
-    out = _folded_matches(pairs)
-    for part in settled:
-        out = out.unionByName(part)
-    return out
-
-
-def _folded_matches(pairs: DataFrame) -> DataFrame:
-    """The same choice, finding by finding, over one array of the remaining pairs of each code."""
-    ordered = F.array_sort(F.collect_list(F.struct("det", "preference"))).alias("pairs")
-    empty = F.array().cast("array<struct<det:string,gt:string>>")
-
-    def step(taken, pair):
-        free = ~F.exists(taken, lambda t: (t["det"] == pair["det"]) | (t["gt"] == pair["preference"]["gt"]))
-        new = F.struct(pair["det"].cast("string").alias("det"), pair["preference"]["gt"].cast("string").alias("gt"))
-        return F.when(free, F.array_append(taken, new)).otherwise(taken)
-
-    return (
-        pairs.groupBy("code").agg(ordered)
-        .select("code", F.explode(F.aggregate("pairs", empty, step)).alias("m"))
-        .select("code", "m.det", "m.gt")
-    )
+    found, planted = F.concat_ws("\u0001", "code", F.lit("d"), "det"), F.concat_ws("\u0001", "code", F.lit("g"), "gt")
+    named = connected(pairs.select(found.alias("a"), planted.alias("b")))
+    dealt = pairs.join(named, found == F.col("node")).select("component", "code", "det", "preference.*")
+    ordered = dealt.repartition("component").sortWithinPartitions("component", "det", "via", "gt_order", "gt")
+    return ordered.select("component", "code", "det", "gt").mapInArrow(_settled, "code string, det string, gt string")
+
+
+def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The matches among pairs in the order of component, finding and preference."""
+    component, settled, taken = None, None, set()
+    for batch in batches:
+        out = []
+        for here, code, det, gt in zip(*(batch.column(n).to_pylist() for n in ("component", "code", "det", "gt"))):
+            if here != component:
+                component, settled, taken = here, None, set()
+            if det != settled and gt not in taken:
+                settled = det
+                taken.add(gt)
+                out.append((code, det, gt))
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.string()) for i in range(3)], ["code", "det", "gt"])
 
 
 def _share(part: Column, whole: Column) -> Column:
