@@ -2,14 +2,17 @@ from __future__ import annotations
 
 import os
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from vigil.llm import language_id
 from vigil.llm.language_id import LanguageModel, Training, calibrate, fit, identify, keep_identified, softmax, train, training_rows
 from vigil.llm.neighbours import Graph, nearest
+from vigil.llm.words import PLACE, mix
 
 SF = "/root/testdata/sf0.01"
 SMALL = Training(docs_per_language=150, epochs=6)
@@ -69,7 +72,7 @@ def test_the_least_score_rejects_few_right_rows_but_unsure_ones():
     labels = np.arange(400) % 4
     shares = 0.25 * rng.uniform(0, 0.6, 400)[:, None] * np.ones(4)
     shares[np.arange(400), labels] += 1 - shares.sum(1)
-    model = LanguageModel(list("abcd"), np.eye(4, dtype=np.float32), np.zeros(4), Training())
+    model = LanguageModel(list("abcd"), np.eye(4, dtype=np.float32), np.eye(4), np.zeros(4), Training())
     calibrate(model, [(np.arange(4), share) for share in shares], labels)
     score = softmax(shares / model.temperature)
     assert 0 < (score.max(1) < model.least_score).sum() <= 4 or model.least_score == score.max(1).min()
@@ -130,3 +133,81 @@ def test_copies_ties_and_unusable_vectors(spark):
     assert [v for _, v, _ in got[3000]] == [3010]
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert nearest(empty, F.col("vec_id") % 10 == 0).count() == 0
+
+
+def plain_probabilities(model, text):
+    """The average over all subwords, one after another."""
+    o = model.options
+    runs = "".join(c if c.isalpha() else " " for c in (text or "").lower()).split()
+    total, n = np.zeros(model.embedding.shape[1]), 0
+    for run in runs:
+        word = f"<{run}>"
+        for size in range(o.shortest, o.longest + 1):
+            for i in range(len(word) - size + 1):
+                code = np.zeros(1, np.uint64)
+                for j, c in enumerate(word[i : i + size]):
+                    code += np.uint64(ord(c)) * PLACE[j + 1]
+                total += model.embedding[int(mix(code + np.uint64(size))[0] % np.uint64(o.buckets))]
+                n += 1
+    if not n:
+        return np.zeros(len(model.languages))
+    logits = (total / n @ model.layer + model.bias) / model.temperature
+    return softmax(logits[None, :])[0]
+
+
+def made_model(languages):
+    rng = np.random.default_rng(languages)
+    o = Training()
+    return LanguageModel([f"l{i:03d}" for i in range(languages)], rng.normal(size=(o.buckets, o.size)).astype(np.float32),
+                         rng.normal(size=(o.size, languages)), rng.normal(size=languages), o)
+
+
+def test_scores_are_plain_sums_over_subwords(monkeypatch):
+    model = made_model(7)
+    rng = random.Random(3)
+    texts = [" ".join("".join(rng.choice("abcéßжñ") for _ in range(rng.randint(1, 12))) for _ in range(rng.randint(0, 30))) for _ in range(25)]
+    texts += [None, "", "12 ½ ² Ⅷ ①", "x" * 300 + " y", "ÄÖÜ, don't_stop4me", "½abc²def"]
+    want = np.array([plain_probabilities(model, t) for t in texts])
+    assert np.allclose(model.probabilities(texts), want, atol=1e-9)
+    monkeypatch.setattr(language_id, "TOGETHER", 40)
+    monkeypatch.setattr(language_id, "HASHED", 16)
+    monkeypatch.setattr(language_id, "REMEMBERED", 30)
+    assert np.allclose(made_model(7).probabilities(texts), want, atol=1e-9)
+
+
+def test_numerals_are_no_letters():
+    model = made_model(3)
+    assert not model.probabilities(["½", "²³", "Ⅷ ⅷ", "①", "٣", "_", "5"]).any()
+    assert (model.probabilities(["Ω", "語", "ª", "ǅ"]).sum(1) > 0.99).all()
+
+
+@pytest.mark.parametrize(("languages", "text"), [(100, "word"), (4, "long"), (4, "run")])
+def test_memory_of_long_texts_and_many_languages(languages, text):
+    """Peak of what Python and numpy hold: the text a few times, and 100 MB."""
+    rng = random.Random(1)
+    if text == "run":
+        whole = "x" * 10_000_000
+    else:
+        whole = " ".join("".join(rng.choices("abcdefghij", k=7)) for _ in range(20_000 if text == "word" else 1_250_000))
+    model = made_model(languages)
+    tracemalloc.start()
+    try:
+        assert model.probabilities([whole]).sum() == pytest.approx(1)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 150e6 + 8 * len(whole)
+
+
+def test_all_languages_are_learned_from_a_bounded_sample(spark):
+    rows = [(i, f"w{i % 250}x " * 20, f"l{i % 250:03d}") for i in range(2500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    options = Training(docs_per_language=3, sample_chars=250 * 250, epochs=1)
+    sample = training_rows(docs, F.lit(True), options)
+    assert len({lang for _, lang, _ in sample}) == 250 and sum(len(t) for t, _, _ in sample) <= 250 * 250
+
+
+def test_ties_below_the_best(spark):
+    rows = [(0, [1.0, 0.0]), (1, [4.0, 0.0])] + [(i, [2.0 ** (i % 7), 2.0 ** (i % 7)]) for i in range(40, 20, -1)]
+    recall, got, want = compared(spark, rows, 5, Graph())
+    assert [v for _, v, _ in got[0]] == [1, 21, 22, 23, 24]

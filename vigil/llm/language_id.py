@@ -3,9 +3,10 @@
 A text is the average of the embeddings of its subwords (letter n-grams of every word with its borders, hashed to
 buckets); one linear layer and a softmax give the languages.  Training takes a bounded sample of labelled rows on
 the driver (`docs_per_language`, texts of at most `max_chars`); a part of the sample is held back to calibrate
-the softmax temperature and the score below which a prediction is rejected.  Since everything before the softmax
-is linear, the trained layers fold into one table of language scores a bucket, which goes to the workers (its
-size is buckets x languages).  Whole texts are scored, and a worker hashes each distinct run of letters once.
+the softmax temperature and the score below which a prediction is rejected.  All languages of the labelled rows are
+learned; `sample_chars` bounds the characters of the sample, shared out evenly.  The embeddings and the layer go to
+the workers.  Whole texts are scored in stretches, and a worker hashes each distinct run of letters once; what it holds
+grows neither with the length of a text nor with subwords times languages.
 
 Edge cases: a text that is null or has no letter gets language `und`, score 0 and is rejected; without any labelled
 row the model knows no language and answers `und` for all; rows with a null language are never learned from;
@@ -16,12 +17,14 @@ added here must not exist before (ValueError).
 from __future__ import annotations
 
 import re
+import sys
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,9 +33,13 @@ from vigil.llm.words import PLACE, mix
 
 UNKNOWN = "und"
 ADDED = ("lang_pred", "score", "accepted")
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Numerals that Python's `\\w` takes for word characters, though they are neither letters nor decimal digits.
+NUMERALS = "".join(c for c in map(chr, range(0x80, sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+LETTERS = re.compile(rf"[^\W\d_{NUMERALS}]+")
 #: Runs of letters that a worker remembers before it forgets all of them.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
+#: Characters that are looked at together: of texts, and of new runs of letters.
+TOGETHER, HASHED = 1 << 18, 1 << 15
 
 
 @dataclass(frozen=True)
@@ -40,7 +47,7 @@ class Training:
     """Bounds and rates of the training."""
 
     docs_per_language: int = 400
-    max_languages: int = 200
+    sample_chars: int = 32_000_000
     max_chars: int = 20_000
     buckets: int = 1 << 15
     size: int = 16
@@ -58,12 +65,13 @@ class Training:
 @dataclass
 class LanguageModel:
     languages: list[str]
-    scores: np.ndarray  # buckets x languages
+    embedding: np.ndarray  # buckets x size
+    layer: np.ndarray  # size x languages
     bias: np.ndarray
     options: Training
     temperature: float = 1.0
     least_score: float = 0.0
-    #: Rows of `vectors` by word: what a worker remembers; not sent to others.
+    #: Rows of `vectors` by run of letters: what a worker remembers; not sent to others.
     known: dict[str, int] = field(default_factory=dict, repr=False)
     vectors: np.ndarray | None = field(default=None, repr=False)
 
@@ -71,56 +79,114 @@ class LanguageModel:
         return {**self.__dict__, "known": {}, "vectors": None}
 
     def remember(self, runs: set[str]) -> None:
-        """Sum the language scores of the subwords of new runs of letters; the last column is the number of subwords."""
+        """Sum the embeddings of the subwords of new runs of letters; the last column is the number of subwords."""
         new = list(runs - self.known.keys())
         if len(self.known) + len(new) > REMEMBERED:
-            self.known, self.vectors, new = {}, None, list(runs)
-        ids, row = subwords(new, self.options)
-        ends = np.searchsorted(row, np.arange(len(new) + 1))
-        sums = np.concatenate((np.zeros((1, len(self.languages))), np.cumsum(self.scores[ids], 0, dtype=float)))
-        rows = np.column_stack((sums[ends[1:]] - sums[ends[:-1]], np.diff(ends)))
-        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
-        self.vectors = rows if self.vectors is None else np.concatenate((self.vectors, rows))
+            self.known, new = {}, list(runs)
+        stop = len(self.known) + len(new)
+        if self.vectors is None or stop > len(self.vectors):
+            grown = np.zeros((max(stop, 2 * len(self.known), 1024), self.embedding.shape[1] + 1))
+            if self.known:
+                grown[: len(self.known)] = self.vectors[: len(self.known)]
+            self.vectors = grown
+        own = self.vectors[len(self.known) : stop]
+        own[:] = 0
+        for part in pieces_of(new, self.options):
+            ids, row = subwords(*part, self.options)
+            if len(ids):
+                first = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
+                own[row[first], :-1] += np.add.reduceat(self.embedding[ids], first, dtype=float)
+                own[row[first], -1] += np.diff(np.append(first, len(row)))
+        self.known.update(zip(new, range(len(self.known), stop)))
 
     def probabilities(self, texts: list[str | None]) -> np.ndarray:
         """Calibrated probabilities of the languages; a row of zeros if a text has no letter."""
-        width = len(self.languages)
-        out = np.zeros((len(texts), width))
-        runs = [LETTERS.findall((text or "").lower()) for text in texts]
-        flat = list(chain.from_iterable(runs))
-        if not flat or not width:
-            return out
-        self.remember(set(flat))
-        at = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
-        full = np.array([len(w) for w in runs])
-        some = np.flatnonzero(full)
-        total = np.add.reduceat(self.vectors[at], (np.cumsum(full) - full)[some])
-        out[some] = softmax((total[:, :-1] / total[:, -1:] + self.bias) / self.temperature)
+        total = np.zeros((len(texts), self.embedding.shape[1] + 1))
+        for places, parts in together(texts):
+            runs = [LETTERS.findall(part.lower()) for part in parts]
+            flat = list(chain.from_iterable(runs))
+            if flat:
+                self.remember(set(flat))
+                at = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
+                full = np.array([len(w) for w in runs])
+                some = np.flatnonzero(full)
+                sums = np.add.reduceat(self.vectors[at], (np.cumsum(full) - full)[some])
+                np.add.at(total, np.array(places)[some], sums)
+        out = np.zeros((len(texts), len(self.languages)))
+        some = np.flatnonzero(total[:, -1])
+        if len(some) and self.languages:
+            out[some] = softmax((total[some, :-1] / total[some, -1:] @ self.layer + self.bias) / self.temperature)
         return out
 
 
+def stretches(text: str) -> Iterator[str]:
+    """A long text in parts that end before a character that is no letter; a run of letters is never cut."""
+    at, gap = 0, re.compile(r"[\W\d_]")
+    while len(text) - at > TOGETHER:
+        stop = gap.search(text, at + TOGETHER)
+        if stop is None:
+            break
+        yield text[at : stop.start()]
+        at = stop.start()
+    yield text[at:] if at else text
+
+
+def together(texts: list[str | None]) -> Iterator[tuple[list[int], list[str]]]:
+    """Stretches of texts with the places of their texts, some `TOGETHER` characters at a time."""
+    places, parts, size = [], [], 0
+    for place, text in enumerate(texts):
+        for part in stretches(text or ""):
+            places.append(place)
+            parts.append(part)
+            size += len(part)
+            if size > TOGETHER:
+                yield places, parts
+                places, parts, size = [], [], 0
+    if parts:
+        yield places, parts
+
+
+def pieces_of(runs: list[str], options: Training) -> Iterator[tuple[list[str], list[int], list[int]]]:
+    """Runs of letters with their borders, in groups of bounded size: strings, how many places of each begin a subword, and
+    the place of its run in the list.  A long run comes in parts that overlap by the longest subword."""
+    parts, starts, rows, size = [], [], [], 0
+    for row, run in enumerate(runs):
+        whole = f"<{run}>"
+        for at in range(0, len(whole), HASHED):
+            parts.append(whole[at : at + HASHED + options.longest - 1])
+            starts.append(min(HASHED, len(whole) - at))
+            rows.append(row)
+            size += len(parts[-1])
+            if size > HASHED:
+                yield parts, starts, rows
+                parts, starts, rows, size = [], [], [], 0
+    if parts:
+        yield parts, starts, rows
+
+
 def softmax(x: np.ndarray) -> np.ndarray:
     e = np.exp(x - x.max(1, keepdims=True))
     return e / e.sum(1, keepdims=True)
 
 
-def subwords(runs: list[str], options: Training) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the letter n-grams of runs of letters with their borders, and the run of each, in order."""
-    codes = np.frombuffer("".join([f"<{run}>" for run in runs]).encode("utf-32-le"), np.uint32).astype(np.uint64)
-    length = np.array([len(run) + 2 for run in runs], np.int64)
-    row = np.repeat(np.arange(len(runs)), length)
-    left = np.repeat(np.cumsum(length), length) - np.arange(len(codes))  # characters up to the end of the run
-    found, rows = [], []
+def subwords(parts: list[str], starts: list[int], rows: list[int], options: Training) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the letter n-grams that begin at the first `starts` places of each part, and its row, in order."""
+    codes = np.frombuffer("".join(parts).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    length = np.array([len(part) for part in parts], np.int64)
+    row = np.repeat(np.array(rows, np.int64), length)
+    left = np.repeat(np.cumsum(length), length) - np.arange(len(codes))  # characters up to the end of the part
+    own = np.repeat(length - np.array(starts, np.int64), length)
+    found, of = [], []
     total = np.zeros(len(codes), np.uint64)
     for n in range(1, options.longest + 1):
         total[: len(codes) - n + 1] += codes[n - 1 :] * PLACE[n]
         if n >= options.shortest:
-            inside = left >= n
+            inside = (left >= n) & (left > own)
             found.append((mix(total[inside] + np.uint64(n)) % np.uint64(options.buckets)).astype(np.int64))
-            rows.append(row[inside])
-    ids, rows = np.concatenate(found), np.concatenate(rows)
-    order = np.argsort(rows, kind="stable")
-    return ids[order], rows[order]
+            of.append(row[inside])
+    ids, row = np.concatenate(found), np.concatenate(of)
+    order = np.argsort(row, kind="stable")
+    return ids[order], row[order]
 
 
 def fold(doc_id: str = "doc_id") -> Column:
@@ -129,35 +195,41 @@ def fold(doc_id: str = "doc_id") -> Column:
 
 
 def training_rows(docs: DataFrame, allowed: Column, options: Training) -> list[tuple[str, str, bool]]:
-    """(text, lang, held back for calibration) of a bounded sample of the allowed rows, the same in every run."""
+    """(text, lang, held back for calibration) of a bounded sample of the allowed rows, the same in every run.
+
+    Every language has its share of `sample_chars`, and its rows are taken in the order of a hash.
+    """
     rows = docs.where(allowed & F.col("lang").isNotNull() & F.col("text").isNotNull())
     short = F.length("text") <= options.max_chars
-    counts = (
-        rows.groupBy("lang").agg(F.count("*").alias("count"), F.count_if(short).alias("short"))
-        .orderBy(F.desc("count"), "lang").limit(options.max_languages).collect())
-    if not counts:
+    counts = rows.groupBy("lang").agg(F.count("*").alias("count"), F.count_if(short).alias("short"))
+    languages = counts.count()
+    if not languages:
         return []
     order = F.xxhash64(F.lit(options.seed), F.col("doc_id"))
     share = F.pmod(order, F.lit(1_000_000)) / 1_000_000
     # a language of long texts only is learned from their beginnings
-    wanted = [(r["lang"], r["short"] > 0, min(1.0, 1.3 * options.docs_per_language / (r["short"] or r["count"]))) for r in counts]
-    chosen = F.lit(False)
-    for lang, has_short, part in wanted:
-        chosen = chosen | ((F.col("lang") == lang) & (share < part) & (short if has_short else F.lit(True)))
-    bound = 2 * options.docs_per_language * len(wanted)
-    picked = (
-        rows.where(chosen).select(F.substring("text", 1, options.max_chars).alias("text"), "lang", (fold() == 0).alias("back"), order.alias("at"))
-        .orderBy("at", "text").limit(bound).collect())
-    return [(r["text"], r["lang"], bool(r["back"])) for r in picked]
+    has_short = F.col("short") > 0
+    part = (1.3 * options.docs_per_language + 20) / F.when(has_short, F.col("short")).otherwise(F.col("count"))
+    wanted = counts.select("lang", has_short.alias("has_short"), part.alias("part"))
+    picked = rows.join(wanted, "lang").where((share < F.col("part")) & (short | ~F.col("has_short"))).select(
+        F.substring("text", 1, options.max_chars).alias("text"), "lang", (fold() == 0).alias("back"), order.alias("at"))
+    by_language = Window.partitionBy("lang").orderBy("at", "text")
+    chars = F.sum(F.length("text")).over(by_language.rowsBetween(Window.unboundedPreceding, -1))
+    picked = picked.withColumn("rank", F.row_number().over(by_language)).withColumn("chars", F.coalesce(chars, F.lit(0)))
+    picked = picked.where((F.col("rank") <= 2 * options.docs_per_language) & (
+        (F.col("rank") == 1) | (F.col("chars") + F.length("text") <= options.sample_chars // languages)))
+    return [(r["text"], r["lang"], bool(r["back"])) for r in picked.orderBy("at", "text").collect()]
 
 
 def bags(texts: list[str], options: Training) -> list[tuple[np.ndarray, np.ndarray]]:
     """Distinct buckets of each text with their shares."""
     out = []
     for text in texts:
-        ids, _ = subwords(LETTERS.findall(text.lower()), options)
-        at, n = np.unique(ids, return_counts=True)
-        out.append((at, n / max(1, n.sum())))
+        counts = np.zeros(options.buckets)
+        for part in pieces_of(LETTERS.findall(text.lower()), options):
+            counts += np.bincount(subwords(*part, options)[0], minlength=options.buckets)
+        at = np.flatnonzero(counts)
+        out.append((at, counts[at] / max(1, counts.sum())))
     return out
 
 
@@ -195,7 +267,7 @@ def train(sample: list[tuple[str, str, bool]], options: Training = Training()) -
             layer -= rate * hidden.T @ error
             bias -= 0.1 * rate * error.sum(0)
             np.add.at(embedding, at, -rate * options.embedding_rate * share[:, None] * down[row])
-    model = LanguageModel(languages, (embedding @ layer).astype(np.float32), bias, options)
+    model = LanguageModel(languages, embedding.astype(np.float32), layer, bias, options)
     held = np.flatnonzero(full & back) if (full & back).any() else own
     if len(held):
         calibrate(model, [data[i] for i in held], labels[held])
@@ -204,7 +276,7 @@ def train(sample: list[tuple[str, str, bool]], options: Training = Training()) -
 
 def calibrate(model: LanguageModel, data: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> None:
     """The temperature of least log loss, and the least score at which the accepted rows err seldom enough."""
-    logits = np.array([share @ model.scores[at] for at, share in data]) + model.bias
+    logits = np.array([share @ model.embedding[at] for at, share in data]) @ model.layer + model.bias
     rows = np.arange(len(labels))
     loss = [(-np.log(softmax(logits / t)[rows, labels] + 1e-12).mean(), t) for t in np.geomspace(0.02, 5, 60)]
     model.temperature = float(min(loss)[1])
