@@ -21,12 +21,14 @@ import os
 import re
 import unicodedata
 from collections import Counter
+from collections.abc import Callable
 from functools import lru_cache
 from hashlib import sha256
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
@@ -36,18 +38,22 @@ from tokenizers import Tokenizer
 
 from vigil.llm.shared import most_frequent, shared_file, stored, text_slices
 
-#: Chunks whose ids a worker remembers before it forgets all of them.
-REMEMBERED = 300_000
+#: Characters (and 8 for each entry) of what a worker remembers before a generation is let go.
+REMEMBERED = 4_000_000
+#: Pieces that a task counts before it hands the counts on.
+COUNTED = 300_000
 #: Words of more bytes are merged one by one.
 LONG = 64
 #: White space of the vocabulary's rules: U+001C to U+001F are symbols there, unlike to Python.
 ODD_BLANK = re.compile(r"[^\S\x1c-\x1f]+")
 #: The same split of texts up to U+0557 without underscores, for Python's faster `re`; only for the known pattern.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-FAST_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_\xb2\xb3\xb9\xbc-\xbe]+|[\d\xb2\xb3\xb9\xbc-\xbe]|[^\w\s]+")
+FAST_SPLIT = re.compile(r"[^\W\d_\xb2\xb3\xb9\xbc-\xbe]+|'(?:s|t|re|ve|m|ll|d)|[\d\xb2\xb3\xb9\xbc-\xbe]|[^\w\s]+")
 SLOW = re.compile(r"[\x1c-\x1f_]")
 #: Beyond these code points the tokenizers library tells letters and cases by its own Unicode version.
 OLD = re.compile(r"[^\x00-\x1b\x20-\u0557]")
+#: What is not normalised together with others: those, symbols of the library's rules, line breaks and the capital sigma.
+ODD = re.compile(r"[^\x00-\x09\x0b-\x1b\x20-\x5e\x60-\u03a2\u03a4-\u0557]")
 END = "</w>"
 
 
@@ -105,6 +111,22 @@ class Vocabulary:
             text = text.lower()
         return (self.piece if SLOW.search(text) else self.fast).findall(text)
 
+    def all_pieces(self, stretches: list[str]) -> list[list[str]]:
+        """The pieces of stretches without special tokens or white space; plain ones are normalised together."""
+        out: list[list[str]] = [[]] * len(stretches)
+        plain = []
+        for i, text in enumerate(stretches):
+            if ODD.search(text):
+                out[i] = self.pieces(text)
+            else:
+                plain.append(i)
+        # a line break composes with nothing, and no rule of lower case looks across it
+        whole = unicodedata.normalize("NFC", "\n".join([stretches[i] for i in plain])).lower()
+        find = self.fast.findall
+        for i, text in zip(plain, whole.split("\n")):
+            out[i] = [text] if text.isalpha() else find(text)
+        return out
+
     def _odd_pieces(self, chunk: str) -> list[str]:
         """The same for text without white space, with the library's own tables of letters and cases if needed."""
         if not OLD.search(chunk):
@@ -309,46 +331,92 @@ class Lexicon:
         return out
 
 
+def distinct_stretches(column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The distinct stretches of texts without ASCII white space, their numbers in order, and where texts begin and end."""
+    cut = pc.ascii_split_whitespace(pc.fill_null(column, ""))
+    ends = np.cumsum(np.concatenate(([0], pc.list_value_length(cut).to_numpy(zero_copy_only=False))))
+    numbered = pc.dictionary_encode(cut.flatten())
+    names = numbered.dictionary.to_numpy(zero_copy_only=False).tolist()
+    return names, numbered.indices.to_numpy(zero_copy_only=False), ends
+
+
 class Encoder:
-    """Ids of whole texts; remembers the ids of pieces, and forgets those that two fillings have not used."""
+    """Ids of whole texts; remembers those of pieces and of stretches without ASCII white space, and forgets what two
+    fillings have not used.
+
+    No rule before the merges sees across white space, so the ids of a text are those of its stretches, one after another.
+    Arrow cuts the texts and numbers the distinct stretches of a batch; Python sees each of these once.
+    """
 
     def __init__(self, words: Vocabulary, lexicon: Lexicon | None):
+        if any(re.search(r"[ \t-\r]", name) for name in words.special):
+            raise ValueError("a special token with white space")
         self.words, self.lexicon = words, lexicon
         self.kind = words.kind
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.pieces, self.stretches = Memory(), Memory()
+        self.marks = {name: np.array([number], self.kind).tobytes() for name, number in words.special.items()}
 
-    def resolve(self, pieces: list[str]) -> None:
-        """Remember the ids of new pieces: from the lexicon, else by merging."""
-        raw = [p.encode() for p in pieces]
+    def of_pieces(self, new: list[str]) -> list[bytes]:
+        """The ids of new pieces: from the lexicon, else by merging."""
+        raw = [p.encode() for p in new]
         found = self.lexicon.find(raw) if self.lexicon else [None] * len(raw)
         unseen = [i for i, x in enumerate(found) if x is None]
         for i, ids in zip(unseen, self.words.merge([raw[i] for i in unseen])):
             found[i] = ids
-        self.known.update(zip(pieces, found))
-
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        return found
+
+    def of_stretches(self, new: list[str]) -> list[bytes]:
+        """The ids of new stretches, which may have special tokens in them."""
+        cut = self.words.all_pieces(new)
+        names = list(set(chain.from_iterable(cut)))
+        if self.words.split.search("\n".join(new)):
+            for i, stretch in enumerate(new):
+                if self.words.split.search(stretch):
+                    parts = self.words.split.split(stretch)
+                    # a special token is told from the piece of the same letters by a blank, which no piece has
+                    cut[i] = list(chain.from_iterable([x + " "] if x in self.marks else self.words.pieces(x) for x in parts))
+                    names += cut[i]
+            names = list(set(names) - {x + " " for x in self.marks})
+        known = dict(zip(names, self.pieces.look_up(names, self.of_pieces)))
+        known.update((x + " ", ids) for x, ids in self.marks.items())
+        return [known[x[0]] if len(x) == 1 else b"".join(map(known.__getitem__, x)) for x in cut]
+
+    def encode(self, texts: list[str | None] | pa.Array) -> list[np.ndarray]:
         """The ids of each text."""
-        cut: list[list[str]] = []
-        for text in texts:
-            if text and any(s in text for s in self.words.special):
-                parts = []
-                for part in self.words.split.split(text):
-                    parts += [part.upper()] if part in self.words.special else self.words.pieces(part)
-                cut.append(parts)
-            else:
-                cut.append(self.words.pieces(text) if text else [])
-        new = set().union(*cut)
-        if len(self.known) > REMEMBERED:
-            self.known, self.older = {}, self.known
-        fresh = new - self.known.keys()
-        again = fresh & self.older.keys()
-        self.known.update((x, self.older[x]) for x in again)
-        for name, number in self.words.special.items():  # in capitals, which no piece has
-            self.known[name.upper()] = np.array([number], self.kind).tobytes()
-        self.resolve([x for x in fresh - again if x not in self.known])
-        look = self.known.__getitem__
-        return [np.frombuffer(b"".join(map(look, parts)), self.kind) for parts in cut]
+        names, at, ends = distinct_stretches(pa.array(texts, pa.string()) if isinstance(texts, list) else texts)
+        ids = self.stretches.look_up(names, self.of_stretches)
+        flat = np.frombuffer(b"".join(ids), self.kind)
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // flat.itemsize
+        n = size[at]
+        last = np.concatenate(([0], np.cumsum(n)))
+        shift = (np.cumsum(size) - size)[at] - last[:-1]
+        narrow = np.int32 if max(last[-1], len(flat)) < 1 << 31 else np.int64
+        whole = flat[np.repeat(shift.astype(narrow), n) + np.arange(last[-1], dtype=narrow)]
+        return [whole[a:b] for a, b in zip(last[ends[:-1]].tolist(), last[ends[1:]].tolist())]
+
+
+class Memory:
+    """Packed ids by string, in two generations of a bounded number of characters."""
+
+    def __init__(self):
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.size = 0
+
+    def look_up(self, names: list[str], make: Callable[[list[str]], list[bytes]]) -> list[bytes]:
+        """The ids of distinct strings; those that are not remembered are made."""
+        if self.size > REMEMBERED:
+            self.known, self.older, self.size = {}, self.known, 0
+        found = list(map(self.known.get, names))
+        lost = [i for i, x in enumerate(found) if x is None]
+        for i in lost:
+            found[i] = self.older.get(names[i])
+        fresh = [i for i in lost if found[i] is None]
+        for i, ids in zip(fresh, make([names[i] for i in fresh]) if fresh else ()):
+            found[i] = ids
+        self.known.update((names[i], found[i]) for i in lost)
+        self.size += sum(len(names[i]) + 8 for i in lost)
+        return found
 
 
 def frequent_words(docs: DataFrame, path: str, size: int) -> list[bytes]:
@@ -365,9 +433,12 @@ def frequent_words(docs: DataFrame, path: str, size: int) -> list[bytes]:
             return made
 
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                counts.update(words.pieces(text or ""))
-                if len(counts) > REMEMBERED:
+            for part in text_slices(batch, "text"):
+                names, at, _ = distinct_stretches(part.column("text"))
+                for pieces, n in zip(words.all_pieces(names), np.bincount(at, minlength=len(names)).tolist()):
+                    for piece in pieces:
+                        counts[piece] += n
+                if len(counts) > COUNTED:
                     yield emit()
         yield emit()
 
@@ -404,7 +475,7 @@ def encode(docs: DataFrame, path: str, lexicon: str | None, column: str = "ids",
         own = encoder(path, lexicon)
         for batch in batches:
             for part in text_slices(batch, text):
-                ids = [x.tobytes() for x in own.encode(part.column(text).to_pylist())]
+                ids = [x.tobytes() for x in own.encode(part.column(text))]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.binary())], [*names, column])
 
     return docs.mapInArrow(add, schema)

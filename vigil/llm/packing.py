@@ -99,7 +99,7 @@ def tokenised(docs: DataFrame, path: str, options: Packing, lexicon: str | None
         curve = Curve(len(own.words.tokens), options)
         for batch in batches:
             for part in text_slices(batch, "text"):
-                ids = own.encode(part.column("text").to_pylist())
+                ids = own.encode(part.column("text"))
                 yield pa.RecordBatch.from_arrays([
                     part.column("doc_id"), pa.array(curve.keys(ids), pa.int64()),
                     pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())],
