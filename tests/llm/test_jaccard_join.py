@@ -3,11 +3,13 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from vigil.llm.components import components
 from vigil.llm.jaccard_join import Block, Join, keep_one, near_groups
+from vigil.llm.words import Words, windows
 
 
 def sets_of(text):
@@ -47,6 +49,24 @@ def test_groups_equal_brute_force(edge_docs, no_docs):
     assert near_groups(no_docs).count() == 0
 
 
+def test_shingles_of_one_set_with_one_number(spark):
+    """Two shingles of a set that are cut to one number must not cost the set its links (exactly 75 percent here)."""
+    names = [f"w{i}" for i in range(1_200_000)]
+    hashes = windows(Words(pa.array([" ".join(names)]), lower=True).hashes(), 5)
+    order = np.argsort(hashes)
+    number = hashes[order] >> np.uint64(28)  # 4 bits of cells and 32 bits in a small corpus
+    same = np.flatnonzero(number[1:] == number[:-1])
+    rows = []
+    for i, at in enumerate(same[:4].tolist()):
+        a, b = int(order[at]), int(order[at + 1])
+        both = names[a : a + 5] + names[b : b + 5]
+        rows += [(10 * i, " ".join(both)), (10 * i + 1, " ".join([*both, f"x{i}", f"y{i}"])), (10 * i + 5, " ".join(both[:5] + [f"z{i}"] * 5))]
+    assert len(rows) >= 9
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    check(docs, Join())
+    assert {r.doc_id: r.component_id for r in near_groups(docs).collect()}[11] == 10
+
+
 def test_large_regions_in_chunks(spark):
     """Chains of near copies, more than a leaf, with frequent shingles, so that all rounds have work."""
     rng = random.Random(3)

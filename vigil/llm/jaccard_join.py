@@ -68,6 +68,8 @@ class Join:
 
 WIDE, SMALL, ODD = 0, 1, 2
 CROWDED = 1 << 30
+#: Cells from here down tell which sets have fewer numbers than shingles.
+FEWER = -(1 << 40)
 
 
 def least_overlap(n: np.ndarray | int, percent: int):
@@ -137,8 +139,9 @@ PACKED = np.dtype([("low", "<u4"), ("name", "<i8")])
 def shared_shingles(docs: DataFrame, total: int, options: Join) -> DataFrame:
     """(name, tier, number, sets): every shingle of a tier that at least two sets of it have; stored.
 
-    A shingle's number is its hash shortened to a cell of the hash range and 32 bits, and the tier; two shingles of
-    one number count as one, which can only bring more documents together.  Cells grow in number with the corpus.
+    A shingle's number is its hash shortened to a cell of the hash range and 32 bits, and the tier.  Two shingles of one
+    number count as one; where they are of one set, a row with 0 `sets` tells in `number` how many numbers the set
+    has less than shingles, so that its numbers are compared with its numbers.  Cells grow in number with the corpus.
     """
     bits = max(4, int(total // 1_000_000).bit_length())
 
@@ -178,6 +181,7 @@ def shared_shingles(docs: DataFrame, total: int, options: Join) -> DataFrame:
 
     def scatter(batches):
         held, size, seen = [], 0, set()
+        fewer: list[tuple[int, int, int]] = []
         for batch in batches:
             for part in text_slices(batch, "text"):
                 for own in shingle_sets(part.column("text"), options.k):
@@ -188,18 +192,31 @@ def shared_shingles(docs: DataFrame, total: int, options: Join) -> DataFrame:
                     for tier in tiers(len(own), wide, options):
                         held.append((short_name(whole), tier, own[:wide] if tier == WIDE else own))
                         size += len(held[-1][2])
+                        numbers = held[-1][2] >> np.uint64(32 - bits)  # in order
+                        if (less := int((numbers[1:] == numbers[:-1]).sum())):
+                            fewer.append((short_name(whole), tier, less))
                 if size > options.flush:
                     yield emit(held)
                     held, size, seen = [], 0, set()
+                if fewer:
+                    yield told(fewer)
+                    fewer.clear()
         if size:
             yield emit(held)
 
+    def told(fewer: list[tuple[int, int, int]]) -> pa.RecordBatch:
+        """How many numbers sets lack, below the cells of crowded shingles."""
+        rows = [np.array([((tier << 62) | less, name)], ENTRY).tobytes() for name, tier, less in fewer]
+        cells = [FEWER - (name & ((1 << bits) - 1)) for name, _, _ in fewer]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(cells, pa.int64()), pa.array([False] * len(rows), pa.bool_()), pa.array(rows, pa.binary())], ["cell", "mark", "rows"])
+
     def meet(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         cell = int(key[0])
         if cell < 0:
             rows = np.unique(np.frombuffer(b"".join(frame["rows"]), ENTRY))
             number, name = rows["number"], rows["name"]
-            times = np.full(len(rows), CROWDED)
+            times = np.full(len(rows), CROWDED if cell > FEWER else 0)
         else:
             rows = np.unique(np.frombuffer(b"".join(frame["rows"][~frame["mark"]]), PACKED))
             marked = np.unique(np.frombuffer(b"".join(frame["rows"][frame["mark"]]), PACKED)["low"])
@@ -221,8 +238,12 @@ def regions(shared: DataFrame, classes: DataFrame, options: Join) -> DataFrame:
     sized = classes.select(name_of("digest").alias("name"), "n", "wide")
     # all but so many of a set's shingles are in a linked set, and so are all but so many of a tier's
     spare = F.col("n") - F.floor((options.percent * F.col("n") + 99) / 100)
-    whole = F.when(F.col("tier") == WIDE, F.col("wide")).otherwise(F.col("n"))
-    counts = shared.groupBy("name", "tier").agg(F.count("*").alias("common")).join(sized, "name")
+    # the numbers of a set, which are fewer than its shingles if several have one
+    low = F.col("number").bitwiseAND((1 << 62) - 1)
+    fewer = F.coalesce(F.max(F.when(F.col("sets") == 0, low)), F.lit(0))
+    counts = shared.groupBy("name", "tier").agg(F.count_if(F.col("sets") > 0).alias("common"), fewer.alias("fewer")).join(sized, "name")
+    whole = F.when(F.col("tier") == WIDE, F.col("wide")).otherwise(F.col("n")) - F.col("fewer")
+    shared = shared.where("sets > 0")
     able = stored(
         counts.where(F.col("common") >= F.greatest(F.lit(1), whole - spare))
         .select("name", "tier", (spare + 1 - (whole - F.col("common"))).alias("left")).where("left > 0"), "able")
@@ -373,8 +394,10 @@ def links(docs: DataFrame, classes: DataFrame, total: int, options: Join) -> Dat
     sized = near.join(sets.select(F.col("name").alias("member"), "n"), "member")
     whole = sized.groupBy("pivot").agg(F.count("*").alias("size"), F.sum("n").alias("shingles"))
     chunks = F.greatest(F.ceil(F.col("size") / options.leaf), F.ceil(F.col("shingles") / options.leaf_shingles))
-    # regions of several chunks: few enough rows of (pivot, chunks)
-    dealt = stored(sized.select("pivot", "member").join(whole.select("pivot", chunks.cast("int").alias("chunks")), "pivot"), "dealt")
+    # only regions of several chunks have to be told to their members: few rows, sent to all tasks up to a counted bound
+    several = stored(whole.select("pivot", chunks.cast("int").alias("several")).where("several > 1"), "large-regions")
+    dealt = stored(sized.select("pivot", "member").join(checked_broadcast(several), "pivot", "left").select(
+        "pivot", "member", F.coalesce("several", F.lit(1)).alias("chunks")), "dealt")
     chunk = F.pmod(F.xxhash64("member"), F.col("chunks")).cast("int")
     first = dealt.select("pivot", "member", "chunks", chunk.alias("chunk"))
     task = F.concat_ws(":", F.col("pivot").cast("string"), F.col("chunk").cast("string"))
@@ -393,9 +416,10 @@ def links(docs: DataFrame, classes: DataFrame, total: int, options: Join) -> Dat
         F.col("name").alias("member"), F.coalesce("component", "digest").alias("component"))
     placed = stored(first.where("chunks > 1").join(named, "member"), "placed")
     sizes = placed.groupBy("pivot", "component").agg(F.count("*").alias("size"))
-    most = sizes.groupBy("pivot").agg(F.max_by("component", F.struct("size", "component")).alias("main"))
-    rest = placed.join(most, "pivot").where("component != main")
-    widths = rest.groupBy("pivot").agg(F.ceil(F.count("*") / options.leaf).cast("int").alias("blocks"))
+    most = stored(sizes.groupBy("pivot").agg(F.max_by("component", F.struct("size", "component")).alias("main")), "main-components")
+    rest = placed.join(checked_broadcast(most), "pivot").where("component != main")
+    widths = checked_broadcast(stored(
+        rest.groupBy("pivot").agg(F.ceil(F.count("*") / options.leaf).cast("int").alias("blocks")), "widths"))
     rest = rest.join(widths, "pivot").withColumn("block", F.pmod(F.xxhash64("member", F.lit(1)), F.col("blocks")).cast("int"))
     name = F.concat_ws(":", F.col("pivot").cast("string"), F.col("chunk").cast("string"), F.col("block").cast("string"))
     body = placed.join(widths, "pivot").select(
