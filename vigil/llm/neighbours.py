@@ -228,7 +228,9 @@ def search(graphs: DataFrame, queries: DataFrame, k: int, options: Graph) -> Dat
                     near = found[row][found[row] >= 0]
                     score = (whole[near] @ part[row]) / (size[near] * own[at + row])
                     name = names[at + row]
-                    best = np.argsort(-score, kind="stable")[: k + 1 + int((score == score.max()).sum())]
+                    # one of the nodes may be the query's own: all that reach the score of the one after the k-th, ties too
+                    least = -np.partition(-score, min(k, len(score) - 1))[min(k, len(score) - 1)] if len(score) else 0.0
+                    best = np.flatnonzero(score >= least)
                     rows = sorted((-score[b], v) for b in best.tolist() for v in ids[near[b]] if v != name)[:k]
                     out["query_id"] += [name] * len(rows)
                     out["score"] += [-s for s, _ in rows]
