@@ -28,7 +28,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vigil.llm.shared import stored
+from vigil.llm.shared import checked_broadcast, stored
 
 #: Kinds of base spans in their order, then the method's.
 KINDS = ("email", "ip", "card", "phone")
@@ -194,7 +194,8 @@ def revealing(near: DataFrame, counts: DataFrame, options: Disclosure) -> DataFr
     """(entity, term, disclosure) of the pairs that reach a threshold; stored."""
     per_text = near.groupBy("entity", "term", "key").agg(F.sum("copies").alias("n"))
     pairs = per_text.groupBy("entity", "term").agg(F.sum("n").alias("together"), F.count("*").alias("texts"))
-    around = near.groupBy("entity").agg(F.sum("copies").alias("around"))
+    # a row for each entity; the pairs of a frequent group stay where they are unless there are very many entities
+    around = checked_broadcast(stored(near.groupBy("entity").agg(F.sum("copies").alias("around")), "around"))
     total = counts.agg(F.sum("n").alias("total"))
     rows = pairs.where(F.col("texts") >= options.texts).join(around, "entity").join(counts, "term").crossJoin(F.broadcast(total))
     information = -F.log(F.col("around") / F.col("total"))
