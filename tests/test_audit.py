@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from vigil.functions.canonical import EMPTY_DIGEST
 from vigil.operators.manifest import build_manifests, latest_manifests, verify_manifests
+from vigil.sources import snapshots
+from vigil.sources.sinks import SCORES, append_scores, replace_by_entity
+from vigil.sources.snapshots import read_table
 from vigil.operators.merkle import composite_root, merkle_roots, root_of_array
 
 
@@ -87,13 +90,69 @@ def test_sorted_once_variant(spark, tail):
     assert {r.k: r.root for r in got} == want
 
 
-def test_rerun_drops_entities_without_rows(spark, tmp_path):
-    from vigil.sources.sinks import replace_by_entity
+ROWS = "entity_id string, n long"
+
+
+def held(spark, root):
+    return {(r.entity_id, r.n) for r in read_table(spark, root, "findings", ROWS).collect()}
 
-    path = str(tmp_path / "findings")
-    rows = spark.createDataFrame([("a/b", 1), ("c", 2), ("d", 3)], "entity_id string, n long")
+
+def test_rerun_drops_entities_without_rows(spark, tmp_path):
+    root = str(tmp_path / "store")
+    rows = spark.createDataFrame([("a/b", 1), ("c", 2), ("d", 3)], ROWS)
     seen = rows.select("entity_id")
-    replace_by_entity(rows, path, seen)
-    replace_by_entity(rows.where("entity_id = 'd'").withColumn("n", F.lit(9).cast("long")), path, seen.where("entity_id != 'c'"))
-    back = spark.read.schema(rows.schema).parquet(path)
-    assert {(r.entity_id, r.n) for r in back.collect()} == {("c", 2), ("d", 9)}
+    assert held(spark, root) == set()
+    replace_by_entity(rows, root, "findings", seen)
+    replace_by_entity(rows.where("entity_id = 'd'").withColumn("n", F.lit(9).cast("long")), root, "findings", seen.where("entity_id != 'c'"))
+    assert held(spark, root) == {("c", 2), ("d", 9)}
+    replace_by_entity(rows.where("entity_id = 'c'"), root, "findings")
+    replace_by_entity(rows.limit(0), root, "findings", seen.where("entity_id = 'd'"))
+    assert held(spark, root) == {("c", 2)}
+
+
+def test_a_run_that_fails_changes_nothing(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "store")
+    rows = spark.createDataFrame([("a", 1), ("b", 2)], ROWS)
+    replace_by_entity(rows, root, "findings")
+    changed = rows.withColumn("n", F.col("n") + 10)
+    both = {"findings": snapshots.Change(changed, rows), "more": snapshots.Change(changed, rows)}
+
+    def broken(*_):
+        raise OSError("lost")
+
+    # after the rows and before the commit; then with the rows of the second table
+    with monkeypatch.context() as m:
+        m.setattr(snapshots, "publish", broken)
+        with pytest.raises(OSError):
+            snapshots.commit(root, both)
+    bad = changed.select("entity_id", F.raise_error(F.lit("lost")).cast("long").alias("n"))
+    with pytest.raises(Exception, match="lost"):
+        snapshots.commit(root, {**both, "more": snapshots.Change(bad, rows)})
+    assert held(spark, root) == {("a", 1), ("b", 2)} and read_table(spark, root, "more", ROWS).count() == 0
+    snapshots.commit(root, both)
+    assert held(spark, root) == {("a", 11), ("b", 12)} and read_table(spark, root, "more", ROWS).count() == 2
+
+
+def test_the_slower_of_two_runs_fails(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "store")
+    rows = spark.createDataFrame([("a", 1)], ROWS)
+    publish = snapshots.publish
+
+    def late(*args):
+        with monkeypatch.context() as m:
+            m.setattr(snapshots, "publish", publish)
+            replace_by_entity(rows, root, "findings")
+        publish(*args)
+
+    with monkeypatch.context() as m:
+        m.setattr(snapshots, "publish", late)
+        with pytest.raises(snapshots.Conflict):
+            replace_by_entity(rows.withColumn("n", F.lit(5).cast("long")), root, "findings")
+    assert held(spark, root) == {("a", 1)}
+
+
+def test_added_rows(spark, tmp_path):
+    root = str(tmp_path / "store")
+    for n in (1, 2):
+        append_scores(spark.createDataFrame([("a", n)], ROWS), root)
+    assert {(r.entity_id, r.n) for r in read_table(spark, root, SCORES, ROWS).collect()} == {("a", 1), ("a", 2)}

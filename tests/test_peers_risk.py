@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 from vigil.functions.scalars import risk_tier, trend
 from vigil.operators import peers as pr
 from vigil.operators.risk import composite
-from vigil.plans.analyze import analyze, persist_run
+from vigil.plans.analyze import FINDINGS, analyze, persist_run
+from vigil.sources.sinks import SCORES
+from vigil.sources.snapshots import read_table
 
 SNAPSHOT = "entity_id string, sector string, size_tier string, mtti_minutes double, escalation_rate double, stale_case_ratio double, coverage_gap_ratio double, execution_gap_rate double"
 
@@ -96,8 +98,9 @@ def test_full_run_persists_and_repeats(spark, make_events, tmp_path):
     for _ in range(2):
         run = analyze(events, entities, PERIOD)
         persist_run(run, out)
-    assert spark.read.parquet(f"{out}/execution_gaps").count() == run.gaps.count() == 3
-    assert spark.read.parquet(f"{out}/risk_scores").count() == 2  # a time series, one row per run
+    stored = {name: read_table(spark, out, name, "entity_id string") for name in (*FINDINGS, SCORES)}
+    assert stored["execution_gaps"].count() == run.gaps.count() == 3
+    assert stored[SCORES].count() == 2  # a time series, one row per run
     score = run.scores.first()
     assert score.composite_risk_score > 0 and score.rationale_summary.startswith("Composite Risk Score")
     assert run.cards.count() == run.gaps.count() + run.absences.count()

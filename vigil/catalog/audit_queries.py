@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vigil.catalog.families import EVENTS_PERIOD, alerts, cases, entities, table, tag, with_sql
-from vigil.catalog.ingest_queries import NOW, raw_rows, staging
+from vigil.catalog.ingest_queries import NOW, RAW, raw_rows, staging
 from vigil.catalog.peer_queries import peer_events
 from vigil.catalog.registry import query
 from vigil.catalog.view_queries import SCORES, score_history, submissions
@@ -18,7 +18,8 @@ from vigil.operators.views import page
 from vigil.operators.validation import quarantine_summary, quarantined_rows, validate
 from vigil.plans.analyze import analyze, persist_run, run_counts
 from vigil.sources.readers import read_events
-from vigil.sources.sinks import append_events, append_quarantine, dump_quarantine, replace_by_entity, write_manifests
+from vigil.sources.sinks import QUARANTINE, append_events, append_quarantine, dump_quarantine, replace_by_entity, write_manifests
+from vigil.sources.snapshots import read_table
 
 # recursion over lists: each step sorts the digests and hashes neighbours
 TREE = """tree AS (SELECT k, list(lower(h)) AS l FROM leaf GROUP BY k
@@ -281,7 +282,8 @@ def full_run(spark, sf):
 def stored(spark, sf):
     path = staging(spark, "events")
     append_events(alerts(spark, sf), path)
-    back = spark.read.schema(alerts(spark, sf).schema).parquet(path)
+    append_events(alerts(spark, sf).limit(0), path)
+    back = read_events(spark, path)
     return back.groupBy("entity_id", "dataset_type").agg(F.count("*").alias("rows"), F.count_distinct("event_id").alias("events"))
 
 
@@ -313,22 +315,44 @@ def replaced(spark, sf):
     """A rerun replaces an entity's rows: entities 4 to 6 have none any more, and the run did not look at entity 3."""
     path = staging(spark, "findings")
     rows = cases(spark, sf).select("entity_id", "event_id", "status")
-    replace_by_entity(rows.withColumn("status", F.when(F.col("entity_id") == "3", F.col("status")).otherwise("STALE")), path)
+    stale = rows.withColumn("status", F.when(F.col("entity_id") == "3", F.col("status")).otherwise("STALE"))
+    replace_by_entity(stale, path, "findings")
     seen = rows.where("entity_id != '3'")
-    replace_by_entity(seen.where("entity_id NOT IN ('4', '5', '6')"), path, seen.select("entity_id").distinct())
-    back = spark.read.schema(rows.schema).parquet(path)
+    replace_by_entity(seen.where("entity_id NOT IN ('4', '5', '6')"), path, "findings", seen.select("entity_id").distinct())
+    back = read_table(spark, path, "findings", "event_id string, status string, entity_id string")
     return back.groupBy("entity_id").agg(
         F.count_if(F.col("status") == "CLOSED").alias("closed_findings"), F.count_if(F.col("status") != "CLOSED").alias("other_findings")
     )
 
 
-@query("s17_quarantine_dump")
+@query(
+    "s17_quarantine_dump",
+    f"""WITH {RAW} SELECT 'row' AS kind, entity_id, 'S' || entity_id AS submission_id, event_id AS row_index, failure_reason AS label, 1 AS rows FROM quarantine
+UNION ALL SELECT 'reason', entity_id, 'S' || entity_id, NULL, code, count(*) FROM quarantine GROUP BY entity_id, code
+UNION ALL SELECT 'field', entity_id, 'S' || entity_id, NULL, failed_field, count(*) FROM quarantine GROUP BY entity_id, failed_field""",
+)
 def dump(spark, sf):
+    """The rows and the summary of the JSON dump, read back; a second dump replaces the first."""
     path = staging(spark, "dump")
     bad = quarantined_rows(validate(raw_rows(spark, sf)), NOW)
-    append_quarantine(bad, f"{path}/table")
-    dump_quarantine(bad, quarantine_summary(bad), path)
-    return spark.read.json(f"{path}/rows").groupBy("entity_id", "submission_id").agg(F.count("*").alias("rows"))
+    for _ in range(2):
+        dump_quarantine(bad, quarantine_summary(bad), path)
+    rows = spark.read.schema("entity_id string, submission_id string, row_index long, failure_reason string").json(f"{path}/rows")
+    summary = spark.read.schema("entity_id string, submission_id string, kind string, label string, rows long").json(f"{path}/summary")
+    return rows.select(
+        F.lit("row").alias("kind"), "entity_id", "submission_id", "row_index", F.col("failure_reason").alias("label"), F.lit(1).cast("long").alias("rows"),
+    ).unionByName(summary.withColumn("row_index", F.lit(None).cast("long")))
+
+
+@query(
+    "s16_stored_quarantine",
+    f"WITH {RAW} SELECT entity_id, event_id AS row_index, failure_reason, failed_field FROM quarantine",
+)
+def quarantine_table(spark, sf):
+    path = staging(spark, "quarantine")
+    append_quarantine(quarantined_rows(validate(raw_rows(spark, sf)), NOW), path)
+    back = read_table(spark, path, QUARANTINE, "entity_id string, row_index long, failure_reason string, failed_fields array<string>")
+    return back.select("entity_id", "row_index", "failure_reason", F.array_join("failed_fields", ",").alias("failed_field"))
 
 
 @query("s19_manifest_documents", "SELECT n_nationkey AS entity_id, '2024' AS year, '03' AS month FROM nation")

@@ -17,7 +17,8 @@ from vigil.operators.risk import risk_scores
 from vigil.operators.rules import Registry
 from vigil.schema import of_type
 from vigil.session import cut_lineage
-from vigil.sources.sinks import append_scores, replace_by_entity
+from vigil.sources.sinks import SCORES
+from vigil.sources.snapshots import Change, commit
 
 
 @dataclass(frozen=True)
@@ -84,13 +85,16 @@ def run_counts(run: Run) -> DataFrame:
     return out.groupBy("entity_id", "output").agg(F.count("*").alias("rows"))
 
 
+FINDINGS = ("execution_gaps", "absences", "correlations", "cards")
+
+
 def persist_run(run: Run, path: str) -> None:
-    """Replace findings, correlations and cards of all entities of the run, also of those without any; append scores."""
-    replace_by_entity(run.gaps, f"{path}/execution_gaps", run.entities)
-    replace_by_entity(run.absences, f"{path}/absences", run.entities)
-    replace_by_entity(run.edges, f"{path}/correlations", run.entities)
-    replace_by_entity(run.cards, f"{path}/cards", run.entities)
+    """Replace findings, correlations and cards of all entities of the run, also of those without any, and add its scores:
+    all in one commit.  Benchmarks of cohorts are overwritten by cohort."""
     run.benchmarks.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
         "sector", "size_tier"
     ).parquet(f"{path}/benchmarks")
-    append_scores(run.scores, f"{path}/risk_scores")
+    found = dict(zip(FINDINGS, (run.gaps, run.absences, run.edges, run.cards)))
+    commit(path, {
+        **{name: Change(rows, run.entities) for name, rows in found.items()}, SCORES: Change(run.scores, partition_by=()),
+    })

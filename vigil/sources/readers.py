@@ -26,6 +26,8 @@ from vigil.schema import EVENT_COLUMNS, of_type
 from vigil.session import cut_lineage
 from vigil.sources.formats import DELIMITERS, detect_delimiter, detect_format
 from vigil.sources.json_items import NO_ITEMS, REST, ROOT, cut_items
+from vigil.sources.sinks import EVENTS
+from vigil.sources.snapshots import read_table
 
 PARSED_COLUMNS = ("file", "row_index", "data", "is_corrupted", "corruption_reason", "raw_text")
 # Fixed values.
@@ -464,10 +466,10 @@ def read_submissions(
 def read_events(
     spark: SparkSession, path: str, entity_id: str | None = None, dataset_types: tuple[str, ...] = (), ordered: bool = False
 ) -> DataFrame:
-    """Stored canonical events; entity and dataset types prune partitions. Ordering by time is optional,
+    """Stored canonical events of the committed runs; entity and dataset types prune partitions. Ordering by time is optional,
     because no operator needs it."""
     schema = ", ".join(f"{n} {t}" for n, t in {**EVENT_COLUMNS, "created_at": "timestamp"}.items())
-    events = spark.read.schema(schema).parquet(path)
+    events = read_table(spark, path, EVENTS, schema)
     if entity_id is not None:
         events = events.where(F.col("entity_id") == entity_id)
     if dataset_types:

@@ -1,77 +1,45 @@
 """Writers of the stored tables.
 
-`replace_by_entity`, `dump_quarantine` and `write_manifests` replace the partitions of a rerun; the `append_` writers
-add rows each time they are called, so a rerun has to write to a new place or drop the former rows first.
+Events, quarantined rows, findings and scores are tables of a store that changes by commits (`snapshots`): a reader sees
+all of a run or nothing of it.  Dumps and manifests are documents; a rerun replaces the partitions it produces.
 """
 
 from __future__ import annotations
 
-from urllib.parse import unquote
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vigil.sources.snapshots import Change, commit
+
+EVENTS, QUARANTINE, SCORES = "events", "quarantine", "risk_scores"
+
 
-def _balanced(df: DataFrame, *keys: str) -> DataFrame:
-    """Shuffle towards the output partitions; adaptive execution splits the large ones, so an entity
-    with a third of all rows is written by many tasks."""
-    return df.hint("rebalance", *keys)
+def append_events(events: DataFrame, root: str) -> None:
+    commit(root, {EVENTS: Change(events, partition_by=("entity_id", "dataset_type"))})
 
 
-def append_events(events: DataFrame, path: str) -> None:
-    _balanced(events, "entity_id", "dataset_type").write.mode("append").partitionBy("entity_id", "dataset_type").parquet(path)
+def append_quarantine(rows: DataFrame, root: str) -> None:
+    commit(root, {QUARANTINE: Change(rows)})
 
 
-def append_quarantine(rows: DataFrame, path: str) -> None:
-    rows.write.mode("append").partitionBy("entity_id").parquet(path)
+def append_scores(scores: DataFrame, root: str) -> None:
+    commit(root, {SCORES: Change(scores, partition_by=())})
 
 
-def replace_by_entity(df: DataFrame, path: str, entities: DataFrame | None = None) -> None:
-    """Replace the stored rows of the entities of the run, and of no others.
+def replace_by_entity(df: DataFrame, root: str, name: str, entities: DataFrame | None = None) -> None:
+    """Replace the stored rows of the entities of the run, and of no others, in one step.
 
     `entities` (entity_id) are those that the run has looked at: the stored rows of an entity without any row in
     `df` go as well.  Without it, only the entities in `df` are replaced.
     """
-    if entities is not None:
-        _drop_partitions(df, path, entities)
-    (
-        _balanced(df, "entity_id")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("entity_id")
-        .parquet(path)
-    )
-
-
-def _drop_partitions(df: DataFrame, path: str, entities: DataFrame) -> None:
-    """Remove the stored partitions of entities of the run that have no rows in `df`."""
-    spark = df.sparkSession
-    files = spark._jvm.org.apache.hadoop.fs
-    root = files.Path(path)
-    system = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not system.exists(root):
-        return
-    stored = {
-        unquote(status.getPath().getName().split("=", 1)[1]): status.getPath()
-        for status in system.listStatus(root) if status.getPath().getName().startswith("entity_id=")
-    }
-    if not stored:
-        return
-    # the partitions of a table are listed by its writer in any case: one short row for each
-    names = spark.createDataFrame([(name,) for name in stored], "entity_id string")
-    looked_at = entities.select(F.col("entity_id").cast("string").alias("entity_id"))
-    written = df.select(F.col("entity_id").cast("string").alias("entity_id"))
-    for row in names.join(looked_at, "entity_id", "left_semi").join(written, "entity_id", "left_anti").collect():
-        system.delete(stored[row.entity_id], True)
-
-
-def append_scores(scores: DataFrame, path: str) -> None:
-    scores.write.mode("append").parquet(path)
+    looked_at = df.select("entity_id") if entities is None else entities.select("entity_id").union(df.select("entity_id"))
+    commit(root, {name: Change(df, looked_at)})
 
 
 def dump_quarantine(quarantined: DataFrame, summary: DataFrame, path: str) -> None:
     """JSON dump of quarantined rows per entity and submission, with its summary beside it."""
-    _balanced(quarantined, "entity_id", "submission_id").write.mode("overwrite").option(
+    # towards the output partitions; adaptive execution splits the large ones
+    quarantined.hint("rebalance", "entity_id", "submission_id").write.mode("overwrite").option(
         "partitionOverwriteMode", "dynamic"
     ).partitionBy("entity_id", "submission_id").json(f"{path}/rows")
     summary.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
