@@ -28,32 +28,41 @@ from vigil.llm.words import Words, text_bytes, windows
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 SYMBOLS = b"#*$%&|<>"
 GROUP = ("lang", "source")
+QUANTILES = ("q25", "q75", "top")
+#: The one high quantile that is read from a sketch, of 1000.
+TOP = 999
 
 
 @dataclass(frozen=True)
 class Measure:
-    """A whole-number measure; `least` is the smallest distance of a fence from its quartile."""
+    """A whole-number measure and its fences, both from the sketch of the group.
+
+    Either `spread` interquartile ranges, and `least` units at least, beyond the quartiles (below too with `low`); or, for a
+    measure that most texts have none of, with `top`, the end of the
+    sketch's cell in which TOP of 1000 texts are reached.
+    """
 
     name: str
     expression: str
-    least: int
+    spread: int = 0
+    least: int = 0
     low: bool = False
+    top: bool = False
 
 
 MEASURES = (
-    Measure("word_length", "100 * word_chars div nullif(n_words, 0)", 150, low=True),
-    Measure("symbol_share", "10000 * n_symbols div nullif(word_chars, 0)", 500),
-    Measure("dup_line_share", "10000 * n_dup_lines div nullif(n_lines, 0)", 6000),
-    Measure("repeat_share", "10000 * n_repeat_words div nullif(n_words, 0)", 5000),
+    Measure("word_length", "100 * word_chars div nullif(n_words, 0)", spread=6, least=50, low=True),
+    Measure("symbol_share", "10000 * n_symbols div nullif(word_chars, 0)", spread=6, least=100),
+    Measure("dup_line_share", "10000 * n_dup_lines div nullif(n_lines, 0)", top=True),
+    Measure("repeat_share", "10000 * n_repeat_words div nullif(n_words, 0)", top=True),
 )
 
 
 @dataclass(frozen=True)
 class QualityRules:
-    """Fences lie `spread` interquartile ranges, and at least the measure's `least`, beyond the quartiles."""
+    """Measures with their fences; least rows of a group with a sketch of its own; the base rules."""
 
     measures: tuple[Measure, ...] = MEASURES
-    spread: int = 3
     min_rows: int = 200
     min_words: int = 50
     max_repeat_percent: int = 50
@@ -133,31 +142,33 @@ def sketches(counted: DataFrame, rules: QualityRules) -> DataFrame:
     )
 
 
-def quartiles(sketch: DataFrame, *by: str) -> DataFrame:
-    """Rows and quartiles of each group and measure, of sketches merged to the columns `by`."""
+def quantiles(sketch: DataFrame, *by: str) -> DataFrame:
+    """Rows, quartiles, and the fences `top` of each group and measure, of sketches merged to the columns `by`."""
     merged = sketch.groupBy(*by, "measure", "cell").agg(F.sum("n").alias("n"))
     own = F.array_sort(F.collect_list(F.struct("cell", "n")))  # bounded by the grid
     grouped = merged.groupBy(*by, "measure").agg(own.alias("cells"), F.sum("n").alias("rows"))
 
-    def at(percent: int) -> Column:
-        step = (
+    def at(share: str) -> str:
+        """The cell in which so many of 1000 rows are reached."""
+        return (
             "aggregate(cells, named_struct('seen', 0L, 'cell', cast(null as bigint)), (s, c) -> named_struct("
-            f"'seen', s.seen + c.n, 'cell', coalesce(s.cell, if(100 * (s.seen + c.n) >= {percent} * rows, cast(c.cell as bigint), null))"
+            f"'seen', s.seen + c.n, 'cell', coalesce(s.cell, if(1000 * (s.seen + c.n) >= {share} * rows, cast(c.cell as bigint), null))"
             ")).cell")
-        return F.expr(cell_start(f"({step})"))
 
-    return grouped.select(*by, "measure", "rows", at(25).alias("q25"), at(75).alias("q75"))
+    return grouped.select(
+        *by, "measure", "rows", F.expr(cell_start(f"({at('250')})")).alias("q25"), F.expr(cell_start(f"({at('750')})")).alias("q75"),
+        F.expr(f"{cell_start(f'({at(str(TOP))} + 1)')} - 1").alias("top"))
 
 
 def thresholds(counted: DataFrame, rules: QualityRules) -> DataFrame:
     """One row for each (lang, source) with the fences `low_<measure>` and `high_<measure>`; stored."""
     sketch = stored(sketches(counted, rules), "sketches")
-    own = quartiles(sketch, *GROUP)
+    own = quantiles(sketch, *GROUP)
     levels = [own]
     for prefix, by in (("l_", ("lang",)), ("a_", ())):
-        merged = quartiles(sketch, *by)
+        merged = quantiles(sketch, *by)
         levels.append(merged.select(
-            *(F.col(c).alias(f"{prefix}{c}") for c in (*by, "measure", "rows", "q25", "q75"))))
+            *(F.col(c).alias(f"{prefix}{c}") for c in (*by, "measure", "rows", *QUANTILES))))
     joined = (
         own.join(levels[1], (F.col("measure") == F.col("l_measure")) & F.col("lang").eqNullSafe(F.col("l_lang")))
         .join(levels[2], F.col("measure") == F.col("a_measure"))
@@ -168,12 +179,12 @@ def thresholds(counted: DataFrame, rules: QualityRules) -> DataFrame:
             F.when(F.col("rows") >= rules.min_rows, F.col(name))
             .when(F.col("l_rows") >= rules.min_rows, F.col(f"l_{name}")).otherwise(F.col(f"a_{name}")))
 
-    joined = joined.select(*GROUP, "measure", chosen("q25").alias("q25"), chosen("q75").alias("q75"))
+    joined = joined.select(*GROUP, "measure", *(chosen(q).alias(q) for q in QUANTILES))
     fences = []
     for m in rules.measures:
-        reach = F.greatest(F.lit(rules.spread) * (F.col("q75") - F.col("q25")), F.lit(m.least))
+        reach = F.greatest(F.lit(m.spread) * (F.col("q75") - F.col("q25")), F.lit(m.least))
         mine = F.col("measure") == m.name
-        fences.append(F.max(F.when(mine, F.col("q75") + reach)).alias(f"high_{m.name}"))
+        fences.append(F.max(F.when(mine, F.col("top") if m.top else F.col("q75") + reach)).alias(f"high_{m.name}"))
         if m.low:
             fences.append(F.max(F.when(mine, F.col("q25") - reach)).alias(f"low_{m.name}"))
     return stored(joined.groupBy(*GROUP).agg(*fences), "fences")

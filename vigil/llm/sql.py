@@ -10,8 +10,8 @@ def op1(rules) -> str:
     for m in rules.measures:
         value = m.expression.replace(" div ", " // ")
         pairs.append(f"SELECT lang, source, '{m.name}' AS measure, {value} AS v FROM counted WHERE NOT base_failed")
-        reach = f"greatest({rules.spread} * (q75 - q25), {m.least})"
-        fences.append(f"max(CASE WHEN measure = '{m.name}' THEN q75 + {reach} END) AS high_{m.name}")
+        reach = f"greatest({m.spread} * (q75 - q25), {m.least})"
+        fences.append(f"max(CASE WHEN measure = '{m.name}' THEN {'top' if m.top else f'q75 + {reach}'} END) AS high_{m.name}")
         fences.append(f"max(CASE WHEN measure = '{m.name}' THEN q25 - {reach} END) AS low_{m.name}")
         checks.append(f"({value}) <= high_{m.name}" + (f" AND ({value}) >= low_{m.name}" if m.low else ""))
 
@@ -19,10 +19,10 @@ def op1(rules) -> str:
         over = f"PARTITION BY {columns}measure"
         seen = f"sum(n) OVER ({over} ORDER BY cell)"
         rows = f"sum(n) OVER ({over})"
-        start = "(CASE WHEN cell < 64 THEN cell ELSE (cell - (cell // 32 - 1) * 32) << (cell // 32 - 1)::int END)"
-        return f"""{name} AS (SELECT {columns}measure, any_value(r) AS r,
-            min(CASE WHEN 100 * seen >= 25 * r THEN s END) AS q25, min(CASE WHEN 100 * seen >= 75 * r THEN s END) AS q75
-          FROM (SELECT {columns}measure, {seen} AS seen, {rows} AS r, {start} AS s
+        start = lambda cell: f"(CASE WHEN {cell} < 64 THEN {cell} ELSE ({cell} - ({cell} // 32 - 1) * 32) << ({cell} // 32 - 1)::int END)"
+        return f"""{name} AS (SELECT {columns}measure, any_value(r) AS r, min(CASE WHEN 100 * seen >= 25 * r THEN s END) AS q25,
+            min(CASE WHEN 100 * seen >= 75 * r THEN s END) AS q75, min(CASE WHEN 1000 * seen >= 999 * r THEN e END) AS top
+          FROM (SELECT {columns}measure, {seen} AS seen, {rows} AS r, {start("cell")} AS s, {start("(cell + 1)")} - 1 AS e
                 FROM (SELECT {columns}measure, cell, sum(n)::bigint AS n FROM cells GROUP BY ALL)) GROUP BY ALL)"""
 
     pick = lambda q: (
@@ -48,7 +48,7 @@ cells AS (SELECT lang, source, measure,
 {quartiles("own", "lang, source, ")},
 {quartiles("by_lang", "lang, ")},
 {quartiles("by_all", "")},
-chosen AS (SELECT o.lang, o.source, o.measure, {pick("q25")}, {pick("q75")}
+chosen AS (SELECT o.lang, o.source, o.measure, {pick("q25")}, {pick("q75")}, {pick("top")}
   FROM own o JOIN by_lang l ON o.measure = l.measure AND o.lang IS NOT DISTINCT FROM l.lang JOIN by_all a ON o.measure = a.measure),
 fences AS (SELECT lang, source, {", ".join(fences)} FROM chosen GROUP BY lang, source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
