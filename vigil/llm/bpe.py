@@ -40,6 +40,8 @@ from vigil.llm.shared import most_frequent, shared_file, stored, text_slices
 
 #: Characters (and 8 for each entry) of what a worker remembers before a generation is let go.
 REMEMBERED = 4_000_000
+#: Bytes of texts that are cut at a time: the more, the fewer stretches are looked up twice.
+AT_ONCE = 6 << 20
 #: Pieces that a task counts before it hands the counts on.
 COUNTED = 300_000
 #: Words of more bytes are merged one by one.
@@ -433,7 +435,7 @@ def frequent_words(docs: DataFrame, path: str, size: int) -> list[bytes]:
             return made
 
         for batch in batches:
-            for part in text_slices(batch, "text"):
+            for part in text_slices(batch, "text", AT_ONCE):
                 names, at, _ = distinct_stretches(part.column("text"))
                 for pieces, n in zip(words.all_pieces(names), np.bincount(at, minlength=len(names)).tolist()):
                     for piece in pieces:
@@ -474,7 +476,7 @@ def encode(docs: DataFrame, path: str, lexicon: str | None, column: str = "ids",
     def add(batches):
         own = encoder(path, lexicon)
         for batch in batches:
-            for part in text_slices(batch, text):
+            for part in text_slices(batch, text, AT_ONCE):
                 ids = [x.tobytes() for x in own.encode(part.column(text))]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.binary())], [*names, column])
 

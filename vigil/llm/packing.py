@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from vigil.llm.bpe import encoder, vocabulary
+from vigil.llm.bpe import AT_ONCE, encoder, vocabulary
 from vigil.llm.shared import stored, text_slices
 
 
@@ -98,7 +98,7 @@ def tokenised(docs: DataFrame, path: str, options: Packing, lexicon: str | None
         own = encoder(path, lexicon)
         curve = Curve(len(own.words.tokens), options)
         for batch in batches:
-            for part in text_slices(batch, "text"):
+            for part in text_slices(batch, "text", AT_ONCE):
                 ids = own.encode(part.column("text"))
                 yield pa.RecordBatch.from_arrays([
                     part.column("doc_id"), pa.array(curve.keys(ids), pa.int64()),
