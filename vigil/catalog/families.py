@@ -184,10 +184,14 @@ def case_followups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def case_escalations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = _lines(spark, sf_dir).where(F.col("l_returnflag") == "R")
+    """Every line is an escalation: returned ones late or without a delay, accepted ones on time, the others of no case."""
+    flag = F.col("l_returnflag")
+    late = F.when(F.col("l_linestatus") == "F", F.col("l_quantity") * 10)
     return event_family(
-        df.withColumn("escalation_delay_minutes", F.when(F.col("l_linestatus") == "F", F.col("l_quantity") * 10))
-        .withColumn("escalation_status", F.when(F.col("l_tax") >= 0.08, "BREACHED").otherwise("DONE")),
+        _lines(spark, sf_dir)
+        .withColumn("case_id", F.when(flag != "N", F.col("case_id")))
+        .withColumn("escalation_delay_minutes", F.when(flag == "R", late).otherwise(F.col("l_quantity")))
+        .withColumn("escalation_status", F.when((flag == "R") & (F.col("l_tax") >= 0.08), "BREACHED").otherwise("DONE")),
         "escalation_records",
     )
 
@@ -237,9 +241,10 @@ def _asset_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def asset_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = _asset_lines(spark, sf_dir).where(F.col("l_returnflag") == "R")
+    """Every line is an alert; those that were not returned are informational."""
+    severity = F.when(F.col("l_returnflag") == "R", band("l_quantity", 40.0, 25.0, 10.0)).otherwise("INFORMATIONAL")
     return event_family(
-        df.withColumn("raw_ref_id", F.col("event_id")).withColumn("severity", band("l_quantity", 40.0, 25.0, 10.0)),
+        _asset_lines(spark, sf_dir).withColumn("raw_ref_id", F.col("event_id")).withColumn("severity", severity),
         "alert_metadata",
     )
 
@@ -307,8 +312,8 @@ SQL = {
   l_orderkey AS n, CAST(l_partkey % 25 AS VARCHAR) AS entity_id,
   CASE WHEN l_linestatus = 'F' THEN 'host-' || l_partkey ELSE 'P' || l_partkey END AS asset_id, l_shipdate AS ts,
   l_returnflag, l_quantity, l_discount, l_tax FROM lineitem)""",
-    "asset_alerts": """asset_alerts AS (SELECT *, CASE WHEN l_quantity >= 40 THEN 'CRITICAL' WHEN l_quantity >= 25 THEN 'HIGH'
-  WHEN l_quantity >= 10 THEN 'MEDIUM' ELSE 'LOW' END AS severity FROM asset_lines WHERE l_returnflag = 'R')""",
+    "asset_alerts": """asset_alerts AS (SELECT *, CASE WHEN l_returnflag <> 'R' THEN 'INFORMATIONAL' WHEN l_quantity >= 40 THEN 'CRITICAL' WHEN l_quantity >= 25 THEN 'HIGH'
+  WHEN l_quantity >= 10 THEN 'MEDIUM' ELSE 'LOW' END AS severity FROM asset_lines)""",
     "coverage": """coverage AS (SELECT * REPLACE (CASE WHEN l_discount >= 0.095 AND l_tax >= 0.075 THEN asset_id END AS asset_id),
   l_quantity * 2.0 AS uptime FROM asset_lines)""",
     "notes": """notes AS (SELECT 'D' || doc_id AS event_id, source AS entity_id, 'D' || doc_id AS case_id, text FROM documents)""",

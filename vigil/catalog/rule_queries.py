@@ -59,8 +59,9 @@ EG01 = f"""eg01 AS (
     FROM alerts a WHERE severity IN ('CRITICAL', 'HIGH') AND NOT EXISTS (
       SELECT 1 FROM inv i WHERE i.entity_id = a.entity_id AND (i.case_id = a.case_id OR i.alert_id = a.ref)
         AND i.ts >= a.ts AND i.ts <= a.ts + INTERVAL 2 HOUR)))"""
-EG02 = f"""esc2 AS (SELECT *, CASE WHEN l_linestatus = 'F' THEN l_quantity * 10 END AS minutes,
-    CASE WHEN l_tax >= 0.08 THEN 'BREACHED' ELSE 'DONE' END AS state FROM lines WHERE l_returnflag = 'R'),
+EG02 = f"""esc2 AS (SELECT * REPLACE (CASE WHEN l_returnflag <> 'N' THEN case_id END AS case_id),
+    CASE WHEN l_returnflag <> 'R' THEN l_quantity WHEN l_linestatus = 'F' THEN l_quantity * 10 END AS minutes,
+    CASE WHEN l_returnflag = 'R' AND l_tax >= 0.08 THEN 'BREACHED' ELSE 'DONE' END AS state FROM lines),
 judged AS (SELECT c.event_id AS case_event, e.*, coalesce(e.minutes / 60.0, greatest(0.0, (epoch_us(e.ts) - epoch_us(c.ts)) / 3600e6)) AS delay
   FROM cases c JOIN esc2 e ON c.entity_id = e.entity_id AND c.case_id = e.case_id WHERE c.priority = 'P1_CRITICAL'),
 firsts AS (SELECT case_event, max(CASE WHEN delay > 4 OR state = 'BREACHED' THEN 1 ELSE 0 END) AS breached,
