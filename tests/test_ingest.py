@@ -332,6 +332,13 @@ def test_tree_and_truth(spark, tmp_path):
     write(tmp_path / "t" / "bank_alpha" / "2026-08" / "csv" / "case_management.csv", "case_id,x\nC2,1\n")
     got = sorted((r.period, r.kind, r.dataset_type) for r in read_tree(spark, str(tmp_path / "t")).collect())
     assert got == [("2026-07", "json", "alert_metadata"), ("2026-08", "csv", "case_management")]
+    # files that aren't asked for are never opened: this one can't be
+    write(tmp_path / "t" / "bank beta" / "2026-07" / "json" / "alert_metadata.json", '[{"alert_id": "K"}]')
+    write(tmp_path / "t" / "bank_gamma" / "2026-07" / "json" / "alert_metadata.json", "x")
+    (tmp_path / "t" / "bank_gamma" / "2026-07" / "json" / "alert_metadata.json").chmod(0)
+    chosen = read_tree(spark, str(tmp_path / "t"), (F.col("period") == "2026-07") & ~F.col("entity_dir").contains("gamma")).collect()
+    assert sorted(r.data["alert_id"] for r in chosen) == ["J", "K"]
+    assert read_tree(spark, str(tmp_path / "t"), F.col("period") == "1999-01").count() == 0
     entities = spark.createDataFrame([("e1", "ALPHA", "Bank Alpha")], "entity_id string, entity_code string, name string")
     dirs = spark.createDataFrame([("bank_alpha",), ("python.org",)], "entity_dir string")
     # the second is the name-based id of RFC 4122 in the DNS namespace

@@ -488,14 +488,37 @@ def file_digests(spark: SparkSession, path: str | list[str]) -> DataFrame:
 TREE_PATTERN = r"([^/]+)/([^/]+)/(json|csv)/([^/]+)\.(?:json|csv)$"
 
 
-def read_tree(spark: SparkSession, root: str) -> DataFrame:
-    """Parsed rows of a directory tree; a period's CSV files are left out where it has JSON files."""
-    rows = read_submissions(spark, f"{root}/*/*/*/*")
-    parts = ("entity_dir", "period", "kind", "dataset_type")
-    located = rows.select("*", *[F.regexp_extract("file", TREE_PATTERN, i + 1).alias(n) for i, n in enumerate(parts)])
-    with_json = located.where(F.col("kind") == "json").select("entity_dir", "period").distinct()
-    csv = located.where(F.col("kind") == "csv").join(with_json, ["entity_dir", "period"], "left_anti")
-    return located.where(F.col("kind") == "json").unionByName(csv.select(*located.columns))
+def list_tree(spark: SparkSession, root: str) -> DataFrame:
+    """(file, entity_dir, period, kind, dataset_type) of a directory tree, from its listing alone.
+
+    A period's CSV files are left out where it has JSON files.
+    """
+    names = ("entity_dir", "period", "kind", "dataset_type")
+    # the content column is not read, so no file is opened
+    files = spark.read.format("binaryFile").load(f"{root}/*/*/*/*").select(F.col("_metadata.file_path").alias("file"))
+    # names are percent-encoded there, but for a plus sign
+    path = F.url_decode(F.replace("file", F.lit("+"), F.lit("%2B")))
+    located = files.select("file", *[F.regexp_extract(path, TREE_PATTERN, i + 1).alias(n) for i, n in enumerate(names)])
+    has_json = F.max((F.col("kind") == "json").cast("int")).over(W.partitionBy("entity_dir", "period"))
+    return located.where(F.col("kind") != "").withColumn("has_json", has_json).where(
+        (F.col("kind") == "json") | (F.col("has_json") == 0)).drop("has_json")
+
+
+def read_tree(spark: SparkSession, root: str, wanted: Column | None = None) -> DataFrame:
+    """Parsed rows of a directory tree with entity_dir, period, kind and dataset_type of their file.
+
+    `wanted` chooses files by these columns; the others are never opened.
+    """
+    listed = list_tree(spark, root)
+    located = cut_lineage(listed if wanted is None else listed.where(wanted))
+    parts = [
+        read_submissions(spark, paths).join(F.broadcast(known), "file") for paths, known in _file_groups(located) if paths]
+    if not parts:
+        return _unioned(spark, []).join(located, "file")
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def match_entities(directories: DataFrame, entities: DataFrame) -> DataFrame:
