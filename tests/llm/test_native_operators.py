@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from vigil.llm.chat_format import preferences
+from vigil.llm.chat_format import preferences, reply_preferences
 from vigil.llm.sharding import shards
 from vigil.llm.url_filters import judged, page_links
 
@@ -135,3 +135,29 @@ def test_preferences(spark):
     assert got["s"].n_common == 0 and got["s"].chosen_text == part("", "") and got["s"].rejected_text == ""
     assert got["t"].n_common == 0 and got["t"].prompt == ""
     assert preferences(frame.limit(0), pairs.limit(0)).count() == 0
+
+
+def test_swapped_replies(spark):
+    a, u = "assistant", "user"
+    turns = [
+        (1, 0, u, "Hi"), (1, 1, a, "Hello"), (1, 2, u, "More"), (1, 3, a, "Good"), (1, 4, u, "Bye"), (2, 0, u, "Ho"), (2, 1, a, "Well"),
+        (3, 0, u, "no reply"), (5, 0, a, None), (5, 0, a, None), (7, 0, u, "x"), (7, 1, a, "alone"), (8, 0, u, "y"), (8, 1, a, "alone"), (None, 0, a, "z")]
+    frame = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumn("reply_id", F.lit(0))
+    out = reply_preferences(frame)
+    assert python_free(out)
+    got = {r.conv_id: r for r in out.collect()}
+    part = lambda role, text: f"<|{role}|>\n{text}<|end|>\n"
+    assert set(got) == {1, 2, 3, 5, 7, 8}
+    assert {k: (r.reply_id, r.n_common) for k, r in got.items()} == {1: (2, 3), 2: (1, 1), 3: (None, 1), 5: (None, 1), 7: (8, 2), 8: (7, 2)}
+    assert got[1].prompt == part(u, "Hi") + part(a, "Hello") + part(u, "More")
+    assert got[1].chosen_text == part(a, "Good") + part(u, "Bye") and got[1].rejected_text == part(a, "Well") + part(u, "Bye")
+    assert [got[1].rejected_text[m.start : m.end] for m in got[1].rejected_mask] == ["Well<|end|>\n"]
+    assert got[7].chosen_text == got[7].rejected_text == "" and got[3].prompt == part(u, "no reply")
+    assert reply_preferences(frame.limit(0)).count() == 0
+
+
+def test_columns_of_pairs_that_are_named_like_results_are_replaced(spark):
+    frame = spark.createDataFrame([(1, 0, "user", "Hi")], "conv_id long, turn long, role string, text string")
+    pairs = spark.createDataFrame([(1, 1, "own", "kept", "of")], "chosen_id long, rejected_id long, prompt string, turns string, of_chosen string")
+    row = preferences(frame, pairs).collect()[0]
+    assert row.prompt.startswith("<|user|>") and row.turns == "kept" and row.of_chosen == "of"

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from vigil.llm import sql
 from vigil.llm.bpe import encode, frequent_words, ship_lexicon, token_digests
-from vigil.llm.chat_format import preferences
+from vigil.llm.chat_format import reply_preferences
 from vigil.llm.jaccard_join import near_groups
 from vigil.llm.language_id import fit, fold, identify
 from vigil.llm.line_dedup import drop_shared_lines
@@ -79,17 +79,14 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations 2k (chosen) and 2k + 1 (rejected) are a pair."""
-    turns = table(spark, sf_dir, "conversations")
-    ids = turns.where("conv_id is not null").select(F.shiftright("conv_id", 1).alias("pair_id")).distinct()
-    pairs = ids.select("pair_id", (2 * F.col("pair_id")).alias("chosen_id"), (2 * F.col("pair_id") + 1).alias("rejected_id"))
-    rows = preferences(turns, pairs)
+    """Every conversation beside the same one with another's last reply."""
+    rows = reply_preferences(table(spark, sf_dir, "conversations"))
 
     def ranges(column: str) -> Column:
         return F.array_join(F.transform(column, lambda s: F.concat_ws("-", s["start"], s["end"])), " ")
 
     return rows.select(
-        "pair_id", "chosen_id", "rejected_id", F.col("n_common").cast("long").alias("n_common"),
+        "conv_id", "reply_id", F.col("n_common").cast("long").alias("n_common"),
         F.sha2("prompt", 256).alias("prompt_sha256"), F.sha2("chosen_text", 256).alias("chosen_sha256"),
         F.sha2("rejected_text", 256).alias("rejected_sha256"), ranges("chosen_mask").alias("chosen_mask"),
         ranges("rejected_mask").alias("rejected_mask"))

@@ -17,6 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+RESULTS = ("n_common", "prompt", "chosen_text", "chosen_mask", "rejected_text", "rejected_mask")
 TURNS = "array<struct<turn:bigint,role:string,text:string>>"
 
 
@@ -67,19 +68,48 @@ def spans(turns: str, template: Template) -> Column:
     return F.expr(f"aggregate({turns}, named_struct('at', 0, 'spans', cast(array() as {kind})), (s, t) -> {step}, s -> s.spans)")
 
 
-def preferences(turns: DataFrame, pairs: DataFrame, template: Template = Template()) -> DataFrame:
-    """pairs (chosen_id, rejected_id, others) with n_common, prompt, and text and mask of both completions."""
-    whole = conversations(turns)
-    rows = pairs
-    for side in ("chosen", "rejected"):
-        own = whole.select(F.col("conv_id").alias(f"of_{side}"), F.col("turns").alias(f"{side}_turns"))
-        rows = rows.join(own, F.col(f"{side}_id") == F.col(f"of_{side}"), "left").drop(f"of_{side}")
-        rows = rows.withColumn(f"{side}_turns", F.coalesce(f"{side}_turns", F.expr(f"cast(array() as {TURNS})")))
-    rows = rows.withColumn("n_common", common_turns("chosen_turns", "rejected_turns"))
+def compared(pairs: DataFrame, template: Template = Template()) -> DataFrame:
+    """Rows with the results for two arrays of turns (columns `chosen_turns` and `rejected_turns` of the row `pair`)."""
+    rows = pairs.withColumn("n_common", common_turns("chosen_turns", "rejected_turns"))
     rows = rows.withColumn("shared_turns", F.expr("slice(chosen_turns, 1, n_common)"))
     for side in ("chosen", "rejected"):
         rows = rows.withColumn(f"{side}_turns", F.expr(f"slice({side}_turns, n_common + 1, size({side}_turns))"))
     return rows.select(
-        *pairs.columns, "n_common", rendered("shared_turns", template).alias("prompt"),
+        "pair.*", "n_common", rendered("shared_turns", template).alias("prompt"),
         *(c for side in ("chosen", "rejected") for c in (
             rendered(f"{side}_turns", template).alias(f"{side}_text"), spans(f"{side}_turns", template).alias(f"{side}_mask"))))
+
+
+def preferences(turns: DataFrame, pairs: DataFrame, template: Template = Template()) -> DataFrame:
+    """pairs (chosen_id, rejected_id, others) with n_common, prompt, and text and mask of both completions."""
+    whole = conversations(turns)
+    rows = pairs.select(F.struct(*[c for c in pairs.columns if c not in RESULTS]).alias("pair"))
+    for side in ("chosen", "rejected"):
+        own = whole.select(F.col("conv_id").alias(f"of_{side}"), F.col("turns").alias(f"{side}_turns"))
+        rows = rows.join(own, F.col(f"pair.{side}_id") == F.col(f"of_{side}"), "left").drop(f"of_{side}")
+        rows = rows.withColumn(f"{side}_turns", F.coalesce(f"{side}_turns", F.expr(f"cast(array() as {TURNS})")))
+    return compared(rows, template)
+
+
+def reply_preferences(turns: DataFrame, template: Template = Template()) -> DataFrame:
+    """Every conversation (chosen) beside the same turns with another conversation's last reply (rejected).
+
+    The last turn of the trained role takes the text of the last such turn of conversation conv_id + 1, if there is none, of
+    conv_id - 1, else an empty text; `reply_id` is the conversation it is from.  A conversation without such a turn is
+    beside itself.  Columns: conv_id, reply_id and those of `preferences`.
+    """
+    last = f"array_max(transform(turns, (t, i) -> if(t.role <=> {quoted(template.trained)}, i, -1)))"
+    whole = conversations(turns).withColumn("last", F.expr(last))
+    replies = whole.where("last >= 0").select("conv_id", F.expr("coalesce(turns[last].text, '')").alias("text"))
+    rows = whole
+    for name, step in (("after", 1), ("before", -1)):
+        given = replies.select((F.col("conv_id") - step).alias(f"to_{name}"), F.col("text").alias(f"text_{name}"))
+        rows = rows.join(given, F.col("conv_id") == F.col(f"to_{name}"), "left")
+    reply = F.when(F.col("last") < 0, None).when(F.col("text_after").isNotNull(), F.col("conv_id") + 1).when(
+        F.col("text_before").isNotNull(), F.col("conv_id") - 1)
+    swapped = F.expr(
+        "transform(turns, (t, i) -> if(i = last, named_struct('turn', t.turn, 'role', t.role, 'text',"
+        " coalesce(text_after, text_before, '')), t))")
+    return compared(rows.select(
+        F.struct("conv_id", reply.alias("reply_id")).alias("pair"), F.col("turns").alias("chosen_turns"),
+        swapped.alias("rejected_turns")), template)

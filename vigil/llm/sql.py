@@ -107,26 +107,30 @@ FROM placed LEFT JOIN best USING (host, path) LEFT JOIN bad USING (node)
 
 
 OP6 = r"""
-WITH t AS (SELECT conv_id >> 1 AS pair_id, conv_id & 1 = 0 AS chosen, coalesce(role, '') AS role, coalesce(text, '') AS text,
-    '<|' || coalesce(role, '') || '|>' || chr(10) AS head, coalesce(text, '') || '<|end|>' || chr(10) AS body,
+WITH t AS (SELECT conv_id, role, text,
     row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS i
   FROM conversations WHERE conv_id IS NOT NULL),
-same AS (SELECT a.pair_id, a.i, a.role = b.role AND a.text = b.text AS eq
-  FROM (SELECT * FROM t WHERE chosen) a JOIN (SELECT * FROM t WHERE NOT chosen) b ON a.pair_id = b.pair_id AND a.i = b.i),
-runs AS (SELECT pair_id, i, min(eq::int) OVER (PARTITION BY pair_id ORDER BY i) AS eq FROM same),
-common AS (SELECT pair_id, sum(eq) AS k FROM runs GROUP BY pair_id),
-rest AS (SELECT t.*, coalesce(k, 0) AS k, sum(CASE WHEN i > coalesce(k, 0) THEN length(head) + length(body) ELSE 0 END)
-    OVER (PARTITION BY t.pair_id, chosen ORDER BY i) AS stop
-  FROM t LEFT JOIN common ON t.pair_id = common.pair_id),
-marked AS (SELECT *, CASE WHEN i > k AND role = 'assistant'
-    THEN (stop - length(body))::bigint::varchar || '-' || stop::bigint::varchar END AS span FROM rest)
-SELECT pair_id, 2 * pair_id AS chosen_id, 2 * pair_id + 1 AS rejected_id, max(k)::bigint AS n_common,
+lasts AS (SELECT conv_id, max(i) FILTER (role = 'assistant') AS li FROM t GROUP BY conv_id),
+replies AS (SELECT t.conv_id, coalesce(text, '') AS text FROM t JOIN lasts ON t.conv_id = lasts.conv_id AND i = li),
+swaps AS (SELECT l.conv_id, li, CASE WHEN li IS NULL THEN NULL ELSE coalesce(n.conv_id, p.conv_id) END AS reply_id,
+    coalesce(n.text, p.text, '') AS reply
+  FROM lasts l LEFT JOIN replies n ON n.conv_id = l.conv_id + 1 LEFT JOIN replies p ON p.conv_id = l.conv_id - 1),
+sides AS (SELECT conv_id, i, true AS chosen, role, text FROM t
+  UNION ALL SELECT t.conv_id, i, false, role, CASE WHEN i = li THEN reply ELSE text END FROM t JOIN swaps USING (conv_id)),
+common AS (SELECT t.conv_id, reply_id, coalesce(min(i) FILTER (i = li AND text IS DISTINCT FROM reply) - 1, max(i)) AS k
+  FROM t JOIN swaps USING (conv_id) GROUP BY ALL),
+written AS (SELECT s.*, reply_id, k, '<|' || coalesce(role, '') || '|>' || chr(10) AS head, coalesce(text, '') || '<|end|>' || chr(10) AS body
+  FROM sides s JOIN common USING (conv_id)),
+marked AS (SELECT *, CASE WHEN i > k AND role = 'assistant' THEN (stop - length(body))::bigint || '-' || stop::bigint END AS span
+  FROM (SELECT *, sum(CASE WHEN i > k THEN length(head) + length(body) ELSE 0 END) OVER (PARTITION BY conv_id, chosen ORDER BY i) AS stop
+    FROM written))
+SELECT conv_id, any_value(reply_id) AS reply_id, max(k)::bigint AS n_common,
   sha256(coalesce(string_agg(head || body, '' ORDER BY i) FILTER (chosen AND i <= k), '')) AS prompt_sha256,
   sha256(coalesce(string_agg(head || body, '' ORDER BY i) FILTER (chosen AND i > k), '')) AS chosen_sha256,
   sha256(coalesce(string_agg(head || body, '' ORDER BY i) FILTER (NOT chosen AND i > k), '')) AS rejected_sha256,
   coalesce(string_agg(span, ' ' ORDER BY i) FILTER (chosen), '') AS chosen_mask,
   coalesce(string_agg(span, ' ' ORDER BY i) FILTER (NOT chosen), '') AS rejected_mask
-FROM marked GROUP BY pair_id
+FROM marked GROUP BY conv_id
 """
 
 
