@@ -349,20 +349,31 @@ def test_tree_and_truth(spark, tmp_path):
 
 
 def test_stream(spark, tmp_path):
-    lines = [
-        ("S", "B", "alert_metadata", 1, '{"alert_id": "A1", "timestamp": "2026-08-25"}'),
-        ("S", "B", "alert_metadata", 2, '{"alert_id": "A1", "timestamp": "2026-08-25"}'),
-        ("S", "B", "alert_metadata", 3, '{"alert_id": "A2"}'),
-        ("S", "B", "alert_metadata", 4, "broken"),
-    ]
+    """Repeated keys are rejects, in a batch, in later batches and after a restart; one comes late with a smaller index."""
     source = str(tmp_path / "stream")
-    spark.createDataFrame(lines, "submission_id string, entity_id string, dataset_type string, row_index bigint, line string").write.json(source)
-
-    def run(df, name):
-        q = df.writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
-        q.awaitTermination(120)
-        return spark.table(name).collect()
-
-    assert [r.raw_ref_id for r in run(stream_events(read_row_stream(spark, source), NOW), "good_rows")] == ["A1"]
-    bad = run(stream_rejects(read_row_stream(spark, source)), "bad_rows")
-    assert sorted((r.row_index, r.error.code) for r in bad) == [(3, "MISSING_REQUIRED_FIELD"), (4, "CORRUPTED_ROW")]
+    good = '{"alert_id": "%s", "timestamp": "2026-08-25"}'
+
+    def arrive(*rows):
+        lines = [("S", "B", "alert_metadata", i, line) for i, line in rows]
+        spark.createDataFrame(lines, "submission_id string, entity_id string, dataset_type string, row_index bigint, line string"
+                              ).coalesce(1).write.mode("append").json(source)
+
+    def run(make, name):
+        """A query that goes on where the one before has stopped; all that it has written."""
+        q = make(read_row_stream(spark, source)).writeStream.format("parquet").option("path", str(tmp_path / f"{name}-out")).option(
+            "checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+        q.awaitTermination(200)
+        assert q.exception() is None
+        return spark.read.parquet(str(tmp_path / f"{name}-out")).collect()
+
+    def outcome():
+        events = run(lambda rows: stream_events(rows, NOW).select("raw_ref_id", "raw_row_index"), "good_rows")
+        bad = run(stream_rejects, "bad_rows")
+        return sorted((r.raw_ref_id, r.raw_row_index) for r in events), sorted((r.row_index, r.error.code) for r in bad)
+
+    arrive((2, good % "A1"), (1, good % "A1"), (3, '{"alert_id": "A2"}'), (4, "broken"), (9, good % "A9"))
+    first = [(3, "MISSING_REQUIRED_FIELD"), (4, "CORRUPTED_ROW")]
+    assert outcome() == ([("A1", 1), ("A9", 9)], sorted([*first, (2, "DUPLICATE_PRIMARY_KEY")]))
+    arrive((5, good % "A1"), (6, good % "A3"), (7, good % "A9"), (8, good % "A9"))
+    later = [(2, "DUPLICATE_PRIMARY_KEY"), (5, "DUPLICATE_PRIMARY_KEY"), (7, "DUPLICATE_PRIMARY_KEY"), (8, "DUPLICATE_PRIMARY_KEY")]
+    assert outcome() == ([("A1", 1), ("A3", 6), ("A9", 9)], sorted([*first, *later]))

@@ -122,6 +122,12 @@ def primary_key(data: Column, dataset: Column) -> Column:
     return F.coalesce(own, *[data[n] for n in GENERIC_KEYS])
 
 
+def repeated_key(key: Column) -> Column:
+    """The error of a row whose key another row has claimed."""
+    text = F.concat(F.lit("Duplicate primary key '"), key, F.lit("' encountered in batch"))
+    return _error("DUPLICATE_PRIMARY_KEY", text, F.array(F.lit("primary_key")))
+
+
 def with_row_error(rows: DataFrame, mapping: str | None = None) -> DataFrame:
     """Add `error`, the first failing row check, or NULL. Duplicates are judged afterwards, among
     clean rows.
@@ -196,14 +202,7 @@ def validate(rows: DataFrame, mapping: str | None = None) -> DataFrame:
         .where(F.col("copies") > 1)
         .drop("copies")
     )
-    duplicate = F.when(
-        F.col("error").isNull() & (F.col("row_index") > F.col("first_row")),
-        _error(
-            "DUPLICATE_PRIMARY_KEY",
-            F.concat(F.lit("Duplicate primary key '"), F.col("pk"), F.lit("' encountered in batch")),
-            F.array(F.lit("primary_key")),
-        ),
-    )
+    duplicate = F.when(F.col("error").isNull() & (F.col("row_index") > F.col("first_row")), repeated_key(F.col("pk")))
     joined = checked.where(keyed).join(repeated, ["submission_id", "pk"], "left").withColumn(
         "error", F.coalesce("error", duplicate))
     return joined.select(*rows.columns, "error").unionByName(checked.where(~keyed).select(*rows.columns, "error"))
