@@ -17,7 +17,6 @@ added here must not exist before (ValueError).
 from __future__ import annotations
 
 import re
-import sys
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import chain
@@ -28,16 +27,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vigil.llm.shared import text_slices
+from vigil.llm.shared import checked_broadcast, stored, text_slices
 from vigil.llm.words import PLACE, mix
 
 UNKNOWN = "und"
 ADDED = ("lang_pred", "score", "accepted")
-#: Numerals that Python's `\\w` takes for word characters, though they are neither letters nor decimal digits.
-NUMERALS = "".join(c for c in map(chr, range(0x80, sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-LETTERS = re.compile(rf"[^\W\d_{NUMERALS}]+")
+LETTERS = re.compile(r"[^\W\d_]+")
 #: Runs of letters that a worker remembers before it forgets all of them.
-REMEMBERED = 200_000
+REMEMBERED = 300_000
 #: Characters that are looked at together: of texts, and of new runs of letters.
 TOGETHER, HASHED = 1 << 18, 1 << 15
 
@@ -103,7 +100,7 @@ class LanguageModel:
         """Calibrated probabilities of the languages; a row of zeros if a text has no letter."""
         total = np.zeros((len(texts), self.embedding.shape[1] + 1))
         for places, parts in together(texts):
-            runs = [LETTERS.findall(part.lower()) for part in parts]
+            runs = [letter_runs(part) for part in parts]
             flat = list(chain.from_iterable(runs))
             if flat:
                 self.remember(set(flat))
@@ -164,6 +161,15 @@ def pieces_of(runs: list[str], options: Training) -> Iterator[tuple[list[str], l
         yield parts, starts, rows
 
 
+def letter_runs(text: str) -> list[str]:
+    """Maximal runs of Unicode letters, in lower case."""
+    runs = LETTERS.findall(text.lower())
+    # numerals such as fractions and Roman numbers are word characters, but no letters
+    odd = {} if text.isascii() else {
+        run: "".join(c if c.isalpha() else " " for c in run).split() for run in set(runs) if not run.isalpha()}
+    return list(chain.from_iterable(odd.get(run, (run,)) for run in runs)) if odd else runs
+
+
 def softmax(x: np.ndarray) -> np.ndarray:
     e = np.exp(x - x.max(1, keepdims=True))
     return e / e.sum(1, keepdims=True)
@@ -201,7 +207,7 @@ def training_rows(docs: DataFrame, allowed: Column, options: Training) -> list[t
     """
     rows = docs.where(allowed & F.col("lang").isNotNull() & F.col("text").isNotNull())
     short = F.length("text") <= options.max_chars
-    counts = rows.groupBy("lang").agg(F.count("*").alias("count"), F.count_if(short).alias("short"))
+    counts = stored(rows.groupBy("lang").agg(F.count("*").alias("count"), F.count_if(short).alias("short")), "languages")
     languages = counts.count()
     if not languages:
         return []
@@ -210,7 +216,7 @@ def training_rows(docs: DataFrame, allowed: Column, options: Training) -> list[t
     # a language of long texts only is learned from their beginnings
     has_short = F.col("short") > 0
     part = (1.3 * options.docs_per_language + 20) / F.when(has_short, F.col("short")).otherwise(F.col("count"))
-    wanted = counts.select("lang", has_short.alias("has_short"), part.alias("part"))
+    wanted = checked_broadcast(counts.select("lang", has_short.alias("has_short"), part.alias("part")), languages)
     picked = rows.join(wanted, "lang").where((share < F.col("part")) & (short | ~F.col("has_short"))).select(
         F.substring("text", 1, options.max_chars).alias("text"), "lang", (fold() == 0).alias("back"), order.alias("at"))
     by_language = Window.partitionBy("lang").orderBy("at", "text")
@@ -226,7 +232,7 @@ def bags(texts: list[str], options: Training) -> list[tuple[np.ndarray, np.ndarr
     out = []
     for text in texts:
         counts = np.zeros(options.buckets)
-        for part in pieces_of(LETTERS.findall(text.lower()), options):
+        for part in pieces_of(letter_runs(text), options):
             counts += np.bincount(subwords(*part, options)[0], minlength=options.buckets)
         at = np.flatnonzero(counts)
         out.append((at, counts[at] / max(1, counts.sum())))
