@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from vigil.llm.shared import most_frequent, shared_file, stored, text_slices
+from vigil.llm.shared import KEPT, most_frequent, shared_file, stored, text_slices
 
 #: Characters (and 8 for each entry) of what a worker remembers before a generation is let go.
 REMEMBERED = 4_000_000
@@ -463,9 +463,16 @@ def encoder(path: str, lexicon: str | None) -> Encoder:
 
     What it remembers is a function of the piece alone, and so is the same in all tasks.
     """
+    KEPT.append(forget)
     return Encoder(vocabulary(path), Lexicon(SparkFiles.get(lexicon)) if lexicon else None)
 
 
+def forget() -> None:
+    """Let go of encoders and vocabularies."""
+    encoder.cache_clear()
+    vocabulary.cache_clear()
+
+
 def encode(docs: DataFrame, path: str, lexicon: str | None, column: str = "ids", text: str = "text") -> DataFrame:
     """docs with the ids of their texts as little-endian integers of 16 bits, or 32 for a large vocabulary."""
     names = docs.columns

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vigil.llm.components import components
-from vigil.llm.shared import BROADCAST_IDS, checked_broadcast, scratch, stored, text_slices
+from vigil.llm.shared import BROADCAST_IDS, checked_broadcast, let_go, scratch, stored, text_slices
 from vigil.llm.words import shingle_sets
 
 
@@ -89,6 +89,7 @@ def digested(docs: DataFrame, options: Join) -> DataFrame:
     """docs with the `digest` of their texts."""
 
     def run(batches):
+        let_go()
         for batch in batches:
             for part in text_slices(batch, "text"):
                 own = [digest(x) or None for x in shingle_sets(part.column("text"), options.k)]
@@ -101,6 +102,7 @@ def shingled(docs: DataFrame, options: Join) -> DataFrame:
     """(doc_id, n, wide, digest) of every row: shingles, those of the wide tier; the digest of an empty set is null."""
 
     def run(batches):
+        let_go()
         for batch in batches:
             for part in text_slices(batch, "text"):
                 own = list(shingle_sets(part.column("text"), options.k))
@@ -180,6 +182,7 @@ def shared_shingles(docs: DataFrame, total: int, options: Join) -> DataFrame:
              pa.array([r for _, r in out], pa.binary())], ["cell", "mark", "rows"])
 
     def scatter(batches):
+        let_go()
         held, size, seen = [], 0, set()
         fewer: list[tuple[int, int, int]] = []
         for batch in batches:
@@ -269,6 +272,7 @@ def candidate_sets(docs: DataFrame, classes: DataFrame, members: DataFrame, opti
     ids = stored(wanted.select(F.col("least").alias("doc_id")).distinct(), "candidate-ids")
 
     def run(batches):
+        let_go()
         for batch in batches:
             for part in text_slices(batch, "text"):
                 own = list(shingle_sets(part.column("text"), options.k))

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vigil.llm.shared import checked_broadcast, stored, text_slices
+from vigil.llm.shared import checked_broadcast, let_go, stored, text_slices
 from vigil.llm.words import PLACE, mix
 
 UNKNOWN = "und"
@@ -307,6 +307,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
         T.StructField("accepted", T.BooleanType())])
 
     def add(batches):
+        let_go()
         for batch in batches:
             for part in text_slices(batch, "text"):
                 p = model.probabilities(part.column("text").to_pylist())

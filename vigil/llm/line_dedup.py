@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vigil.llm.shared import scratch, stored, text_slices
+from vigil.llm.shared import let_go, scratch, stored, text_slices
 
 ADDED = ("n_lines", "n_dropped")
 SEED = 9
@@ -43,6 +43,7 @@ def document_keys(docs: DataFrame, min_chars: int) -> DataFrame:
     """(doc_id, key): one row for each document and long key in it."""
 
     def explode(batches):
+        let_go()
         for batch in batches:
             for part in text_slices(batch, "text"):
                 ids, keys = [], []
@@ -78,6 +79,7 @@ def drop_shared_lines(docs: DataFrame, min_docs: int = 5, min_chars: int = 40) -
     schema = T.StructType([*docs.schema.fields, *(T.StructField(c, T.LongType()) for c in ADDED)])
 
     def assemble(batches):
+        let_go()
         for batch in batches:
             for part in text_slices(batch, "text"):
                 texts, counts, dropped = [], [], []

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vigil.llm.shared import checked_broadcast, stored, text_slices
+from vigil.llm.shared import checked_broadcast, let_go, stored, text_slices
 from vigil.llm.words import Words, text_bytes, windows
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
@@ -108,6 +108,7 @@ def measured(docs: DataFrame) -> DataFrame:
     schema = T.StructType([*docs.schema.fields, *(T.StructField(c, T.LongType()) for c in COUNTS)])
 
     def add(batches):
+        let_go()
         for batch in batches:
             for part in text_slices(batch, "text"):
                 yield pa.RecordBatch.from_arrays([*part.columns, *count_text(part.column("text"))], [*part.schema.names, *COUNTS])

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import io
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from pathlib import Path
 
@@ -99,6 +100,20 @@ def checked_broadcast(df: DataFrame, rows: int | None = None, bound: int = BROAD
     return F.broadcast(df) if (df.count() if rows is None else rows) <= bound else df
 
 
+#: What lets go of the memory that an operator keeps in a worker from task to task.
+KEPT: list[Callable[[], None]] = []
+
+
+def let_go() -> None:
+    """Called by tasks of operators that don't need what others keep: a worker serves one stage after another."""
+    if KEPT:
+        for clear in KEPT:
+            clear()
+        KEPT.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+
+
 def text_slices(batch: pa.RecordBatch, column: str, size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows of about `size` bytes of text; a longer text is a run of its own."""
     lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
