@@ -6,7 +6,7 @@ from helpers import NOW, PERIOD, at
 from pyspark.sql import functions as F
 
 from vigil.functions.canonical import EMPTY_DIGEST
-from vigil.operators.manifest import build_manifests, latest_manifests, verify_manifests
+from vigil.operators.manifest import _iso, build_manifests, latest_manifests, verify_manifests
 from vigil.sources import snapshots
 from vigil.sources.sinks import SCORES, append_scores, replace_by_entity
 from vigil.sources.snapshots import read_table
@@ -156,3 +156,20 @@ def test_added_rows(spark, tmp_path):
     for n in (1, 2):
         append_scores(spark.createDataFrame([("a", n)], ROWS), root)
     assert {(r.entity_id, r.n) for r in read_table(spark, root, SCORES, ROWS).collect()} == {("a", 1), ("a", 2)}
+
+
+def test_sealed_times_of_whole_seconds(spark, tmp_path):
+    """The registered leaves follow their SQL where a time has no fraction; the operator's default stays isoformat's."""
+    duckdb = pytest.importorskip("duckdb")
+    import __spark_entry__ as entry
+
+    rows = "(0, TIMESTAMP '2024-01-01 10:00:00', 26, 'error', 80.0, '{\"k\": 1}'), (1, TIMESTAMP '2024-01-01 10:00:00.25', 27, 'error', 20.0, '{\"k\": 2}')"
+    connection = duckdb.connect()
+    connection.execute(f"create table events as select * from (values {rows}) v(event_id, ts, user_id, event_type, value, props)")
+    connection.execute(f"copy (select * replace (event_id::BIGINT AS event_id, user_id::BIGINT AS user_id, value::DOUBLE AS value) from events) to '{tmp_path}/events.parquet' (format parquet)")
+    wanted = connection.execute(entry.oracle_sql()["m1_event_leaves"]).fetchall()
+    got = [tuple(r) for r in entry.queries()["m1_event_leaves"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(wanted)
+    times = spark.sql("select timestamp '2024-01-01 10:00:00' as t").select(
+        _iso("t").alias("auto"), _iso("t", "microseconds").alias("all")).first()
+    assert tuple(times) == ("2024-01-01T10:00:00+00:00", "2024-01-01T10:00:00.000000+00:00")

@@ -74,6 +74,8 @@ def composites(spark, sf):
     return table(spark, sf, "pages").select("page_id", composite_root(*parts).alias("root"))
 
 
+#: The documents below write all times with microseconds, also those of whole seconds.
+TIMESPEC = "microseconds"
 EVENT_DOC = """'{"action":"error","asset_id":"' || asset_id || '","dataset_type":"alert_metadata","event_id":"' || event_id || '","event_timestamp":"'
   || strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '+00:00","normalized_payload":{},"raw_ref_id":"' || ref || '","severity":"' || severity
   || '","standard_event_type":"ALERT","status":null,"submission_id":null}'"""
@@ -81,7 +83,7 @@ EVENT_DOC = """'{"action":"error","asset_id":"' || asset_id || '","dataset_type"
 
 @query("m1_event_leaves", with_sql("alerts", body=f"SELECT entity_id, sha256({EVENT_DOC}) AS digest FROM alerts"))
 def leaves(spark, sf):
-    return event_leaves(alerts(spark, sf)).select("entity_id", "digest")
+    return event_leaves(alerts(spark, sf), TIMESPEC).select("entity_id", "digest")
 
 
 def score_table(spark, sf) -> DataFrame:
@@ -105,7 +107,7 @@ def sealed_tables(spark, sf) -> dict[str, DataFrame]:
 
 
 def seal(spark, sf) -> DataFrame:
-    return build_manifests(entities(spark, sf), sealed_tables(spark, sf), SEAL_PERIOD, NOW)
+    return build_manifests(entities(spark, sf), sealed_tables(spark, sf), SEAL_PERIOD, NOW, timespec=TIMESPEC)
 
 
 @query(
@@ -133,7 +135,7 @@ def verification(spark, sf):
     changed["events"] = changed["events"].withColumn(
         "severity", F.when(F.col("severity") == "LOW", "HIGH").otherwise(F.col("severity"))
     )
-    return verify_manifests(stored, entities(spark, sf), changed, SEAL_PERIOD).select(
+    return verify_manifests(stored, entities(spark, sf), changed, SEAL_PERIOD, timespec=TIMESPEC).select(
         "entity_id", "is_valid", "status", F.size("discrepancies").cast("bigint").alias("discrepancies")
     )
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from datetime import datetime
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,9 +21,13 @@ COMPONENTS = (
 )
 
 
-def _iso(name: str) -> Column:
-    """ISO-8601 text in UTC; microseconds only when present."""
+def _iso(name: str, timespec: str = "auto") -> Column:
+    """ISO-8601 text in UTC; microseconds only when present (`auto`), or always (`microseconds`)."""
+    if timespec not in ("auto", "microseconds"):
+        raise ValueError(f"unknown timespec {timespec!r}")
     ts = F.col(name)
+    if timespec == "microseconds":
+        return F.concat(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("+00:00"))
     whole = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")
     micros = F.unix_micros(ts) % 1_000_000
     return F.concat(whole, F.when(micros != 0, F.date_format(ts, ".SSSSSS")).otherwise(F.lit("")), F.lit("+00:00"))
@@ -58,7 +62,8 @@ def quarantine_leaves(rows: DataFrame) -> DataFrame:
     ))
 
 
-def event_leaves(events: DataFrame) -> DataFrame:
+def event_leaves(events: DataFrame, timespec: str = "auto") -> DataFrame:
+    """`timespec` is that of Python's isoformat: whole seconds are written without microseconds unless told otherwise."""
     return _leaves(events, COMPONENTS[2], json_object(
         **{
             name: json_text(name)
@@ -67,7 +72,7 @@ def event_leaves(events: DataFrame) -> DataFrame:
                 "action", "status", "severity", "raw_ref_id",
             )
         },
-        event_timestamp=json_text(_iso("event_timestamp")),
+        event_timestamp=json_text(_iso("event_timestamp", timespec)),
         normalized_payload=json_map("normalized_payload"),
     ))
 
@@ -143,9 +148,12 @@ def slice_table(name: str, df: DataFrame, period: Period, submission_id: str | N
     return df.where((F.col("period_start") >= start) & (F.col("period_end") <= end))
 
 
-def subtree_roots(tables: dict[str, DataFrame], period: Period, submission_id: str | None = None) -> DataFrame:
+def subtree_roots(
+    tables: dict[str, DataFrame], period: Period, submission_id: str | None = None, timespec: str = "auto"
+) -> DataFrame:
     """(entity, component, leaf_count, root) of the non-empty subtrees."""
-    parts = [LEAVES[name](slice_table(name, df, period, submission_id)) for name, df in tables.items()]
+    leaves = {**LEAVES, "events": partial(event_leaves, timespec=timespec)}
+    parts = [leaves[name](slice_table(name, df, period, submission_id)) for name, df in tables.items()]
     return merkle_roots(reduce(DataFrame.unionByName, parts), ["entity_id", "component"])
 
 
@@ -156,9 +164,10 @@ def build_manifests(
     generated_at: datetime,
     submission_id: str | None = None,
     manifest_type: str = "PERIOD_AUDIT",
+    timespec: str = "auto",
 ) -> DataFrame:
     """One manifest per entity: four subtree roots (empty ones included), composite root, counts."""
-    roots = subtree_roots(tables, period, submission_id)
+    roots = subtree_roots(tables, period, submission_id, timespec)
     per_entity = roots.groupBy("entity_id").agg(
         *[
             F.max(F.when(F.col("component") == name, F.col("root"))).alias(name) for name in COMPONENTS
@@ -198,10 +207,11 @@ def build_manifests(
 
 
 def verify_manifests(
-    stored: DataFrame, entities: DataFrame, tables: dict[str, DataFrame], period: Period, submission_id: str | None = None
+    stored: DataFrame, entities: DataFrame, tables: dict[str, DataFrame], period: Period, submission_id: str | None = None,
+    timespec: str = "auto",
 ) -> DataFrame:
-    """Recompute the roots and list every difference: VERIFIED or TAMPER_DETECTED."""
-    fresh = build_manifests(entities, tables, period, datetime(1970, 1, 1), submission_id).select(
+    """Recompute the roots and list every difference: VERIFIED or TAMPER_DETECTED; `timespec` is that of the sealing."""
+    fresh = build_manifests(entities, tables, period, datetime(1970, 1, 1), submission_id, timespec=timespec).select(
         "entity_id",
         F.col("component_hashes").alias("fresh"),
         F.col("root_merkle_sha256").alias("recomputed_root_sha256"),
