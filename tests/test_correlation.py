@@ -111,6 +111,52 @@ def test_similar_notes_match_brute_force(make_events):
     assert stands_for + inside == len(pairs)
 
 
+def random_notes(make_events, seed, count, vocabulary):
+    rng = random.Random(seed)
+    texts = [[f"word{rng.randrange(vocabulary)}" for _ in range(20)] for _ in range(count)]
+    texts += [[*t[:-1], "other"] for t in texts[:5]]
+    return nt.note_groups(nt.note_corpus(make_events(*[
+        dict(kind="INVESTIGATION", case_id=f"C{i}", investigation_notes=" ".join(t), event_timestamp=at(i)) for i, t in enumerate(texts)
+    ])))
+
+
+@pytest.mark.parametrize("frequent", [200_000, 20, 0])
+def test_weights_with_few_broadcast_terms(make_events, monkeypatch, frequent):
+    monkeypatch.setattr(nt, "FREQUENT_TERMS", frequent)
+    groups = random_notes(make_events, 3, 20, 60)
+    bags = {r.bag: Counter(r.tokens) for r in groups.select("bag", "tokens").collect()}
+    sizes = {r.bag: r["size"] for r in groups.select("bag", "size").collect()}
+    df = Counter()
+    for bag, words in bags.items():
+        df.update({w: sizes[bag] for w in words})
+    docs, expected = sum(sizes.values()), {}
+    for bag, words in bags.items():
+        raw = {w: n * (math.log((1 + docs) / (1 + df[w])) + 1) for w, n in words.items()}
+        norm = math.sqrt(sum(x * x for x in raw.values()))
+        expected.update({(bag, w): (df[w], pytest.approx(x / norm)) for w, x in raw.items()})
+    assert {(r.bag, r.term): (r.df, r.w) for r in nt.term_weights(groups).collect()} == expected
+
+
+def test_only_pairs_that_may_be_similar_are_compared(make_events):
+    vectors = nt.term_vectors(random_notes(make_events, 4, 60, 60))
+    v = {r.gid: {t.term: t.w for t in r.v} for r in vectors.collect()}  # rarest term first
+    prefix = {}  # terms one of which every similar pair shares
+    for g, terms in v.items():
+        w = list(terms.values())
+        prefix[g] = {t for i, t in enumerate(terms) if sum(x * x for x in w[i:]) >= 0.85**2 or len(w) - i >= 0.8 * len(w)}
+    similar, meeting = set(), 0
+    for a in v:
+        for b in v:
+            if a < b:
+                common = v[a].keys() & v[b].keys()
+                meeting += bool(prefix[a] & prefix[b])
+                if sum(v[a][t] * v[b][t] for t in common) >= 0.85 or len(common) >= 0.8 * len(v[a].keys() | v[b].keys()):
+                    similar.add((a, b))
+    candidates = {(r.a, r.b) for r in nt.candidate_pairs(vectors, 0.85, 0.80).collect()}
+    assert len(similar) >= 3 and similar <= candidates
+    assert len(candidates) < meeting, (len(candidates), meeting)
+
+
 def test_note_rules(make_events):
     text = "Reviewed endpoint telemetry, isolated workstation; reset credentials, notified manager, closed ticket as malicious phishing"
     rows = [dict(kind="INVESTIGATION", case_id=f"C{i}", investigation_notes=text, event_timestamp=at(i)) for i in range(2)]

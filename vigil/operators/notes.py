@@ -1,9 +1,9 @@
 """Copied investigation notes: TF-IDF cosine and Jaccard similarity within an entity.
 
 Notes with the same bag of words form one group and are compared once.  Groups are compared through
-an inverted index restricted to a prefix of each group's terms, rarest first: two groups whose
-cosine or Jaccard similarity reaches its threshold must share a term in both prefixes, so no pair is
-lost and common terms produce no candidates.  Every result stays whole: a group row names its size
+an inverted index restricted to a prefix of each group's terms, rarest first: what two groups share
+in both prefixes bounds their cosine and Jaccard similarity, so no pair is lost, and only pairs whose
+bound reaches a threshold are compared term by term.  Every result stays whole: a group row names its size
 and number of distinct-case pairs, `members` lists its notes, and an edge between two groups stands
 for all their member pairs.
 """
@@ -17,9 +17,15 @@ from pyspark.sql import functions as F
 from vigil.functions.scalars import first_of, stable_id, text_of
 from vigil.functions.text import tokens
 from vigil.schema import of_type
-from vigil.session import cut_lineage, spread
+from vigil.session import spread, stored
 
 CANDIDATE_FACTOR = 0.7  # pairs below 0.7 of the cosine threshold are never reported
+#: Shares of the thresholds that the terms behind a pair's zone may give: the smaller, the more pairs meet and the fewer stay.
+OUTSIDE_COSINE, OUTSIDE_JACCARD = 0.965, 0.9
+#: What sums of doubles, and of single-precision products, may be short of.
+SLACK, ROUNDING = 1e-9, 1e-4
+#: Terms of an entity whose counts are broadcast; the others are joined by term.
+FREQUENT_TERMS = 200_000
 
 
 def note_corpus(events: DataFrame, min_tokens: int = 10) -> DataFrame:
@@ -54,83 +60,121 @@ def note_groups(corpus: DataFrame) -> DataFrame:
     )
 
 
-def term_weights(groups: DataFrame) -> DataFrame:
-    """Unit TF-IDF vector of every group in long form, ordered rarest term first.
+def term_vectors(groups: DataFrame) -> DataFrame:
+    """One row per group, stored: gid, entity_id, bag, size and `v`, its unit TF-IDF vector (df, term, w), rarest term first.
 
-    tf is the raw count and idf = ln((1 + N) / (1 + df)) + 1, with N and df counting notes.
+    tf is the raw count and idf = ln((1 + N) / (1 + df)) + 1, with N and df counting notes.  Postings carry the number of
+    their group only.  Frequent terms are looked up in a bounded broadcast; the postings of the others alone are dealt by term.
     """
-    corpus_size = groups.groupBy("entity_id").agg(F.sum("size").alias("docs"))
-    postings = (
-        groups.select("entity_id", "bag", "size", F.explode("tokens").alias("term"))
-        .groupBy("entity_id", "bag", "term")
-        .agg(F.count("*").alias("tf"), F.first("size").alias("size"))
-    )
-    df = postings.groupBy("entity_id", "term").agg(F.sum("size").alias("df"))
-    raw = (
-        postings.join(df, ["entity_id", "term"])
-        .join(corpus_size, "entity_id")
-        .withColumn("w", F.col("tf") * (F.ln((1.0 + F.col("docs")) / (1.0 + F.col("df"))) + 1.0))
-    )
-    note = W.partitionBy("entity_id", "bag")
-    return raw.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(note))).select(
-        "entity_id", "bag", "term", "df", "w"
-    )
+    # the groups lie by (entity, bag) already: neither aggregate moves a row
+    counted = groups.select("entity_id", "bag", "size", F.explode("tokens").alias("term")).groupBy(
+        "entity_id", "bag", "size", "term").agg(F.count("*").alias("tf"))
+    notes = stored(
+        counted.groupBy("entity_id", "bag", "size").agg(F.collect_list(F.struct("term", "tf")).alias("terms")).withColumn(
+            "gid", F.monotonically_increasing_id()), "note-terms")
+    postings = notes.select("gid", "entity_id", "size", F.explode("terms").alias("t")).select("gid", "entity_id", "size", "t.term", "t.tf")
+    # a term of one group only has that group's size as its df
+    shared = stored(
+        postings.groupBy("entity_id", "term").agg(F.sum("size").alias("df"), F.count("*").alias("groups")).where("groups > 1"), "note-df")
+    step = F.floor(F.log2("groups") * 8)
+    least, total = 0, 0
+    for row in shared.groupBy(step.alias("step")).agg(F.count("*").alias("n")).orderBy(F.desc("step")).collect():
+        total += row["n"]
+        if total > FREQUENT_TERMS:
+            least = row["step"] + 1
+            break
+    looked = postings.join(F.broadcast(shared.where(step >= least).drop("groups")), ["entity_id", "term"], "left")
+    if least:
+        rare = shared.where(step < least).select("entity_id", "term", F.col("df").alias("rare_df"))
+        missed = looked.where("df is null").drop("df").join(rare, ["entity_id", "term"], "left").withColumnRenamed("rare_df", "df")
+        looked = looked.where("df is not null").unionByName(missed)
+    docs = notes.groupBy("entity_id").agg(F.sum("size").alias("docs"))
+    df = F.coalesce("df", "size")
+    raw = looked.join(docs, "entity_id").select("gid", F.struct(
+        df.alias("df"), "term", (F.col("tf") * (F.ln((1.0 + F.col("docs")) / (1.0 + df)) + 1.0)).alias("w")).alias("t"))
+    gathered = raw.groupBy("gid").agg(F.sort_array(F.collect_list("t")).alias("v"))
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, t: s + t["w"] * t["w"]))
+    # bound once: within the lambda the norm would be worked out for each term
+    unit = gathered.select("gid", F.transform(F.array(norm), lambda n: F.transform("v", lambda t: F.named_struct(
+        F.lit("df"), t["df"], F.lit("term"), t["term"], F.lit("w"), t["w"] / n)))[0].alias("v"))
+    return stored(notes.drop("terms").join(unit, "gid"), "note-vectors")
 
 
-def prefix_postings(weights: DataFrame, cosine: float, jaccard: float) -> DataFrame:
-    """Terms that must witness any pair reaching a threshold.
+def term_weights(groups: DataFrame) -> DataFrame:
+    """The unit vectors in long form."""
+    return term_vectors(groups).select("entity_id", "bag", F.explode("v").alias("t")).select("entity_id", "bag", "t.term", "t.df", "t.w")
+
 
-    In the order (df, term): a suffix of norm below `cosine` cannot alone reach it, and of n terms
-    only the last ceil(jaccard * n) - 1 may be ignored for Jaccard.
+def prefix_postings(vectors: DataFrame, cosine: float, jaccard: float) -> DataFrame:
+    """Postings that may be among the first common terms of a pair that reaches a threshold (see `candidate_pairs`).
+
+    Terms of no other group are left out.  `rest` is the squared norm from the term on, `left` the number of terms from it
+    on, `core` the least number of terms that hold cosine^2 of the squared norm.
     """
-    note = W.partitionBy("entity_id", "bag")
-    from_end = note.orderBy(F.desc("df"), F.desc("term")).rowsBetween(W.unboundedPreceding, 0)
-    ranked = weights.select(
-        "entity_id", "bag", "term",
-        F.sum(F.col("w") * F.col("w")).over(from_end).alias("rest"),
-        F.count("*").over(from_end).alias("left"),
-        F.count("*").over(note).alias("n"),
-    )
-    by_cosine = F.col("rest") >= cosine * cosine - 1e-9
-    by_jaccard = F.col("left") >= F.ceil(F.col("n") * jaccard - 1e-9)
-    return ranked.where(by_cosine | by_jaccard).select("entity_id", "bag", "term")
+    step = lambda s, k: F.named_struct(F.lit("s"), s, F.lit("k"), k)
+    core = F.aggregate(
+        F.sort_array(F.transform("v", lambda t: t["w"] * t["w"]), asc=False), step(F.lit(0.0), F.lit(0)),
+        lambda acc, x: F.when(acc["s"] < cosine * cosine - SLACK, step(acc["s"] + x, acc["k"] + 1)).otherwise(acc),
+    )["k"]
+    # in a step of its own: beside the generator the core would be worked out for each term
+    sized = vectors.select("gid", "entity_id", "size", "v", F.size("v").alias("n"), core.alias("core"))
+    listed = sized.select("gid", "entity_id", "size", "n", "core", F.posexplode("v").alias("i", "t")).select(
+        "gid", F.xxhash64("entity_id", "t.term").alias("key"), "i", F.col("t.w").alias("w"), "n", "core", (F.col("t.df") > F.col("size")).alias("shared"))
+    from_end = W.partitionBy("gid").orderBy(F.desc("i")).rowsBetween(W.unboundedPreceding, 0)
+    outside = cosine * OUTSIDE_COSINE
+    return listed.withColumn("rest", F.sum(F.col("w") * F.col("w")).over(from_end)).select(
+        "gid", "key", F.col("w").cast("float").alias("w"), "rest", (F.col("n") - F.col("i")).alias("left"), "n", "core", "shared",
+    ).where(
+        F.col("shared") & ((F.col("rest") >= outside * outside - SLACK) | (F.col("left") >= OUTSIDE_JACCARD * jaccard * F.col("n") - SLACK))
+    ).drop("shared")
+
+
+def candidate_pairs(vectors: DataFrame, cosine: float, jaccard: float) -> DataFrame:
+    """(a, b): numbers of groups, among them all that reach a threshold.
+
+    In the order of (df, term), let a pair's zone be its common terms at which the product of both `rest` is at least s^2, with
+    s below the cosine's threshold.  The terms behind the zone give less than s, so those within must give the difference.
+    The same holds for Jaccard, where m terms have to be common: behind the zone of the terms at which both have
+    a share of m left, fewer than that are common.  A key that stands for two terms only adds to a sum.
+    """
+    prefix = stored(prefix_postings(vectors, cosine, jaccard), "note-prefixes")  # both sides of the join read it
+    a, b = (prefix.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("gid", "w", "rest", "left", "n", "core")]) for x in "ab")
+    s = cosine * OUTSIDE_COSINE
+    by_cosine = (F.col("rest_a") * F.col("rest_b") >= s * s - SLACK) & (F.col("n_a") >= F.col("core_b")) & (F.col("n_b") >= F.col("core_a"))
+    wanted = (F.col("n_a") + F.col("n_b")) * (jaccard / (1 + jaccard))
+    by_jaccard = (F.least("left_a", "left_b") >= OUTSIDE_JACCARD * wanted - SLACK) & (
+        F.least("n_a", "n_b") >= jaccard * F.greatest("n_a", "n_b") - SLACK)
+    # an equi join on the term; adaptive skew handling splits a hot one
+    met = a.join(b, "key").where(F.col("gid_a") < F.col("gid_b")).select(
+        F.col("gid_a").alias("a"), F.col("gid_b").alias("b"),
+        F.when(by_cosine, F.col("w_a") * F.col("w_b")).otherwise(0.0).cast("float").alias("c"),
+        F.when(by_jaccard, 1.0 / wanted).otherwise(0.0).cast("float").alias("j"),
+    ).where("c > 0 or j > 0")
+    sums = met.groupBy("a", "b").agg(F.sum("c").alias("c"), F.sum("j").alias("j"))
+    return sums.where((F.col("c") >= cosine - s - ROUNDING) | (F.col("j") >= 1 - OUTSIDE_JACCARD - ROUNDING)).select("a", "b")
 
 
 def similar_groups(
     groups: DataFrame, cosine: float = 0.85, jaccard: float = 0.80
 ) -> DataFrame:
     """Pairs of different bags with cosine >= 0.85 or Jaccard >= 0.80 (and cosine above the floor)."""
-    weights = cut_lineage(term_weights(groups))  # read by both sides of the join and by both vectors
-    prefix = prefix_postings(weights, cosine, jaccard)
-    a = prefix.select("entity_id", "term", F.col("bag").alias("bag_a"))
-    b = prefix.select("entity_id", "term", F.col("bag").alias("bag_b"))
-    # an equi join on (entity, term); adaptive skew handling splits a hot term
-    candidates = (
-        a.join(b, ["entity_id", "term"])
-        .where(F.col("bag_a") < F.col("bag_b"))
-        .select("entity_id", "bag_a", "bag_b")
-        .distinct()
-    )
+    vectors = term_vectors(groups)
+    candidates = stored(candidate_pairs(vectors, cosine, jaccard), "note-pairs")
     # one vector per group, bounded by the vocabulary of one note
-    vectors = weights.groupBy("entity_id", "bag").agg(
-        F.map_from_entries(F.collect_list(F.struct("term", "w"))).alias("v")
-    )
-    va = vectors.select("entity_id", F.col("bag").alias("bag_a"), F.col("v").alias("va"))
-    vb = vectors.select("entity_id", F.col("bag").alias("bag_b"), F.col("v").alias("vb"))
-    merged = F.map_zip_with("va", "vb", lambda _, x, y: x * y)
+    va, vb = (vectors.select("entity_id", F.col("gid").alias(x), F.col("bag").alias(f"bag_{x}"), F.col("v").alias(f"v{x}")) for x in "ab")
+    merged = F.map_zip_with(_as_map("va"), _as_map("vb"), lambda _, x, y: x * y)
     scored = (
-        candidates.join(va, ["entity_id", "bag_a"])
-        .join(vb, ["entity_id", "bag_b"])
-        .select("entity_id", "bag_a", "bag_b", merged.alias("m"))
+        candidates.join(va, "a")
+        .join(vb.drop("entity_id"), "b")
         .select(
-            "entity_id", "bag_a", "bag_b",
-            F.size("m").alias("n_union"),
-            F.map_filter("m", lambda _, x: x.isNotNull()).alias("m"),
-        )
+            "entity_id", F.least("bag_a", "bag_b").alias("bag_a"), F.greatest("bag_a", "bag_b").alias("bag_b"),
+            (F.size("va") + F.size("vb")).alias("n"),
+            # a generator keeps later uses from merging the vectors again
+            F.explode(F.array(F.map_filter(merged, lambda _, x: x.isNotNull()))).alias("m"))
         .select(
             "entity_id", "bag_a", "bag_b",
             F.aggregate(F.map_values("m"), F.lit(0.0), lambda s, x: s + x).alias("cosine"),
-            (F.size("m") / F.col("n_union")).alias("jaccard"),
+            (F.size("m") / (F.col("n") - F.size("m"))).alias("jaccard"),
             F.slice(F.array_sort(F.map_keys("m")), 1, 15).alias("shared_tokens"),
         )
     )
@@ -140,6 +184,10 @@ def similar_groups(
     )
 
 
+def _as_map(vector: str) -> Column:
+    return F.map_from_entries(F.transform(vector, lambda t: F.named_struct(F.lit("key"), t["term"], F.lit("value"), t["w"])))
+
+
 def note_members(corpus: DataFrame) -> DataFrame:
     """Long form of the groups: every note with its bag.
 
@@ -171,7 +219,7 @@ def similar_group_edges(corpus: DataFrame, cosine: float = 0.85, jaccard: float
     `corpus` is read several times and should be stored.
     """
     groups = note_groups(corpus)
-    pairs = similar_groups(groups, cosine, jaccard)
+    pairs = stored(similar_groups(groups, cosine, jaccard), "similar-notes")  # read twice below
     info = groups.select("entity_id", "bag", "size", "rep")
     ia = info.select("entity_id", F.col("bag").alias("bag_a"), F.col("size").alias("size_a"), F.col("rep").alias("rep_a"))
     ib = info.select("entity_id", F.col("bag").alias("bag_b"), F.col("size").alias("size_b"), F.col("rep").alias("rep_b"))
@@ -233,7 +281,7 @@ def note_edges(events: DataFrame, cosine: float = 0.85, jaccard: float = 0.80, m
     Copies of the representative's own case are no pair with it, but are with copies of other cases: `note_members`
     holds them all.
     """
-    corpus = cut_lineage(note_corpus(events, min_tokens))  # splitting the texts is the costly part
+    corpus = stored(note_corpus(events, min_tokens), "notes")  # splitting the texts is the costly part
     groups = note_groups(corpus)
     member = F.struct("event_id", "case_key", "analyst", "asset").alias("copy")
     copies = (
