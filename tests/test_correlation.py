@@ -157,6 +157,38 @@ def test_only_pairs_that_may_be_similar_are_compared(make_events):
     assert len(candidates) < meeting, (len(candidates), meeting)
 
 
+@pytest.mark.parametrize("postings", [2_000_000, 300, 40])
+def test_blocks_of_notes_lose_no_pair(make_events, monkeypatch, postings):
+    monkeypatch.setattr(nt, "BLOCK_POSTINGS", postings)
+    vectors = nt.term_vectors(random_notes(make_events, 5, 60, 60))
+    v = {r.gid: {t.term: t.w for t in r.v} for r in vectors.collect()}
+    similar = {
+        (a, b) for a in v for b in v if a < b and (
+            sum(v[a][t] * v[b][t] for t in v[a].keys() & v[b].keys()) >= 0.85
+            or len(v[a].keys() & v[b].keys()) >= 0.8 * len(v[a].keys() | v[b].keys()))}
+    found = nt.candidate_pairs(vectors, 0.85, 0.80)
+    pairs = [(r.a, r.b) for r in found.collect()]
+    assert len(pairs) == len(set(pairs)) and similar <= set(pairs) and len(similar) >= 3
+
+
+def test_vectors_move_once_for_near_copies(make_events, monkeypatch):
+    words = [f"word{i}" for i in range(60)]
+    texts = [" ".join(words[:-1] + [f"other{i}"]) for i in range(12)]  # all pairs are similar
+    groups = nt.note_groups(nt.note_corpus(make_events(*[
+        dict(kind="INVESTIGATION", case_id=f"C{i}", investigation_notes=t, event_timestamp=at(i)) for i, t in enumerate(texts)
+    ])))
+    counts = nt.term_counts(groups)
+    candidates = nt.stored(nt.candidate_pairs(nt.unit_vectors(counts), 0.85, 0.80), "candidates")
+    rows, pairs = nt.dealt_pairs(counts, candidates)
+    assert (rows.count(), pairs.count()) == (12, 66)
+    whole = {(r.bag_a, r.bag_b): (r.cosine, r.jaccard, r.shared_tokens) for r in nt.similar_groups(groups).collect()}
+    assert len(whole) == 66 and all(
+        j == 59 / 61 and shown == sorted(words[:-1])[:15] for _, j, shown in whole.values())
+    monkeypatch.setattr(nt, "LABEL_GROUPS", 3)
+    cut = {(r.bag_a, r.bag_b): (pytest.approx(r.cosine), r.jaccard, r.shared_tokens) for r in nt.similar_groups(groups).collect()}
+    assert whole == cut
+
+
 def test_note_rules(make_events):
     text = "Reviewed endpoint telemetry, isolated workstation; reset credentials, notified manager, closed ticket as malicious phishing"
     rows = [dict(kind="INVESTIGATION", case_id=f"C{i}", investigation_notes=text, event_timestamp=at(i)) for i in range(2)]

@@ -1,9 +1,9 @@
 """Copied investigation notes: TF-IDF cosine and Jaccard similarity within an entity.
 
-Notes with the same bag of words form one group and are compared once.  Groups are compared through
-an inverted index restricted to a prefix of each group's terms, rarest first: what two groups share
-in both prefixes bounds their cosine and Jaccard similarity, so no pair is lost, and only pairs whose
-bound reaches a threshold are compared term by term.  Every result stays whole: a group row names its size
+Notes with the same bag of words form one group and are compared once.  Groups meet through a prefix
+of their terms, rarest first, two blocks of groups in a task: what two groups share in both prefixes
+bounds their cosine and Jaccard similarity, so no pair is lost, and only pairs whose bound reaches a
+threshold are compared term by term.  Every result stays whole: a group row names its size
 and number of distinct-case pairs, `members` lists its notes, and an edge between two groups stands
 for all their member pairs.
 """
@@ -11,19 +11,21 @@ for all their member pairs.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vigil.functions.scalars import first_of, stable_id, text_of
 from vigil.functions.text import tokens
+from vigil.operators.note_blocks import PAIR, POSTING, PREFIX, SIMILAR, compare_pairs, meet_blocks, pack_prefixes
 from vigil.schema import of_type
-from vigil.session import spread, stored
+from vigil.session import scratch, spread, stored
 
 CANDIDATE_FACTOR = 0.7  # pairs below 0.7 of the cosine threshold are never reported
-#: Shares of the thresholds that the terms behind a pair's zone may give: the smaller, the more pairs meet and the fewer stay.
-OUTSIDE_COSINE, OUTSIDE_JACCARD = 0.965, 0.9
-#: What sums of doubles, and of single-precision products, may be short of.
-SLACK, ROUNDING = 1e-9, 1e-4
+#: Postings of a block, whose groups meet those of another one in a task: 12 bytes each.
+BLOCK_POSTINGS = 2_000_000
+#: Groups of a label that are compared in one task.
+LABEL_GROUPS = 1_000
+#: Rows of groups that are compared, up to which they choose the vectors by a broadcast.
+BROADCAST_GROUPS = 500_000
 #: Terms of an entity whose counts are broadcast; the others are joined by term.
 FREQUENT_TERMS = 200_000
 
@@ -55,16 +57,35 @@ def note_corpus(events: DataFrame, min_tokens: int = 10) -> DataFrame:
 def note_groups(corpus: DataFrame) -> DataFrame:
     """Distinct bags of words per entity with their representative note."""
     rep = F.min_by(F.struct("event_id", "case_key", "analyst", "asset"), F.col("event_id"))
-    return corpus.groupBy("entity_id", "bag").agg(
-        F.count("*").alias("size"), rep.alias("rep"), F.first("tokens").alias("tokens")
+    # a text is moved in a third of the bytes of its words; no word has a blank
+    grouped = corpus.groupBy("entity_id", "bag").agg(
+        F.count("*").alias("size"), rep.alias("rep"), F.first(F.array_join("tokens", " ")).alias("text")
     )
+    return grouped.select("entity_id", "bag", "size", "rep", F.split("text", " ").alias("tokens"))
 
 
 def term_vectors(groups: DataFrame) -> DataFrame:
-    """One row per group, stored: gid, entity_id, bag, size and `v`, its unit TF-IDF vector (df, term, w), rarest term first.
+    """One row per group: gid, entity_id, bag, size and `v`, its unit TF-IDF vector (df, term, w), rarest term first."""
+    return unit_vectors(term_counts(groups))
 
-    tf is the raw count and idf = ln((1 + N) / (1 + df)) + 1, with N and df counting notes.  Postings carry the number of
-    their group only.  Frequent terms are looked up in a bounded broadcast; the postings of the others alone are dealt by term.
+
+def unit_vectors(counts: DataFrame) -> DataFrame:
+    """The vectors of `term_counts`: tf is the raw count and idf = ln((1 + N) / (1 + df)) + 1, with N and df counting notes."""
+    weigh = lambda t: F.named_struct(
+        F.lit("df"), t["df"], F.lit("term"), t["term"],
+        F.lit("w"), t["tf"] * (F.ln((1.0 + F.col("docs")) / (1.0 + t["df"])) + 1.0))
+    # each step is a generator's, so that the next doesn't work it out again for each term
+    weighed = counts.withColumn("v", F.explode(F.array(F.transform("counts", weigh)))).drop("counts", "docs")
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, t: s + t["w"] * t["w"]))
+    return weighed.withColumn("norm", F.explode(F.array(norm))).withColumn("v", F.transform("v", lambda t: F.named_struct(
+        F.lit("df"), t["df"], F.lit("term"), t["term"], F.lit("w"), t["w"] / F.col("norm")))).drop("norm")
+
+
+def term_counts(groups: DataFrame) -> DataFrame:
+    """One row per group, stored: gid, entity_id, bag, size, docs and `counts`, its terms (df, term, tf), rarest first.
+
+    Postings carry the number of their group only.  Frequent terms are looked up in a bounded broadcast; the postings of the
+    others alone are dealt by term.  Weights are not stored: they are twice the rest.
     """
     # the groups lie by (entity, bag) already: neither aggregate moves a row
     counted = groups.select("entity_id", "bag", "size", F.explode("tokens").alias("term")).groupBy(
@@ -90,14 +111,9 @@ def term_vectors(groups: DataFrame) -> DataFrame:
         looked = looked.where("df is not null").unionByName(missed)
     docs = notes.groupBy("entity_id").agg(F.sum("size").alias("docs"))
     df = F.coalesce("df", "size")
-    raw = looked.join(docs, "entity_id").select("gid", F.struct(
-        df.alias("df"), "term", (F.col("tf") * (F.ln((1.0 + F.col("docs")) / (1.0 + df)) + 1.0)).alias("w")).alias("t"))
-    gathered = raw.groupBy("gid").agg(F.sort_array(F.collect_list("t")).alias("v"))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, t: s + t["w"] * t["w"]))
-    # bound once: within the lambda the norm would be worked out for each term
-    unit = gathered.select("gid", F.transform(F.array(norm), lambda n: F.transform("v", lambda t: F.named_struct(
-        F.lit("df"), t["df"], F.lit("term"), t["term"], F.lit("w"), t["w"] / n)))[0].alias("v"))
-    return stored(notes.drop("terms").join(unit, "gid"), "note-vectors")
+    gathered = looked.select("gid", F.struct(df.alias("df"), "term", "tf").alias("t")).groupBy("gid").agg(
+        F.sort_array(F.collect_list("t")).alias("counts"))
+    return stored(notes.drop("terms").join(docs, "entity_id").join(gathered, "gid"), "note-counts")
 
 
 def term_weights(groups: DataFrame) -> DataFrame:
@@ -105,28 +121,12 @@ def term_weights(groups: DataFrame) -> DataFrame:
     return term_vectors(groups).select("entity_id", "bag", F.explode("v").alias("t")).select("entity_id", "bag", "t.term", "t.df", "t.w")
 
 
-def prefix_postings(vectors: DataFrame, cosine: float, jaccard: float) -> DataFrame:
-    """Postings that may be among the first common terms of a pair that reaches a threshold (see `candidate_pairs`).
-
-    Terms of no other group are left out.  `rest` is the squared norm from the term on, `left` the number of terms from it
-    on, `core` the least number of terms that hold cosine^2 of the squared norm.
-    """
-    step = lambda s, k: F.named_struct(F.lit("s"), s, F.lit("k"), k)
-    core = F.aggregate(
-        F.sort_array(F.transform("v", lambda t: t["w"] * t["w"]), asc=False), step(F.lit(0.0), F.lit(0)),
-        lambda acc, x: F.when(acc["s"] < cosine * cosine - SLACK, step(acc["s"] + x, acc["k"] + 1)).otherwise(acc),
-    )["k"]
-    # in a step of its own: beside the generator the core would be worked out for each term
-    sized = vectors.select("gid", "entity_id", "size", "v", F.size("v").alias("n"), core.alias("core"))
-    listed = sized.select("gid", "entity_id", "size", "n", "core", F.posexplode("v").alias("i", "t")).select(
-        "gid", F.xxhash64("entity_id", "t.term").alias("key"), "i", F.col("t.w").alias("w"), "n", "core", (F.col("t.df") > F.col("size")).alias("shared"))
-    from_end = W.partitionBy("gid").orderBy(F.desc("i")).rowsBetween(W.unboundedPreceding, 0)
-    outside = cosine * OUTSIDE_COSINE
-    return listed.withColumn("rest", F.sum(F.col("w") * F.col("w")).over(from_end)).select(
-        "gid", "key", F.col("w").cast("float").alias("w"), "rest", (F.col("n") - F.col("i")).alias("left"), "n", "core", "shared",
-    ).where(
-        F.col("shared") & ((F.col("rest") >= outside * outside - SLACK) | (F.col("left") >= OUTSIDE_JACCARD * jaccard * F.col("n") - SLACK))
-    ).drop("shared")
+def prefixes(vectors: DataFrame, cosine: float, jaccard: float) -> DataFrame:
+    """One row per group with the packed postings of its prefix (see `note_blocks`)."""
+    listed = vectors.select(
+        "gid", "entity_id", "size", F.transform("v", lambda t: F.hash(t["term"])).alias("keys"),
+        F.col("v.df").alias("df"), F.col("v.w").alias("w"))
+    return listed.mapInArrow(pack_prefixes(cosine, jaccard), PREFIX)
 
 
 def candidate_pairs(vectors: DataFrame, cosine: float, jaccard: float) -> DataFrame:
@@ -136,56 +136,50 @@ def candidate_pairs(vectors: DataFrame, cosine: float, jaccard: float) -> DataFr
     s below the cosine's threshold.  The terms behind the zone give less than s, so those within must give the difference.
     The same holds for Jaccard, where m terms have to be common: behind the zone of the terms at which both have
     a share of m left, fewer than that are common.  A key that stands for two terms only adds to a sum.
+
+    The groups of an entity are dealt to blocks, and each pair of blocks meets in one task: a row moves once for each block
+    of its entity, and nothing that grows with the pairs moves but the candidates.
     """
-    prefix = stored(prefix_postings(vectors, cosine, jaccard), "note-prefixes")  # both sides of the join read it
-    a, b = (prefix.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("gid", "w", "rest", "left", "n", "core")]) for x in "ab")
-    s = cosine * OUTSIDE_COSINE
-    by_cosine = (F.col("rest_a") * F.col("rest_b") >= s * s - SLACK) & (F.col("n_a") >= F.col("core_b")) & (F.col("n_b") >= F.col("core_a"))
-    wanted = (F.col("n_a") + F.col("n_b")) * (jaccard / (1 + jaccard))
-    by_jaccard = (F.least("left_a", "left_b") >= OUTSIDE_JACCARD * wanted - SLACK) & (
-        F.least("n_a", "n_b") >= jaccard * F.greatest("n_a", "n_b") - SLACK)
-    # an equi join on the term; adaptive skew handling splits a hot one
-    met = a.join(b, "key").where(F.col("gid_a") < F.col("gid_b")).select(
-        F.col("gid_a").alias("a"), F.col("gid_b").alias("b"),
-        F.when(by_cosine, F.col("w_a") * F.col("w_b")).otherwise(0.0).cast("float").alias("c"),
-        F.when(by_jaccard, 1.0 / wanted).otherwise(0.0).cast("float").alias("j"),
-    ).where("c > 0 or j > 0")
-    sums = met.groupBy("a", "b").agg(F.sum("c").alias("c"), F.sum("j").alias("j"))
-    return sums.where((F.col("c") >= cosine - s - ROUNDING) | (F.col("j") >= 1 - OUTSIDE_JACCARD - ROUNDING)).select("a", "b")
+    packed = stored(prefixes(vectors, cosine, jaccard), "note-prefixes")
+    blocks = packed.groupBy("entity_id").agg(
+        F.ceil(F.sum(F.octet_length("postings")) / (BLOCK_POSTINGS * POSTING.itemsize)).alias("blocks"))
+    block = F.pmod(F.xxhash64("gid"), "blocks")
+    dealt = packed.join(blocks, "entity_id").withColumn("block", block).withColumn(
+        "other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    meeting = dealt.select(
+        "entity_id", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"),
+        "block", "gid", "n", "core", "postings")
+    return meeting.groupBy("entity_id", "one", "two").applyInArrow(meet_blocks(cosine, jaccard), PAIR)
 
 
 def similar_groups(
     groups: DataFrame, cosine: float = 0.85, jaccard: float = 0.80
 ) -> DataFrame:
     """Pairs of different bags with cosine >= 0.85 or Jaccard >= 0.80 (and cosine above the floor)."""
-    vectors = term_vectors(groups)
-    candidates = stored(candidate_pairs(vectors, cosine, jaccard), "note-pairs")
-    # one vector per group, bounded by the vocabulary of one note
-    va, vb = (vectors.select("entity_id", F.col("gid").alias(x), F.col("bag").alias(f"bag_{x}"), F.col("v").alias(f"v{x}")) for x in "ab")
-    merged = F.map_zip_with(_as_map("va"), _as_map("vb"), lambda _, x, y: x * y)
-    scored = (
-        candidates.join(va, "a")
-        .join(vb.drop("entity_id"), "b")
-        .select(
-            "entity_id", F.least("bag_a", "bag_b").alias("bag_a"), F.greatest("bag_a", "bag_b").alias("bag_b"),
-            (F.size("va") + F.size("vb")).alias("n"),
-            # a generator keeps later uses from merging the vectors again
-            F.explode(F.array(F.map_filter(merged, lambda _, x: x.isNotNull()))).alias("m"))
-        .select(
-            "entity_id", "bag_a", "bag_b",
-            F.aggregate(F.map_values("m"), F.lit(0.0), lambda s, x: s + x).alias("cosine"),
-            (F.size("m") / (F.col("n") - F.size("m"))).alias("jaccard"),
-            F.slice(F.array_sort(F.map_keys("m")), 1, 15).alias("shared_tokens"),
-        )
-    )
-    return scored.where(
-        (F.col("cosine") >= cosine * CANDIDATE_FACTOR)
-        & ((F.col("cosine") >= cosine) | (F.col("jaccard") >= jaccard))
-    )
+    counts = term_counts(groups)
+    candidates = stored(candidate_pairs(unit_vectors(counts), cosine, jaccard), "note-pairs")
+    rows, pairs = dealt_pairs(counts, candidates)
+    together = rows.groupBy("label", "x", "y").cogroup(pairs.groupBy("label", "x", "y"))
+    return together.applyInArrow(compare_pairs(cosine, jaccard, cosine * CANDIDATE_FACTOR), SIMILAR)
+
 
+def dealt_pairs(counts: DataFrame, candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(vectors, pairs), both with the task (label, x, y) in which they are compared.
 
-def _as_map(vector: str) -> Column:
-    return F.map_from_entries(F.transform(vector, lambda t: F.named_struct(F.lit("key"), t["term"], F.lit("value"), t["w"])))
+    A pair goes to the smallest number next to its first group, so that the pairs of near copies come together and the vector
+    of a group moves once for them all, not once for each pair.  Labels of many groups are dealt to pairs of blocks.
+    """
+    near = candidates.union(candidates.select("b", "a")).groupBy("a").agg(F.min("b").alias("near"))
+    labelled = stored(candidates.join(near, "a").select("a", "b", F.least("a", "near").alias("label")), "note-labels")
+    members = labelled.select("label", F.explode(F.array("a", "b")).alias("gid")).distinct()
+    blocks = members.groupBy("label").agg(F.ceil(F.count("*") / LABEL_GROUPS).alias("blocks"))
+    block = lambda c: F.pmod(F.xxhash64(c), "blocks")
+    pairs = stored(labelled.join(blocks, "label").select("label", block("a").alias("x"), block("b").alias("y"), "a", "b"), "note-tasks")
+    wanted = stored(pairs.select("label", "x", "y", F.explode(F.array("a", "b")).alias("gid")).distinct(), "note-wanted")
+    few = F.broadcast(wanted) if wanted.count() <= BROADCAST_GROUPS else wanted
+    rows = unit_vectors(counts.join(few, "gid")).select(
+        "label", "x", "y", "gid", "entity_id", "bag", F.col("v.term").alias("terms"), F.col("v.w").alias("weights"))
+    return rows, pairs
 
 
 def note_members(corpus: DataFrame) -> DataFrame:
@@ -219,7 +213,8 @@ def similar_group_edges(corpus: DataFrame, cosine: float = 0.85, jaccard: float
     `corpus` is read several times and should be stored.
     """
     groups = note_groups(corpus)
-    pairs = stored(similar_groups(groups, cosine, jaccard), "similar-notes")  # read twice below
+    with scratch(corpus.sparkSession):
+        pairs = stored(similar_groups(groups, cosine, jaccard), "similar-notes", keep=True)  # read twice below
     info = groups.select("entity_id", "bag", "size", "rep")
     ia = info.select("entity_id", F.col("bag").alias("bag_a"), F.col("size").alias("size_a"), F.col("rep").alias("rep_a"))
     ib = info.select("entity_id", F.col("bag").alias("bag_b"), F.col("size").alias("size_b"), F.col("rep").alias("rep_b"))
