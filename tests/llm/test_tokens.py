@@ -63,6 +63,16 @@ def test_encoding_a_table(spark, edge_docs, no_docs, library):
         encode(docs.withColumn("ids", F.lit(1)), PATH, lexicon)
 
 
+def test_digests_of_texts_need_one_worker(spark, edge_docs):
+    docs = edge_docs.select("doc_id", "text")
+    lexicon = ship_lexicon(spark, frequent_words(docs, PATH, 50), PATH)
+    whole = token_digests(docs, PATH, lexicon)
+    parts = token_digests(encode(docs, PATH, lexicon).select("doc_id", "ids"), PATH)
+    assert sorted(map(repr, whole.collect())) == sorted(map(repr, parts.collect()))
+    # one step over texts, where two would keep two workers for a task
+    assert token_digests(docs, PATH, lexicon)._jdf.queryExecution().sparkPlan().toString().count("MapInArrow") == 1
+
+
 def test_hilbert_curve_visits_neighbours():
     side = 8
     cells = np.array([(x, y, z) for x in range(side) for y in range(side) for z in range(side)])

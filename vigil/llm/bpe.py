@@ -36,12 +36,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from vigil.llm.shared import KEPT, most_frequent, shared_file, stored, text_slices
+from vigil.llm.shared import KEPT, most_frequent, release, shared_file, stored, text_slices
 
 #: Characters (and 8 for each entry) of what a worker remembers before a generation is let go.
 REMEMBERED = 4_000_000
 #: Bytes of texts that are cut at a time: the more, the fewer stretches are looked up twice.
-AT_ONCE = 6 << 20
+AT_ONCE = 4 << 20
 #: Pieces that a task counts before it hands the counts on.
 COUNTED = 300_000
 #: Words of more bytes are merged one by one.
@@ -463,6 +463,7 @@ def encoder(path: str, lexicon: str | None) -> Encoder:
 
     What it remembers is a function of the piece alone, and so is the same in all tasks.
     """
+    release()
     KEPT.append(forget)
     return Encoder(vocabulary(path), Lexicon(SparkFiles.get(lexicon)) if lexicon else None)
 
@@ -496,23 +497,38 @@ def decode(ids: list[int], words: Vocabulary) -> str:
     return " ".join([tokens[i] for i in ids])
 
 
-def token_digests(rows: DataFrame, path: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of rows with `doc_id` and `ids`."""
-    schema = T.StructType([rows.schema["doc_id"]]).add("n_tokens", "long").add("ids_sha256", "string").add(
-        "decoded_sha256", "string")
+def digests(ids: list[np.ndarray], words: Vocabulary) -> list[pa.Array]:
+    """Number of ids, sha256 of the decimal ids and sha256 of the decoded text, for each array of ids."""
+    decimal, sizes, first, second = words.decimal, [], [], []
+    for own in ids:
+        numbers = own.tolist()
+        sizes.append(len(numbers))
+        first.append(sha256(" ".join([decimal[i] for i in numbers]).encode()).hexdigest())
+        second.append(sha256(decode(numbers, words).encode()).hexdigest())
+    return [pa.array(sizes, pa.int64()), pa.array(first, pa.string()), pa.array(second, pa.string())]
 
-    def run(batches):
+
+def token_digests(rows: DataFrame, path: str, lexicon: str | None = None) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of rows with `doc_id` and `ids`, or else of the ids of their `text`.
+
+    Texts are encoded and told in one task: a task of two steps would keep a vocabulary in two workers.
+    """
+    names = ["n_tokens", "ids_sha256", "decoded_sha256"]
+    schema = T.StructType([rows.schema["doc_id"]]).add(names[0], "long").add(names[1], "string").add(names[2], "string")
+
+    def of_ids(batches):
         words = vocabulary(path)
-        decimal = words.decimal
         for batch in batches:
-            sizes, first, second = [], [], []
-            for packed in batch.column("ids").to_pylist():
-                ids = np.frombuffer(packed, words.kind).tolist()
-                sizes.append(len(ids))
-                first.append(sha256(" ".join([decimal[i] for i in ids]).encode()).hexdigest())
-                second.append(sha256(decode(ids, words).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(first, pa.string()), pa.array(second, pa.string())],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return rows.mapInArrow(run, schema)
+            ids = [np.frombuffer(packed, words.kind) for packed in batch.column("ids").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *digests(ids, words)], ["doc_id", *names])
+
+    def of_texts(batches):
+        own = encoder(path, lexicon)
+        for batch in batches:
+            for part in text_slices(batch, "text", AT_ONCE):
+                made = digests(own.encode(part.column("text")), own.words)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *made], ["doc_id", *names])
+
+    if "ids" in rows.columns:
+        return rows.select("doc_id", "ids").mapInArrow(of_ids, schema)
+    return rows.select("doc_id", "text").mapInArrow(of_texts, schema)

@@ -38,6 +38,9 @@ class Packing:
     seed: int = 11
 
 
+#: Vectors that are held at a time.
+ROWS = 512
+
 PIECE = "start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
@@ -80,6 +83,11 @@ class Curve:
         self.options = options
 
     def keys(self, ids: list[np.ndarray]) -> np.ndarray:
+        """The keys of arrays of ids, some at a time: a vector takes more memory than a short text."""
+        parts = [self._keys(ids[at : at + ROWS]) for at in range(0, len(ids), ROWS)]
+        return np.concatenate(parts) if parts else np.zeros(0, np.int64)
+
+    def _keys(self, ids: list[np.ndarray]) -> np.ndarray:
         o = self.options
         vectors = np.zeros((len(ids), o.features))
         for row, own in enumerate(ids):
