@@ -218,6 +218,36 @@ def test_no_document_is_read_whole(spark, tmp_path):
         plain_splits(spark)
 
 
+def test_small_documents_are_opened_once(spark, tmp_path):
+    """The items of small documents are there after the pass that finds their format, whether the files are or not."""
+    folder = tmp_path / "in"
+    write(folder / "a.json", '[{"id": "1"}, {"id": "2"}]')
+    write(folder / "w.json", '{"meta": 1,\n"alerts": [{"id": "3"}], "list": [4]}')
+    (folder / "l.json").write_bytes('[{"id": "é"}]'.encode("latin-1"))
+    (folder / "m.json").write_bytes(b"\xef\xbb\xbf" + b'[\n{"id": "5"}]\n')
+    df = read_submissions(spark, str(folder), "json")
+    for file in folder.iterdir():
+        file.unlink()
+    assert sorted((r.data["id"], r.row_index) for r in df.collect()) == [("1", 1), ("2", 2), ("3", 1), ("5", 1), ("é", 1)]
+
+
+def test_small_documents_equal_split_ones(spark, tmp_path):
+    rng = random.Random(5)
+    folder = tmp_path / "in"
+    for i in range(6):
+        items = [{"id": str(n), "v": made_value(rng)} if rng.random() < 0.8 else made_value(rng, 1) for n in range(12)]
+        write(folder / f"{i}.json", json.dumps([items, {"m": made_value(rng), "data": items, "alerts": [1]}, {"id": made_value(rng)}][i % 3], indent=i % 2 or None))
+    for i, text in enumerate(('[{"id": "1"},,{"id": "2"}]', '[{"id": "1"},]', '{"alerts": [{"id": 01}]}', '[{"id": "1"]}', "[]", '{"alerts": []}', "7", ' {"id": 1} x')):
+        write(folder / f"b{i}.json", text)
+    key = lambda r: (r.file, r.row_index)
+    whole = sorted(read_submissions(spark, str(folder), "json").collect(), key=key)
+    small_splits(spark, 64)
+    try:
+        assert sorted(read_submissions(spark, str(folder), "json").collect(), key=key) == whole
+    finally:
+        plain_splits(spark)
+
+
 def test_mixed_folder(spark, tmp_path):
     write(tmp_path / "in" / "a.csv", "id,x\n1,2\n")
     write(tmp_path / "in" / "b.json", '[{"id": "j"}]')

@@ -353,7 +353,7 @@ def _documents(spark, sf, wrapper: str | None) -> str:
     )
     body = F.to_json("items") if wrapper is None else F.to_json(F.struct(F.lit(1).alias("version"), F.col("items").alias(wrapper)))
     # one document per file
-    packed.select("asset_id", body.alias("value")).repartition("asset_id").write.partitionBy("asset_id").text(path)
+    packed.select("asset_id", body.alias("value")).repartition("asset_id").select("value").write.option("maxRecordsPerFile", 1).text(path)
     return path
 
 

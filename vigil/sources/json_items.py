@@ -6,6 +6,8 @@ then tells, from the first split of a file to the last, the state that holds, th
 its items lie before.  With that, every split hands out the items that lie in it.  Items cut by the end of a split are put
 together again, and so is what is left of a document without its items, which tells whether it is well formed.
 
+A document that lies in one split needs none of that: `cut_whole` hands out its items in the pass that reads it.
+
 Items are those of a top-level array, or of the arrays below wrapper keys of a top-level object.  A stretch without a
 closing brace is one chunk: an array of plain numbers is read by one task.
 """
@@ -18,9 +20,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from vigil.session import cut_lineage
 
@@ -194,6 +199,59 @@ def cutters(batches: Iterator[pa.RecordBatch], wrappers: tuple[str, ...]) -> Ite
         yield place, cutter, last
 
 
+#: Items of a whole document.
+ITEMS = T.ArrayType(T.StructType().add("key", "integer").add("item", "long").add("piece", "binary"))
+#: Bytes of documents whose items are handed on at a time.
+AT_ONCE = 4 << 20
+
+
+def text_slices(batch: pa.RecordBatch, column: str, size: int) -> Iterator[pa.RecordBatch]:
+    """Cut a batch into runs of rows of about `size` bytes; a longer one is a run of its own."""
+    total = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < batch.num_rows:
+        before = int(total[start - 1]) if start else 0
+        stop = max(start + 1, int(np.searchsorted(total, before + size, "right")))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
+def cut_whole(documents: DataFrame, content: str, level: str, wrappers: tuple[str, ...]) -> DataFrame:
+    """Replace the bytes of whole, well-formed documents (column `content`; null: none) by `items`: those of the top-level array
+    or of the first wrapper key that has one, else the document itself (key REST).
+
+    The level of a row is that of `cut_items`.
+    """
+    names = [w.encode() for w in wrappers]
+    schema = T.StructType([f for f in documents.schema.fields if f.name != content]).add("items", ITEMS)
+    arrow = to_arrow_schema(schema)
+    of_items = arrow.field("items").type.value_type
+
+    def items_of(data: bytes, level: int) -> list[tuple[int, int, bytes]]:
+        cutter = Cutter(level, names, 0, 0, None, 0)
+        for part in pieces_of(data):
+            cutter.feed(part)
+        cutter.finish()
+        chosen = min((d[0] for d in cutter.done if d[0] != REST), default=REST)
+        return [d[:3] for d in cutter.done if d[0] == chosen] if chosen != REST else [(REST, 0, data)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            levels = batch.column(level).to_pylist()
+            for rows in text_slices(batch, content, AT_ONCE):
+                first, levels = levels[: rows.num_rows], levels[rows.num_rows :]
+                cut = [None if data is None else items_of(data, at) for data, at in zip(rows.column(content).to_pylist(), first)]
+                flat = [item for items in cut if items is not None for item in items]
+                ends = np.cumsum([0 if items is None else len(items) for items in cut])
+                offsets = pa.array([0, *ends.tolist()], pa.int32(), mask=np.array([x is None for x in cut] + [False]))
+                values = pa.StructArray.from_arrays(
+                    [pa.array([x[i] for x in flat], f.type) for i, f in enumerate(of_items)], fields=list(of_items))
+                columns = [rows.column(f.name) if f.name != "items" else pa.ListArray.from_arrays(offsets, values) for f in arrow]
+                yield pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(columns, arrow)], schema=arrow)
+
+    return documents.mapInArrow(run, schema)
+
+
 def _before(splits: DataFrame) -> DataFrame:
     """Add to one row for each split the state and depth that it begins with."""
     order = W.partitionBy("file").orderBy("block")

@@ -4,6 +4,7 @@ Every reader returns parsed rows: file, row_index (1-based data row in the file)
 (map<string,string>), is_corrupted, corruption_reason, raw_text.
 
 A first pass finds the format of each file; then every file is opened once more, by the reader of its format.
+JSON documents that lie in one split are cut into their items in that first pass, so that many small files are opened once.
 Row numbers need no sort and no shuffle of the text: within a file split, lines keep their order, so
 a row's number is its position in the split plus the rows of the earlier splits of that file.  Quoted cells over
 several lines are followed in every split from both states it may begin in; one row a split then decides.
@@ -12,6 +13,7 @@ several lines are followed in every split from both states it may begin in; one
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 from urllib.parse import unquote
 
 import numpy as np
@@ -23,9 +25,9 @@ from pyspark.sql import functions as F
 
 from vigil.functions.scalars import c
 from vigil.schema import EVENT_COLUMNS, of_type
-from vigil.session import cut_lineage
+from vigil.session import cut_lineage, stored
 from vigil.sources.formats import DELIMITERS, detect_delimiter, detect_format
-from vigil.sources.json_items import NO_ITEMS, REST, ROOT, cut_items
+from vigil.sources.json_items import NO_ITEMS, PACKED, REST, ROOT, cut_items, cut_whole
 from vigil.sources.sinks import EVENTS
 from vigil.sources.snapshots import read_table
 
@@ -39,6 +41,8 @@ WRAPPER_KEYS = (
 JSON_MAP = "map<string,string>"
 #: Files that are read together; what is known of them is broadcast to the splits of their lines.
 FILES_AT_ONCE = 50_000
+#: Bytes up to which a file that lies in one split is read as one row.
+SMALL_FILE = 1 << 20
 #: Splits up to which their row offsets are broadcast.
 BROADCAST_SPLITS = 200_000
 
@@ -49,6 +53,31 @@ def clean_value(value: Column | str) -> Column:
     return F.when(~F.lower(text).isin(*NULL_WORDS), text)
 
 
+def is_small(spark: SparkSession) -> Column:
+    """Plain files of at most SMALL_FILE bytes and one split, by their listing (columns path, length)."""
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    return (F.col("length") <= min(SMALL_FILE, split)) & ~F.lower("path").rlike(PACKED)
+
+
+def small_heads(found: DataFrame, kind: Column) -> DataFrame:
+    """`file_heads` of whole files (columns path, length, content), each from its own row, with their format and content.
+
+    `kind` is the format, an expression of the first line; open cells are looked for in delimited files only.
+    """
+    mark = F.substring("content", 1, 3) == F.unhex(F.lit("EFBBBF"))  # the reader of lines drops it too
+    document = F.when(mark, F.substring("content", F.lit(4), F.octet_length("content"))).otherwise(F.col("content"))
+    bare = lambda x: F.regexp_replace(x, "^\ufeff", "")
+    opens = lambda d: F.exists("lines", lambda x: opens_cell(x, d))
+    whole = found.select(F.col("_metadata.file_path").alias("file"), document.alias("document")).withColumn(
+        "text", F.col("document").cast("string"))
+    lines = whole.withColumn("lines", F.filter(F.split("text", "\r\n|\n|\r", -1), lambda x: F.trim(bare(x)) != ""))
+    headed = lines.where(F.size("lines") > 0).withColumn("head", F.transform(F.slice("lines", 1, 5), bare)).withColumn(
+        "first_line", F.col("head")[0]).withColumn("format", kind)
+    return headed.select(
+        "file", "head", F.is_valid_utf8("text").alias("is_utf8"), F.size("lines").cast("bigint").alias("n_lines"),
+        F.when(F.col("format") == "csv", F.array(*[opens(d) for d in DELIMITERS])).alias("opens"), "document", "first_line", "format")
+
+
 def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Non-blank lines with their file, split and order inside the split."""
     return (
@@ -82,6 +111,10 @@ def file_heads(lines: DataFrame, head: int = 5) -> DataFrame:
     return top.join(valid, "file").withColumn("first_line", F.col("head")[0])
 
 
+def decoded_bytes(data: Column | str, is_utf8: Column | str) -> Column:
+    return F.when(c(is_utf8), c(data).cast("string")).otherwise(F.decode(c(data), "ISO-8859-1"))
+
+
 def decoded(line: Column | str, is_utf8: Column | str) -> Column:
     text = F.when(c(is_utf8), c(line)).otherwise(F.decode(c(line).cast("binary"), "ISO-8859-1"))
     return F.regexp_replace(text, "^﻿", "")
@@ -388,20 +421,59 @@ def json_rows(numbered: DataFrame) -> DataFrame:
     )
 
 
+def document_level(first_line: Column | str) -> Column:
+    first = F.substring(F.trim(c(first_line)), 1, 1)
+    return F.when(first == "[", 1).when(first == "{", 2).otherwise(NO_ITEMS)
+
+
+def _bare(text: Column) -> Column:
+    """White space that isn't JSON's stays: it makes an item unsound, as it does a document."""
+    return F.regexp_replace(text, r"^[ \t\r\n]+|[ \t\r\n]+$", "")
+
+
+def document_rows(items: DataFrame) -> DataFrame:
+    """Parsed rows of items (file, key, item, text) of the chosen key."""
+    items = items.where("text != ''")
+    rows = items.withColumn("v", F.try_parse_json("text"))
+    written = F.to_json("v")
+    is_object = F.coalesce(F.startswith(F.schema_of_variant("v"), F.lit("OBJECT")), F.lit(False))
+    reason = F.when(F.col("key") == ROOT, "Array item is not a JSON object").otherwise("Wrapped item is not a JSON object")
+    return rows.select(
+        "file",
+        F.when(F.col("key") == REST, 1).otherwise(F.col("item") + 1).cast("bigint").alias("row_index"),
+        F.when(is_object, object_map(written)).otherwise(F.create_map(F.lit("raw_value"), written)).alias("data"),
+        (~is_object).alias("is_corrupted"),
+        F.when(~is_object, reason).alias("corruption_reason"),
+        written.alias("raw_text"),
+    )
+
+
+def judged_documents(heads: DataFrame) -> DataFrame:
+    """Replace `document` of heads by `broken`, and by `items` (key, item, piece) of those that are well formed.
+
+    Only JSON documents have either, and they have no head any more.
+    """
+    is_document = F.coalesce((F.col("format") == "json") & (F.col("layout") == "document"), F.lit(False))
+    text = _bare(F.regexp_replace(decoded_bytes("document", "is_utf8"), "^\ufeff", ""))
+    checked = heads.withColumns({"level": document_level("first_line"), "is_document": is_document}).withColumn(
+        "text", F.when(F.col("is_document"), text)).withColumn("broken", F.when(F.col("is_document"), ~_is_value(F.col("text"))))
+    levelled = checked.withColumns({
+        "document": F.when(~F.col("broken"), F.col("document")),
+        **{n: F.when(~F.col("is_document"), F.col(n)) for n in ("head", "first_line")}})
+    return cut_whole(levelled.drop("is_document", "text"), "document", "level", WRAPPER_KEYS).drop("level")
+
+
 def parse_json_documents(spark: SparkSession, files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows of JSON arrays, wrapper objects and single objects (files: file, is_utf8, first_line; stored), and the files
     that are no well-formed documents, which have no rows here.
 
     A document is well formed if all its items are, and what is left of it without them.
     """
-    first = F.substring(F.trim("first_line"), 1, 1)
-    level = F.when(first == "[", 1).when(first == "{", 2).otherwise(NO_ITEMS).alias("level")
+    level = document_level("first_line").alias("level")
     parts, broken = [], files.select("file", "is_utf8").limit(0)
     for paths, known in _file_groups(files):
         cut = cut_items(spark, paths, known.select("file", "is_utf8", level), WRAPPER_KEYS)
-        # white space that isn't JSON's makes an item unsound, as it does a document
-        text = F.regexp_replace(F.when(F.col("key") == REST, F.regexp_replace("text", "^﻿", "")).otherwise(F.col("text")), r"^[ \t\r\n]+|[ \t\r\n]+$", "")
-        cut = cut.withColumn("text", text)
+        cut = cut.withColumn("text", _bare(F.when(F.col("key") == REST, F.regexp_replace("text", "^\ufeff", "")).otherwise(F.col("text"))))
         item = (F.col("key") != REST)
         empty = item & (F.col("text") == "")
         unsound = ~empty & ~_is_value(F.col("text"))
@@ -412,18 +484,7 @@ def parse_json_documents(spark: SparkSession, files: DataFrame) -> tuple[DataFra
             F.bool_or(F.col("unsound") | ((F.col("empty") > 0) & (F.col("n") > 1))).alias("broken")))
         broken = broken.unionByName(per_file.where("broken").select("file", "is_utf8"))
         sound = F.broadcast(per_file.where("not broken").select("file", F.coalesce("chosen", F.lit(REST)).alias("key")))
-        rows = cut.join(sound, ["file", "key"]).where("text != ''").withColumn("v", F.try_parse_json("text"))
-        written = F.to_json("v")
-        is_object = F.coalesce(F.startswith(F.schema_of_variant("v"), F.lit("OBJECT")), F.lit(False))
-        reason = F.when(F.col("key") == ROOT, "Array item is not a JSON object").otherwise("Wrapped item is not a JSON object")
-        parts.append(rows.select(
-            "file",
-            F.when(F.col("key") == REST, 1).otherwise(F.col("item") + 1).cast("bigint").alias("row_index"),
-            F.when(is_object, object_map(written)).otherwise(F.create_map(F.lit("raw_value"), written)).alias("data"),
-            (~is_object).alias("is_corrupted"),
-            F.when(~is_object, reason).alias("corruption_reason"),
-            written.alias("raw_text"),
-        ))
+        parts.append(document_rows(cut.join(sound, ["file", "key"])))
     return _unioned(spark, parts), broken
 
 
@@ -445,7 +506,16 @@ def read_submissions(
     if format not in ("auto", "csv", "json"):
         raise ValueError(f"unknown format {format!r}")
     kind = detect_format("first_line") if format == "auto" else F.lit(format)
-    heads = cut_lineage(json_layout(file_heads(read_lines(spark, path)).withColumn("format", kind)))
+    found = spark.read.format("binaryFile").load(path)
+    small = is_small(spark)
+    # the content column is not read here, so no large file is opened
+    large = cut_lineage(found.where(~small).select(F.col("_metadata.file_path").alias("file")))
+    whole = stored(judged_documents(json_layout(small_heads(found.where(small), kind))), "small-files")
+    heads = [whole.drop("items")]
+    for paths, _ in _file_groups(large):
+        described = json_layout(file_heads(read_lines(spark, paths)).withColumn("format", kind))
+        heads.append(cut_lineage(described.withColumn("broken", F.lit(None).cast("boolean"))))
+    heads = reduce(DataFrame.unionByName, heads)
     parts = []
     if format in ("auto", "csv"):
         files = heads.where(F.col("format") == "csv")
@@ -454,8 +524,11 @@ def read_submissions(
             parts.append(parse(spark, described.where(F.col("over_lines") == over_lines).drop("over_lines")))
     if format in ("auto", "json"):
         files = heads.where(F.col("format") == "json")
-        by_line = files.where(F.col("layout") == "lines").select("file", "is_utf8")
-        documents, broken = parse_json_documents(spark, files.where(F.col("layout") == "document").select("file", "is_utf8", "first_line"))
+        by_line = files.where((F.col("layout") == "lines") | F.col("broken")).select("file", "is_utf8")
+        items = whole.where(F.size("items") > 0).select("file", "is_utf8", F.inline("items"))
+        parts.append(document_rows(items.select("file", "key", "item", _bare(decoded_bytes("piece", "is_utf8")).alias("text"))))
+        by_splits = cut_lineage(files.where((F.col("layout") == "document") & F.col("broken").isNull()).select("file", "is_utf8", "first_line"))
+        documents, broken = parse_json_documents(spark, by_splits)
         parts.append(documents)
         by_line = cut_lineage(by_line.unionByName(broken))
         parts.append(parse_json_lines(spark, by_line))
