@@ -13,6 +13,7 @@ from vigil.functions.timestamps import java_layout, parse_iso, parse_timestamp
 from vigil.operators.mapping import Profile, normalize, profile_table
 from vigil.operators.validation import quarantine_summary, validate
 from vigil.plans.ingest import ingest_files, ingest_rows, register_files
+from vigil.session import spread
 from vigil.sources.formats import classify_dataset, detect_delimiter, header_tokens
 from vigil.sources.readers import match_entities, read_ground_truth, read_submissions, read_tree
 from vigil.streaming.ingest_stream import read_row_stream, stream_events, stream_rejects
@@ -248,6 +249,14 @@ def test_small_documents_equal_split_ones(spark, tmp_path):
         plain_splits(spark)
 
 
+def test_tasks_of_heavy_rows_grow_in_number(spark, monkeypatch):
+    monkeypatch.setattr("vigil.session.ROWS_A_TASK", 10)
+    rows = spark.range(95, numPartitions=2)
+    assert spread(rows, rows.count()).rdd.getNumPartitions() == 10
+    assert spread(rows).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert spread(spark.range(95, numPartitions=12), 95).rdd.getNumPartitions() == 12
+
+
 def test_mixed_folder(spark, tmp_path):
     write(tmp_path / "in" / "a.csv", "id,x\n1,2\n")
     write(tmp_path / "in" / "b.json", '[{"id": "j"}]')

@@ -65,7 +65,8 @@ def raw_rows(spark, sf) -> DataFrame:
         F.lit("State"), F.concat(F.lit(" "), F.lower("event_type")),
         F.lit("k"), F.get_json_object("props", "$.k"),
     )
-    rows = spread(table(spark, sf, "events").select("event_id", "ts", "user_id", "event_type", "value", "props"))
+    events = table(spark, sf, "events").select("event_id", "ts", "user_id", "event_type", "value", "props")
+    rows = spread(events, events.count())
     return (
         rows.withColumn("k", key).withColumn("stamp", stamp).select(
             F.concat(F.lit("S"), _entity()).alias("submission_id"),
