@@ -105,3 +105,13 @@ def test_packing_is_whole_and_gapless(edge_docs, no_docs, library):
         assert all(zlib.crc32(ids[k[1] : k[1] + k[2]].tobytes()) == k[4] for k in own) or r.doc_id in (None, 14)
     assert total == sum(p.length for p in pieces)
     assert pack(no_docs, PATH, options).count() == 0
+
+
+def test_what_a_worker_keeps_of_a_vocabulary():
+    """Both memories hold one string for a piece that is its stretch, and no second model lies beside the tables."""
+    words = vocabulary(PATH)
+    stretches = ["plain", "Größe", "größe", "x1", "日本語", "a_b"]
+    pieces = words.all_pieces(stretches)
+    assert pieces == [words.pieces(x) for x in stretches]
+    assert pieces[0][0] is stretches[0] and pieces[2][0] is stretches[2]
+    assert not any(isinstance(x, Tokenizer) for x in vars(words).values())

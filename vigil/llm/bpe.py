@@ -24,7 +24,7 @@ from collections import Counter
 from collections.abc import Callable
 from functools import lru_cache
 from hashlib import sha256
-from itertools import chain
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -90,7 +90,9 @@ class Vocabulary:
         self.kind = np.uint16 if len(self.tokens) <= 1 << 16 else np.uint32
         symbols = byte_symbols()
         self.byte = {s: b for b, s in enumerate(symbols)}
-        self.library = Tokenizer.from_file(path)
+        # without the model, which takes most of the library's memory
+        library = Tokenizer.from_file(path)
+        self.normalizer, self.pre_tokenizer = library.normalizer, library.pre_tokenizer
         self.inner = np.array([self.ids[s] for s in symbols], np.int64)
         self.last = np.array([self.ids[s + END] for s in symbols], np.int64)
         pairs = []
@@ -116,26 +118,28 @@ class Vocabulary:
     def all_pieces(self, stretches: list[str]) -> list[list[str]]:
         """The pieces of stretches without special tokens or white space; plain ones are normalised together."""
         out: list[list[str]] = [[]] * len(stretches)
-        plain = []
-        for i, text in enumerate(stretches):
-            if ODD.search(text):
-                out[i] = self.pieces(text)
-            else:
-                plain.append(i)
+        plain, marked = stretches, range(len(stretches))
+        if ODD.search("\n".join(stretches)):
+            odd = list(map(bool, map(ODD.search, stretches)))
+            for i in compress(marked, odd):
+                out[i] = self.pieces(stretches[i])
+            marked = [i for i, x in enumerate(odd) if not x]
+            plain = [stretches[i] for i in marked]
         # a line break composes with nothing, and no rule of lower case looks across it
-        whole = unicodedata.normalize("NFC", "\n".join([stretches[i] for i in plain])).lower()
+        whole = unicodedata.normalize("NFC", "\n".join(plain)).lower()
         find = self.fast.findall
-        for i, text in zip(plain, whole.split("\n")):
-            out[i] = [text] if text.isalpha() else find(text)
+        for i, own, text in zip(marked, plain, whole.split("\n")):
+            # a piece that is its stretch is the same object, which both memories hold
+            out[i] = [own if own == text else text] if text.isalpha() else find(text)
         return out
 
     def _odd_pieces(self, chunk: str) -> list[str]:
         """The same for text without white space, with the library's own tables of letters and cases if needed."""
         if not OLD.search(chunk):
             return self.pieces(chunk)
-        chunk = self.library.normalizer.normalize_str(chunk)
+        chunk = self.normalizer.normalize_str(chunk)
         return [
-            bytes(map(self.byte.__getitem__, p)).decode() for p, _ in self.library.pre_tokenizer.pre_tokenize_str(chunk)]
+            bytes(map(self.byte.__getitem__, p)).decode() for p, _ in self.pre_tokenizer.pre_tokenize_str(chunk)]
 
     def merge(self, words: list[bytes]) -> list[bytes]:
         """Packed ids of words by exact merging: in each round, every word merges the leftmost pair of least rank."""
@@ -411,13 +415,15 @@ class Memory:
             self.known, self.older, self.size = {}, self.known, 0
         found = list(map(self.known.get, names))
         lost = [i for i, x in enumerate(found) if x is None]
-        for i in lost:
-            found[i] = self.older.get(names[i])
-        fresh = [i for i in lost if found[i] is None]
-        for i, ids in zip(fresh, make([names[i] for i in fresh]) if fresh else ()):
+        wanted = [names[i] for i in lost]
+        older = list(map(self.older.get, wanted))
+        fresh = [i for i, x in enumerate(older) if x is None]
+        for i, ids in zip(fresh, make([wanted[i] for i in fresh]) if fresh else ()):
+            older[i] = ids
+        for i, ids in zip(lost, older):
             found[i] = ids
-        self.known.update((names[i], found[i]) for i in lost)
-        self.size += sum(len(names[i]) + 8 for i in lost)
+        self.known.update(zip(wanted, older))
+        self.size += sum(map(len, wanted)) + 8 * len(wanted)
         return found
 
 
@@ -463,9 +469,10 @@ def encoder(path: str, lexicon: str | None) -> Encoder:
 
     What it remembers is a function of the piece alone, and so is the same in all tasks.
     """
-    release()
     KEPT.append(forget)
-    return Encoder(vocabulary(path), Lexicon(SparkFiles.get(lexicon)) if lexicon else None)
+    words = vocabulary(path)
+    release()
+    return Encoder(words, Lexicon(SparkFiles.get(lexicon)) if lexicon else None)
 
 
 def forget() -> None:

@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from vigil.llm.bpe import AT_ONCE, encoder, vocabulary
-from vigil.llm.shared import stored, text_slices
+from vigil.llm.shared import let_go, stored, text_slices
 
 
 @dataclass(frozen=True)
@@ -38,6 +38,8 @@ class Packing:
     seed: int = 11
 
 
+#: Bytes of texts that are encoded at a time where packing is all that a worker does: more of them share their words.
+ALONE_AT_ONCE = 12 << 20
 #: Vectors that are held at a time.
 ROWS = 512
 
@@ -99,14 +101,14 @@ class Curve:
         return hilbert_keys(cells, o.bits)
 
 
-def tokenised(docs: DataFrame, path: str, options: Packing, lexicon: str | None = None) -> DataFrame:
+def tokenised(docs: DataFrame, path: str, options: Packing, lexicon: str | None = None, at_once: int = AT_ONCE) -> DataFrame:
     """(doc_id, key, n, ids) of every row; ids without the end id, packed in the vocabulary's width."""
 
     def run(batches):
         own = encoder(path, lexicon)
         curve = Curve(len(own.words.tokens), options)
         for batch in batches:
-            for part in text_slices(batch, "text", AT_ONCE):
+            for part in text_slices(batch, "text", at_once):
                 ids = own.encode(part.column("text"))
                 yield pa.RecordBatch.from_arrays([
                     part.column("doc_id"), pa.array(curve.keys(ids), pa.int64()),
@@ -121,6 +123,7 @@ def stream_places(rows: DataFrame, options: Packing) -> DataFrame:
     """(place, at): where each row's tokens begin in the stream along the curve; stored."""
 
     def sums(batches):
+        let_go()
         part, total = TaskContext.get().partitionId(), 0
         for batch in batches:
             size = np.asarray(batch.column("n")) + 1
@@ -141,17 +144,21 @@ def stream_places(rows: DataFrame, options: Packing) -> DataFrame:
     return placed.select(F.col("place").alias("at_place"), (F.col("local") + F.col("before")).alias("at"))
 
 
-def pack(docs: DataFrame, path: str, options: Packing = Packing(), lexicon: str | None = None) -> DataFrame:
+def pack(
+    docs: DataFrame, path: str, options: Packing = Packing(), lexicon: str | None = None, at_once: int = AT_ONCE
+) -> DataFrame:
     """The pieces of all documents (columns doc_id, text): doc_id and the columns of PIECE.
 
+    `at_once` bounds the bytes of texts that a worker holds at a time; the pieces don't depend on it.
     `ids` are little-endian unsigned 32-bit integers; pieces of one sequence fill it without gaps by `offset`.
     """
     rows = stored(
-        tokenised(docs, path, options, lexicon).withColumn("place", F.monotonically_increasing_id()), "tokens")
+        tokenised(docs, path, options, lexicon, at_once).withColumn("place", F.monotonically_increasing_id()), "tokens")
     kind = vocabulary(path).kind
     length = options.length
 
     def cut(batches):
+        let_go()
         for batch in batches:
             out: list[list] = [[] for _ in range(7)]
             for doc, packed, at in zip(
