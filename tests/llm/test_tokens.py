@@ -11,7 +11,7 @@ public_tokenizers = pytest.importorskip("public_tokenizers")
 from tokenizers import Tokenizer  # noqa: E402
 
 from vigil.llm.bpe import (  # noqa: E402
-    Encoder, Lexicon, compile_lexicon, decode, encode, frequent_words, ship_lexicon, token_digests, vocabulary)
+    REMEMBERED, Encoder, Lexicon, compile_lexicon, decode, encode, frequent_words, ship_lexicon, token_digests, vocabulary)
 from vigil.llm.packing import Packing, hilbert_keys, pack  # noqa: E402
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -115,3 +115,20 @@ def test_what_a_worker_keeps_of_a_vocabulary():
     assert pieces == [words.pieces(x) for x in stretches]
     assert pieces[0][0] is stretches[0] and pieces[2][0] is stretches[2]
     assert not any(isinstance(x, Tokenizer) for x in vars(words).values())
+
+
+def test_memory_of_packing_beside_other_stages(spark, edge_docs, monkeypatch):
+    """A bound on what is remembered holds and changes no ids; the pipeline's packing sets one far below the default."""
+    import corpus_pipeline
+
+    words = vocabulary(PATH)
+    small, plain = Encoder(words, None, 500), Encoder(words, None)
+    for at in range(0, 2000, 20):
+        texts = [f"word{i} x{i * i} größe" for i in range(at, at + 20)]
+        assert [x.tolist() for x in small.encode(texts)] == [x.tolist() for x in plain.encode(texts)]
+    for memory in (small.pieces, small.stretches):
+        assert sum(len(x) + 8 for x in [*memory.known, *memory.older]) <= 4 * 500
+    used = {}
+    monkeypatch.setattr(corpus_pipeline, "pack", lambda docs, path, **bounds: used.update(bounds) or pack(docs, path, **bounds))
+    assert corpus_pipeline.packing(spark, edge_docs, "").count() > 0
+    assert used["at_once"] <= 1 << 20 and used["remembered"] <= REMEMBERED // 4

@@ -354,12 +354,12 @@ class Encoder:
     Arrow cuts the texts and numbers the distinct stretches of a batch; Python sees each of these once.
     """
 
-    def __init__(self, words: Vocabulary, lexicon: Lexicon | None):
+    def __init__(self, words: Vocabulary, lexicon: Lexicon | None, remembered: int = REMEMBERED):
         if any(re.search(r"[ \t-\r]", name) for name in words.special):
             raise ValueError("a special token with white space")
         self.words, self.lexicon = words, lexicon
         self.kind = words.kind
-        self.pieces, self.stretches = Memory(), Memory()
+        self.pieces, self.stretches = Memory(remembered), Memory(remembered)
         self.marks = {name: np.array([number], self.kind).tobytes() for name, number in words.special.items()}
 
     def of_pieces(self, new: list[str]) -> list[bytes]:
@@ -404,14 +404,15 @@ class Encoder:
 class Memory:
     """Packed ids by string, in two generations of a bounded number of characters."""
 
-    def __init__(self):
+    def __init__(self, bound: int = REMEMBERED):
+        self.bound = bound
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.size = 0
 
     def look_up(self, names: list[str], make: Callable[[list[str]], list[bytes]]) -> list[bytes]:
         """The ids of distinct strings; those that are not remembered are made."""
-        if self.size > REMEMBERED:
+        if self.size > self.bound:
             self.known, self.older, self.size = {}, self.known, 0
         found = list(map(self.known.get, names))
         lost = [i for i, x in enumerate(found) if x is None]
@@ -464,7 +465,7 @@ def ship_lexicon(spark: SparkSession, words: list[bytes], path: str) -> str:
 
 
 @lru_cache(2)
-def encoder(path: str, lexicon: str | None) -> Encoder:
+def encoder(path: str, lexicon: str | None, remembered: int = REMEMBERED) -> Encoder:
     """One for each worker, which keeps what it remembers from task to task.
 
     What it remembers is a function of the piece alone, and so is the same in all tasks.
@@ -472,7 +473,7 @@ def encoder(path: str, lexicon: str | None) -> Encoder:
     KEPT.append(forget)
     words = vocabulary(path)
     release()
-    return Encoder(words, Lexicon(SparkFiles.get(lexicon)) if lexicon else None)
+    return Encoder(words, Lexicon(SparkFiles.get(lexicon)) if lexicon else None, remembered)
 
 
 def forget() -> None:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from vigil.llm.bpe import AT_ONCE, encoder, vocabulary
+from vigil.llm.bpe import AT_ONCE, REMEMBERED, encoder, vocabulary
 from vigil.llm.shared import let_go, stored, text_slices
 
 
@@ -40,6 +40,8 @@ class Packing:
 
 #: Bytes of texts that are encoded at a time where packing is all that a worker does: more of them share their words.
 ALONE_AT_ONCE = 12 << 20
+#: Bytes of texts and characters of what is remembered where executors are full of former stages: less memory for more CPU.
+BESIDE_AT_ONCE, BESIDE_REMEMBERED = 1 << 20, 1_000_000
 #: Vectors that are held at a time.
 ROWS = 512
 
@@ -101,11 +103,13 @@ class Curve:
         return hilbert_keys(cells, o.bits)
 
 
-def tokenised(docs: DataFrame, path: str, options: Packing, lexicon: str | None = None, at_once: int = AT_ONCE) -> DataFrame:
+def tokenised(
+    docs: DataFrame, path: str, options: Packing, lexicon: str | None = None, at_once: int = AT_ONCE, remembered: int = REMEMBERED
+) -> DataFrame:
     """(doc_id, key, n, ids) of every row; ids without the end id, packed in the vocabulary's width."""
 
     def run(batches):
-        own = encoder(path, lexicon)
+        own = encoder(path, lexicon, remembered)
         curve = Curve(len(own.words.tokens), options)
         for batch in batches:
             for part in text_slices(batch, "text", at_once):
@@ -145,15 +149,17 @@ def stream_places(rows: DataFrame, options: Packing) -> DataFrame:
 
 
 def pack(
-    docs: DataFrame, path: str, options: Packing = Packing(), lexicon: str | None = None, at_once: int = AT_ONCE
+    docs: DataFrame, path: str, options: Packing = Packing(), lexicon: str | None = None, at_once: int = AT_ONCE,
+    remembered: int = REMEMBERED,
 ) -> DataFrame:
     """The pieces of all documents (columns doc_id, text): doc_id and the columns of PIECE.
 
-    `at_once` bounds the bytes of texts that a worker holds at a time; the pieces don't depend on it.
+    `at_once` bounds the bytes of texts that a worker holds at a time, `remembered` the characters of what it remembers of
+    former ones; the pieces don't depend on them.
     `ids` are little-endian unsigned 32-bit integers; pieces of one sequence fill it without gaps by `offset`.
     """
     rows = stored(
-        tokenised(docs, path, options, lexicon, at_once).withColumn("place", F.monotonically_increasing_id()), "tokens")
+        tokenised(docs, path, options, lexicon, at_once, remembered).withColumn("place", F.monotonically_increasing_id()), "tokens")
     kind = vocabulary(path).kind
     length = options.length
 
