@@ -1,5 +1,6 @@
 import math
 import random
+import time
 from collections import Counter, defaultdict
 from datetime import datetime, timedelta
 
@@ -171,6 +172,52 @@ def test_blocks_of_notes_lose_no_pair(make_events, monkeypatch, postings):
     assert len(pairs) == len(set(pairs)) and similar <= set(pairs) and len(similar) >= 3
 
 
+@pytest.mark.parametrize("whole", [64_000_000, 1])
+def test_blocks_that_cannot_be_similar_do_not_meet(make_events, monkeypatch, whole):
+    monkeypatch.setattr(nt, "BLOCK_POSTINGS", 60)
+    monkeypatch.setattr(nt, "ROUND_BYTES", whole)
+    rng = random.Random(6)
+    texts = [[f"word{i}" for i in rng.sample(range(300), n)] for n in [12] * 20 + [40] * 12 + [160] * 4]
+    texts += [[*t[:-1], "other"] for t in (texts[0], texts[1], texts[20], texts[32])]
+    vectors = nt.stored(nt.term_vectors(nt.note_groups(nt.note_corpus(make_events(*[
+        dict(kind="INVESTIGATION", case_id=f"C{i}", investigation_notes=" ".join(t), event_timestamp=at(i)) for i, t in enumerate(texts)
+    ])))), "vectors")
+    rows = nt.in_blocks(nt.prefixes(vectors, 0.85, 0.80))
+    n = rows.select("block").distinct().count()
+    meeting = nt.block_pairs(rows, 0.80).collect()
+    assert n >= 8 and len(meeting) < 0.8 * n * (n + 1) / 2
+    v = {r.gid: {t.term: t.w for t in r.v} for r in vectors.collect()}
+    similar = {
+        (a, b) for a in v for b in v if a < b and (
+            sum(v[a][t] * v[b][t] for t in v[a].keys() & v[b].keys()) >= 0.85
+            or len(v[a].keys() & v[b].keys()) >= 0.8 * len(v[a].keys() | v[b].keys()))}
+    pairs = [(r.a, r.b) for r in nt.candidate_pairs(vectors, 0.85, 0.80).collect()]
+    assert len(pairs) == len(set(pairs)) and similar <= set(pairs) and len(similar) == 4
+
+
+def test_what_was_shuffled_for_notes_does_not_stay_on_disk(spark, make_events, monkeypatch):
+    monkeypatch.setattr(nt, "SLICED_POSTINGS", 0)  # all slices
+    monkeypatch.setattr(nt, "FREQUENT_TERMS", 20)
+    events = random_notes(make_events, 7, 40, 60)
+    groups = nt.settled(events, "groups")
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        return {str(f.getName()) for f in iter_scala(files.getAllFiles()) if f.getName().startswith("shuffle_")}
+
+    def iter_scala(found):
+        return [found.apply(i) for i in range(found.size())]
+
+    before = shuffled()
+    counts = nt.term_counts(groups)
+    for _ in range(50):  # files go in the background
+        if shuffled() <= before:
+            break
+        time.sleep(0.1)
+    assert shuffled() <= before
+    assert counts.count() == groups.count() == 45
+
+
 def test_vectors_move_once_for_near_copies(make_events, monkeypatch):
     words = [f"word{i}" for i in range(60)]
     texts = [" ".join(words[:-1] + [f"other{i}"]) for i in range(12)]  # all pairs are similar

@@ -29,6 +29,7 @@ AT_ONCE = 1 << 20
 #: Groups that are packed at a time.
 ROWS = 2048
 
+TERMS = "entity_id string, bag string, size long, terms array<struct<term: string, tf: long>>"
 PREFIX = "gid long, entity_id string, n int, core int, postings binary"
 PAIR = "a long, b long"
 SIMILAR = "entity_id string, bag_a string, bag_b string, cosine double, jaccard double, shared_tokens array<string>"
@@ -36,8 +37,30 @@ SIMILAR = "entity_id string, bag_a string, bag_b string, cosine double, jaccard
 SHOWN = 15
 
 
+def count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows (entity_id, bag, size, tokens) to rows of TERMS: each word of a group once, with its count."""
+    for batch in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
+        n = pc.list_value_length(batch.column("tokens")).to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = pc.list_flatten(batch.column("tokens")).dictionary_encode()
+        width = max(1, len(coded.dictionary))
+        found, tf = np.unique(np.repeat(np.arange(len(n)), n) * width + coded.indices.to_numpy(), return_counts=True)
+        ends = np.searchsorted(found, np.arange(len(n) + 1) * width).astype(np.int32)
+        term = coded.dictionary.take(pa.array(found % width))
+        terms = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([term, pa.array(tf, pa.int64())], ["term", "tf"]))
+        yield pa.RecordBatch.from_arrays(
+            [*(batch.column(c) for c in ("entity_id", "bag", "size")), terms], ["entity_id", "bag", "size", "terms"])
+
+
+def unit_weights(batch: pa.RecordBatch, df: np.ndarray, n: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """The weights of the vectors, as `unit_vectors` of the notes has them, of rows with tf and docs."""
+    tf, docs = pc.list_flatten(batch.column("tf")).to_numpy(), batch.column("docs").to_numpy()
+    raw = tf * (np.log((1.0 + docs[doc]) / (1.0 + df)) + 1.0)
+    return raw / np.sqrt(np.bincount(doc, raw * raw, len(n)))[doc]
+
+
 def pack_prefixes(cosine: float, jaccard: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """From rows (gid, entity_id, size, keys, df, w), terms rarest first, to rows of PREFIX; groups without postings go.
+    """From rows (gid, entity_id, size, keys, df, and w or tf and docs), terms rarest first, to rows of PREFIX; groups without
+    postings go.
 
     Kept are the postings that may be among the first common terms of a pair that reaches a threshold.  Terms of no other group
     are left out.  `core` is the least number of terms that hold cosine^2 of the squared norm.
@@ -46,10 +69,11 @@ def pack_prefixes(cosine: float, jaccard: float) -> Callable[[Iterator[pa.Record
 
     def run(batches):
         for batch in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
-            keys, df, w = (pc.list_flatten(batch.column(c)).to_numpy(zero_copy_only=False) for c in ("keys", "df", "w"))
+            keys, df = (pc.list_flatten(batch.column(c)).to_numpy(zero_copy_only=False) for c in ("keys", "df"))
             n = pc.list_value_length(batch.column("keys")).to_numpy(zero_copy_only=False).astype(np.int64)
             ends = np.cumsum(n)
             doc = np.repeat(np.arange(len(n)), n)
+            w = pc.list_flatten(batch.column("w")).to_numpy() if "w" in batch.schema.names else unit_weights(batch, df, n, doc)
             square = w * w
             total = np.concatenate(([0.0], np.cumsum(square)))
             rest = total[ends[doc]] - total[:-1]

@@ -10,14 +10,16 @@ for all their member pairs.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigil.functions.scalars import first_of, stable_id, text_of
 from vigil.functions.text import tokens
-from vigil.operators.note_blocks import PAIR, POSTING, PREFIX, SIMILAR, compare_pairs, meet_blocks, pack_prefixes
+from vigil.operators.note_blocks import (
+    PAIR, POSTING, PREFIX, SIMILAR, SLACK, TERMS, compare_pairs, count_terms, meet_blocks, pack_prefixes,
+)
 from vigil.schema import of_type
-from vigil.session import scratch, spread, stored
+from vigil.session import scratch, settled, spread, stored
 
 CANDIDATE_FACTOR = 0.7  # pairs below 0.7 of the cosine threshold are never reported
 #: Postings of a block, whose groups meet those of another one in a task: 12 bytes each.
@@ -28,6 +30,10 @@ LABEL_GROUPS = 1_000
 BROADCAST_GROUPS = 500_000
 #: Terms of an entity whose counts are broadcast; the others are joined by term.
 FREQUENT_TERMS = 200_000
+#: Shares of the groups whose terms move one after the other, and the postings from which they do.
+SLICES, SLICED_POSTINGS = 4, 4_000_000
+#: Bytes of postings that move at a time when blocks meet, or as many as there are at all.
+ROUND_BYTES = 64_000_000
 
 
 def note_corpus(events: DataFrame, min_tokens: int = 10) -> DataFrame:
@@ -50,7 +56,7 @@ def note_corpus(events: DataFrame, min_tokens: int = 10) -> DataFrame:
             F.when(F.spark_partition_id() >= 0, words).alias("tokens"),
         )
         .where(F.size("tokens") >= min_tokens)
-        .withColumn("bag", F.sha2(F.array_join(F.array_sort("tokens"), " "), 256))
+        .withColumn("bag", F.sha2(F.array_join(F.sort_array("tokens"), " "), 256))
     )
 
 
@@ -85,35 +91,43 @@ def term_counts(groups: DataFrame) -> DataFrame:
     """One row per group, stored: gid, entity_id, bag, size, docs and `counts`, its terms (df, term, tf), rarest first.
 
     Postings carry the number of their group only.  Frequent terms are looked up in a bounded broadcast; the postings of the
-    others alone are dealt by term.  Weights are not stored: they are twice the rest.
+    others alone are dealt by term.  The groups come in slices, so that the postings of one slice only are moving.  Weights
+    are not stored: they are twice the rest.
     """
-    # the groups lie by (entity, bag) already: neither aggregate moves a row
-    counted = groups.select("entity_id", "bag", "size", F.explode("tokens").alias("term")).groupBy(
-        "entity_id", "bag", "size", "term").agg(F.count("*").alias("tf"))
-    notes = stored(
-        counted.groupBy("entity_id", "bag", "size").agg(F.collect_list(F.struct("term", "tf")).alias("terms")).withColumn(
-            "gid", F.monotonically_increasing_id()), "note-terms")
-    postings = notes.select("gid", "entity_id", "size", F.explode("terms").alias("t")).select("gid", "entity_id", "size", "t.term", "t.tf")
-    # a term of one group only has that group's size as its df
-    shared = stored(
-        postings.groupBy("entity_id", "term").agg(F.sum("size").alias("df"), F.count("*").alias("groups")).where("groups > 1"), "note-df")
-    step = F.floor(F.log2("groups") * 8)
-    least, total = 0, 0
-    for row in shared.groupBy(step.alias("step")).agg(F.count("*").alias("n")).orderBy(F.desc("step")).collect():
-        total += row["n"]
-        if total > FREQUENT_TERMS:
-            least = row["step"] + 1
-            break
-    looked = postings.join(F.broadcast(shared.where(step >= least).drop("groups")), ["entity_id", "term"], "left")
-    if least:
+    with scratch(groups.sparkSession):
+        counted = groups.select("entity_id", "bag", "size", "tokens").mapInArrow(count_terms, TERMS)
+        notes = settled(counted.select(
+            "*", F.monotonically_increasing_id().alias("gid"), F.pmod(F.xxhash64("bag"), F.lit(SLICES)).cast("int").alias("slice"),
+        ), "note-terms", by="slice")
+        posted = lambda rows: rows.select("gid", "entity_id", "size", F.explode("terms").alias("t")).select(
+            "gid", "entity_id", "size", "t.term", "t.tf")
+        # a term of one group only has that group's size as its df
+        shared = settled(posted(notes).groupBy("entity_id", "term").agg(
+            F.sum("size").alias("df"), F.count("*").alias("groups")).where("groups > 1"), "note-df")
+        docs = settled(notes.groupBy("entity_id").agg(F.sum("size").alias("docs"), F.sum(F.size("terms")).alias("postings")), "note-docs")
+        step = F.floor(F.log2("groups") * 8)
+        least, total = 0, 0
+        for row in shared.groupBy(step.alias("step")).agg(F.count("*").alias("n")).orderBy(F.desc("step")).collect():
+            total += row["n"]
+            if total > FREQUENT_TERMS:
+                least = row["step"] + 1
+                break
+        frequent = shared.where(step >= least).drop("groups")
         rare = shared.where(step < least).select("entity_id", "term", F.col("df").alias("rare_df"))
-        missed = looked.where("df is null").drop("df").join(rare, ["entity_id", "term"], "left").withColumnRenamed("rare_df", "df")
-        looked = looked.where("df is not null").unionByName(missed)
-    docs = notes.groupBy("entity_id").agg(F.sum("size").alias("docs"))
-    df = F.coalesce("df", "size")
-    gathered = looked.select("gid", F.struct(df.alias("df"), "term", "tf").alias("t")).groupBy("gid").agg(
-        F.sort_array(F.collect_list("t")).alias("counts"))
-    return stored(notes.drop("terms").join(docs, "entity_id").join(gathered, "gid"), "note-counts")
+
+        def with_df(rows: DataFrame) -> DataFrame:
+            looked = posted(rows).join(F.broadcast(frequent), ["entity_id", "term"], "left")
+            if least:
+                missed = looked.where("df is null").drop("df").join(rare, ["entity_id", "term"], "left").withColumnRenamed("rare_df", "df")
+                looked = looked.where("df is not null").unionByName(missed)
+            gathered = looked.select("gid", F.struct(F.coalesce("df", "size").alias("df"), "term", "tf").alias("t")).groupBy("gid").agg(
+                F.sort_array(F.collect_list("t")).alias("counts"))
+            return rows.select("gid", "entity_id", "bag", "size").join(docs.drop("postings"), "entity_id").join(gathered, "gid").select(
+                "entity_id", "gid", "bag", "size", "docs", "counts")
+
+        few = (docs.agg(F.sum("postings")).first()[0] or 0) <= SLICED_POSTINGS
+        slices = [notes] if few else (notes.where(F.col("slice") == i) for i in range(SLICES))
+        return settled(map(with_df, slices), "note-counts", keep=True)
 
 
 def term_weights(groups: DataFrame) -> DataFrame:
@@ -122,34 +136,75 @@ def term_weights(groups: DataFrame) -> DataFrame:
 
 
 def prefixes(vectors: DataFrame, cosine: float, jaccard: float) -> DataFrame:
-    """One row per group with the packed postings of its prefix (see `note_blocks`)."""
-    listed = vectors.select(
-        "gid", "entity_id", "size", F.transform("v", lambda t: F.hash(t["term"])).alias("keys"),
-        F.col("v.df").alias("df"), F.col("v.w").alias("w"))
+    """One row per group with the packed postings of its prefix (see `note_blocks`), of its vector or of its `term_counts`."""
+    if "v" in vectors.columns:
+        terms, columns = "v", [F.col("v.df").alias("df"), F.col("v.w").alias("w")]
+    else:
+        terms, columns = "counts", [F.col("counts.df").alias("df"), F.col("counts.tf").alias("tf"), "docs"]
+    listed = vectors.select("gid", "entity_id", "size", F.transform(terms, lambda t: F.hash(t["term"])).alias("keys"), *columns)
     return listed.mapInArrow(pack_prefixes(cosine, jaccard), PREFIX)
 
 
+def in_blocks(packed: DataFrame) -> DataFrame:
+    """The rows of `prefixes` with the block of their entity: groups of like length, and like share of heavy terms, come together.
+
+    A block has BLOCK_POSTINGS at most, give or take what chance does where many groups are alike.
+    """
+    like = packed.select(
+        "*", F.octet_length("postings").alias("bytes"),
+        F.floor(F.log2(F.col("n") / F.greatest("core", F.lit(1))) * 2).alias("kind"), F.floor(F.log2("n") * 8).alias("length"))
+    entity = Window.partitionBy("entity_id")
+    before = F.sum("bytes").over(entity.orderBy("kind", "length")) - F.col("bytes")
+    bins = like.groupBy("entity_id", "kind", "length").agg(F.sum("bytes").alias("bytes")).select(
+        "entity_id", "kind", "length", before.alias("before"), F.col("bytes").alias("own"), F.sum("bytes").over(entity).alias("whole"))
+    blocks = F.ceil(F.col("whole") / (BLOCK_POSTINGS * POSTING.itemsize))
+    place = (F.col("before") + F.col("own") * (F.pmod(F.xxhash64("gid"), F.lit(1 << 20)) / (1 << 20))) / F.col("whole")
+    return like.join(bins, ["entity_id", "kind", "length"]).select(
+        "gid", "entity_id", "n", "core", "postings", F.least(F.floor(place * blocks), blocks - 1).alias("block"))
+
+
+def block_pairs(rows: DataFrame, jaccard: float) -> DataFrame:
+    """(entity_id, one, two, bytes): the pairs of blocks that can hold a pair of groups, by what `note_blocks` asks of each pair."""
+    blocks = rows.groupBy("entity_id", "block").agg(
+        F.min("n").alias("least"), F.max("n").alias("most"), F.min("core").alias("core"), F.sum(F.octet_length("postings")).alias("bytes"))
+    a, b = blocks.alias("a"), blocks.alias("b")
+    heavy = (F.col("a.most") >= F.col("b.core")) & (F.col("b.most") >= F.col("a.core"))
+    near = (F.col("b.most") >= jaccard * F.col("a.least") - SLACK) & (F.col("a.most") >= jaccard * F.col("b.least") - SLACK)
+    return a.join(b, (F.col("a.entity_id") == F.col("b.entity_id")) & (F.col("a.block") <= F.col("b.block")) & (heavy | near)).select(
+        "a.entity_id", F.col("a.block").alias("one"), F.col("b.block").alias("two"),
+        (F.col("a.bytes") + F.when(F.col("a.block") < F.col("b.block"), F.col("b.bytes")).otherwise(0)).alias("bytes"))
+
+
 def candidate_pairs(vectors: DataFrame, cosine: float, jaccard: float) -> DataFrame:
-    """(a, b): numbers of groups, among them all that reach a threshold.
+    """(a, b), stored: numbers of groups, among them all that reach a threshold.
 
     In the order of (df, term), let a pair's zone be its common terms at which the product of both `rest` is at least s^2, with
     s below the cosine's threshold.  The terms behind the zone give less than s, so those within must give the difference.
     The same holds for Jaccard, where m terms have to be common: behind the zone of the terms at which both have
     a share of m left, fewer than that are common.  A key that stands for two terms only adds to a sum.
 
-    The groups of an entity are dealt to blocks, and each pair of blocks meets in one task: a row moves once for each block
-    of its entity, and nothing that grows with the pairs moves but the candidates.
+    The groups of an entity are dealt to blocks, and each pair of blocks that can hold a pair meets in one task: a row moves
+    once for each of them.  These moves grow with the square of an entity, so that they are made in rounds, each of no more bytes
+    than the rows have themselves; nothing else that grows with the pairs moves but the candidates.
     """
-    packed = stored(prefixes(vectors, cosine, jaccard), "note-prefixes")
-    blocks = packed.groupBy("entity_id").agg(
-        F.ceil(F.sum(F.octet_length("postings")) / (BLOCK_POSTINGS * POSTING.itemsize)).alias("blocks"))
-    block = F.pmod(F.xxhash64("gid"), "blocks")
-    dealt = packed.join(blocks, "entity_id").withColumn("block", block).withColumn(
-        "other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    meeting = dealt.select(
-        "entity_id", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"),
-        "block", "gid", "n", "core", "postings")
-    return meeting.groupBy("entity_id", "one", "two").applyInArrow(meet_blocks(cosine, jaccard), PAIR)
+    with scratch(vectors.sparkSession):
+        with scratch(vectors.sparkSession):
+            rows = settled(in_blocks(settled(prefixes(vectors, cosine, jaccard), "note-prefixes")), "note-blocks", keep=True)
+        meeting = settled(block_pairs(rows, jaccard), "note-meetings")
+        own = rows.agg(F.sum(F.octet_length("postings"))).first()[0] or 0
+        found = meeting.agg(F.sum("bytes").alias("bytes"), F.count("*").alias("n")).first()
+        rounds = max(1, -(-(found["bytes"] or 0) // max(own, ROUND_BYTES)))
+
+        def met(at: int) -> DataFrame:
+            now = meeting.where(F.pmod(F.xxhash64("entity_id", "one", "two"), F.lit(rounds)) == at).select("entity_id", "one", "two")
+            moves = now.select("*", F.explode(F.array_distinct(F.array("one", "two"))).alias("block"))
+            if found["n"] // rounds <= BROADCAST_GROUPS:
+                moves = F.broadcast(moves)
+            return rows.join(moves, ["entity_id", "block"]).select(
+                "entity_id", "one", "two", "block", "gid", "n", "core", "postings",
+            ).groupBy("entity_id", "one", "two").applyInArrow(meet_blocks(cosine, jaccard), PAIR)
+
+        return settled(map(met, range(rounds)), "note-pairs", keep=True)
 
 
 def similar_groups(
@@ -157,7 +212,7 @@ def similar_groups(
 ) -> DataFrame:
     """Pairs of different bags with cosine >= 0.85 or Jaccard >= 0.80 (and cosine above the floor)."""
     counts = term_counts(groups)
-    candidates = stored(candidate_pairs(unit_vectors(counts), cosine, jaccard), "note-pairs")
+    candidates = candidate_pairs(counts, cosine, jaccard)
     rows, pairs = dealt_pairs(counts, candidates)
     together = rows.groupBy("label", "x", "y").cogroup(pairs.groupBy("label", "x", "y"))
     return together.applyInArrow(compare_pairs(cosine, jaccard, cosine * CANDIDATE_FACTOR), SIMILAR)
@@ -170,12 +225,12 @@ def dealt_pairs(counts: DataFrame, candidates: DataFrame) -> tuple[DataFrame, Da
     of a group moves once for them all, not once for each pair.  Labels of many groups are dealt to pairs of blocks.
     """
     near = candidates.union(candidates.select("b", "a")).groupBy("a").agg(F.min("b").alias("near"))
-    labelled = stored(candidates.join(near, "a").select("a", "b", F.least("a", "near").alias("label")), "note-labels")
+    labelled = settled(candidates.join(near, "a").select("a", "b", F.least("a", "near").alias("label")), "note-labels")
     members = labelled.select("label", F.explode(F.array("a", "b")).alias("gid")).distinct()
     blocks = members.groupBy("label").agg(F.ceil(F.count("*") / LABEL_GROUPS).alias("blocks"))
     block = lambda c: F.pmod(F.xxhash64(c), "blocks")
-    pairs = stored(labelled.join(blocks, "label").select("label", block("a").alias("x"), block("b").alias("y"), "a", "b"), "note-tasks")
-    wanted = stored(pairs.select("label", "x", "y", F.explode(F.array("a", "b")).alias("gid")).distinct(), "note-wanted")
+    pairs = settled(labelled.join(blocks, "label").select("label", block("a").alias("x"), block("b").alias("y"), "a", "b"), "note-tasks")
+    wanted = settled(pairs.select("label", "x", "y", F.explode(F.array("a", "b")).alias("gid")).distinct(), "note-wanted")
     few = F.broadcast(wanted) if wanted.count() <= BROADCAST_GROUPS else wanted
     rows = unit_vectors(counts.join(few, "gid")).select(
         "label", "x", "y", "gid", "entity_id", "bag", F.col("v.term").alias("terms"), F.col("v.w").alias("weights"))
@@ -214,7 +269,7 @@ def similar_group_edges(corpus: DataFrame, cosine: float = 0.85, jaccard: float
     """
     groups = note_groups(corpus)
     with scratch(corpus.sparkSession):
-        pairs = stored(similar_groups(groups, cosine, jaccard), "similar-notes", keep=True)  # read twice below
+        pairs = settled(similar_groups(groups, cosine, jaccard), "similar-notes", keep=True)  # read twice below
     info = groups.select("entity_id", "bag", "size", "rep")
     ia = info.select("entity_id", F.col("bag").alias("bag_a"), F.col("size").alias("size_a"), F.col("rep").alias("rep_a"))
     ib = info.select("entity_id", F.col("bag").alias("bag_b"), F.col("size").alias("size_b"), F.col("rep").alias("rep_b"))
@@ -276,7 +331,7 @@ def note_edges(events: DataFrame, cosine: float = 0.85, jaccard: float = 0.80, m
     Copies of the representative's own case are no pair with it, but are with copies of other cases: `note_members`
     holds them all.
     """
-    corpus = stored(note_corpus(events, min_tokens), "notes")  # splitting the texts is the costly part
+    corpus = settled(note_corpus(events, min_tokens), "notes")  # splitting the texts is the costly part
     groups = note_groups(corpus)
     member = F.struct("event_id", "case_key", "analyst", "asset").alias("copy")
     copies = (
