@@ -161,7 +161,7 @@ def weights(spark, sf):
 FROM similar_pairs s JOIN grouped a ON a.entity_id = s.entity_id AND a.bag = s.bag_a JOIN grouped b ON b.entity_id = s.entity_id AND b.bag = s.bag_b"""),
 )
 def similar_notes(spark, sf):
-    return nt.similar_group_edges(settled(nt.note_corpus(notes(spark, sf)), "notes")).select(
+    return nt.similar_group_edges(settled(nt.with_text(nt.note_corpus(notes(spark, sf))), "notes")).select(
         "entity_id", F.col("rep_a.event_id").alias("note_a"), F.col("rep_b.event_id").alias("note_b"),
         F.round("cosine", 4).alias("cosine"), F.round("jaccard", 4).alias("jaccard"),
         F.array_join("shared_tokens", " ").alias("shared_tokens"), "pair_count",

@@ -9,6 +9,7 @@ Weights and norms are stored in 16 bits, rounded up, so that no sum falls short.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -30,6 +31,9 @@ AT_ONCE = 1 << 20
 ROWS = 2048
 
 TERMS = "entity_id string, bag string, size long, terms array<struct<term: string, tf: long>>"
+MISSED = "gid long, entity_id string, at int, term string"
+COUNTS = "entity_id string, gid long, bag string, size long, docs long, counts array<struct<df: long, term: string, tf: long>>"
+COUNTED = f"{COUNTS}, n int, core int, postings binary"
 PREFIX = "gid long, entity_id string, n int, core int, postings binary"
 PAIR = "a long, b long"
 SIMILAR = "entity_id string, bag_a string, bag_b string, cosine double, jaccard double, shared_tokens array<string>"
@@ -38,10 +42,11 @@ SHOWN = 15
 
 
 def count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows (entity_id, bag, size, tokens) to rows of TERMS: each word of a group once, with its count."""
+    """From rows (entity_id, bag, size, text) to rows of TERMS: each word of a group once, with its count."""
     for batch in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
-        n = pc.list_value_length(batch.column("tokens")).to_numpy(zero_copy_only=False).astype(np.int64)
-        coded = pc.list_flatten(batch.column("tokens")).dictionary_encode()
+        words = pc.split_pattern(batch.column("text"), " ")
+        n = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = pc.list_flatten(words).dictionary_encode()
         width = max(1, len(coded.dictionary))
         found, tf = np.unique(np.repeat(np.arange(len(n)), n) * width + coded.indices.to_numpy(), return_counts=True)
         ends = np.searchsorted(found, np.arange(len(n) + 1) * width).astype(np.int32)
@@ -51,54 +56,190 @@ def count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [*(batch.column(c) for c in ("entity_id", "bag", "size")), terms], ["entity_id", "bag", "size", "terms"])
 
 
-def unit_weights(batch: pa.RecordBatch, df: np.ndarray, n: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """The weights of the vectors, as `unit_vectors` of the notes has them, of rows with tf and docs."""
-    tf, docs = pc.list_flatten(batch.column("tf")).to_numpy(), batch.column("docs").to_numpy()
+@dataclass
+class Known:
+    """The df of frequent terms, by entity."""
+
+    places: dict[str, tuple[int, int]]
+    terms: pa.Array
+    df: np.ndarray
+
+    @classmethod
+    def of(cls, rows: pa.Table) -> Known:
+        """From rows (entity_id, term, df)."""
+        rows = rows.take(pc.sort_indices(rows.column("entity_id"))).combine_chunks()
+        entity = rows.column("entity_id").to_numpy()
+        starts = np.flatnonzero(entity[1:] != entity[:-1]) + 1 if len(entity) else np.zeros(0, np.int64)
+        ends = [*starts.tolist(), len(entity)]
+        places = {entity[a]: (a, b - a) for a, b in zip([0, *starts.tolist()], ends) if b > a}
+        terms = rows.column("term")
+        return cls(places, terms.combine_chunks() if isinstance(terms, pa.ChunkedArray) else terms, rows.column("df").to_numpy())
+
+    def look(self, entity: str, terms: pa.Array) -> np.ndarray:
+        """The df of each of the terms, 0 where it isn't known."""
+        own = self.terms.slice(*self.places.get(entity, (0, 0)))
+        found = pc.index_in(terms, value_set=own)
+        known = pc.is_valid(found).to_numpy(zero_copy_only=False)
+        first = self.places.get(entity, (0, 0))[0]
+        df = np.zeros(len(terms), np.int64)
+        df[known] = self.df[first + found.drop_null().to_numpy()]
+        return df
+
+
+@dataclass
+class Listed:
+    """The terms of the groups of one entity, end to end: their text, code, tf and group, and where groups begin."""
+
+    rows: pa.Table
+    n: np.ndarray
+    starts: np.ndarray
+    doc: np.ndarray
+    coded: pa.DictionaryArray
+    codes: np.ndarray
+    tf: np.ndarray
+
+
+def by_entity(rows: pa.Table) -> Iterator[tuple[str, Listed]]:
+    """The rows of `terms` of each entity, of so many terms at a time as AT_ONCE, or of one group."""
+    rows = rows.take(pc.sort_indices(rows.column("entity_id"))).combine_chunks()
+    entity = rows.column("entity_id").to_numpy()
+    total = np.cumsum(pc.list_value_length(rows.column("terms")).to_numpy().astype(np.int64))
+    at = 0
+    while at < rows.num_rows:
+        end = at + int(np.argmax(entity[at:] != entity[at])) if (entity[at:] != entity[at]).any() else rows.num_rows
+        while at < end:
+            before = total[at - 1] if at else 0
+            stop = min(end, max(at + 1, int(np.searchsorted(total, before + AT_ONCE, "right"))))
+            part = rows.slice(at, stop - at)
+            flat = pc.list_flatten(part.column("terms")).combine_chunks()
+            n = pc.list_value_length(part.column("terms")).to_numpy().astype(np.int64)
+            coded = pc.struct_field(flat, "term").dictionary_encode()
+            yield entity[at], Listed(
+                part, n, np.cumsum(n) - n, np.repeat(np.arange(len(n)), n), coded, coded.indices.to_numpy(),
+                pc.struct_field(flat, "tf").to_numpy())
+            at = stop
+
+
+def missed_terms(known: Callable[[], Known]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From rows (gid, entity_id, terms) to the terms whose df isn't known, with their place in the group (MISSED)."""
+
+    def run(batches):
+        for batch in batches:
+            for entity, x in by_entity(pa.Table.from_batches([batch])):
+                out = np.flatnonzero(known().look(entity, x.coded.dictionary)[x.codes] == 0)
+                gid = x.rows.column("gid").to_numpy()
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(gid[x.doc[out]]), pa.array([entity], pa.string()).take(pa.array(np.zeros(len(out), np.int64))),
+                     pa.array((out - x.starts[x.doc[out]]).astype(np.int32)), x.coded.dictionary.take(pa.array(x.codes[out]))],
+                    ["gid", "entity_id", "at", "term"])
+
+    return run
+
+
+def ordered_counts(known: Callable[[], Known], least: tuple[float, float] | None) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """From rows (entity_id, gid, bag, size, docs, terms) and (gid, at, df) of missed terms to rows of COUNTS, rarest term first.
+
+    With the least cosine and Jaccard similarity, they have their prefix too (COUNTED).  A term that is neither known nor found
+    is of one group only.
+    """
+    names_of = ["entity_id", "gid", "bag", "size", "docs", "counts", *(["n", "core", "postings"] if least else [])]
+
+    def run(rows: pa.Table, found: pa.Table) -> pa.Table:
+        order = np.argsort(found.column("gid").to_numpy(), kind="stable")
+        whose, place, df_there = (found.column(c).to_numpy()[order] for c in ("gid", "at", "df"))
+        out = []
+        for entity, x in by_entity(rows):
+            names = x.coded.dictionary
+            df = known().look(entity, names)[x.codes]
+            gid = x.rows.column("gid").to_numpy()
+            first, last = np.searchsorted(whose, gid), np.searchsorted(whose, gid, "right")
+            n = last - first
+            own = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            df[np.repeat(x.starts, n) + place[own]] = df_there[own]
+            df = np.where(df == 0, x.rows.column("size").to_numpy()[x.doc], df)
+            rank = np.empty(len(names), np.int64)
+            rank[pc.sort_indices(names).to_numpy()] = np.arange(len(names))
+            most, width = int(df.max(initial=0)) + 1, len(names)
+            if len(gid) * most * width < 1 << 62:
+                by = np.argsort((x.doc * most + df) * width + rank[x.codes])
+            else:
+                by = np.lexsort((rank[x.codes], df, x.doc))
+            df, codes, tf = df[by], x.codes[by], x.tf[by]
+            counts = pa.StructArray.from_arrays(
+                [pa.array(df, pa.int64()), names.take(pa.array(codes)), pa.array(tf, pa.int64())], ["df", "term", "tf"])
+            columns = [
+                *(x.rows.column(c) for c in ("entity_id", "gid", "bag", "size", "docs")),
+                pa.ListArray.from_arrays(pa.array(np.append(x.starts, len(df)).astype(np.int32)), counts)]
+            if least:
+                keys = np.fromiter((zlib.crc32(t.encode()) for t in names.to_pylist()), np.int64, len(names))
+                w = unit_weights(tf, df, x.rows.column("docs").to_numpy(), x.doc)
+                core, count, postings = packed(keys[codes], df, w, x.n, x.rows.column("size").to_numpy(), *least)
+                columns += [pa.array(x.n, pa.int32()), pa.array(core, pa.int32()), binaries(count, postings)]
+            out.append(pa.table(columns, names_of))
+        if out:
+            return pa.concat_tables(out)
+        kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(),
+                 pa.list_(pa.struct([("df", pa.int64()), ("term", pa.string()), ("tf", pa.int64())])), pa.int32(), pa.int32(), pa.binary()]
+        return pa.table([pa.array([], k) for k in kinds[: len(names_of)]], names_of)
+
+    return run
+
+
+def unit_weights(tf: np.ndarray, df: np.ndarray, docs: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """The weights of the vectors, as `unit_vectors` of the notes has them; docs by group, the others by term."""
     raw = tf * (np.log((1.0 + docs[doc]) / (1.0 + df)) + 1.0)
-    return raw / np.sqrt(np.bincount(doc, raw * raw, len(n)))[doc]
+    return raw / np.sqrt(np.bincount(doc, raw * raw, len(docs)))[doc]
 
 
-def pack_prefixes(cosine: float, jaccard: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """From rows (gid, entity_id, size, keys, df, and w or tf and docs), terms rarest first, to rows of PREFIX; groups without
-    postings go.
+def packed(
+    keys: np.ndarray, df: np.ndarray, w: np.ndarray, n: np.ndarray, size: np.ndarray, cosine: float, jaccard: float,
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(core, postings kept of each group, postings) of groups of n terms each, rarest first.
 
     Kept are the postings that may be among the first common terms of a pair that reaches a threshold.  Terms of no other group
     are left out.  `core` is the least number of terms that hold cosine^2 of the squared norm.
     """
     outside = cosine * OUTSIDE_COSINE
+    ends = np.cumsum(n)
+    doc = np.repeat(np.arange(len(n)), n)
+    square = w * w
+    total = np.concatenate(([0.0], np.cumsum(square)))
+    rest = total[ends[doc]] - total[:-1]
+    left = ends[doc] - np.arange(len(doc))
+    heaviest = square[np.lexsort((-square, doc))]
+    sums = np.concatenate(([0.0], np.cumsum(heaviest)))
+    inner = sums[:-1] - sums[(ends - n)[doc]] < cosine * cosine - SLACK
+    core = np.bincount(doc[inner], minlength=len(n))
+    kept = np.flatnonzero((df > size[doc]) & (
+        (rest >= outside * outside - SLACK) | (left >= OUTSIDE_JACCARD * jaccard * n[doc] - SLACK)))
+    postings = np.empty(len(kept), POSTING)
+    postings["key"] = keys[kept].astype(np.int64) & 0xFFFFFFFF
+    postings["left"] = left[kept]
+    postings["w"] = np.minimum(np.ceil(w[kept] * UNIT), UNIT)
+    postings["rest"] = np.clip(np.ceil(rest[kept] * UNIT), 1, UNIT)
+    return core, np.bincount(doc[kept], minlength=len(n)), postings
+
+
+def binaries(count: np.ndarray, postings: np.ndarray) -> pa.Array:
+    """The postings of each group, of which `count` are its own."""
+    starts = np.concatenate(([0], np.cumsum(count))) * POSTING.itemsize
+    return pa.Array.from_buffers(
+        pa.binary(), len(count), [None, pa.py_buffer(starts.astype(np.int32).tobytes()), pa.py_buffer(postings.tobytes())])
+
+
+def pack_prefixes(cosine: float, jaccard: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From rows (gid, entity_id, size, keys, df, w), terms rarest first, to rows of PREFIX; groups without postings go."""
 
     def run(batches):
         for batch in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
-            keys, df = (pc.list_flatten(batch.column(c)).to_numpy(zero_copy_only=False) for c in ("keys", "df"))
+            keys, df, w = (pc.list_flatten(batch.column(c)).to_numpy(zero_copy_only=False) for c in ("keys", "df", "w"))
             n = pc.list_value_length(batch.column("keys")).to_numpy(zero_copy_only=False).astype(np.int64)
-            ends = np.cumsum(n)
-            doc = np.repeat(np.arange(len(n)), n)
-            w = pc.list_flatten(batch.column("w")).to_numpy() if "w" in batch.schema.names else unit_weights(batch, df, n, doc)
-            square = w * w
-            total = np.concatenate(([0.0], np.cumsum(square)))
-            rest = total[ends[doc]] - total[:-1]
-            left = ends[doc] - np.arange(len(doc))
-            heaviest = square[np.lexsort((-square, doc))]
-            sums = np.concatenate(([0.0], np.cumsum(heaviest)))
-            inner = sums[:-1] - sums[(ends - n)[doc]] < cosine * cosine - SLACK
-            core = np.bincount(doc[inner], minlength=len(n))
-            size = batch.column("size").to_numpy(zero_copy_only=False)
-            kept = np.flatnonzero((df > size[doc]) & (
-                (rest >= outside * outside - SLACK) | (left >= OUTSIDE_JACCARD * jaccard * n[doc] - SLACK)))
-            postings = np.empty(len(kept), POSTING)
-            postings["key"] = keys[kept].astype(np.int64) & 0xFFFFFFFF
-            postings["left"] = left[kept]
-            postings["w"] = np.minimum(np.ceil(w[kept] * UNIT), UNIT)
-            postings["rest"] = np.clip(np.ceil(rest[kept] * UNIT), 1, UNIT)
-            count = np.bincount(doc[kept], minlength=len(n))
+            core, count, postings = packed(keys, df, w, n, batch.column("size").to_numpy(zero_copy_only=False), cosine, jaccard)
             some = np.flatnonzero(count)
-            starts = np.concatenate(([0], np.cumsum(count[some]))) * POSTING.itemsize
-            packed = pa.Array.from_buffers(
-                pa.binary(), len(some), [None, pa.py_buffer(starts.astype(np.int32).tobytes()), pa.py_buffer(postings.tobytes())])
             take = pa.array(some)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("gid").take(take), batch.column("entity_id").take(take), pa.array(n[some], pa.int32()),
-                 pa.array(core[some], pa.int32()), packed], ["gid", "entity_id", "n", "core", "postings"])
+                 pa.array(core[some], pa.int32()), binaries(count[some], postings)], ["gid", "entity_id", "n", "core", "postings"])
 
     return run
 
@@ -221,7 +362,7 @@ def meet_blocks(cosine: float, jaccard: float) -> Callable[[tuple, pa.Table], pa
 
 
 def compare_pairs(cosine: float, jaccard: float, floor: float) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    """From vectors (gid, entity_id, bag, terms, weights) and pairs (a, b) of them to the similar ones (SIMILAR).
+    """From groups (gid, entity_id, bag, docs, terms, df, tf) and pairs (a, b) of them to the similar ones (SIMILAR).
 
     Similar is a cosine of at least `cosine`, or a Jaccard similarity of at least `jaccard` with a cosine of at least `floor`.
     """
@@ -239,7 +380,9 @@ def compare_pairs(cosine: float, jaccard: float, floor: float) -> Callable[[pa.T
         rank[ranked] = np.arange(len(names))
         names = [names[i] for i in ranked]
         term = rank[coded.indices.to_numpy()]
-        weight = pc.list_flatten(rows.column("weights")).to_numpy()
+        weight = unit_weights(
+            *(pc.list_flatten(rows.column(c)).to_numpy() for c in ("tf", "df")), rows.column("docs").to_numpy(),
+            np.repeat(np.arange(len(size)), size))
         entity, bag = rows.column("entity_id").to_pylist(), rows.column("bag").to_pylist()
         own = np.zeros(len(names))
         out: list[list] = [[] for _ in range(6)]

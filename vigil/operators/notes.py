@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from vigil.functions.scalars import first_of, stable_id, text_of
 from vigil.functions.text import tokens
 from vigil.operators.note_blocks import (
-    PAIR, POSTING, PREFIX, SIMILAR, SLACK, TERMS, compare_pairs, count_terms, meet_blocks, pack_prefixes,
+    COUNTED, COUNTS, MISSED, PAIR, POSTING, PREFIX, SIMILAR, SLACK, TERMS, Known, compare_pairs, count_terms, meet_blocks, missed_terms,
+    ordered_counts, pack_prefixes,
 )
 from vigil.schema import of_type
 from vigil.session import scratch, settled, spread, stored
@@ -28,8 +29,10 @@ BLOCK_POSTINGS = 2_000_000
 LABEL_GROUPS = 1_000
 #: Rows of groups that are compared, up to which they choose the vectors by a broadcast.
 BROADCAST_GROUPS = 500_000
-#: Terms of an entity whose counts are broadcast; the others are joined by term.
-FREQUENT_TERMS = 200_000
+#: Terms of an entity whose counts are broadcast, some 20 bytes each; the others are joined by term.
+FREQUENT_TERMS = 1_000_000
+#: Postings of the groups that get the counts of their other terms in one task.
+PART_POSTINGS = 1_000_000
 #: Shares of the groups whose terms move one after the other, and the postings from which they do.
 SLICES, SLICED_POSTINGS = 4, 4_000_000
 #: Bytes of postings that move at a time when blocks meet, or as many as there are at all.
@@ -60,14 +63,18 @@ def note_corpus(events: DataFrame, min_tokens: int = 10) -> DataFrame:
     )
 
 
+def with_text(corpus: DataFrame) -> DataFrame:
+    """The notes with their sorted words as one text, which is stored and moved in a third of the bytes; no word has a blank."""
+    return corpus.withColumn("text", F.array_join(F.sort_array("tokens"), " ")).drop("tokens")
+
+
 def note_groups(corpus: DataFrame) -> DataFrame:
     """Distinct bags of words per entity with their representative note."""
     rep = F.min_by(F.struct("event_id", "case_key", "analyst", "asset"), F.col("event_id"))
-    # a text is moved in a third of the bytes of its words; no word has a blank
-    grouped = corpus.groupBy("entity_id", "bag").agg(
-        F.count("*").alias("size"), rep.alias("rep"), F.first(F.array_join("tokens", " ")).alias("text")
+    grouped = (corpus if "text" in corpus.columns else with_text(corpus)).groupBy("entity_id", "bag").agg(
+        F.count("*").alias("size"), rep.alias("rep"), F.first("text").alias("text")
     )
-    return grouped.select("entity_id", "bag", "size", "rep", F.split("text", " ").alias("tokens"))
+    return grouped.select("entity_id", "bag", "size", "rep", "text", F.split("text", " ").alias("tokens"))
 
 
 def term_vectors(groups: DataFrame) -> DataFrame:
@@ -87,15 +94,17 @@ def unit_vectors(counts: DataFrame) -> DataFrame:
         F.lit("df"), t["df"], F.lit("term"), t["term"], F.lit("w"), t["w"] / F.col("norm")))).drop("norm")
 
 
-def term_counts(groups: DataFrame) -> DataFrame:
+def term_counts(groups: DataFrame, least: tuple[float, float] | None = None) -> DataFrame:
     """One row per group, stored: gid, entity_id, bag, size, docs and `counts`, its terms (df, term, tf), rarest first.
 
-    Postings carry the number of their group only.  Frequent terms are looked up in a bounded broadcast; the postings of the
-    others alone are dealt by term.  The groups come in slices, so that the postings of one slice only are moving.  Weights
-    are not stored: they are twice the rest.
+    With the least cosine and Jaccard similarity of a pair, they have n, core and the packed postings of their prefix too.
+
+    Frequent terms are looked up in a bounded broadcast; the postings of the others alone are dealt by term, and what is found
+    goes back to their group.  The groups come in slices, so that those of one slice only are moving.  Weights are not stored:
+    they are twice the rest.
     """
     with scratch(groups.sparkSession):
-        counted = groups.select("entity_id", "bag", "size", "tokens").mapInArrow(count_terms, TERMS)
+        counted = groups.select("entity_id", "bag", "size", "text").mapInArrow(count_terms, TERMS)
         notes = settled(counted.select(
             "*", F.monotonically_increasing_id().alias("gid"), F.pmod(F.xxhash64("bag"), F.lit(SLICES)).cast("int").alias("slice"),
         ), "note-terms", by="slice")
@@ -106,27 +115,28 @@ def term_counts(groups: DataFrame) -> DataFrame:
             F.sum("size").alias("df"), F.count("*").alias("groups")).where("groups > 1"), "note-df")
         docs = settled(notes.groupBy("entity_id").agg(F.sum("size").alias("docs"), F.sum(F.size("terms")).alias("postings")), "note-docs")
         step = F.floor(F.log2("groups") * 8)
-        least, total = 0, 0
+        lowest, total = 0, 0
         for row in shared.groupBy(step.alias("step")).agg(F.count("*").alias("n")).orderBy(F.desc("step")).collect():
             total += row["n"]
             if total > FREQUENT_TERMS:
-                least = row["step"] + 1
+                lowest = row["step"] + 1
                 break
-        frequent = shared.where(step >= least).drop("groups")
-        rare = shared.where(step < least).select("entity_id", "term", F.col("df").alias("rare_df"))
+        frequent = groups.sparkSession.sparkContext.broadcast(
+            Known.of(shared.where(step >= lowest).select("entity_id", "term", "df").toArrow()))
+        known = lambda: frequent.value
+        rare = shared.where(step < lowest).select("entity_id", "term", "df")
 
         def with_df(rows: DataFrame) -> DataFrame:
-            looked = posted(rows).join(F.broadcast(frequent), ["entity_id", "term"], "left")
-            if least:
-                missed = looked.where("df is null").drop("df").join(rare, ["entity_id", "term"], "left").withColumnRenamed("rare_df", "df")
-                looked = looked.where("df is not null").unionByName(missed)
-            gathered = looked.select("gid", F.struct(F.coalesce("df", "size").alias("df"), "term", "tf").alias("t")).groupBy("gid").agg(
-                F.sort_array(F.collect_list("t")).alias("counts"))
-            return rows.select("gid", "entity_id", "bag", "size").join(docs.drop("postings"), "entity_id").join(gathered, "gid").select(
-                "entity_id", "gid", "bag", "size", "docs", "counts")
-
-        few = (docs.agg(F.sum("postings")).first()[0] or 0) <= SLICED_POSTINGS
-        slices = [notes] if few else (notes.where(F.col("slice") == i) for i in range(SLICES))
+            part = F.pmod(F.xxhash64("gid"), F.lit(parts)).alias("part")
+            missed = rows.select("gid", "entity_id", "terms").mapInArrow(missed_terms(known), MISSED)
+            found = missed.join(rare, ["entity_id", "term"]).select("gid", "at", "df", part)
+            dealt = rows.join(docs.drop("postings"), "entity_id").select("entity_id", "gid", "bag", "size", "docs", "terms", part)
+            return dealt.groupBy("part").cogroup(found.groupBy("part")).applyInArrow(
+                ordered_counts(known, least), COUNTED if least else COUNTS)
+
+        postings = docs.agg(F.sum("postings")).first()[0] or 0
+        slices = [notes] if postings <= SLICED_POSTINGS else [notes.where(F.col("slice") == i) for i in range(SLICES)]
+        parts = max(1, -(-postings // (PART_POSTINGS * len(slices))))
         return settled(map(with_df, slices), "note-counts", keep=True)
 
 
@@ -136,12 +146,10 @@ def term_weights(groups: DataFrame) -> DataFrame:
 
 
 def prefixes(vectors: DataFrame, cosine: float, jaccard: float) -> DataFrame:
-    """One row per group with the packed postings of its prefix (see `note_blocks`), of its vector or of its `term_counts`."""
-    if "v" in vectors.columns:
-        terms, columns = "v", [F.col("v.df").alias("df"), F.col("v.w").alias("w")]
-    else:
-        terms, columns = "counts", [F.col("counts.df").alias("df"), F.col("counts.tf").alias("tf"), "docs"]
-    listed = vectors.select("gid", "entity_id", "size", F.transform(terms, lambda t: F.hash(t["term"])).alias("keys"), *columns)
+    """One row per group with the packed postings of its prefix (see `note_blocks`)."""
+    listed = vectors.select(
+        "gid", "entity_id", "size", F.transform("v", lambda t: F.hash(t["term"])).alias("keys"),
+        F.col("v.df").alias("df"), F.col("v.w").alias("w"))
     return listed.mapInArrow(pack_prefixes(cosine, jaccard), PREFIX)
 
 
@@ -176,7 +184,12 @@ def block_pairs(rows: DataFrame, jaccard: float) -> DataFrame:
 
 
 def candidate_pairs(vectors: DataFrame, cosine: float, jaccard: float) -> DataFrame:
-    """(a, b), stored: numbers of groups, among them all that reach a threshold.
+    """(a, b), stored: numbers of groups, among them all that reach a threshold (see `meeting_pairs`)."""
+    return meeting_pairs(settled(prefixes(vectors, cosine, jaccard), "note-prefixes"), cosine, jaccard)
+
+
+def meeting_pairs(packed: DataFrame, cosine: float, jaccard: float) -> DataFrame:
+    """(a, b), stored, from the rows of `prefixes`.
 
     In the order of (df, term), let a pair's zone be its common terms at which the product of both `rest` is at least s^2, with
     s below the cosine's threshold.  The terms behind the zone give less than s, so those within must give the difference.
@@ -187,9 +200,8 @@ def candidate_pairs(vectors: DataFrame, cosine: float, jaccard: float) -> DataFr
     once for each of them.  These moves grow with the square of an entity, so that they are made in rounds, each of no more bytes
     than the rows have themselves; nothing else that grows with the pairs moves but the candidates.
     """
-    with scratch(vectors.sparkSession):
-        with scratch(vectors.sparkSession):
-            rows = settled(in_blocks(settled(prefixes(vectors, cosine, jaccard), "note-prefixes")), "note-blocks", keep=True)
+    with scratch(packed.sparkSession):
+        rows = settled(in_blocks(packed), "note-blocks")
         meeting = settled(block_pairs(rows, jaccard), "note-meetings")
         own = rows.agg(F.sum(F.octet_length("postings"))).first()[0] or 0
         found = meeting.agg(F.sum("bytes").alias("bytes"), F.count("*").alias("n")).first()
@@ -211,8 +223,9 @@ def similar_groups(
     groups: DataFrame, cosine: float = 0.85, jaccard: float = 0.80
 ) -> DataFrame:
     """Pairs of different bags with cosine >= 0.85 or Jaccard >= 0.80 (and cosine above the floor)."""
-    counts = term_counts(groups)
-    candidates = candidate_pairs(counts, cosine, jaccard)
+    counts = term_counts(groups, (cosine, jaccard))
+    packed = counts.select("gid", "entity_id", "n", "core", "postings").where(F.octet_length("postings") > 0)
+    candidates = meeting_pairs(packed, cosine, jaccard)
     rows, pairs = dealt_pairs(counts, candidates)
     together = rows.groupBy("label", "x", "y").cogroup(pairs.groupBy("label", "x", "y"))
     return together.applyInArrow(compare_pairs(cosine, jaccard, cosine * CANDIDATE_FACTOR), SIMILAR)
@@ -232,8 +245,8 @@ def dealt_pairs(counts: DataFrame, candidates: DataFrame) -> tuple[DataFrame, Da
     pairs = settled(labelled.join(blocks, "label").select("label", block("a").alias("x"), block("b").alias("y"), "a", "b"), "note-tasks")
     wanted = settled(pairs.select("label", "x", "y", F.explode(F.array("a", "b")).alias("gid")).distinct(), "note-wanted")
     few = F.broadcast(wanted) if wanted.count() <= BROADCAST_GROUPS else wanted
-    rows = unit_vectors(counts.join(few, "gid")).select(
-        "label", "x", "y", "gid", "entity_id", "bag", F.col("v.term").alias("terms"), F.col("v.w").alias("weights"))
+    rows = counts.join(few, "gid").select("label", "x", "y", "gid", "entity_id", "bag", "docs", *(
+        F.col(f"counts.{c}").alias("terms" if c == "term" else c) for c in ("term", "df", "tf")))
     return rows, pairs
 
 
@@ -331,11 +344,11 @@ def note_edges(events: DataFrame, cosine: float = 0.85, jaccard: float = 0.80, m
     Copies of the representative's own case are no pair with it, but are with copies of other cases: `note_members`
     holds them all.
     """
-    corpus = settled(note_corpus(events, min_tokens), "notes")  # splitting the texts is the costly part
+    corpus = settled(with_text(note_corpus(events, min_tokens)), "notes")  # splitting the texts is the costly part
     groups = note_groups(corpus)
     member = F.struct("event_id", "case_key", "analyst", "asset").alias("copy")
     copies = (
-        corpus.select("entity_id", "bag", member, "tokens")
+        corpus.select("entity_id", "bag", member, "text")
         .join(groups.select("entity_id", "bag", "rep"), ["entity_id", "bag"])
         .where(
             (F.col("copy.event_id") != F.col("rep.event_id"))
@@ -343,7 +356,7 @@ def note_edges(events: DataFrame, cosine: float = 0.85, jaccard: float = 0.80, m
         )
     )
     one = F.lit(1.0)
-    shared = F.slice(F.array_sort(F.array_distinct("tokens")), 1, 15)
+    shared = F.slice(F.array_distinct(F.split("text", " ")), 1, 15)
     stars = _edge(copies, "rep", "copy", one, one, shared, F.lit(1))
     between = similar_group_edges(corpus, cosine, jaccard)
     return stars.unionByName(
