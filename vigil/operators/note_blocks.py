@@ -9,6 +9,7 @@ Weights and norms are stored in 16 bits, rounded up, so that no sum falls short.
 
 from __future__ import annotations
 
+import ctypes
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -26,6 +27,8 @@ POSTING = np.dtype([("key", "<u4"), ("left", "<u4"), ("w", "<u2"), ("rest", "<u2
 UNIT = 65535
 #: Meeting terms that are summed up at a time.
 AT_ONCE = 1 << 20
+#: Postings of a block that are looked up in the other one at a time.
+ASKED = 1 << 18
 
 #: Groups that are packed at a time.
 ROWS = 2048
@@ -41,6 +44,14 @@ SIMILAR = "entity_id string, bag_a string, bag_b string, cosine double, jaccard
 SHOWN = 15
 
 
+def hand_back() -> None:
+    """Give the memory that a worker's former tasks have freed back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library only
+    if trim:
+        trim(0)
+
+
 def count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From rows (entity_id, bag, size, text) to rows of TERMS: each word of a group once, with its count."""
     for batch in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
@@ -145,6 +156,7 @@ def ordered_counts(known: Callable[[], Known], least: tuple[float, float] | None
     names_of = ["entity_id", "gid", "bag", "size", "docs", "counts", *(["n", "core", "postings"] if least else [])]
 
     def run(rows: pa.Table, found: pa.Table) -> pa.Table:
+        hand_back()
         order = np.argsort(found.column("gid").to_numpy(), kind="stable")
         whose, place, df_there = (found.column(c).to_numpy()[order] for c in ("gid", "at", "df"))
         out = []
@@ -256,14 +268,27 @@ class Block:
 
     @classmethod
     def of(cls, rows: pa.Table) -> Block:
-        packed = rows.column("postings").to_pylist()
-        count = np.fromiter(map(len, packed), np.int64, len(packed)) // POSTING.itemsize
+        packed = rows.column("postings").combine_chunks()
+        packed = packed.combine_chunks() if isinstance(packed, pa.ChunkedArray) else packed
+        offsets = np.frombuffer(packed.buffers()[1], np.int32)[packed.offset : packed.offset + len(packed) + 1].astype(np.int64)
+        count = np.diff(offsets) // POSTING.itemsize
+        postings = np.frombuffer(packed.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(POSTING)
         gid, n, core = (rows.column(c).to_numpy().astype(np.int64) for c in ("gid", "n", "core"))
-        return cls(gid, n, core, np.frombuffer(b"".join(packed), POSTING), np.repeat(np.arange(len(gid)), count))
+        return cls(gid, n, core, postings, np.repeat(np.arange(len(gid), dtype=np.int32), count))
 
     def where(self, mask: np.ndarray) -> Block:
         return Block(self.gid, self.n, self.core, self.postings[mask], self.doc[mask])
 
+    def parts(self) -> Iterator[Block]:
+        """Some postings at a time, of whole groups."""
+        at = 0
+        while at < len(self.doc):
+            stop = min(at + ASKED, len(self.doc))
+            begun = np.searchsorted(self.doc, self.doc[stop - 1])  # of the last group, which may go on
+            stop = int(np.searchsorted(self.doc, self.doc[stop - 1], "right")) if begun <= at else stop if stop == len(self.doc) else int(begun)
+            yield Block(self.gid, self.n, self.core, self.postings[at:stop], self.doc[at:stop])
+            at = stop
+
 
 def found_in(own: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where values from low to high lie in the sorted own; sorted questions are answered faster."""
@@ -312,18 +337,20 @@ def by_cosine(a: Block, b: Block, same: bool, cosine: float) -> Iterator[np.ndar
     a, b = (x.where(x.postings["rest"] >= squared // UNIT) for x in (a, b))
     place = (b.postings["key"].astype(np.int64) << 16) | (UNIT - b.postings["rest"].astype(np.int64))
     order = np.argsort(place)
-    low = a.postings["key"].astype(np.int64) << 16
-    needed = -(-squared // a.postings["rest"].astype(np.int64))
-    first, last = found_in(place[order], low, low + UNIT - needed)
-    last = np.where(needed > UNIT, first, last)
-    other, weight = b.doc[order], b.postings["w"][order].astype(float) / UNIT
-    mine = a.postings["w"].astype(float) / UNIT
-    for i, j in meetings(a, b, first, last):
-        x, y = a.doc[i], other[j]
-        fits = (a.n[x] >= b.core[y]) & (b.n[y] >= a.core[x])
-        if same:
-            fits &= x < y
-        yield reaching((x * len(b.gid) + y)[fits], (mine[i] * weight[j])[fits], cosine - s - ROUNDING)
+    place, other, weight = place[order], b.doc[order], b.postings["w"][order]
+    del order
+    for part in a.parts():
+        low = part.postings["key"].astype(np.int64) << 16
+        needed = -(-squared // part.postings["rest"].astype(np.int64))
+        first, last = found_in(place, low, low + UNIT - needed)
+        last = np.where(needed > UNIT, first, last)
+        for i, j in meetings(part, b, first, last):
+            x, y = part.doc[i].astype(np.int64), other[j].astype(np.int64)
+            fits = (a.n[x] >= b.core[y]) & (b.n[y] >= a.core[x])
+            if same:
+                fits &= x < y
+            product = part.postings["w"][i] / UNIT * (weight[j] / UNIT)
+            yield reaching((x * len(b.gid) + y)[fits], product[fits], cosine - s - ROUNDING)
 
 
 def by_jaccard(a: Block, b: Block, same: bool, jaccard: float) -> Iterator[np.ndarray]:
@@ -331,24 +358,26 @@ def by_jaccard(a: Block, b: Block, same: bool, jaccard: float) -> Iterator[np.nd
     a, b = (x.where(x.postings["left"] >= OUTSIDE_JACCARD * jaccard * x.n[x.doc] - SLACK) for x in (a, b))
     place = (b.postings["key"].astype(np.int64) << 31) | b.n[b.doc]
     order = np.argsort(place)
-    key, n = a.postings["key"].astype(np.int64) << 31, a.n[a.doc]
-    first, last = found_in(
-        place[order], key + np.ceil(jaccard * n - SLACK).astype(np.int64), key + np.floor((n + SLACK) / jaccard).astype(np.int64))
-    other, behind = b.doc[order], b.postings["left"][order]
-    mine = a.postings["left"]
-    for i, j in meetings(a, b, first, last):
-        x, y = a.doc[i], other[j]
-        wanted = (a.n[x] + b.n[y]) * (jaccard / (1 + jaccard))
-        fits = np.minimum(mine[i], behind[j]) >= OUTSIDE_JACCARD * wanted - SLACK
-        if same:
-            fits &= x < y
-        yield reaching((x * len(b.gid) + y)[fits], (1.0 / wanted)[fits], 1 - OUTSIDE_JACCARD - ROUNDING)
+    place, other, behind = place[order], b.doc[order], b.postings["left"][order]
+    del order
+    for part in a.parts():
+        key, n = part.postings["key"].astype(np.int64) << 31, a.n[part.doc]
+        first, last = found_in(
+            place, key + np.ceil(jaccard * n - SLACK).astype(np.int64), key + np.floor((n + SLACK) / jaccard).astype(np.int64))
+        for i, j in meetings(part, b, first, last):
+            x, y = part.doc[i].astype(np.int64), other[j].astype(np.int64)
+            wanted = (a.n[x] + b.n[y]) * (jaccard / (1 + jaccard))
+            fits = np.minimum(part.postings["left"][i], behind[j]) >= OUTSIDE_JACCARD * wanted - SLACK
+            if same:
+                fits &= x < y
+            yield reaching((x * len(b.gid) + y)[fits], (1.0 / wanted)[fits], 1 - OUTSIDE_JACCARD - ROUNDING)
 
 
 def meet_blocks(cosine: float, jaccard: float) -> Callable[[tuple, pa.Table], pa.Table]:
     """For the rows of two blocks (key: entity, one, two; columns of PREFIX and `block`), their pairs (PAIR), a < b."""
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
+        hand_back()
         one, two = key[1].as_py(), key[2].as_py()
         a = Block.of(rows.filter(pc.equal(rows.column("block"), one)))
         b = a if one == two else Block.of(rows.filter(pc.equal(rows.column("block"), two)))
@@ -368,6 +397,8 @@ def compare_pairs(cosine: float, jaccard: float, floor: float) -> Callable[[pa.T
     """
 
     def run(rows: pa.Table, pairs: pa.Table) -> pa.Table:
+        if rows.num_rows > ROWS // 2:
+            hand_back()
         gid = rows.column("gid").to_numpy()
         by_gid = np.argsort(gid)
         x, y = (by_gid[np.searchsorted(gid, pairs.column(c).to_numpy(), sorter=by_gid)] for c in "ab")

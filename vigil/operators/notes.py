@@ -137,7 +137,9 @@ def term_counts(groups: DataFrame, least: tuple[float, float] | None = None) ->
         postings = docs.agg(F.sum("postings")).first()[0] or 0
         slices = [notes] if postings <= SLICED_POSTINGS else [notes.where(F.col("slice") == i) for i in range(SLICES)]
         parts = max(1, -(-postings // (PART_POSTINGS * len(slices))))
-        return settled(map(with_df, slices), "note-counts", keep=True)
+        counts = settled(map(with_df, slices), "note-counts", keep=True)
+        frequent.destroy()
+        return counts
 
 
 def term_weights(groups: DataFrame) -> DataFrame:
